@@ -28,7 +28,7 @@ ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80,
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, dtype=np.uint64)
 _R, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict[int, np.ndarray] = {}
@@ -61,11 +61,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES, most_rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) of consecutive rows.
 
-    A block holds whole documents: as many as fit in ``block_bytes``, one at
-    least.  Null texts count as empty.
+    A block holds whole documents: as many as fit in ``block_bytes`` and
+    ``most_rows``, one at least.  Null texts count as empty.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -81,7 +81,7 @@ def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[in
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + block_bytes, "right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), lo + most_rows, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 

@@ -31,7 +31,8 @@ from .components import connected_components
 from .shared import Scratch
 
 SKETCH_BITS = 17
-CENTRE_ROUNDS = 3
+#: The centre of a posting list in each round is its member with the least id XOR one of these.
+CENTRES = (0, -1, 0x5555555555555555, 0x3333333333333333)
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -158,40 +159,40 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     # order A: posting lists of the class representatives; a token that only one has is dropped
     own = prints.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    index = own.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), "n")
-    lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min(F.struct("n", "rep")).alias("head")).where("members > 1")
-    posting = scratch.write(index.join(lists, "token").select("token", "rep", "n", "head"), "posting")
+    index = own.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"))
+    lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre")).where("members > 1")
+    posting = scratch.write(index.join(lists, "token").select("token", "rep", "centre"), "posting")
+    sizes = classes.select("rep", "n")
 
-    fits = f"least(n, m) * 100 >= {percent} * greatest(n, m)"
     links, tested, labels = None, None, None
-    for step in range(CENTRE_ROUNDS + 1):
+    for step in range(len(CENTRES) + 1):
         if step == 0:
-            pairs = posting.select("rep", "n", F.col("head.rep").alias("centre"), F.col("head.n").alias("m"))
+            pairs = posting.select("rep", "centre")
         else:
-            now = posting.select("token", "rep", "n").join(labels, posting.rep == labels.node, "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
-            open_ = now.groupBy("token").agg(
-                F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("n", "rep", "component")).alias("big"), F.min(F.struct("n", "rep", "component")).alias("small")
-            ).where("lo <> hi")
-            now = scratch.write(now.join(open_.select("token", "big", "small"), "token"), f"open-{step}")
-            if now.isEmpty():
+            named = posting.select("token", "rep").join(labels, posting.rep == labels.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
+            named = scratch.write(named, f"named-{step}")
+            flip = F.lit(CENTRES[step % len(CENTRES)])
+            lists = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.col("rep").bitwiseXOR(flip)).alias("centre")).where("lo <> hi")
+            left = scratch.write(named.join(lists.select("token", F.col("centre").bitwiseXOR(flip).alias("centre")), "token"), f"left-{step}")
+            if left.isEmpty():
                 break
-            if step < CENTRE_ROUNDS:
-                centre = F.col("big" if step == 1 else "small")
-                pairs = now.where(F.col("component") != centre["component"]).select("rep", "n", centre["rep"].alias("centre"), centre["n"].alias("m"))
+            if step < len(CENTRES):
+                pairs = left.select("rep", "centre", "component").distinct().join(labels.withColumnsRenamed({"node": "centre", "component": "other"}), "centre", "left")
+                pairs = pairs.where("component <> coalesce(other, centre)").select("rep", "centre")
             else:
-                other = now.select("token", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("component").alias("component2"))
-                pairs = now.join(other, "token").where("component < component2").where(fits).select("rep", "n", "centre", "m")
-        pairs = pairs.where("rep <> centre").where(fits).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+                other = left.select("token", F.col("rep").alias("centre"), F.col("component").alias("other"))
+                pairs = left.select("token", "rep", "component").join(other, "token").where("component < other").select("rep", "centre")
+        pairs = pairs.where("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, f"pairs-{step}")
+        pairs = pairs.join(sizes.select(F.col("rep").alias("a"), "n"), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("m")), "b")
+        pairs = scratch.write(pairs.where(f"least(n, m) * 100 >= {percent} * greatest(n, m)").select("a", "b"), f"pairs-{step}")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = scratch.write(_full_sets(docs, ids, k), f"sets-{step}")
         found = scratch.write(_verified(pairs, sets, percent), f"links-{step}")
-        scratch.drop(f"sets-{step}", f"open-{step}")
+        scratch.drop(f"sets-{step}", f"named-{step}", f"left-{step}", f"labels-{step - 1}", f"cc-{step - 1}")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        scratch.drop(f"labels-{step - 1}")
         labels = scratch.write(connected_components(links, scratch, f"cc-{step}"), f"labels-{step}")
 
     whole = classes.join(labels, classes.rep == labels.node, "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ngram_jaccard
-from .shared import table
+from .shared import prepare, table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 

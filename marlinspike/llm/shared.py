@@ -6,7 +6,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, types as T
+
+#: Rows of an Arrow batch: whole texts, so a batch is kept to a few MB.
+ARROW_ROWS = "500"
 
 _roots: dict[str, str] = {}
 
@@ -58,5 +62,35 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Bound the memory of Python workers, which hold a batch of whole texts each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added while the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_column(df: DataFrame, name: str, ddl: str, compute) -> DataFrame:
+    """Add a column that ``compute`` makes, as a list or Arrow array, from each Arrow batch."""
+    kind = T._parse_datatype_string(ddl)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+    def add(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = to_arrow_type(kind)
+        for batch in batches:
+            made = compute(batch)
+            made = made if isinstance(made, (pa.Array, pa.ChunkedArray)) else pa.array(made, arrow)
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
+
+    return df.mapInArrow(add, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
