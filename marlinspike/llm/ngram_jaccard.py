@@ -7,7 +7,9 @@ Three orders are used and a pair must pass all three before it is verified:
 
 * A, rare first: by the token's count in a hashed sketch of document
   frequencies over the whole corpus, then by hash.  Only this order is
-  indexed; common tokens go last and so make no large posting lists.
+  indexed; common tokens go last and so make no large posting lists.  A pair's
+  shared token must also come early enough for the overlap that the sizes of
+  the two ask for.
 * B, ascending hash, and C, descending hash: checked on each candidate.
 
 Pairs are not enumerated within a posting list.  Copies with equal sets are
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import Scratch
+from .shared import Scratch, broadcast_if_small
 
 SKETCH_BITS = 17
 #: The centre of a posting list in each round is its member with the least id XOR one of these.
 CENTRES = (0, -1, 0x5555555555555555, 0x3333333333333333)
+#: Centre rounds end, and the exact last round begins, once a round adds fewer than one in so many links.
+FEW = 50
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -104,7 +108,7 @@ def _fingerprints(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) ->
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 order = levels[(found & mask).astype(np.int64)] | (found >> np.uint64(8))
                 take = n - _least(n, percent) + 1 if n else 0
-                prefixes.append(np.partition(order, take - 1)[:take] if take < n else order)
+                prefixes.append(np.sort(np.partition(order, take - 1)[:take] if take < n else order))
             digest = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _list_array(prefixes)],
@@ -159,41 +163,49 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     # order A: posting lists of the class representatives; a token that only one has is dropped
     own = prints.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
-    index = own.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"))
+    index = own.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n")
     lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre")).where("members > 1")
-    posting = scratch.write(index.join(lists, "token").select("token", "rep", "centre"), "posting")
-    sizes = classes.select("rep", "n")
+    posting = scratch.write(index.join(lists, "token").select("token", "rep", "n", "pos", "centre"), "posting")
 
-    links, tested, labels = None, None, None
+    # a pair of sizes n and m must overlap in ``need``: one shared token lies as early as this in both
+    need = f"(({percent} * (n + m) + {percent + 99}) div {percent + 100})"
+    early = f"pos <= n - {need} and pos2 <= m - {need}"
+    links, tested, labels, count = None, None, None, 0
     for step in range(len(CENTRES) + 1):
-        if step == 0:
-            pairs = posting.select("rep", "centre")
-        else:
-            named = posting.select("token", "rep").join(labels, posting.rep == labels.node, "left").select("token", "rep", F.coalesce("component", "rep").alias("component"))
-            named = scratch.write(named, f"named-{step}")
+        last = step == len(CENTRES) or step > 1 and fresh * FEW < count
+        left = posting.withColumn("component", F.col("rep"))
+        if step:
+            left = posting.drop("centre").join(labels, posting.rep == labels.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+            left = scratch.write(left, f"named-{step}")
             flip = F.lit(CENTRES[step % len(CENTRES)])
-            lists = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.col("rep").bitwiseXOR(flip)).alias("centre")).where("lo <> hi")
-            left = scratch.write(named.join(lists.select("token", F.col("centre").bitwiseXOR(flip).alias("centre")), "token"), f"left-{step}")
-            if left.isEmpty():
+            lists = left.groupBy("token").agg(
+                F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.col("rep").bitwiseXOR(flip)).alias("centre")
+            ).where("lo <> hi")
+            lists = scratch.write(lists.select("token", F.col("centre").bitwiseXOR(flip).alias("centre")), f"lists-{step}")
+            if lists.isEmpty():
                 break
-            if step < len(CENTRES):
-                pairs = left.select("rep", "centre", "component").distinct().join(labels.withColumnsRenamed({"node": "centre", "component": "other"}), "centre", "left")
-                pairs = pairs.where("component <> coalesce(other, centre)").select("rep", "centre")
-            else:
-                other = left.select("token", F.col("rep").alias("centre"), F.col("component").alias("other"))
-                pairs = left.select("token", "rep", "component").join(other, "token").where("component < other").select("rep", "centre")
-        pairs = pairs.where("rep <> centre").select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+            left = left.join(lists, "token")
+        if not last:
+            middle = left.where("rep = centre").select("token", F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("other"))
+            pairs = left.join(middle, "token").where("rep <> centre" if step == 0 else "component <> other")
+        else:
+            partner = left.select("token", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("other"))
+            pairs = left.drop("centre").join(partner, "token").where("component < other")
+        pairs = pairs.where(early).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(sizes.select(F.col("rep").alias("a"), "n"), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("m")), "b")
-        pairs = scratch.write(pairs.where(f"least(n, m) * 100 >= {percent} * greatest(n, m)").select("a", "b"), f"pairs-{step}")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = scratch.write(_full_sets(docs, ids, k), f"sets-{step}")
-        found = scratch.write(_verified(pairs, sets, percent), f"links-{step}")
-        scratch.drop(f"sets-{step}", f"named-{step}", f"left-{step}", f"labels-{step - 1}", f"cc-{step - 1}")
+        pairs = scratch.write(pairs, f"pairs-{step}")
+        ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{step}")
+        sets = scratch.write(_full_sets(docs, broadcast_if_small(ids), k), f"sets-{step}")
+        found = scratch.write(_verified(broadcast_if_small(pairs), sets, percent), f"links-{step}")
+        scratch.drop(f"sets-{step}", f"ids-{step}", f"named-{step}", f"lists-{step}", f"labels-{step - 1}")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = scratch.write(connected_components(links, scratch, f"cc-{step}"), f"labels-{step}")
+        if last:
+            break
+        fresh = found.count()
+        count += fresh
 
     whole = classes.join(labels, classes.rep == labels.node, "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"))
     whole = whole.withColumnsRenamed({"k1": "c1", "k2": "c2"})

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ngram_jaccard
+from . import decontaminate, language_id, ngram_jaccard, packing, quality_classifier, substring_dedup
+from .features import id_crc
 from .shared import prepare, table
 
 
@@ -13,8 +14,60 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, leak = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", f"{leak}.*").select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("longest").cast("long").alias("longest_match"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored, score = quality_classifier.score_quality(docs, model)
+    return scored.select(
+        "doc_id",
+        (id_crc(F.col("doc_id")) % 5 == 0).alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= quality_classifier.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_languages(docs)
+    found, name = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), F.col(name)["lang"].alias("lang_pred"), F.col(name)["score"].alias("score"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_packing": op6_packing,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 #: SQL where it can express the query and still run on whole tables.

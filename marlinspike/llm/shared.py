@@ -7,10 +7,12 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 #: Rows of an Arrow batch: whole texts, so a batch is kept to a few MB.
 ARROW_ROWS = "500"
+#: Most rows, of two or three numbers each, of a side that is broadcast.
+BROADCAST_ROWS = 500_000
 
 _roots: dict[str, str] = {}
 
@@ -67,6 +69,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a materialised frame of a few numbers a row for broadcast if its row count allows; otherwise it is shuffled."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added while the frame has such a column."""
     taken = {c.lower() for c in df.columns}
