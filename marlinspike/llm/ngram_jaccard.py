@@ -99,14 +99,14 @@ def _fingerprints(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) ->
     mask = np.uint64(len(level) - 1)
 
     def fingerprint(batches):
-        levels = shared.value.astype(np.uint64) << np.uint64(56)
+        levels = shared.value.astype(np.uint64) << np.uint64(55)
         for batch in batches:
             sizes, keys, prefixes = [], [], []
             for _, found in shingle_sets(batch.column(1), k):
                 n = len(found)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                order = levels[(found & mask).astype(np.int64)] | (found >> np.uint64(8))
+                order = levels[(found & mask).astype(np.int64)] | (found >> np.uint64(9))
                 take = n - _least(n, percent) + 1 if n else 0
                 prefixes.append(np.sort(np.partition(order, take - 1)[:take] if take < n else order))
             digest = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -162,10 +162,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     classes = scratch.write(prints.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
 
     # order A: posting lists of the class representatives; a token that only one has is dropped
-    own = prints.join(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
+    own = prints.join(broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_semi")
     index = own.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n")
-    lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre")).where("members > 1")
-    posting = scratch.write(index.join(lists, "token").select("token", "rep", "n", "pos", "centre"), "posting")
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in range(2)]
+    lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), *marks).where("members > 1")
+    # of tokens with the same members (a passage's shingles) the first comes earliest in all of them and says as much as all
+    lists = lists.groupBy("members", "centre", "mark0", "mark1").agg(F.min("token").alias("token")).select("token", "centre")
+    posting = scratch.write(index.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "posting")
 
     # a pair of sizes n and m must overlap in ``need``: one shared token lies as early as this in both
     need = f"(({percent} * (n + m) + {percent + 99}) div {percent + 100})"
