@@ -12,6 +12,9 @@ Three orders are used and a pair must pass all three before it is verified:
   the two ask for.
 * B, ascending hash, and C, descending hash: checked on each candidate.
 
+Candidates must also agree in the parities of enough hash classes of tokens,
+which bounds the overlap from above without the sets.
+
 Pairs are not enumerated within a posting list.  Copies with equal sets are
 collapsed first.  Then each member of a list is joined to the list's first
 document; verified links give components; the next round takes the largest
@@ -33,6 +36,7 @@ from .components import connected_components
 from .shared import Scratch, broadcast_if_small
 
 SKETCH_BITS = 17
+PARITY_BITS = 1024
 #: The centre of a posting list in each round is its member with the least id XOR one of these.
 CENTRES = (0, -1, 0x5555555555555555, 0x3333333333333333)
 #: Centre rounds end, and the exact last round begins, once a round adds fewer than one in so many links.
@@ -93,7 +97,7 @@ def count_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray
 
 
 def _fingerprints(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix): set size, digest of the set, prefix under order A."""
+    """(doc_id, n, k1, k2, prefix, parity): set size, digest of the set, prefix under order A, parities of PARITY_BITS hash classes."""
     level = np.minimum(255, 8 * np.log2(sketch + 1)).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(level)
     mask = np.uint64(len(level) - 1)
@@ -101,21 +105,22 @@ def _fingerprints(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) ->
     def fingerprint(batches):
         levels = shared.value.astype(np.uint64) << np.uint64(55)
         for batch in batches:
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, prefixes, parity = [], [], [], []
             for _, found in shingle_sets(batch.column(1), k):
                 n = len(found)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 order = levels[(found & mask).astype(np.int64)] | (found >> np.uint64(9))
                 take = n - _least(n, percent) + 1 if n else 0
+                parity.append(np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.uint64))
                 prefixes.append(np.sort(np.partition(order, take - 1)[:take] if take < n else order))
             digest = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _list_array(prefixes)],
-                ["doc_id", "n", "k1", "k2", "prefix"],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _list_array(prefixes), _list_array(parity)],
+                ["doc_id", "n", "k1", "k2", "prefix", "parity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(fingerprint, "doc_id long, n int, k1 long, k2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(fingerprint, "doc_id long, n int, k1 long, k2 long, prefix array<long>, parity array<long>")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -168,11 +173,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), *marks).where("members > 1")
     # of tokens with the same members (a passage's shingles) the first comes earliest in all of them and says as much as all
     lists = lists.groupBy("members", "centre", "mark0", "mark1").agg(F.min("token").alias("token")).select("token", "centre")
-    posting = scratch.write(index.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "posting")
+    posting = scratch.write(index.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "slots")
+    posting = scratch.write(posting.join(prints.select(F.col("doc_id").alias("rep"), "parity").dropDuplicates(["rep"]), "rep"), "posting")
+    scratch.drop("slots", "heads")
 
     # a pair of sizes n and m must overlap in ``need``: one shared token lies as early as this in both
     need = f"(({percent} * (n + m) + {percent + 99}) div {percent + 100})"
-    early = f"pos <= n - {need} and pos2 <= m - {need}"
+    # and sets that differ in d tokens have at most d hash classes of different parity
+    unlike = "aggregate(zip_with(parity, parity2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
+    early = f"pos <= n - {need} and pos2 <= m - {need} and n + m - {unlike} >= 2 * {need}"
     links, tested, labels, count = None, None, None, 0
     for step in range(len(CENTRES) + 1):
         last = step == len(CENTRES) or step > 1 and fresh * FEW < count
@@ -189,10 +198,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
                 break
             left = left.join(lists, "token")
         if not last:
-            middle = left.where("rep = centre").select("token", F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("other"))
+            middle = left.where("rep = centre").select("token", F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("parity").alias("parity2"), F.col("component").alias("other"))
             pairs = left.join(middle, "token").where("rep <> centre" if step == 0 else "component <> other")
         else:
-            partner = left.select("token", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("other"))
+            partner = left.select("token", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("parity").alias("parity2"), F.col("component").alias("other"))
             pairs = left.drop("centre").join(partner, "token").where("component < other")
         pairs = pairs.where(early).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
         if tested is not None:
