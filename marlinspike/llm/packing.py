@@ -119,18 +119,19 @@ def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_steps: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, patience: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows of counts) and how often each is used in the linear optimum.
 
     Minimises the number of sequences subject to packing each class exactly
-    ``demand`` times.  Stopped early after ``most_steps`` pivots, the basis is
-    still feasible and only its waste is larger.
+    ``demand`` times.  Where ``patience`` pivots in a row gain nothing, the basis
+    is taken as it is; it is feasible at every step.
     """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(np.float64)
     inverse = np.diag(1.0 / np.diag(basis))
     level = inverse @ demand
-    for step in range(most_steps):
+    best, idle, step = float(level.sum()), 0, 0
+    while idle < patience:
         prices = inverse.sum(axis=0)
         value, column = knapsack(prices, sizes, capacity)
         if value <= 1 + 1e-7:
@@ -146,9 +147,12 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, most_st
         others = np.arange(m) != out
         inverse[others] -= np.outer(move[others], inverse[out])
         basis[:, out] = column
-        if step % 200 == 199:
+        step += 1
+        if step % 200 == 0:
             inverse = np.linalg.inv(basis)
             level = inverse @ demand
+        total = float(level.sum())
+        best, idle = (total, 0) if total < best * (1 - 1e-7) else (best, idle + 1)
     return basis.T.round().astype(np.int64), np.maximum(level, 0)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, ngram_jaccard, packing, quality_classifier, substring_dedup
+from . import chat_format, decontaminate, language_id, license_scan, ngram_jaccard, oracles, packing, pii, quality_classifier, quality_rules, substring_dedup
 from .features import id_crc
 from .shared import prepare, table
 
@@ -14,6 +14,19 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    ruled, rules = quality_rules.quality_rules(docs, trusted)
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    return ruled.select("doc_id", *[F.col(rules)[f].alias(f) for f in fields])
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +60,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, name, _ = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = F.col(name)["base"], F.col(name)["spans"]
+    counts = [F.size(F.filter(base, lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"), pii.span_text(spans).alias("spans"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -61,14 +81,22 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_crc(F.col("doc_id")) % 3 == 1).alias("held_out"), F.col(name)["lang"].alias("lang_pred"), F.col(name)["score"].alias("score"))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_license_scan": op2_license_scan,
+    "op3_quality_rules": op3_quality_rules,
     "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
+    "op10_chat_format": op10_chat_format,
 }
 
 #: SQL where it can express the query and still run on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_chat_format": oracles.CHAT_FORMAT}

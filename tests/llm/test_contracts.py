@@ -1,0 +1,303 @@
+"""The registered queries against brute force on the small tables and on awkward rows."""
+
+import random
+import zlib
+
+import brute
+import pytest
+
+from marlinspike.llm import chat_format, decontaminate, features, language_id, license_scan, ngram_jaccard, packing, pii, quality_classifier, quality_rules, queries, substring_dedup
+from marlinspike.llm.shared import prepare
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pii string, score double, k1 int"
+
+
+def awkward():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    a, b, c = say(120), say(60), say(40)
+    texts = [None, "", "   \n\t ", "one", "one two", "One TWO", "ab cd ef gh ij", a, a, a.upper(), a + " tail", "head " + a, b + "\n" + b, c + " " + say(30), say(30) + " " + c, " ".join([c] * 5), say(3000), "x" * 30_000, "1" * 30_000, "a@" * 3000]
+    texts += ["x 1.2.3.4 y 300.1.1.1 z 1.2.3.4.5.6.7.8", "mail a.b@c.de_x@y.zz é +1 (743) 555-3824 4111 1111 1111 1111", "+1*** (499) 555-6503 password=abc12345 " + c, "card 4111-1111-1111-1112 a@b c@d.e", "# * $ % & | < >", "a b c d e f a b c d e f a b c d e f"]
+    texts += [a.replace(a.split()[k], "changed", 1) for k in (3, 30, 60)]
+    rows = [(i * 3, t, ["en", "fr", None][i % 3], "s", 0, "clash", 0.5, 1) for i, t in enumerate(texts)]
+    return rows + [rows[7], rows[0], rows[3]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    prepare(spark)
+    return spark.createDataFrame(awkward(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def small(spark, data):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+
+
+def test_jaccard_matches_brute_force(spark, data, small, docs):
+    want = brute.jaccard(small)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_jaccard(spark, data).collect()} == want
+    rows = ngram_jaccard.jaccard_components(docs).collect()
+    want = brute.jaccard([(r[0], r[1]) for r in awkward()])
+    assert len(rows) == len(awkward())
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in rows)
+
+
+def test_jaccard_keeps_one_of_each_group(docs):
+    kept = ngram_jaccard.keep_first(docs, ngram_jaccard.jaccard_components(docs))
+    want = brute.jaccard([(r[0], r[1]) for r in awkward()])
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
+
+
+def test_jaccard_of_a_family_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 2, 3, 4])):
+            w[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard(rows)
+
+
+def test_license_scan(spark, data):
+    texts = ["Released under the MIT License.", "word word\nLicensed under the Apache License, Version 2.0.\nmore", "a license of poetic kind\n", None, "", license_scan.TEMPLATES["MIT"].replace(" to ", "\nto ").replace("charge", "fee")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = license_scan.scan_licenses(docs).collect()
+    found = {(r.doc_id, r.license) for r in rows if r.confirmed}
+    assert found == {(0, "MIT-notice"), (1, "Apache-2.0-notice"), (5, "MIT")}
+    assert {r.doc_id for r in rows if not r.confirmed} <= {1, 2, 5}
+    assert all(r.n_missing == r.n_extra == 0 for r in rows if r.confirmed and r.doc_id < 2)
+    want = {(i, k, line.strip()) for i, t in [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()] for k, line in enumerate((t or "").split("\n")) if line.strip() in license_scan.TEMPLATES.values()}
+    got = {(r.doc_id, r.line_from, license_scan.TEMPLATES[r.license]) for r in queries.op2_license_scan(spark, data).collect() if r.confirmed and not r.n_missing and not r.n_extra and r.line_to == r.line_from + 1}
+    assert got == want
+
+
+def test_rules_base_counts(spark, data, small, docs):
+    texts = dict(small)
+    rows = queries.op3_quality_rules(spark, data).collect()
+    assert len(rows) == len(small)
+    for r in rows:
+        assert tuple(r[1:7]) == brute.rules(texts[r.doc_id])
+        assert r.kept == (not r.base_failed and r.score >= quality_rules.THRESHOLD)
+    ruled, name = quality_rules.quality_rules(docs, docs.select("doc_id"))
+    by_id = {r[0]: r[1] for r in awkward()}
+    for r in ruled.collect():
+        assert tuple(r[name][f] for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute.rules(by_id[r.doc_id])
+
+
+def test_leaks_match_brute_force(spark, data, small, docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    want = brute.leaks(small, items)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in queries.op4_decontamination(spark, data).collect()} == want
+    texts = [r[1] for r in awkward()]
+    items = [(1, None), (2, ""), (3, "one two"), (10, texts[7]), (11, texts[13][:60]), (12, "one"), (13, "password")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks([(r[0], r[1]) for r in awkward()], items)
+    for size in (1 << 20, 10):
+        found, name = decontaminate.find_leaks(docs, bench, block_bytes=size)
+        assert len(rows := found.collect()) == len(awkward())
+        for r in rows:
+            leak = r[name]
+            assert (leak.n_words, leak.n_hit, len(leak["items"]), brute.sha(",".join(leak["items"]))) == want[r.doc_id]
+            assert sum(s.end - s.start for s in leak.spans) == leak.n_hit
+            assert (leak.longest > 0) == (leak.n_hit > 0)
+    whole = next(r for r in found.collect() if r.text == texts[7])[name]
+    assert (whole.longest, whole.longest_item, whole.longest_start) == (120, "10", 0)
+    clean = decontaminate.without_leaks(docs, bench)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i, v in want.items() if not v[1]}
+    assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(awkward())
+
+
+def test_packing_round_trip(spark, data, small):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    tokens = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in small}
+    rows = queries.op6_packing(spark, data).collect()
+    pieces, sequences = {}, {}
+    for r in rows:
+        assert r.ids_crc32 == brute.crc_ids(tokens[r.doc_id][r.start : r.start + r.length]) and r.doc_tokens == len(tokens[r.doc_id])
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == tokens.keys()
+    for i, cuts in pieces.items():
+        at = 0
+        for start, length in sorted(cuts):
+            assert start == at
+            at += length
+        assert at == len(tokens[i])
+    filled = 0
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+        filled += at
+    assert filled / (2048 * len(sequences)) > 0.97
+
+
+def test_packing_awkward_rows(spark, docs):
+    rows = packing.pack(docs, with_ids=True).collect()
+    assert len({(r.doc_id) for r in rows}) == len({r[0] for r in awkward()})
+    assert sum(r.length for r in rows if r.start == 0 and r.doc_tokens == 1) == 3  # null twice, and empty
+    assert all(len(r.ids) == r.length and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids)) == r.ids_crc32 for r in rows)
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_encoder_agrees_with_the_defining_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    encode, rng = packing.encoder(), random.Random(3)
+    texts = ["".join(chr(rng.randrange(256)) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts += ["<|endoftext|>", "naïve — “quoted” 漢字 😀", "a" * 5000, " " * 300 + "x", "don't I'LL we've x", "".join(map(chr, range(256)))]
+    for text in texts:
+        assert encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_pii_base_matches_brute_force(spark, data, small, docs):
+    texts = dict(small)
+    rows = queries.op7_pii(spark, data).collect()
+    assert len(rows) == len(small)
+    for r in rows:
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == brute.pii_row(texts[r.doc_id])
+    found, name, learned = pii.find_pii(docs)
+    by_id = {r[0]: r[1] for r in awkward()}
+    for r in found.collect():
+        base, spans = ([(s.start, s.rank, s.end) for s in r[name][f]] for f in ("base", "spans"))
+        assert base == brute.pii(by_id[r.doc_id])
+        assert set(base) <= set(spans) and spans == sorted(spans)
+    assert r["pii"] == "clash" and name == "pii_"
+    assert learned["reliability"]["yes"]["strict"][1] > learned["reliability"]["no"]["strict"][1]
+
+
+def test_redaction(spark, docs):
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    by_id = {r[0]: r[1] for r in awkward()}
+    hit = next(i for i, t in by_id.items() if t and t.startswith("mail a.b"))
+    assert clean[hit] == "mail <EMAIL><EMAIL> é <PHONE> <CARD>"
+    assert all(clean[i] == t for i, t in by_id.items() if not brute.pii(t) and "555" not in (t or ""))
+    many = spark.createDataFrame([(1, " ".join(f"u{k}@example.com" for k in range(1500)))], "doc_id long, text string")
+    assert pii.redact(many).first().text == " ".join(["<EMAIL>"] * 1500)
+
+
+def test_repeats_match_brute_force(spark, data, small, docs):
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op8_substring_dedup(spark, data).collect()} == brute.repeats(small)
+    rows = [(r[0], r[1]) for r in awkward()]
+    got = substring_dedup.remove_repeats(docs).collect()
+    want = brute.repeats(rows)
+    assert len(got) == len(rows)
+    assert all((r.n_words, r.n_removed, brute.sha(r.kept_text)) == want[r.doc_id] for r in got)
+    assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
+
+
+def _held_out(spark, data):
+    return {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+
+
+def test_quality_classifier_on_held_out_rows(spark, docs):
+    data = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    rows = queries.op5_quality_classifier(spark, data).collect()
+    assert len(rows) == spark.read.parquet(f"{data}/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    test = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    assert sum(a == b for a, b in test) / len(test) > 0.9
+    model = quality_classifier.fit_quality(docs, spark.createDataFrame([(0, 1), (3, 0), (3, 1), (None, 1), (9999, 0)], "doc_id long, quality int"))
+    scored, name = quality_classifier.score_quality(docs, model)
+    assert name == "quality_score" and scored.count() == len(awkward())
+    nothing = quality_classifier.fit_quality(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {r[name] for r in quality_classifier.score_quality(docs, nothing)[0].collect()} == {0.5}
+
+
+def test_language_id_on_held_out_rows(spark, docs):
+    data = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = queries.op9_language_id(spark, data).collect()
+    test = [lang[r.doc_id] == r.lang_pred for r in rows if r.held_out]
+    assert len(rows) == len(lang) and sum(test) / len(test) > 0.95
+    model = language_id.fit_languages(docs)
+    found, name = language_id.identify(docs, model)
+    for r in found.collect():
+        assert 0 <= r[name].score <= 1
+        assert (r[name].lang == "und") == (not any(ch.isalpha() for ch in r.text or ""))
+    model = language_id.fit_languages(docs.limit(0))
+    assert {r[name].lang for r in language_id.identify(docs, model)[0].collect()} == {"und"}
+
+
+def test_three_languages_in_a_family(spark):
+    rng = random.Random(1)
+    tongues = {"en": "th ing the of", "de": "sch ung der ei", "nl": "ij aa het een", "fr": "eau oi les qu"}
+    rows = [(i, " ".join(rng.choice(tongues[lang].split()) + rng.choice("abc") for _ in range(20)), lang) for i, lang in enumerate(list(tongues) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, name = language_id.identify(docs, language_id.fit_languages(docs))
+    assert sum(r.lang == r[name].lang for r in found.collect()) > 230
+
+
+def test_chat_links(spark):
+    rows = [
+        (1, 0, "user", "How does it work?\nI wonder."),
+        (1, 1, "assistant", "It works well.\nMostly."),
+        (1, 2, "user", "On Monday Ann wrote:\n> It works   WELL.\n> Mostly.\nBut why?\n\n"),
+        (1, 3, "assistant", "> > It works well.\n> > Mostly.\n> But why?\nBecause.\n> nobody said this"),
+        (1, 1, "assistant", "It works well.\nMostly."),
+        (2, 5, "user", "> How does it work?\nno such message here"),
+        (None, 1, "user", "> x\ny"),
+        (3, 0, "user", None),
+        (3, 7, "user", ""),
+        (4, 0, None, ">" * 5000 + "deep"),
+    ]
+    schema = "conv_id long, turn long, role string, text string, reply_to string"
+    got = {(r.conv_id, r.turn): r for r in chat_format.link_quotes(spark.createDataFrame([(*r, "clash") for r in rows], schema)).collect()}
+    second, third = got[1, 2], got[1, 3]
+    assert (second.content, second.n_quotes, second.n_linked, second.reply_to, second.max_level) == ("But why?", 1, 1, 1, 1)
+    assert (third.content, third.n_quotes, third.n_linked, third.reply_to, third.max_level) == ("Because.", 3, 2, 2, 2)
+    assert (got[2, 5].n_quotes, got[2, 5].n_linked, got[2, 5].reply_to, got[2, 5].position) == (1, 0, None, 0)
+    assert got[None, 1].position is None and got[None, 1].content == "y"
+    assert got[3, 7].position == 1 and got[3, 0].content == "" and got[4, 0].max_level == 5000
+    assert [got[1, t].position for t in range(4)] == [0, 1, 2, 3]
+    chat = chat_format.render(chat_format.link_quotes(spark.createDataFrame([(*r, "clash") for r in rows], schema))).where("conv_id = 1 and position = 2").first()
+    assert chat.chat == "<|user|>\nBut why?"
+
+
+def test_empty_tables(spark, docs):
+    none = docs.limit(0)
+    assert ngram_jaccard.jaccard_components(none).count() == 0
+    assert license_scan.scan_licenses(none).count() == 0
+    assert quality_rules.quality_rules(none, none)[0].count() == 0
+    assert pii.find_pii(none)[0].count() == 0
+    assert substring_dedup.remove_repeats(none).count() == 0
+    assert chat_format.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_ngram_counts_stay_inside_documents():
+    import numpy as np
+
+    both = features.ngram_counts(np.frombuffer(b"abcde", np.uint8), np.array([0, 3, 5]), 256, (1, 2, 3))
+    assert both.sum(axis=1).tolist() == [6, 3]
+
+
+def test_chat_oracle(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import pandas as pd
+
+    con = duckdb.connect()
+    rows = [("1", 0, "user", "A b.\nC"), ("1", 1, "assistant", "> a  B.\nyes\n> zz\n> > q"), ("2", 3, "user", "  \n On x wrote:\n> A\n t "), ("2", 4, "user", None)]
+    rows = [(int(a), *b) for a, *b in rows]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    want = sorted(map(str, con.execute(queries.ORACLES["op10_chat_format"]).fetchall()))
+    names = [d[0] for d in con.description]
+    got = sorted(str(tuple(r[n] for n in names)) for r in chat_format.link_quotes(frame).collect())
+    assert got == want
