@@ -51,26 +51,25 @@ def id_crc(column) -> F.Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def training_sample(docs: DataFrame, label: str, per_label: int, labels: list, dims: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Features and label indexes of at most ``per_label`` rows of each label.
+def training_sample(docs: DataFrame, known: DataFrame, per_label: int, labels: list, dims: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and label indexes of documents of at most ``per_label`` ids of each label.
 
-    ``docs`` has doc_id, text and the label.  The rows with the smallest hash of
-    doc_id and text are taken, so the choice does not depend on partitioning.
-    Only their features, not their texts, reach the driver.
+    ``docs`` has doc_id and text, ``known`` doc_id and label.  The ids with the
+    smallest hash are taken, so the choice does not depend on partitioning.
+    Only numbers are looked at to choose them, and only features, not texts,
+    reach the driver.
     """
-    spark, parts = docs.sparkSession, []
-    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("pick"), label)
+    spark = docs.sparkSession
+    kind = known.schema["label"].dataType.simpleString()
+    keyed = known.where("doc_id is not null").distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "label", F.xxhash64("doc_id").alias("pick"))
+    picked = []
     for value in labels:
-        parts.append(keyed.where(F.col(label) == F.lit(value)).orderBy("pick", "doc_id").limit(per_label))
-    if not parts:
+        picked += keyed.where(F.col("label") == F.lit(value)).orderBy("pick", "doc_id").limit(per_label).collect()
+    if not picked:
         return np.zeros((0, dims), np.float32), np.zeros(0, np.int64)
-    picked = parts[0]
-    for part in parts[1:]:
-        picked = picked.unionByName(part)
-    # at most per_label rows a label: small enough to send to all executors
-    picked = spark.createDataFrame(picked.toArrow(), picked.schema).withColumnsRenamed({"doc_id": "p_id", "pick": "p_pick", label: "p_label"})
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("pick"))
-    rows = rows.join(F.broadcast(picked.distinct()), (F.col("doc_id") == F.col("p_id")) & (F.col("pick") == F.col("p_pick"))).select("text", "p_label", "doc_id")
+    # at most per_label ids a label, whatever the corpus
+    chosen = spark.createDataFrame([(r["doc_id"], r["label"]) for r in picked], f"doc_id long, p_label {kind}")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "p_label", "doc_id")
 
     def featurise(batches):
         for batch in batches:
@@ -78,7 +77,6 @@ def training_sample(docs: DataFrame, label: str, per_label: int, labels: list, d
                 packed = pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())
                 yield pa.RecordBatch.from_arrays([packed, batch.column(1)[lo:hi], batch.column(2)[lo:hi]], ["x", "label", "doc_id"])
 
-    kind = picked.schema["p_label"].dataType.simpleString()
     found = rows.mapInArrow(featurise, f"x binary, label {kind}, doc_id long").toArrow()
     if not found.num_rows:
         return np.zeros((0, dims), np.float32), np.zeros(0, np.int64)

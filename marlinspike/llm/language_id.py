@@ -127,11 +127,11 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, families: d
 
     Null and empty languages are not learned, nor rows with null ids or texts.
     """
-    rows = docs.select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("language"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("language") > 0) & (id_crc(F.col("doc_id")) % 3 != 1))
-    found = rows.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["language"] for r in found)
-    x, y = training_sample(rows, "language", per_language, languages, DIMS, SIZES)
+    rows = docs.select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("label") > 0) & (id_crc(F.col("doc_id")) % 3 != 1))
+    found = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
+    languages = sorted(r["label"] for r in found)
+    x, y = training_sample(rows.select("doc_id", "text"), rows.select("doc_id", "label"), per_language, languages, DIMS, SIZES)
     return LanguageTree.fit(x, y, languages, families)
 
 
@@ -155,6 +155,6 @@ def identify(docs: DataFrame, model: LanguageTree, text_col: str = "text", name:
             scores.append(score)
         lang = np.concatenate(found) if found else np.zeros(0, object)
         score = np.concatenate(scores) if scores else np.zeros(0)
-        return pa.StructArray.from_arrays([pa.array(np.where(letters, lang, UNDETERMINED), pa.string()), pa.array(np.where(letters, score, 0.0))], names=["lang", "score"])
+        return pa.StructArray.from_arrays([pa.array(np.where(letters, lang, UNDETERMINED), pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], names=["lang", "score"])
 
     return with_column(docs, name, "struct<lang: string, score: double>", add), name

@@ -130,17 +130,20 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, patienc
     basis = np.diag(capacity // sizes).astype(np.float64)
     inverse = np.diag(1.0 / np.diag(basis))
     level = inverse @ demand
-    best, idle, step = float(level.sum()), 0, 0
-    while idle < patience:
+    best, idle, step, kept = float(level.sum()), 0, 0, (basis.copy(), level.copy())
+    while idle < patience and step < 50 * m + 1000:
         prices = inverse.sum(axis=0)
         value, column = knapsack(prices, sizes, capacity)
         if value <= 1 + 1e-7:
             break
         move = inverse @ column
-        able = move > 1e-9
-        ratio = np.where(able, level / np.where(able, move, 1), np.inf)
-        out = int(np.argmin(ratio))
-        theta = ratio[out]
+        able = move > 1e-7
+        if not able.any():
+            break
+        ratio = np.where(able, np.maximum(level, 0) / np.where(able, move, 1), np.inf)
+        theta = ratio.min()
+        # of rows that leave together the one with the largest pivot keeps the basis well-conditioned
+        out = int(np.argmax(np.where(ratio <= theta + 1e-9, move, -np.inf)))
         level -= theta * move
         level[out] = theta
         inverse[out] /= move[out]
@@ -148,11 +151,19 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, patienc
         inverse[others] -= np.outer(move[others], inverse[out])
         basis[:, out] = column
         step += 1
-        if step % 200 == 0:
-            inverse = np.linalg.inv(basis)
+        if step % 400 == 0:  # sheds rounding errors
+            try:
+                inverse = np.linalg.inv(basis)
+            except np.linalg.LinAlgError:
+                break
             level = inverse @ demand
         total = float(level.sum())
-        best, idle = (total, 0) if total < best * (1 - 1e-7) else (best, idle + 1)
+        if not np.isfinite(total) or level.min() < -1e-6 * max(1.0, best):
+            break
+        idle += 1
+        if 0 < total < best * (1 - 1e-7):
+            best, idle, kept = total, 0, (basis.copy(), level.copy())
+    basis, level = kept
     return basis.T.round().astype(np.int64), np.maximum(level, 0)
 
 

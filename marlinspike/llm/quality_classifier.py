@@ -79,9 +79,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
     used; an id labelled more than once counts with its largest label.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (id_crc(F.col("doc_id")) % 5 != 0))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("quality_label"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    x, y = training_sample(rows, "quality_label", per_label, [0, 1], DIMS, SIZES)
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    x, y = training_sample(docs, known, per_label, [0, 1], DIMS, SIZES)
     return LatentNeighbours.fit(x, y) if len(y) else LatentNeighbours(np.ones(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
 
 

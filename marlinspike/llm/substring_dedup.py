@@ -5,8 +5,9 @@ hashes the smallest (the last of equals).  The choice depends on these words
 only, so two equal runs of ``window`` words have the same anchor at the same
 place: joining documents on anchors misses no repeat of that length.
 
-An anchor that occurs more than once is extended both ways to all the windows
-that it was chosen for; each window is compared by its hash with those of the
+Repeated anchors go into a bit table of fixed size that is broadcast: the join
+of all documents with them.  Such an anchor is extended both ways to all the
+windows that it was chosen for; each window is compared by its hash with those of the
 other occurrences.  The windows that have a partner, merged where they overlap
 or touch, are the repeats extended to their full length, and words outside
 them are kept.  Occurrences are counted, never paired, so a passage in a third
@@ -24,6 +25,8 @@ from .shared import Scratch
 
 WINDOW = 35
 SEED = 8
+#: Size of the table of repeated anchors: 2**27 bits, 16 MB.
+BITS = 27
 
 
 def _sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -52,33 +55,49 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, window: int, k: int):
 def _anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
     def rows(batches):
         for batch in batches:
-            for lo, hi, buf, offsets in K.blocks(batch.column(1)):
-                _, _, first, _, _, chosen, seeds = anchors(buf, offsets, window, k)
+            for _, _, buf, offsets in K.blocks(batch.column(0)):
+                _, _, _, _, _, chosen, seeds = anchors(buf, offsets, window, k)
                 at = np.unique(chosen)
-                doc = np.searchsorted(first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seeds[at].view(np.int64)), batch.column(0).take(pa.array(doc + lo)), pa.array((at - first[doc]).astype(np.int32))], ["anchor", "row_id", "at"]
+                    [pa.array(seeds[at].view(np.int64))], ["anchor"]
                 )
 
-    return docs.mapInArrow(rows, "anchor long, row_id long, at int")
+    return docs.select("text").mapInArrow(rows, "anchor long")
+
+
+def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def _repeated_bits(repeated: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each of 2**bits hash classes that holds a repeated anchor; its size does not depend on the corpus."""
+    word = F.shiftrightunsigned(F.col("anchor"), 64 - bits)
+    rows = repeated.groupBy(F.shiftright(word, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(anchor, {64 - bits}) & 63 as int))")).alias("mask"))
+    table = rows.toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[table["word"].to_numpy()] = table["mask"].to_numpy()
+    return out
 
-def _window_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Hash and place of each window whose anchor is among the repeated ones (column ``seeds``)."""
+
+def _window_rows(docs: DataFrame, window: int, k: int, bits: int, found: np.ndarray) -> DataFrame:
+    """Hash and place of each window whose anchor may be repeated.
+
+    A false positive of the bit table adds windows that then prove unique; it
+    changes no result.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def rows(batches):
         for batch in batches:
-            lists = batch.column(2)
-            for lo, hi, buf, offsets in K.blocks(batch.column(1)):
-                _, _, first, hashes, begins, chosen, _ = anchors(buf, offsets, window, k)
-                mine = lists[lo:hi]
-                wanted = np.zeros(len(hashes) + 1, bool)
-                wanted[mine.flatten().to_numpy() + np.repeat(first[:-1], mine.value_lengths().to_numpy())] = True
-                at = begins[wanted[chosen]]
+            for lo, _, buf, offsets in K.blocks(batch.column(1)):
+                _, _, first, hashes, begins, chosen, seeds = anchors(buf, offsets, window, k)
+                at = _bit(seeds[chosen], bits)
+                known = (shared.value[at >> 6] >> (at & 63)) & 1
+                at = begins[known.astype(bool)]
                 doc = np.searchsorted(first, at, "right") - 1
-                found = K.window_hashes(hashes, window)[at]
+                own = K.window_hashes(hashes, window)[at]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), batch.column(0).take(pa.array(doc + lo)), pa.array((at - first[doc]).astype(np.int32))], ["hash", "row_id", "at"]
+                    [pa.array(own.view(np.int64)), batch.column(0).take(pa.array(doc + lo)), pa.array((at - first[doc]).astype(np.int32))], ["hash", "row_id", "at"]
                 )
 
     return docs.mapInArrow(rows, "hash long, row_id long, at int")
@@ -105,16 +124,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
     scratch = Scratch(spark, "repeats")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
-    found = scratch.write(_anchor_rows(docs.select("key", "text"), window, seed), "anchors")
-    repeated = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    seeds = found.join(repeated, "anchor").groupBy("row_id").agg(F.collect_set("at").alias("seeds"))
-    seeds = scratch.write(seeds, "seeds")
-    texts = docs.join(seeds, docs.key == seeds.row_id)
-    windows = scratch.write(_window_rows(texts.select("key", "text", "seeds"), window, seed), "windows")
-    scratch.drop("anchors")
+    keyed = docs.select("key", "text")
+    repeated = _anchor_rows(keyed, window, seed).groupBy("anchor").count().where("count > 1").select("anchor")
+    windows = scratch.write(_window_rows(keyed, window, seed, BITS, _repeated_bits(repeated, BITS)), "windows")
     twice = windows.groupBy("hash").count().where("count > 1").select("hash")
     hits = scratch.write(windows.join(twice, "hash").groupBy("row_id").agg(F.collect_set("at").alias("hits")), "hits")
-    scratch.drop("windows", "seeds")
+    scratch.drop("windows")
 
     def cut(batches):
         for batch in batches:
@@ -136,5 +151,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_words", "n_removed", "spans", "kept_text"])
 
-    joined = docs.join(hits, docs.key == hits.row_id, "left").select("doc_id", "text", "hits")
+    # the lists of places are hashed and the texts stream past, unsorted
+    joined = docs.join(hits.hint("shuffle_hash"), docs.key == hits.row_id, "left").select("doc_id", "text", "hits")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<struct<start: int, end: int>>, kept_text string")
