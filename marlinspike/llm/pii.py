@@ -105,6 +105,18 @@ def _votes(kind: str, span: Column, strict: Column) -> dict[str, Column]:
 _SPAN = "struct<start: int, rank: int, end: int>"
 
 
+def _tagger(rank: int, kind: str, base: bool):
+    """Turns a match into a voted candidate; one of a base pattern also says whether it is valid."""
+
+    def tag(span: Column, strict: Column) -> Column:
+        votes = F.struct(*[v.cast("int").alias(n) for n, v in _votes(kind, span, strict).items()])
+        return F.struct(span["start"].alias("start"), F.lit(rank).alias("rank"), span["end"].alias("end"), votes.alias("votes"))
+
+    if not base:
+        return lambda span: tag(span, F.lit(False))
+    return lambda span: let(_valid(kind, span["value"]), lambda ok: F.struct(ok.alias("ok"), tag(span, ok).alias("c")))
+
+
 def _candidates(docs: DataFrame, text: Column, base: str, cand: str) -> DataFrame:
     """Add the base spans and the voted candidates of every text as array columns."""
     text = F.coalesce(text.cast("string"), F.lit(""))
@@ -112,15 +124,9 @@ def _candidates(docs: DataFrame, text: Column, base: str, cand: str) -> DataFram
     vote_fields = ", ".join(f"{n}: int" for n in LABELERS)
     bases, cands = [], []
     for rank, kind in enumerate(KINDS):
-        tag = lambda s, strict, kind=kind, rank=rank: F.struct(
-            s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.struct(*[v.cast("int").alias(n) for n, v in _votes(kind, s, strict).items()]).alias("votes")
-        )
         if kind in BASE:
-            found = matches(text, BASE[kind], 24)
-            voted = F.transform(found, lambda s, kind=kind, tag=tag: let(_valid(kind, s["value"]), lambda ok, s=s, tag=tag: F.struct(ok.alias("ok"), tag(s, ok).alias("c"))))
-            bases.append(voted)
-        loose = matches(text, LOOSE[kind], 24)
-        cands.append(F.transform(loose, lambda s, tag=tag: tag(s, F.lit(False))))
+            bases.append(F.transform(matches(text, BASE[kind], 24), _tagger(rank, kind, True)))
+        cands.append(F.transform(matches(text, LOOSE[kind], 24), _tagger(rank, kind, False)))
     kind_type = f"struct<start: int, rank: int, end: int, votes: struct<{vote_fields}>>"
     none = F.array().cast(f"array<struct<ok: boolean, c: {kind_type}>>")
     docs = docs.withColumn(base, F.when(may, F.concat(*bases)).otherwise(none))
@@ -234,6 +240,10 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = ACCEPT,
     return found.withColumn(name, let(kept, merge)).drop(base, cand), name, learned
 
 
+def count_kind(spans: Column, rank: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
