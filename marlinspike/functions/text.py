@@ -90,7 +90,7 @@ def similarity_at_least(a: Column, b: Column, least: Column) -> Column:
     """
     longest = F.greatest(F.length(a), F.length(b))
     bound = F.greatest(F.lit(0), F.least(longest, (F.floor((1 - least) * longest) + 1).cast("int")))
-    distance = F.levenshtein(a, b, bound)
+    distance = F.call_function("levenshtein", a, b, bound)
     return F.when((F.abs(F.length(a) - F.length(b)) <= bound) & (distance >= 0), F.when(longest == 0, F.lit(1.0)).otherwise(1 - distance / longest))
 
 

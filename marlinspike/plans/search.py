@@ -160,12 +160,13 @@ def exact_match_confidence(spark, d):
 
 
 @REGISTRY.add(
-    """SELECT q.item_id AS query_id, c.item_id AS image_id, round(1 - levenshtein(q.text, c.text) / greatest(length(q.text), length(c.text))::DOUBLE, 6) AS text_similarity
-    FROM benchmark q, benchmark c WHERE q.item_id % 100 = 0 AND q.text <> '' AND c.text <> ''"""
+    """WITH items AS (SELECT item_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM benchmark)
+    SELECT q.item_id AS query_id, c.item_id AS image_id, round(1 - levenshtein(q.text, c.text) / greatest(length(q.text), length(c.text))::DOUBLE, 6) AS text_similarity
+    FROM items q, items c WHERE q.item_id % 100 = 0 AND q.text <> '' AND c.text <> ''"""
 )
 def levenshtein_similarity(spark, d):
     """Items divisible by 100 against all items; a stated, broadcast query set."""
-    items = table(spark, d, "benchmark").where("text <> ''")
+    items = table(spark, d, "benchmark").where("text <> ''").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     q = items.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q_text"))
     c = items.select(F.col("item_id").alias("image_id"), "text")
     return c.join(F.broadcast(q), F.lit(True)).select("query_id", "image_id", F.round(text.text_similarity(F.col("q_text"), F.col("text")), 6).alias("text_similarity"))
