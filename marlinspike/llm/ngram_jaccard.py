@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import Scratch, broadcast_if_small
+from .shared import BROADCAST_ROWS, Scratch, broadcast_if_small
 
 SKETCH_BITS = 17
-PARITY_BITS = 1024
+PARITY_BITS = 2048
 #: The centre of a posting list in each round is its member with the least id XOR one of these.
 CENTRES = (0, -1, 0x5555555555555555, 0x3333333333333333)
 #: Centre rounds end, and the exact last round begins, once a round adds fewer than one in so many links.
@@ -169,19 +169,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # order A: posting lists of the class representatives; a token that only one has is dropped
     own = prints.join(broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_semi")
     index = own.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n")
-    marks = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"mark{k}") for k in range(2)]
-    lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), *marks).where("members > 1")
+    mark = F.bit_xor(F.xxhash64("rep")).alias("mark")
+    lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), mark).where("members > 1")
     # of tokens with the same members (a passage's shingles) the first comes earliest in all of them and says as much as all
-    lists = lists.groupBy("members", "centre", "mark0", "mark1").agg(F.min("token").alias("token")).select("token", "centre")
-    posting = scratch.write(index.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "slots")
-    posting = scratch.write(posting.join(prints.select(F.col("doc_id").alias("rep"), "parity").dropDuplicates(["rep"]), "rep"), "posting")
-    scratch.drop("slots", "heads")
+    lists = lists.groupBy("members", "centre", "mark").agg(F.min("token").alias("token")).select("token", "centre")
+    posting = scratch.write(index.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "posting")
+    scratch.drop("heads")
+    # rows that repeat a doc_id are told apart by their class
+    parities = own.select(F.col("doc_id").alias("rep"), "parity")
 
     # a pair of sizes n and m must overlap in ``need``: one shared token lies as early as this in both
     need = f"(({percent} * (n + m) + {percent + 99}) div {percent + 100})"
+    early = f"pos <= n - {need} and pos2 <= m - {need}"
     # and sets that differ in d tokens have at most d hash classes of different parity
-    unlike = "aggregate(zip_with(parity, parity2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
-    early = f"pos <= n - {need} and pos2 <= m - {need} and n + m - {unlike} >= 2 * {need}"
+    unlike = "aggregate(zip_with({0}, {0}2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
+    near = f"n + m - {unlike} >= 2 * {need}"
+    folded = "transform(sequence(0, 7), i -> parity[i] ^ parity[i + 8] ^ parity[i + 16] ^ parity[i + 24])"
     links, tested, labels, count = None, None, None, 0
     for step in range(len(CENTRES) + 1):
         last = step == len(CENTRES) or step > 1 and fresh * FEW < count
@@ -198,19 +201,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
                 break
             left = left.join(lists, "token")
         if not last:
-            middle = left.where("rep = centre").select("token", F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("parity").alias("parity2"), F.col("component").alias("other"))
+            middle = left.where("rep = centre").select("token", F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("other"))
             pairs = left.join(middle, "token").where("rep <> centre" if step == 0 else "component <> other")
         else:
-            partner = left.select("token", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("parity").alias("parity2"), F.col("component").alias("other"))
-            pairs = left.drop("centre").join(partner, "token").where("component < other")
-        pairs = pairs.where(early).select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+            left = left.join(parities.select("rep", F.expr(folded).alias("fold")), "rep")
+            partner = left.select("token", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("fold").alias("fold2"), F.col("component").alias("other"))
+            pairs = left.drop("centre").join(partner, "token").where("component < other").where(early).where(near.format("fold"))
+        ordered = F.col("rep") > F.col("centre")
+        pairs = pairs.where(early).select(
+            F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"), F.when(ordered, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(ordered, F.col("m")).otherwise(F.col("n")).alias("m")
+        ).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = broadcast_if_small(scratch.write(pairs, f"early-{step}"))
+        pairs = pairs.join(parities.withColumnRenamed("rep", "a"), "a")
+        pairs = broadcast_if_small(scratch.write(pairs, f"half-{step}"), BROADCAST_ROWS // 20).join(parities.select(F.col("rep").alias("b"), F.col("parity").alias("parity2")), "b")
+        pairs = pairs.where(near.format("parity")).select("a", "b").distinct()
         pairs = scratch.write(pairs, f"pairs-{step}")
         ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{step}")
         sets = scratch.write(_full_sets(docs, broadcast_if_small(ids), k), f"sets-{step}")
         found = scratch.write(_verified(broadcast_if_small(pairs), sets, percent), f"links-{step}")
-        scratch.drop(f"sets-{step}", f"ids-{step}", f"named-{step}", f"lists-{step}", f"labels-{step - 1}")
+        scratch.drop(f"sets-{step}", f"ids-{step}", f"early-{step}", f"half-{step}", f"named-{step}", f"lists-{step}", f"labels-{step - 1}")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = scratch.write(connected_components(links, scratch, f"cc-{step}"), f"labels-{step}")
