@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: Full-width marks and their ASCII counterparts, position by position.
 FULL_WIDTH = "，。！？：；（）【】、"
@@ -41,12 +41,15 @@ def remove_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s]", ""), f"[{CHINESE_MARKS}]", "")
 
 
-@F.pandas_udf("string")
-def normalize_unicode(text: pd.Series) -> pd.Series:
-    """NFC.  An Arrow batch UDF: Spark has no built-in for it."""
+def _nfc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFC")
 
 
+def normalize_unicode(text: Column) -> Column:
+    """NFC.  An Arrow batch UDF: Spark has no built-in for it."""
+    return F.pandas_udf(_nfc, T.StringType())(text)
+
+
 def to_lowercase(text: Column) -> Column:
     return F.lower(text)
 
@@ -147,11 +150,11 @@ def display_name(value: Column, names: dict[str, str], fold: Callable[[Column],
 
 def sort_options(options: Column, separator: str = ";") -> Column:
     """Extension: option lists that differ in order only become equal."""
-    return F.array_join(F.array_sort(F.transform(F.split(options, separator), F.trim)), separator)
+    return F.array_join(F.array_sort(F.transform(F.split(options, separator), lambda x: F.trim(x))), separator)
 
 
 def normalize_latex(text: Column) -> Column:
     """Extension: drop spacing commands and redundant space of formulas."""
-    for pattern, new in ((r"\\[,;!: ]", ""), (r"\\left|\\right", ""), (r"\\dfrac|\\tfrac", r"\\\\frac"), (r"(?U)\s+", "")):
+    for pattern, new in ((r"\\[,;!: ]", ""), (r"\\left|\\right", ""), (r"\\dfrac|\\tfrac", r"\\frac"), (r"(?U)\s+", "")):
         text = F.regexp_replace(text, pattern, new)
     return text

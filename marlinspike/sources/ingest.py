@@ -75,7 +75,9 @@ def unzip(archive: str, target: str) -> list[str]:
 
 def read_entries(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(entries, rejects) of a JSON-lines file; blank lines are neither."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select(parsed.alias("r")).select("r.*")
     return rows.where("_corrupt is null").drop("_corrupt"), rows.where("_corrupt is not null").select(F.col("_corrupt").alias("line"))
 
 
