@@ -169,12 +169,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # order A: posting lists of the class representatives; a token that only one has is dropped
     own = prints.join(broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_semi")
     index = own.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n")
-    mark = F.bit_xor(F.xxhash64("rep")).alias("mark")
-    lists = index.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), mark).where("members > 1")
+    often = scratch.write(index.groupBy("token").count().where("count > 1").select("token"), "often")
+    slots = scratch.write(index.join(broadcast_if_small(often), "token", "left_semi").select("token", "rep", "n", "pos"), "slots")
+    lists = slots.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("mark"))
     # of tokens with the same members (a passage's shingles) the first comes earliest in all of them and says as much as all
     lists = lists.groupBy("members", "centre", "mark").agg(F.min("token").alias("token")).select("token", "centre")
-    posting = scratch.write(index.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "posting")
-    scratch.drop("heads")
+    posting = scratch.write(slots.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "posting")
+    scratch.drop("heads", "slots", "often")
     # rows that repeat a doc_id are told apart by their class
     parities = own.select(F.col("doc_id").alias("rep"), "parity")
 

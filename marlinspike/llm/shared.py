@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 #: Rows of an Arrow batch: whole texts, so a batch is kept to a few MB.
 ARROW_ROWS = "500"
 #: Most rows, of two or three numbers each, of a side that is broadcast.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 _roots: dict[str, str] = {}
 
