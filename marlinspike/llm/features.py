@@ -35,15 +35,41 @@ def ngram_counts(buf: np.ndarray, offsets: np.ndarray, dims: int, sizes: tuple[i
     return out.reshape(rows, dims)
 
 
-def feature_blocks(texts: pa.Array, dims: int, sizes: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Yield (first row, end row, float32 log counts) over whole texts, a block of rows at a time."""
+def repeat_shares(buf: np.ndarray, offsets: np.ndarray, k: int = 5) -> np.ndarray:
+    """Per document: words equal to the one before, and k-word windows seen before, as shares of its words."""
+    starts, ends, first = K.words(buf, offsets, K.NON_SPACE)
+    hashes, rows = K.span_hashes(buf, starts, ends), len(offsets) - 1
+    doc = np.repeat(np.arange(rows), np.diff(first))
+    same = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+    again = np.bincount(doc[1:][same], minlength=rows)
+    at = K.window_starts(first, k)
+    windows = K.window_hashes(hashes, k)[at]
+    order = np.lexsort((windows, doc[at]))
+    w, d = windows[order], doc[at][order]
+    seen = (w[1:] == w[:-1]) & (d[1:] == d[:-1])
+    repeated = np.bincount(d[1:][seen], minlength=rows)
+    return np.stack([again, repeated], axis=1) / np.maximum(np.diff(first), 1)[:, None]
+
+
+def feature_blocks(texts: pa.Array, dims: int, sizes: tuple[int, ...], repeats: float = 0.0) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Yield (first row, end row, float32 log counts) over whole texts, a block of rows at a time.
+
+    With ``repeats`` the last two columns hold the shares of repeated words and
+    windows instead, as multiples of the row's length times ``repeats``.
+    """
     for lo, hi, buf, offsets in K.blocks(texts, most_rows=ROWS):
-        yield lo, hi, np.log1p(ngram_counts(buf, offsets, dims, sizes)).astype(np.float32)
+        x = np.log1p(ngram_counts(buf, offsets, dims, sizes)).astype(np.float32)
+        if repeats:
+            x[:, -2:] = 0
+            x[:, -2:] = repeat_shares(buf, offsets) * np.linalg.norm(x, axis=1, keepdims=True) * repeats
+        yield lo, hi, x
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    """Rows scaled to length 1, in place; zero rows stay."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x /= np.where(norm > 0, norm, 1)
+    return x
 
 
 def id_crc(column) -> F.Column:
@@ -51,7 +77,7 @@ def id_crc(column) -> F.Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def training_sample(docs: DataFrame, known: DataFrame, per_label: int, labels: list, dims: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+def training_sample(docs: DataFrame, known: DataFrame, per_label: int, labels: list, dims: int, sizes: tuple[int, ...], repeats: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Features and label indexes of documents of at most ``per_label`` ids of each label.
 
     ``docs`` has doc_id and text, ``known`` doc_id and label.  The ids with the
@@ -73,14 +99,14 @@ def training_sample(docs: DataFrame, known: DataFrame, per_label: int, labels: l
 
     def featurise(batches):
         for batch in batches:
-            for lo, hi, x in feature_blocks(batch.column(0), dims, sizes):
+            for lo, hi, x in feature_blocks(batch.column(0), dims, sizes, repeats):
                 packed = pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())
                 yield pa.RecordBatch.from_arrays([packed, batch.column(1)[lo:hi], batch.column(2)[lo:hi]], ["x", "label", "doc_id"])
 
     found = rows.mapInArrow(featurise, f"x binary, label {kind}, doc_id long").toArrow()
     if not found.num_rows:
         return np.zeros((0, dims), np.float32), np.zeros(0, np.int64)
-    x = np.stack([np.frombuffer(v, np.float16) for v in found["x"].to_pylist()]).astype(np.float32)
     y = np.array([labels.index(v) for v in found["label"].to_pylist()])
-    order = np.lexsort((x[:, 0], y, found["doc_id"].to_numpy()))
-    return x[order], y[order]
+    half = np.concatenate([np.frombuffer(c.buffers()[2], np.float16, len(c) * dims).reshape(-1, dims) for c in found["x"].chunks if len(c)])
+    order = np.lexsort((half[:, 0], y, found["doc_id"].to_numpy()))
+    return half[order].astype(np.float32), y[order]

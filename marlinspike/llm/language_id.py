@@ -22,7 +22,7 @@ from .shared import free_name, with_column
 DIMS = 4096
 SIZES = (1, 2, 3)
 #: Most training rows of each language.
-PER_LANGUAGE = 1500
+PER_LANGUAGE = 1000
 #: Most languages that are learned, the commonest first (ties by name).
 MOST_LANGUAGES = 64
 UNDETERMINED = "und"
@@ -89,8 +89,11 @@ class LanguageTree:
 
     @staticmethod
     def _rows(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        rows = unit_rows(x * weights)
-        return np.hstack([rows, np.full((len(rows), 1), 0.1, np.float32)])
+        rows = np.empty((len(x), x.shape[1] + 1), np.float32)
+        np.multiply(x, weights, out=rows[:, :-1])
+        unit_rows(rows[:, :-1])
+        rows[:, -1] = 0.1
+        return rows
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language and score of each row; ties go to the name that sorts first."""

@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
 A bounded, hash-chosen sample of labelled documents is turned into hashed byte
-n-gram features, weighted by inverse document frequency and reduced by a
+n-gram features and shares of repeated words, weighted by inverse document frequency and reduced by a
 truncated singular value decomposition.  The sample's latent vectors are
 broadcast; every document is projected and its exact cosine products with all
 of them are computed block by block.  Its nearest neighbours vote with their
@@ -22,9 +22,11 @@ from .shared import free_name, with_column
 DIMS = 4096
 SIZES = (1, 3)
 RANK = 64
+#: Weight of repeated words and windows against the n-grams.
+REPEATS = 2.0
 NEIGHBOURS = 25
 #: Most labelled rows of each label that the classifier is fitted on.
-PER_LABEL = 2000
+PER_LABEL = 1000
 THRESHOLD = 0.3
 
 
@@ -42,7 +44,9 @@ class LatentNeighbours:
     def fit(cls, x: np.ndarray, labels: np.ndarray, rank: int = RANK, neighbours: int = NEIGHBOURS, seed: int = 7):
         n, dims = x.shape
         weights = np.log((1 + n) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-        rows = unit_rows(x * weights)
+        rows = x
+        rows *= weights
+        unit_rows(rows)
         rank = max(1, min(rank, n, dims))
         probe = np.random.default_rng(seed).standard_normal((dims, min(rank + 16, dims))).astype(np.float32)
         for _ in range(4):
@@ -80,7 +84,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL,
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (id_crc(F.col("doc_id")) % 5 != 0))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    x, y = training_sample(docs, known, per_label, [0, 1], DIMS, SIZES)
+    x, y = training_sample(docs, known, per_label, [0, 1], DIMS, SIZES, REPEATS)
     return LatentNeighbours.fit(x, y) if len(y) else LatentNeighbours(np.ones(DIMS, np.float32), np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32))
 
 
@@ -96,7 +100,7 @@ def score_quality(docs: DataFrame, model: LatentNeighbours, text_col: str = "tex
 
     def add(batch: pa.RecordBatch):
         texts = batch.column(batch.schema.get_field_index(text_col))
-        out = [shared.value.score(x) for _, _, x in feature_blocks(texts, DIMS, SIZES)]
+        out = [shared.value.score(x) for _, _, x in feature_blocks(texts, DIMS, SIZES, REPEATS)]
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return with_column(docs, name, "double", add), name
