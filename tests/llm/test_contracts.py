@@ -18,7 +18,7 @@ def awkward():
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     a, b, c = say(120), say(60), say(40)
     texts = [None, "", "   \n\t ", "one", "one two", "One TWO", "ab cd ef gh ij", a, a, a.upper(), a + " tail", "head " + a, b + "\n" + b, c + " " + say(30), say(30) + " " + c, " ".join([c] * 5), say(3000), "x" * 30_000, "1" * 30_000, "a@" * 3000]
-    texts += ["x 1.2.3.4 y 300.1.1.1 z 1.2.3.4.5.6.7.8", "mail a.b@c.de_x@y.zz é +1 (743) 555-3824 4111 1111 1111 1111", "+1*** (499) 555-6503 password=abc12345 " + c, "card 4111-1111-1111-1112 a@b c@d.e", "# * $ % & | < >", "a b c d e f a b c d e f a b c d e f"]
+    texts += ["x 1.2.3.4 y 300.1.1.1 z 1.2.3.4.5.6.7.8", "mail a.b@c.de_x@y.zz é +1 (743) 555-3824 or 4111 1111 1111 1111", "+1*** (499) 555-6503 password=abc12345 " + c, "card 4111-1111-1111-1112 a@b c@d.e", "# * $ % & | < >", "a b c d e f a b c d e f a b c d e f"]
     texts += [a.replace(a.split()[k], "changed", 1) for k in (3, 30, 60)]
     rows = [(i * 3, t, ["en", "fr", None][i % 3], "s", 0, "clash", 0.5, 1) for i, t in enumerate(texts)]
     return rows + [rows[7], rows[0], rows[3]]
@@ -185,7 +185,7 @@ def test_redaction(spark, docs):
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     by_id = {r[0]: r[1] for r in awkward()}
     hit = next(i for i, t in by_id.items() if t and t.startswith("mail a.b"))
-    assert clean[hit] == "mail <EMAIL><EMAIL> é <PHONE> <CARD>"
+    assert clean[hit] == "mail <EMAIL><EMAIL> é <PHONE> or <CARD>"
     assert all(clean[i] == t for i, t in by_id.items() if not brute.pii(t) and "555" not in (t or ""))
     many = spark.createDataFrame([(1, " ".join(f"u{k}@example.com" for k in range(1500)))], "doc_id long, text string")
     assert pii.redact(many).first().text == " ".join(["<EMAIL>"] * 1500)
