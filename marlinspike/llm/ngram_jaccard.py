@@ -37,6 +37,8 @@ from .shared import BROADCAST_ROWS, Scratch, broadcast_if_small
 
 SKETCH_BITS = 17
 PARITY_BITS = 2048
+#: Size of the table of tokens that several documents have: 2**27 bits, 16 MB.
+OFTEN_BITS = 27
 #: The centre of a posting list in each round is its member with the least id XOR one of these.
 CENTRES = (0, -1, 0x5555555555555555, 0x3333333333333333)
 #: Centre rounds end, and the exact last round begins, once a round adds fewer than one in so many links.
@@ -123,6 +125,33 @@ def _fingerprints(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) ->
     return docs.select("doc_id", "text").mapInArrow(fingerprint, "doc_id long, n int, k1 long, k2 long, prefix array<long>, parity array<long>")
 
 
+def _often_bits(often: DataFrame) -> np.ndarray:
+    """A bit for each of 2**OFTEN_BITS token classes that holds a token of several documents; of fixed size."""
+    low = F.col("token").bitwiseAND(F.lit((1 << OFTEN_BITS) - 1))
+    word = often.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("bit"))
+    table = word.groupBy("word").agg(F.bit_or("bit").alias("mask")).toArrow()
+    out = np.zeros(1 << (OFTEN_BITS - 6), np.int64)
+    out[table["word"].to_numpy()] = table["mask"].to_numpy()
+    return out
+
+
+def _slots(own: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(token, rep, n, pos) of the prefix tokens whose bit is set; a false positive proves single later."""
+    shared = own.sparkSession.sparkContext.broadcast(bits)
+
+    def rows(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            tokens, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            low = tokens & ((1 << OFTEN_BITS) - 1)
+            kept = np.flatnonzero((shared.value[low >> 6] >> (low & 63)) & 1)
+            doc = np.repeat(np.arange(len(sizes)), sizes)[kept]
+            pos = kept - (np.cumsum(sizes) - sizes)[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[kept]), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(pos.astype(np.int32))], ["token", "rep", "n", "pos"])
+
+    return own.select("doc_id", "n", "prefix").mapInArrow(rows, "token long, rep long, n int, pos int")
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, set): whole sets, in ascending order of the signed hash, of some documents."""
 
@@ -168,14 +197,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     # order A: posting lists of the class representatives; a token that only one has is dropped
     own = prints.join(broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_semi")
-    index = own.select(F.posexplode("prefix").alias("pos", "token"), F.col("doc_id").alias("rep"), "n")
-    often = scratch.write(index.groupBy("token").count().where("count > 1").select("token"), "often")
-    slots = scratch.write(index.join(broadcast_if_small(often), "token", "left_semi").select("token", "rep", "n", "pos"), "slots")
-    lists = slots.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("mark"))
+    often = own.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
+    slots = scratch.write(_slots(own, _often_bits(often)), "slots")
+    lists = slots.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("members > 1")
     # of tokens with the same members (a passage's shingles) the first comes earliest in all of them and says as much as all
     lists = lists.groupBy("members", "centre", "mark").agg(F.min("token").alias("token")).select("token", "centre")
     posting = scratch.write(slots.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "posting")
-    scratch.drop("heads", "slots", "often")
+    scratch.drop("heads", "slots")
     # rows that repeat a doc_id are told apart by their class
     parities = own.select(F.col("doc_id").alias("rep"), "parity")
 
