@@ -196,9 +196,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     classes = scratch.write(prints.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
 
     # order A: posting lists of the class representatives; a token that only one has is dropped
-    own = prints.join(broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "k1", "k2")), ["doc_id", "k1", "k2"], "left_semi")
+    firsts = broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"))
+    own = prints.join(firsts, ["doc_id", "k1", "k2"], "left_semi")
     often = own.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
     slots = scratch.write(_slots(own, _often_bits(often)), "slots")
+    # the prefixes, most of the table, are not read again
+    prints = scratch.write(prints.drop("prefix"), "kept")
+    scratch.drop("prints")
+    own = prints.join(firsts, ["doc_id", "k1", "k2"], "left_semi")
     lists = slots.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("members > 1")
     # of tokens with the same members (a passage's shingles) the first comes earliest in all of them and says as much as all
     lists = lists.groupBy("members", "centre", "mark").agg(F.min("token").alias("token")).select("token", "centre")
