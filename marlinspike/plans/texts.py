@@ -70,6 +70,16 @@ def resume_antijoin(spark, d):
     return todo.where(F.col("page_url").rlike("^[^.]*//[^/]*(/[^.]*)?$")).select("page_id", "file_name")
 
 
+@REGISTRY.add(
+    f"""SELECT page_id, page_id::VARCHAR || coalesce(nullif(regexp_extract({_PATH}, '[^/.][^/]*?(\\.[^./]+)$', 1), ''), '.jpg') AS file_name FROM pages
+    WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND url <> ''"""
+)
+def resume_plan(spark, d):
+    """All pages still to fetch, those with a suffix too: labelled ids stand for finished ones."""
+    todo, _ = ingest.download_plan(table(spark, d, "pages").select("page_id", F.col("url").alias("page_url")), table(spark, d, "labels").select(F.col("doc_id").alias("page_id")))
+    return todo.select("page_id", "file_name")
+
+
 @REGISTRY.add("SELECT part, count(*) AS n FROM (SELECT CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 'none' ELSE 'k' || (json_extract_string(props, '$.k')::INT // 10) END AS part FROM events) GROUP BY ALL")
 def json_props(spark, d):
     k = F.get_json_object("props", "$.k")

@@ -54,6 +54,14 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_resume_plan_has_every_page_to_fetch(spark, data):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    done = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    got = {r.page_id: r.file_name for r in entry.queries()["resume_plan"](spark, data).collect()}
+    assert got.keys() == {i for i, url in urls.items() if i is not None and url and i not in done}
+    assert any(name == f"{i}.html" for i, name in got.items())
+
+
 def test_cell_recall(spark, data):
     from marlinspike.plans import search
 
