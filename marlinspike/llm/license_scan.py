@@ -4,14 +4,18 @@ A candidate block is compressed once alone and once with each license template
 as a raw-content Zstandard dictionary.  A template that says the same makes the
 block almost free, so templates are ranked by how much they shrink it.  The
 winner is confirmed, or not, by the exact difference of its words to the
-template's.  Lines without any license word never leave the scan's filter.
+template's.  A notice inside longer text is found by aligning each template
+with the words around each license word.  Lines without any license word never
+leave the scan's filter.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,7 +34,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
-_TRIGGER = r"(?i)licen[cs]e|creative commons|\bCC[ -]BY\b|SPDX-|permission is hereby|redistribution and use|free software"
+_TRIGGER = r"(?i)licen[cs]e|creative\W+commons|\bCC\W+BY\b|SPDX-|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software"
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Least share by which the winner shrinks a block, and most differing words as a share of the template's.
 LEAST_REDUCTION, MOST_DIFFERENT = 0.3, 0.2
@@ -71,6 +75,29 @@ def blocks_of(text: str, longest: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def best_windows(words: np.ndarray, template: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(differing words, start, end) of the windows of ``words`` that differ from the template in at most ``most`` words.
+
+    Exact: missing and extra words are counted along the best alignment that
+    ends at each word.  Of windows that overlap the one that differs least stays.
+    """
+    n = len(words)
+    unit = n + 2  # a key is the difference times the unit, less the start: the shortest window wins ties
+    at = np.arange(n + 1, dtype=np.int64)
+    extra, key = at * unit, unit - 1 - at
+    for word in template:
+        nxt = key + unit
+        nxt[1:] = np.minimum(nxt[1:], np.where(words == word, key[:-1], np.iinfo(np.int64).max))
+        key = np.minimum.accumulate(nxt - extra) + extra
+    cost, start = key // unit, unit - 1 - key % unit
+    out: list[tuple[int, int, int]] = []
+    for end in sorted(np.flatnonzero(cost <= most).tolist(), key=lambda j: (cost[j], j)):
+        a = int(start[end])
+        if a < end and all(end <= x or a >= y for _, x, y in out):
+            out.append((int(cost[end]), a, end))
+    return out
+
+
 class Scanner:
     """Compressors of all templates; one a worker."""
 
@@ -83,6 +110,9 @@ class Scanner:
         self.given = {k: z.ZstdCompressor(compression_params=plain, dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for k, t in templates.items()}
         self.words = {k: wording(t) for k, t in templates.items()}
         self.longest = max(map(len, self.words.values()), default=0)
+        self.number = {w: i for i, w in enumerate(sorted({w for own in self.words.values() for w in own}))}
+        self.numbers = {k: np.array([self.number[w] for w in own], np.int64) for k, own in self.words.items()}
+        self.wanted = {k: np.bincount(own, minlength=len(self.number)) for k, own in self.numbers.items()}
 
     def rank(self, block: str) -> list[tuple[float, str]]:
         """Templates by how far they shrink the block, as a share; ties by name."""
@@ -90,6 +120,46 @@ class Scanner:
         size = max(1, len(self.alone.compress(data)))
         return sorted((-(size - len(c.compress(data))) / size, k) for k, c in self.given.items())
 
+    def windows(self, text: str) -> list[dict]:
+        """Confirmed notices at any place of the text, whatever lines and words surround them; none overlap."""
+        spans = [m.span() for m in _WORD.finditer(text)]
+        if not spans:
+            return []
+        starts = [a for a, _ in spans]
+        words = np.array([self.number.get(text[a:b].lower(), -1) for a, b in spans], np.int64)
+        breaks = [m.start() for m in re.finditer("\n", text)]
+        hits = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(_TRIGGER, text)})
+        found = []
+        for name, own in self.numbers.items():
+            most = int(MOST_DIFFERENT * len(own))
+            reach, regions = len(own) + most, []
+            for p in hits if len(own) else []:
+                a, b = max(0, p - reach), min(len(words), p + reach + 1)
+                if regions and a <= regions[-1][1]:
+                    regions[-1][1] = b
+                else:
+                    regions.append([a, b])
+            for a, b in regions:
+                part = words[a:b]
+                # whatever the order, so many of the template's words must be there
+                if np.minimum(np.bincount(part[part >= 0], minlength=len(self.number)), self.wanted[name]).sum() < len(own) - most:
+                    continue
+                for differing, i, j in best_windows(part, own, most):
+                    same = (len(own) + j - i - differing) // 2
+                    found.append((-same, differing, name, a + i, a + j))
+        out, taken = [], []
+        for same, _, name, i, j in sorted(found):
+            if any(i < y and x < j for x, y in taken):
+                continue
+            low, high = spans[i][0], spans[j - 1][1]
+            block = " ".join(text[low:high].split())
+            loss = next(v for v, k in self.rank(block) if k == name)
+            if -loss >= LEAST_REDUCTION:
+                taken.append((i, j))
+                lines = {"line_from": bisect_right(breaks, low), "line_to": bisect_right(breaks, high - 1) + 1}
+                out.append(lines | {"license": name, "reduction": -loss, "n_missing": len(self.words[name]) + same, "n_extra": j - i + same, "confirmed": True})
+        return sorted(out, key=lambda r: (r["line_from"], r["line_to"], r["license"]))
+
     def scan(self, text: str) -> list[dict]:
         out = []
         for a, b, block in blocks_of(text, self.longest):
@@ -106,6 +176,11 @@ class Scanner:
                     break
             if best:
                 out.append(best)
+        # a confirmed block has no room for a second copy, so a window of its license in it is the same notice
+        sure = [r for r in out if r["confirmed"]]
+        for w in self.windows(text):
+            if not any(r["license"] == w["license"] and r["line_from"] <= w["line_from"] and w["line_to"] <= r["line_to"] for r in sure):
+                out.append(w)
         return out
 
 
@@ -117,7 +192,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
 
     Returns doc_id, line_from, line_to (lines of the text from 0, end
     exclusive), license, reduction, n_missing, n_extra and confirmed.  A block
-    whose winner is not confirmed stays, with confirmed false.  Null and empty
+    whose winner is not confirmed stays, with confirmed false.  Notices that are
+    part of a longer line or paragraph, or go over blank lines, add a row each,
+    of the lines they touch and with the differences of their own words.  Null and empty
     texts have no blocks; repeated rows give repeated results; only the two
     named columns are read.
     """

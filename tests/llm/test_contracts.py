@@ -77,6 +77,21 @@ def test_license_scan(spark, data):
     assert got == want
 
 
+def test_license_inside_longer_text(spark):
+    mit, apache = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["Apache-2.0"]
+    head, tail = mit.split(" The above copyright")
+    standard = f"MIT License\n\nCopyright (c) 2020 Ann\n\n{head.replace(' to ', chr(10) + 'to ')}\n\nThe above copyright{tail}\n\nTHE SOFTWARE IS PROVIDED AS IS"
+    wrapped = "# " + apache.replace(" License. ", " License.\n# ").replace("not use", "not\n# use")
+    code = "\n".join(f"value_{i} = compute(part_{i}, other, {i})" for i in range(100))
+    texts = [standard, f"{wrapped}\n{code}", f"some words of prose that go on and on before it. Released under the MIT\nLicense. {code}", mit.replace("Permission is hereby", "Permission is\nhereby") + "\n" + code, code + "\na license of poetic kind"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r for r in license_scan.scan_licenses(docs).collect() if r.confirmed]
+    found = {(r.doc_id, r.license, r.line_from, r.n_missing, r.n_extra) for r in rows}
+    assert {(0, "MIT", 4, 0, 0), (1, "Apache-2.0", 0, 0, 0), (2, "MIT-notice", 0, 0, 0), (3, "MIT", 0, 0, 0)} <= found
+    assert not [r for r in rows if r.doc_id == 4]
+    assert len({(r.doc_id, r.license, r.line_from) for r in rows}) == len(rows)
+
+
 def test_rules_base_counts(spark, data, small, docs):
     texts = dict(small)
     rows = queries.op3_quality_rules(spark, data).collect()
