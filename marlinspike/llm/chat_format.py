@@ -3,7 +3,8 @@
 Each message is split into runs of lines of one quote level.  Level 0 is what
 its writer wrote; every other run is a quoted passage.  A passage, normalised
 (white space collapsed, trimmed, lower-cased) and hashed, is joined to the
-earlier messages of the same conversation that hold the same run or line.  The
+earlier messages of the same conversation that are the same as a whole or hold
+the same line, or all its lines one after the other (blank ones aside).  The
 message replies to the latest source of its shallowest linked passages.
 Quotes and the attribution lines that introduce them are dropped, and the
 messages get their place in their conversation.
@@ -26,6 +27,29 @@ def normalise(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, "[ \\t\\r\\n]+", " ")))
 
 
+def _lines(text: Column) -> Column:
+    """Its lines, normalised, without blank ones."""
+    return F.filter(F.transform(F.split(text, "\n", -1), normalise), lambda x: F.length(x) > 0)
+
+
+def _line_runs(quotes: DataFrame, index: DataFrame) -> DataFrame:
+    """(key, level, hash, source) of passages of several lines that are consecutive lines of an earlier message.
+
+    ``quotes`` has a row for each line of a passage (conv_id, turn, key, level,
+    hash, run, m, k, line_hash), ``index`` one for each wanted line of a message
+    (conv_id, source, message, pos, line_hash).  Candidates come from a
+    passage's rarest line only, and are then checked line by line.
+    """
+    places = index.groupBy("conv_id", "line_hash").agg(F.count("*").alias("places"))
+    passage = ["conv_id", "turn", "key", "level", "hash", "run", "m"]
+    rarest = quotes.join(places, ["conv_id", "line_hash"]).groupBy(*passage).agg(F.count("*").alias("known"), F.min_by(F.struct("k", "line_hash"), F.struct("places", "k")).alias("at"))
+    rarest = rarest.where("known = m").select(*passage, F.col("at.k").alias("k"), F.col("at.line_hash").alias("line_hash"))
+    near = rarest.join(index, ["conv_id", "line_hash"]).where("source < turn").select(*passage, "source", "message", (F.col("pos") - F.col("k")).alias("first"))
+    lines = near.join(quotes.select("key", "level", "run", "k", "line_hash"), ["key", "level", "run"]).withColumn("pos", F.col("first") + F.col("k"))
+    same = lines.join(index.select("conv_id", "message", "pos", "line_hash"), ["conv_id", "message", "pos", "line_hash"])
+    return same.groupBy("key", "level", "hash", "run", "m", "source", "message", "first").count().where("count = m").select("key", "level", "hash", "source")
+
+
 def _runs(text: Column) -> Column:
     """Array of (level, body): maximal runs of lines with the same quote level."""
     lines = F.transform(
@@ -75,15 +99,23 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     runs = base.withColumn("runs", F.when(quoting, _runs(F.col("text"))).otherwise(plain)).withColumn("key", F.xxhash64("conv_id", "turn", "role", "text")).drop("text")
     known = runs.where("conv_id is not null and turn is not null")
 
-    passages = known.select("conv_id", "turn", "key", F.explode(F.filter("runs", lambda r: r["level"] > 0)).alias("r")).select("conv_id", "turn", "key", "r.level", normalise(F.col("r.body")).alias("norm"))
-    passages = passages.where("length(norm) > 0").withColumn("hash", F.md5(F.col("norm").cast("binary"))).drop("norm").distinct()
+    quoted = known.select("conv_id", "turn", "key", F.explode(F.filter("runs", lambda r: r["level"] > 0)).alias("r")).select("conv_id", "turn", "key", "r.level", F.col("r.body").alias("body"), normalise(F.col("r.body")).alias("norm"))
+    quoted = quoted.where("length(norm) > 0").withColumn("hash", F.md5(F.col("norm").cast("binary"))).drop("norm")
+    passages = quoted.drop("body").distinct()
+    hashes = F.transform(_lines(F.col("body")), lambda x: F.md5(x.cast("binary")))
+    several = quoted.select("conv_id", "turn", "key", "level", "hash", hashes.alias("lines")).where("size(lines) > 1")
+    several = several.withColumn("run", F.md5(F.array_join("lines", "").cast("binary"))).withColumn("m", F.size("lines")).distinct()
+    quotes = several.select("conv_id", "turn", "key", "level", "hash", "run", "m", F.posexplode("lines").alias("k", "line_hash"))
     # only conversations that quote need an index of what was written
-    wanted = passages.select("conv_id", "hash").distinct()
+    wanted = passages.select("conv_id", "hash").union(quotes.select("conv_id", "line_hash")).distinct()
     own = _own(F.col("runs"))
-    parts = known.select("conv_id", "turn", F.explode(let(own, lambda t: F.array_distinct(F.concat(F.array(t), F.split(t, "\n", -1))))).alias("part")).select("conv_id", "turn", normalise(F.col("part")).alias("norm"))
-    index = parts.where("length(norm) > 0").select("conv_id", "turn", F.md5(F.col("norm").cast("binary")).alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi").distinct()
-    sources = index.withColumnRenamed("turn", "source")
-    linked = passages.join(sources, ["conv_id", "hash"]).where("source < turn").groupBy("key", "level", "hash").agg(F.max("source").alias("source"))
+    # part 0 is the whole text, the others its lines that are not blank
+    parts = known.select("conv_id", "turn", "key", F.posexplode(let(own, lambda t: F.concat(F.array(normalise(t)), _lines(t)))).alias("pos", "norm"))
+    index = parts.where("length(norm) > 0").select("conv_id", F.col("turn").alias("source"), F.col("key").alias("message"), "pos", F.md5(F.col("norm").cast("binary")).alias("hash"))
+    index = index.join(wanted, ["conv_id", "hash"], "left_semi").distinct()
+    single = passages.join(index, ["conv_id", "hash"]).where("source < turn").select("key", "level", "hash", "source")
+    runs_of_lines = _line_runs(quotes, index.where("pos > 0").withColumnRenamed("hash", "line_hash"))
+    linked = single.union(runs_of_lines).groupBy("key", "level", "hash").agg(F.max("source").alias("source"))
     links = linked.groupBy("key").agg(F.count("*").alias("n_linked"), F.min("level").alias("first_level"))
     first = linked.join(links, "key").where("level = first_level").groupBy("key").agg(F.max("source").alias("reply_to"), F.max("n_linked").alias("n_linked"))
     counts = passages.groupBy("key").agg(F.count("*").alias("n_quotes"))

@@ -303,6 +303,22 @@ def test_ngram_counts_stay_inside_documents():
     assert both.sum(axis=1).tolist() == [6, 3]
 
 
+def test_chat_links_of_several_lines(spark):
+    rows = [
+        (1, 0, "user", "Hello.\nFirst thing\nsecond  thing\n\nthird thing\nBye."),
+        (1, 1, "assistant", "Hello.\nsecond thing\nfirst thing"),
+        (1, 2, "user", "> First thing\n> second thing\n>\n> third thing\nYes."),
+        (1, 3, "user", "> second thing\n> third thing\n> fourth thing\nNo."),
+        (1, 4, "user", "> First thing\n> third thing\nNo."),
+        (2, 1, "user", "> First thing\n> second thing\nElsewhere."),
+        (1, 5, "user", "> Hello.\n> second thing\nYes.\n> Hello.\n> First thing"),
+    ]
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to) for r in chat_format.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 2] == (1, 1, 0)
+    assert got[1, 3] == got[1, 4] == got[2, 1] == (1, 0, None)
+    assert got[1, 5] == (2, 2, 1)
+
+
 def test_chat_oracle(spark):
     duckdb = pytest.importorskip("duckdb")
     import pandas as pd
