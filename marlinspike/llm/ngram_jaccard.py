@@ -136,7 +136,7 @@ def _often_bits(often: DataFrame) -> np.ndarray:
 
 
 def _slots(own: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(token, rep, n, pos) of the prefix tokens whose bit is set; a false positive proves single later."""
+    """(token, rep, n, pos, mark) of the prefix tokens whose bit is set; a false positive proves single later."""
     shared = own.sparkSession.sparkContext.broadcast(bits)
 
     def rows(batches):
@@ -147,9 +147,11 @@ def _slots(own: DataFrame, bits: np.ndarray) -> DataFrame:
             kept = np.flatnonzero((shared.value[low >> 6] >> (low & 63)) & 1)
             doc = np.repeat(np.arange(len(sizes)), sizes)[kept]
             pos = kept - (np.cumsum(sizes) - sizes)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[kept]), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(pos.astype(np.int32))], ["token", "rep", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[kept]), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(pos.astype(np.int32)), batch.column(3).take(pa.array(doc))], ["token", "rep", "n", "pos", "mark"])
 
-    return own.select("doc_id", "n", "prefix").mapInArrow(rows, "token long, rep long, n int, pos int")
+    # the mark is that of a class: a doc_id may stand for several
+    marked = own.select("doc_id", "n", "prefix", F.xxhash64("doc_id", "k1", "k2").alias("mark"))
+    return marked.mapInArrow(rows, "token long, rep long, n int, pos int, mark long")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -192,19 +194,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark, "jaccard")
-    prints = scratch.write(_fingerprints(docs, k, percent, count_sketch(docs, k)), "prints")
-    classes = scratch.write(prints.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
+    prints = scratch.write(_fingerprints(docs, k, percent, count_sketch(docs, k)).withColumn("row", F.monotonically_increasing_id()), "prints")
+    # the first row of a class stands for it; with equal rows only one does, or posting lists would count it again
+    firsts_of = [F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("row", "doc_id").alias("row")]
+    classes = scratch.write(prints.where("n > 0").groupBy("k1", "k2").agg(*firsts_of), "classes")
 
     # order A: posting lists of the class representatives; a token that only one has is dropped
-    firsts = broadcast_if_small(classes.select(F.col("rep").alias("doc_id"), "k1", "k2"))
-    own = prints.join(firsts, ["doc_id", "k1", "k2"], "left_semi")
+    firsts = broadcast_if_small(classes.select("row"))
+    own = prints.join(firsts, "row", "left_semi")
     often = own.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
     slots = scratch.write(_slots(own, _often_bits(often)), "slots")
     # the prefixes, most of the table, are not read again
     prints = scratch.write(prints.drop("prefix"), "kept")
     scratch.drop("prints")
-    own = prints.join(firsts, ["doc_id", "k1", "k2"], "left_semi")
-    lists = slots.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.bit_xor(F.xxhash64("rep")).alias("mark")).where("members > 1")
+    own = prints.join(firsts, "row", "left_semi")
+    lists = slots.groupBy("token").agg(F.count("*").alias("members"), F.min("rep").alias("centre"), F.bit_xor("mark").alias("mark")).where("members > 1")
     # of tokens with the same members (a passage's shingles) the first comes earliest in all of them and says as much as all
     lists = lists.groupBy("members", "centre", "mark").agg(F.min("token").alias("token")).select("token", "centre")
     posting = scratch.write(slots.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "posting")

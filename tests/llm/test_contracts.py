@@ -64,6 +64,21 @@ def test_jaccard_of_a_family_of_near_copies(spark):
     assert got == brute.jaccard(rows)
 
 
+def test_jaccard_of_repeated_rows(spark):
+    rng = random.Random(4)
+    a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    b, c = list(a), list(a)
+    for k in (20, 60, 100, 140):  # J(a, b) = J(a, c) = 0.81, J(b, c) = 0.66
+        b[k], c[k + 20] = f"b{k}", f"c{k}"
+    x, y = a[:], [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    x[10] = "x1"
+    rows = [(i, " ".join(w)) for i, w in enumerate([a, b, c])]
+    for many in (rows * 2, [*rows, *rows, (0, " ".join(x)), (0, " ".join(x)), (7, " ".join(y)), (7, " ".join(y))]):
+        got = ngram_jaccard.jaccard_components(spark.createDataFrame(many, "doc_id long, text string")).collect()
+        assert len(got) == len(many)
+        assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0} | ({7: 7} if len(many) > 9 else {})
+
+
 def test_license_scan(spark, data):
     texts = ["Released under the MIT License.", "word word\nLicensed under the Apache License, Version 2.0.\nmore", "a license of poetic kind\n", None, "", license_scan.TEMPLATES["MIT"].replace(" to ", "\nto ").replace("charge", "fee")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
