@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
 
 #: Documents whose dense feature rows are held at once.
 ROWS = 256
+#: Most labels whose ids are chosen by a job each; those of more are ranked in one.
+FEW_LABELS = 16
 
 
 def ngram_counts(buf: np.ndarray, offsets: np.ndarray, dims: int, sizes: tuple[int, ...]) -> np.ndarray:
@@ -89,7 +91,12 @@ def training_sample(docs: DataFrame, known: DataFrame, per_label: int, labels: l
     kind = known.schema["label"].dataType.simpleString()
     keyed = known.where("doc_id is not null").distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "label", F.xxhash64("doc_id").alias("pick"))
     picked = []
-    for value in labels:
+    if len(labels) > FEW_LABELS:
+        # a limit on row_number is applied before the shuffle too
+        ranked = keyed.join(F.broadcast(spark.createDataFrame([(v,) for v in labels], f"label {kind}")), "label", "left_semi")
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("pick", "doc_id")))
+        picked = ranked.where(F.col("rank") <= per_label).collect()
+    for value in labels if len(labels) <= FEW_LABELS else []:
         picked += keyed.where(F.col("label") == F.lit(value)).orderBy("pick", "doc_id").limit(per_label).collect()
     if not picked:
         return np.zeros((0, dims), np.float32), np.zeros(0, np.int64)

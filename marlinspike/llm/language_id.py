@@ -23,8 +23,11 @@ DIMS = 4096
 SIZES = (1, 2, 3)
 #: Most training rows of each language.
 PER_LANGUAGE = 1000
-#: Most languages that are learned, the commonest first (ties by name).
-MOST_LANGUAGES = 64
+#: Most training rows of all languages together, which bounds the driver's memory (about 50 kB a row); with
+#: more than 16 languages each has an equal share of them, and one row at least.
+ALL_ROWS = 16_000
+#: Machines that are trained together.
+TOGETHER = 64
 UNDETERMINED = "und"
 #: Families of the languages; one that is not listed is a family of its own.
 FAMILIES = {
@@ -39,10 +42,11 @@ def train_machine(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, steps: in
     """Linear machine with squared hinge loss, by accelerated gradient descent.
 
     ``x`` has unit rows and a constant last column; ``y`` is -1 or 1.  The two
-    classes weigh the same.
+    classes weigh the same.  With several columns in ``y`` each has a machine,
+    in the column of the result.
     """
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w = ahead = np.zeros(x.shape[1], np.float32)
+    share = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), 0.5 / np.maximum(1, (y < 0).sum(axis=0))).astype(np.float32)
+    w = ahead = np.zeros(x.shape[1:] + y.shape[1:], np.float32)
     rate, momentum = 1 / (2 * 2.0 + penalty), 1.0
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ ahead))
@@ -75,7 +79,10 @@ class LanguageTree:
         family_of = np.array([families.get(name, f"only {name}") for name in languages])
         names = sorted(set(family_of[np.unique(y)].tolist())) if len(y) else []
         own = family_of[y] if len(y) else np.zeros(0, str)
-        machines = [train_machine(rows, np.where(own == f, 1, -1).astype(np.float32)) for f in names] if len(names) > 1 else []
+        machines = []
+        for at in range(0, len(names) if len(names) > 1 else 0, TOGETHER):
+            sides = np.where(own[:, None] == np.array(names[at : at + TOGETHER]), 1, -1).astype(np.float32)
+            machines += list(train_machine(rows, sides).T)
         members, pairs = [], []
         for f in names:
             inside = sorted(k for k in np.unique(y).tolist() if family_of[k] == f)
@@ -128,12 +135,13 @@ class LanguageTree:
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, str] = FAMILIES, text_col: str = "text", lang_col: str = "lang") -> LanguageTree:
     """Fit on documents with a language, outside crc32(doc_id) mod 3 = 1.
 
-    Null and empty languages are not learned, nor rows with null ids or texts.
+    Every other language is learned, however rare.  Null and empty languages
+    are not, nor rows with null ids or texts.
     """
     rows = docs.select("doc_id", F.col(text_col).alias("text"), F.col(lang_col).alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("label") > 0) & (id_crc(F.col("doc_id")) % 3 != 1))
-    found = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["label"] for r in found)
+    languages = sorted(r["label"] for r in rows.select("label").distinct().collect())
+    per_language = min(per_language, max(1, ALL_ROWS // max(1, len(languages))))
     x, y = training_sample(rows.select("doc_id", "text"), rows.select("doc_id", "label"), per_language, languages, DIMS, SIZES)
     return LanguageTree.fit(x, y, languages, families)
 

@@ -266,6 +266,14 @@ def test_language_id_on_held_out_rows(spark, docs):
     assert {r[name].lang for r in language_id.identify(docs, model)[0].collect()} == {"und"}
 
 
+def test_more_languages_than_machines_trained_together(spark):
+    rows = [(i * 70 + k, " ".join(chr(0x4E00 + 50 * k + j % 5) * 3 for j in range(i, i + 12)), f"l{k:02}") for k in range(70) for i in range(3 if k > 60 else 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, name = language_id.identify(docs, language_id.fit_languages(docs))
+    right = [r.lang for r in found.collect() if r.lang == r[name].lang]
+    assert len(set(right)) == 70 and len(right) > 0.9 * len(rows)
+
+
 def test_three_languages_in_a_family(spark):
     rng = random.Random(1)
     tongues = {"en": "th ing the of", "de": "sch ung der ei", "nl": "ij aa het een", "fr": "eau oi les qu"}
