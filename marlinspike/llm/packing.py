@@ -16,6 +16,7 @@ the number of classes only.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
 SALTS = 256
-_encoders: dict[tuple[str, str], object] = {}
+_encoders: dict[tuple[str, str, bool], object] = {}
 
 
 class Encoder:
@@ -36,10 +37,12 @@ class Encoder:
 
     Texts within Latin-1 go through the faster of two libraries that hold the
     same vocabulary; others through the one that defines the ids, as their
-    notions of letters may differ in newer scripts.
+    notions of letters may differ in newer scripts.  With ``added`` the literal
+    of an added token, such as an end mark, is that token, as in the defining
+    library's default call; else it is spelt out like other text.
     """
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str):
+    def __init__(self, json_path: str, ranks_path: str, pattern: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -47,26 +50,37 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.load = lambda: Tokenizer.from_file(json_path)
-        self.defining = None
+        self.defining, self.added, self.literals = None, added, None
+        if added:
+            tokens = self.load().get_added_tokens_decoder().values()
+            # the library may match lower-cased or trimmed text too, so the search is as wide
+            self.literals = re.compile("|".join(re.escape(t.content.strip()) for t in tokens), re.IGNORECASE) if tokens else None
 
     def __call__(self, text: str) -> list[int]:
+        if text.isascii() or self._latin(text):
+            if self.literals is None or not self.literals.search(text):
+                return self.fast.encode_ordinary(text)
+        if self.defining is None:
+            self.defining = self.load()
+            self.defining.encode_special_tokens = not self.added
+        return self.defining.encode(text, add_special_tokens=False).ids
+
+    @staticmethod
+    def _latin(text: str) -> bool:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            if self.defining is None:
-                self.defining = self.load()
-                self.defining.encode_special_tokens = True
-            return self.defining.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+            return False
+        return True
 
 
-def encoder(json_path: str | None = None, ranks_path: str | None = None) -> Encoder:
+def encoder(json_path: str | None = None, ranks_path: str | None = None, added: bool = False) -> Encoder:
     """One encoder a worker; the default files are the installed public ones."""
     import public_tokenizers
 
-    key = (json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    key = (json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), added)
     if key not in _encoders:
-        _encoders[key] = Encoder(*key, public_tokenizers.PATTERN)
+        _encoders[key] = Encoder(*key[:2], public_tokenizers.PATTERN, added)
     return _encoders[key]
 
 
@@ -75,7 +89,7 @@ def cut(docs: DataFrame, text_col: str, sequence: int, end_id: int, with_ids: bo
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def pieces(batches):
-        encode = encoder(*files)
+        encode = encoder(*files, added=True)
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

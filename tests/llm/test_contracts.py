@@ -195,6 +195,16 @@ def test_encoder_agrees_with_the_defining_library():
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_ids_of_the_default_call(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["an end of <|endoftext|> start", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> é", "漢字<|endoftext|>", "plain"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert {r.doc_id: r.ids[:-1] for r in rows} == {i: t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts)}
+
+
 def test_pii_base_matches_brute_force(spark, data, small, docs):
     texts = dict(small)
     rows = queries.op7_pii(spark, data).collect()
