@@ -15,11 +15,9 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .native import WORD, let
-from .shared import free_name
+from .shared import broadcast_if_small, free_name
 
 BUCKETS = 1 << 14
-#: Most trusted documents, those with the smallest hash of the id.
-TARGET_ROWS = 20_000
 THRESHOLD = -0.1
 _SCALE, _SMOOTH = 1 << 16, 0.5
 _SPACE = "[\\x20\\x09-\\x0D]"
@@ -63,16 +61,14 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(count >= 2, let(windows, repeats)).otherwise(F.lit(0))
 
 
-def ngram_weights(docs: DataFrame, trusted: DataFrame, most_rows: int = TARGET_ROWS) -> list[int]:
+def ngram_weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """Log ratio of each bucket, target against raw corpus, times 2**16.
 
     ``docs`` has doc_id and text, ``trusted`` has doc_id.  All documents make
-    up the raw corpus; of the trusted ids those with the ``most_rows`` smallest
-    hashes make up the target.
+    up the raw corpus, and all with a trusted id the target.
     """
-    picked = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    # bounded by most_rows, so it may be broadcast at every size
-    flagged = docs.select("doc_id", "text").join(F.broadcast(picked.withColumn("in_target", F.lit(1))), "doc_id", "left")
+    picked = trusted.select("doc_id").where("doc_id is not null").distinct()
+    flagged = docs.select("doc_id", "text").join(broadcast_if_small(picked).withColumn("in_target", F.lit(1)), "doc_id", "left")
     grams = flagged.select(F.coalesce("in_target", F.lit(0)).alias("t"), F.explode(let(_word_hashes(F.col("text")), _buckets)).alias("bucket"))
     rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()  # BUCKETS rows at most
     raw, target = [0] * BUCKETS, [0] * BUCKETS

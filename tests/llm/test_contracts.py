@@ -120,6 +120,12 @@ def test_rules_base_counts(spark, data, small, docs):
         assert tuple(r[name][f] for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute.rules(by_id[r.doc_id])
 
 
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(20_500).selectExpr("id as doc_id", "concat('w', id) as text")
+    # raw corpus and target are the same documents, so no n-gram tells them apart
+    assert quality_rules.ngram_weights(docs, docs) == [0] * quality_rules.BUCKETS
+
+
 def test_leaks_match_brute_force(spark, data, small, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     want = brute.leaks(small, items)
