@@ -133,6 +133,13 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def range_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the entries from each start to its end; equal ones of the same length agree."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power(_Q, len(hashes)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _power(_inverse(_Q), len(hashes) + 1)[starts])
+
+
 def whole_hash(hashes: np.ndarray) -> np.uint64:
     """Hash of a whole short sequence, which also depends on its length."""
     return mix(window_hashes(hashes, len(hashes)) + np.uint64(len(hashes)))[0]

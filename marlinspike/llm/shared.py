@@ -14,19 +14,25 @@ ARROW_ROWS = "500"
 #: Most rows, of two or three numbers each, of a side that is broadcast.
 BROADCAST_ROWS = 1_000_000
 
+#: Bound of the keys that a join takes out of the shuffle, and the fewest rows of such a key.
+HOT_KEYS, LEAST_HOT = 20_000, 1000
+
 _roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
     """A folder of this application under ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test session) a temporary
-    folder stands in for it.
+    Only where that setting is absent in a local session, as in tests, a
+    temporary folder stands in for it; on a cluster that is an error, as each
+    machine would write to a disk of its own.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="marlinspike-")
         _roots[app] = f"{base.rstrip('/')}/marlinspike-{app}"
         atexit.register(_forget, spark, _roots[app])
@@ -74,6 +80,19 @@ def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join with a side of one row a key, whose ``count`` says how many rows the left has of it.
+
+    ``total`` is the number of rows of the left, a materialised frame.  Keys of
+    more than one in HOT_KEYS rows, so fewer than HOT_KEYS keys, are broadcast
+    and their rows stay where they are; the others are shuffled.
+    """
+    limit = max(total // HOT_KEYS, LEAST_HOT)
+    hot = F.broadcast(right.where(F.col(count) > limit))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(F.col(count) <= limit), keys)
+    return left.join(hot, keys).select(*rest.columns).unionByName(rest)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added while the frame has such a column."""
     taken = {c.lower() for c in df.columns}

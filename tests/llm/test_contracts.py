@@ -247,6 +247,46 @@ def test_repeats_match_brute_force(spark, data, small, docs):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def test_repeats_by_other_ways(spark, docs, monkeypatch):
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(40)}" for _ in range(n)]
+    passage, rows = say(90), []
+    for i in range(60):  # every copy is cut and changed at other places
+        w = passage[rng.randrange(30) : 90 - rng.randrange(30)]
+        for k in rng.sample(range(len(w)), rng.choice([0, 1, 2])):
+            w[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(say(rng.randrange(50)) + w + say(rng.randrange(50)))))
+    rows += [(100, " ".join(["same"] * 300)), (101, " ".join(["a", "b"] * 40)), (102, " ".join(["b", "a"] * 17)), (103, " ".join(passage * 3))]
+    want = brute.repeats(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for tabled in (substring_dedup.TABLED, 0):
+        got = {r.doc_id: (r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in substring_dedup.remove_repeats(frame, tabled=tabled).collect()}
+        assert got == want
+    assert all(s.end - s.start >= 35 for r in substring_dedup.remove_repeats(frame).collect() for s in r.spans)
+
+
+def test_anchors_in_slices_serve_every_window_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = pa.array([" ".join(rng.choice("abcd") for _ in range(n)) for n in (500, 3, 0, 35, 36, 2000)])
+    for size in (1 << 17, 64, 7):
+        monkeypatch.setattr(substring_dedup, "SLICE", size)
+        seen = {}
+        for lo, _, buf, offsets in substring_dedup.K.blocks(texts):
+            for first, at, m, _, _, windows in substring_dedup.anchors(buf, offsets, 35, 8):
+                hashes, of, number = windows()
+                assert len(hashes) == m.sum()
+                for start, h in zip((at[of] + number).tolist(), hashes.tolist(), strict=True):
+                    assert start not in seen
+                    seen[start] = h
+        assert len(seen) == sum(max(0, n - 34) for n in (500, 3, 0, 35, 36, 2000))
+        kept = seen if size == 1 << 17 else kept
+        assert seen == kept
+    assert len(np.unique(list(kept.values()))) > 2000
+
+
 def _held_out(spark, data):
     return {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
 
