@@ -3,17 +3,22 @@
 A document's set holds its distinct k-word shingles.  If two sets have a
 Jaccard similarity of at least t, they share a token among the first
 ``n - ceil(t*n) + 1`` tokens of each, under *any* global order of the tokens.
-Three orders are used and a pair must pass all three before it is verified:
+Three orders are used and a pair must pass all three before any set is fetched
+and verified:
 
 * A, rare first: by the token's count in a hashed sketch of document
-  frequencies over the whole corpus, then by hash.  Only this order is
-  indexed; common tokens go last and so make no large posting lists.  A pair's
-  shared token must also come early enough for the overlap that the sizes of
-  the two ask for.
-* B, ascending hash, and C, descending hash: checked on each candidate.
-
-Candidates must also agree in the parities of enough hash classes of tokens,
-which bounds the overlap from above without the sets.
+  frequencies over the whole corpus, then by hash.  This order is indexed;
+  common tokens go last and so make no large posting lists.  A pair's shared
+  token must also come early enough for the overlap that the sizes of the two
+  ask for.
+* B, ascending hash, and C, descending hash: the prefixes of both are kept as
+  16-bit digests, in order.  A candidate of A must share a prefix token under B
+  and under C.  The filters are then intersected: what one document has in its
+  two prefixes, where the other's reach as far, and the other lacks is missing
+  from the overlap, and both prefixes together must not lack too much.
+
+Within long posting lists the parities of hash classes of tokens, which bound
+the overlap too, are compared first.
 
 Pairs are not enumerated within a posting list.  Copies with equal sets are
 collapsed first.  Then each member of a list is joined to the list's first
@@ -33,12 +38,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import BROADCAST_ROWS, Scratch, broadcast_if_small
-
-SKETCH_BITS = 17
-PARITY_BITS = 2048
-#: Size of the table of tokens that several documents have: 2**27 bits, 16 MB.
-OFTEN_BITS = 27
+from .shared import BROADCAST_ROWS, Scratch, bit_table, broadcast_if_small, has_bit, table_bits
+
+#: Characters of text for each bucket of the sketch, and the least and largest sketch (2**22 buckets, 50 MB on the driver).
+#: A token stands out once it is commoner than a bucket's mean, so it is moved to the end at every size.
+CHARS_A_BUCKET, LEAST_SKETCH, MOST_SKETCH = 1 << 12, 14, 22
+PARITY_BITS = 512
+#: Most members of a posting list, in the last round, that one task joins to all the others.
+SPLIT = 2000
 #: The centre of a posting list in each round is its member with the least id XOR one of these.
 CENTRES = (0, -1, 0x5555555555555555, 0x3333333333333333)
 #: Centre rounds end, and the exact last round begins, once a round adds fewer than one in so many links.
@@ -75,14 +82,16 @@ def _list_array(parts: list[np.ndarray]) -> pa.ListArray:
     sizes = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=sizes[1:])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat))
 
 
-def count_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Document frequencies of all shingles, summed by hash bucket.
+def sketch_bits(docs: DataFrame) -> int:
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(max((chars // CHARS_A_BUCKET).bit_length(), LEAST_SKETCH), MOST_SKETCH)
 
-    Its size is 2**bits whatever the corpus; every document is counted.
-    """
+
+def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """Document frequencies of all shingles, summed by hash bucket; every document is counted."""
 
     def count(batches):
         total = np.zeros(1 << bits, np.int64)
@@ -99,7 +108,11 @@ def count_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray
 
 
 def _fingerprints(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, parity): set size, digest of the set, prefix under order A, parities of PARITY_BITS hash classes."""
+    """(doc_id, n, k1, k2, prefix, low, high, parity).
+
+    Set size, digest of the set, prefix under order A, digests in ascending
+    order of the prefixes under B and C, parities of PARITY_BITS hash classes.
+    """
     level = np.minimum(255, 8 * np.log2(sketch + 1)).astype(np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(level)
     mask = np.uint64(len(level) - 1)
@@ -107,44 +120,64 @@ def _fingerprints(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) ->
     def fingerprint(batches):
         levels = shared.value.astype(np.uint64) << np.uint64(55)
         for batch in batches:
-            sizes, keys, prefixes, parity = [], [], [], []
+            sizes, keys, prefixes, low, high, parity = [], [], [], [], [], []
             for _, found in shingle_sets(batch.column(1), k):
                 n = len(found)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 order = levels[(found & mask).astype(np.int64)] | (found >> np.uint64(9))
                 take = n - _least(n, percent) + 1 if n else 0
-                parity.append(np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.uint64))
                 prefixes.append(np.sort(np.partition(order, take - 1)[:take] if take < n else order))
+                digest = ((found >> np.uint64(48)).astype(np.int32) - (1 << 15)).astype(np.int16)
+                low.append(digest[:take])
+                high.append(digest[n - take :])
+                parity.append(np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS).astype(np.uint8) & 1).view(np.uint64))
             digest = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _list_array(prefixes), _list_array(parity)],
-                ["doc_id", "n", "k1", "k2", "prefix", "parity"],
+                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), _list_array(prefixes), _list_array(low), _list_array(high), _list_array(parity)],
+                ["doc_id", "n", "k1", "k2", "prefix", "low", "high", "parity"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(fingerprint, "doc_id long, n int, k1 long, k2 long, prefix array<long>, parity array<long>")
+    schema = "doc_id long, n int, k1 long, k2 long, prefix array<long>, low array<short>, high array<short>, parity array<long>"
+    return docs.select("doc_id", "text").mapInArrow(fingerprint, schema)
 
 
-def _often_bits(often: DataFrame) -> np.ndarray:
-    """A bit for each of 2**OFTEN_BITS token classes that holds a token of several documents; of fixed size."""
-    low = F.col("token").bitwiseAND(F.lit((1 << OFTEN_BITS) - 1))
-    word = often.select(F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("bit"))
-    table = word.groupBy("word").agg(F.bit_or("bit").alias("mask")).toArrow()
-    out = np.zeros(1 << (OFTEN_BITS - 6), np.int64)
-    out[table["word"].to_numpy()] = table["mask"].to_numpy()
-    return out
+#: What the prefixes of a set under B and C hold that the other one's, as far as they reach, do not.
+_LACKS = (
+    "size(array_except(filter({a}.low, v -> v < element_at({b}.low, -1)), {b}.low)) + "
+    "size(array_except(filter({a}.high, v -> v > {b}.high[0]), {b}.high))"
+)
+#: Sets that differ in d tokens have at most d hash classes of different parity.
+_UNLIKE = "aggregate(zip_with({a}.parity, {b}.parity, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
+
+
+def _need(n: str, m: str, percent: int) -> str:
+    """Overlap that similar sets of n and m tokens have."""
+    return f"(({percent} * ({n} + {m}) + {percent + 99}) div {percent + 100})"
 
 
-def _slots(own: DataFrame, bits: np.ndarray) -> DataFrame:
+def _passes(a: str, b: str, n: str, m: str, percent: int) -> str:
+    """The condition on the structs a and b (low, high, parity) of sets of n and m tokens under orders B and C."""
+    need = _need(n, m, percent)
+    return (
+        f"arrays_overlap({a}.low, {b}.low) and arrays_overlap({a}.high, {b}.high) and {_like(a, b, n, m, percent)} "
+        f"and {n} - ({_LACKS.format(a=a, b=b)}) >= {need} and {m} - ({_LACKS.format(a=b, b=a)}) >= {need}"
+    )
+
+
+def _like(a: str, b: str, n: str, m: str, percent: int) -> str:
+    return f"{n} + {m} - {_UNLIKE.format(a=a, b=b)} >= 2 * {_need(n, m, percent)}"
+
+
+def _slots(own: DataFrame, table: np.ndarray) -> DataFrame:
     """(token, rep, n, pos, mark) of the prefix tokens whose bit is set; a false positive proves single later."""
-    shared = own.sparkSession.sparkContext.broadcast(bits)
+    shared = own.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches):
         for batch in batches:
             lists = batch.column(2)
             tokens, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-            low = tokens & ((1 << OFTEN_BITS) - 1)
-            kept = np.flatnonzero((shared.value[low >> 6] >> (low & 63)) & 1)
+            kept = np.flatnonzero(has_bit(shared.value, K.mix(tokens.view(np.uint64))))
             doc = np.repeat(np.arange(len(sizes)), sizes)[kept]
             pos = kept - (np.cumsum(sizes) - sizes)[doc]
             yield pa.RecordBatch.from_arrays([pa.array(tokens[kept]), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(pos.astype(np.int32)), batch.column(3).take(pa.array(doc))], ["token", "rep", "n", "pos", "mark"])
@@ -154,6 +187,16 @@ def _slots(own: DataFrame, bits: np.ndarray) -> DataFrame:
     return marked.mapInArrow(rows, "token long, rep long, n int, pos int, mark long")
 
 
+def _mixed(tokens: DataFrame) -> DataFrame:
+    """Tokens as uniform hashes; the order's tokens begin with the level of their bucket."""
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(K.mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["hash"])
+
+    return tokens.select("token").mapInArrow(rows, "hash long")
+
+
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, set): whole sets, in ascending order of the signed hash, of some documents."""
 
@@ -168,16 +211,11 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass orders B and C and then the exact test."""
+    """The pairs (a, b) that pass the exact test."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    prefix = "size({0}) - (({1} * size({0}) + 99) div 100) + 1"
-    pa_, pb_ = (f"cast({prefix.format(s, percent)} as int)" for s in ("sa", "sb"))
-    joined = joined.where(f"arrays_overlap(slice(sa, 1, {pa_}), slice(sb, 1, {pb_}))")
-    joined = joined.where(f"arrays_overlap(slice(sa, -{pa_}, {pa_}), slice(sb, -{pb_}, {pb_}))")
-    joined = joined.withColumn("common", F.expr("size(array_intersect(sa, sb))"))
-    return joined.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b")
+    joined = pairs.join(left, "a").join(right, "b").withColumn("common", F.expr("size(array_intersect(sa, sb))"))
+    return joined.where(f"100 * common >= {percent} * (size(sa) + size(sb) - common)").select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,14 +225,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     component_id).  class_id is the smallest doc_id with an equal set,
     component_id the smallest reachable by links.  Null, empty or blank texts
     have an empty set, no links, and are their own component.  Rows that
-    repeat a doc_id count as one document whose sets all link it.  Columns
+    repeat a doc_id count as one document whose sets all link it, so all of
+    them that have a set are in one component.  Columns
     other than the two named ones are not read.  An empty table gives an empty
     result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scratch = Scratch(spark, "jaccard")
-    prints = scratch.write(_fingerprints(docs, k, percent, count_sketch(docs, k)).withColumn("row", F.monotonically_increasing_id()), "prints")
+    sketch = count_sketch(docs, k, sketch_bits(docs))
+    prints = scratch.write(_fingerprints(docs, k, percent, sketch).withColumn("row", F.monotonically_increasing_id()), "prints")
     # the first row of a class stands for it; with equal rows only one does, or posting lists would count it again
     firsts_of = [F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("row", "doc_id").alias("row")]
     classes = scratch.write(prints.where("n > 0").groupBy("k1", "k2").agg(*firsts_of), "classes")
@@ -202,8 +242,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     # order A: posting lists of the class representatives; a token that only one has is dropped
     firsts = broadcast_if_small(classes.select("row"))
     own = prints.join(firsts, "row", "left_semi")
-    often = own.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1")
-    slots = scratch.write(_slots(own, _often_bits(often)), "slots")
+    often = scratch.write(own.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "often")
+    slots = scratch.write(_slots(own, bit_table(_mixed(often), table_bits(often.count()))), "slots")
+    scratch.drop("often")
     # the prefixes, most of the table, are not read again
     prints = scratch.write(prints.drop("prefix"), "kept")
     scratch.drop("prints")
@@ -214,15 +255,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     posting = scratch.write(slots.join(broadcast_if_small(scratch.write(lists, "heads")), "token").select("token", "rep", "n", "pos", "centre"), "posting")
     scratch.drop("heads", "slots")
     # rows that repeat a doc_id are told apart by their class
-    parities = own.select(F.col("doc_id").alias("rep"), "parity")
+    filters = own.select(F.col("doc_id").alias("rep"), F.struct("low", "high", "parity").alias("f"))
 
-    # a pair of sizes n and m must overlap in ``need``: one shared token lies as early as this in both
-    need = f"(({percent} * (n + m) + {percent + 99}) div {percent + 100})"
+    # a pair of sizes n and m must overlap in so many: one shared token lies as early as this in both
+    need = _need("n", "m", percent)
     early = f"pos <= n - {need} and pos2 <= m - {need}"
-    # and sets that differ in d tokens have at most d hash classes of different parity
-    unlike = "aggregate(zip_with({0}, {0}2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
-    near = f"n + m - {unlike} >= 2 * {need}"
-    folded = "transform(sequence(0, 7), i -> parity[i] ^ parity[i + 8] ^ parity[i + 16] ^ parity[i + 24])"
     links, tested, labels, count = None, None, None, 0
     for step in range(len(CENTRES) + 1):
         last = step == len(CENTRES) or step > 1 and fresh * FEW < count
@@ -242,9 +279,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
             middle = left.where("rep = centre").select("token", F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("component").alias("other"))
             pairs = left.join(middle, "token").where("rep <> centre" if step == 0 else "component <> other")
         else:
-            left = left.join(parities.select("rep", F.expr(folded).alias("fold")), "rep")
-            partner = left.select("token", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("fold").alias("fold2"), F.col("component").alias("other"))
-            pairs = left.drop("centre").join(partner, "token").where("component < other").where(early).where(near.format("fold"))
+            # a long list is cut into parts, and each part joined to all: no task joins more than SPLIT members to the list
+            parts = scratch.write(left.groupBy("token").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")), "parts")
+            left = left.join(filters.select("rep", F.struct("f.parity").alias("f")), "rep").join(parts, "token")
+            partner = left.select("token", F.col("rep").alias("centre"), F.col("n").alias("m"), F.col("pos").alias("pos2"), F.col("f").alias("g"), F.col("component").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            pairs = left.drop("centre").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(partner, ["token", "part"]).where("component < other").where(early).where(_like("f", "g", "n", "m", percent))
         ordered = F.col("rep") > F.col("centre")
         pairs = pairs.where(early).select(
             F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b"), F.when(ordered, F.col("n")).otherwise(F.col("m")).alias("n"), F.when(ordered, F.col("m")).otherwise(F.col("n")).alias("m")
@@ -252,9 +291,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = broadcast_if_small(scratch.write(pairs, f"early-{step}"))
-        pairs = pairs.join(parities.withColumnRenamed("rep", "a"), "a")
-        pairs = broadcast_if_small(scratch.write(pairs, f"half-{step}"), BROADCAST_ROWS // 20).join(parities.select(F.col("rep").alias("b"), F.col("parity").alias("parity2")), "b")
-        pairs = pairs.where(near.format("parity")).select("a", "b").distinct()
+        # orders B and C, before any set is fetched
+        pairs = pairs.join(filters.withColumnRenamed("rep", "a"), "a")
+        pairs = broadcast_if_small(scratch.write(pairs, f"half-{step}"), BROADCAST_ROWS // 20).join(filters.select(F.col("rep").alias("b"), F.col("f").alias("g")), "b")
+        pairs = pairs.where(_passes("f", "g", "n", "m", percent)).select("a", "b").distinct()
         pairs = scratch.write(pairs, f"pairs-{step}")
         ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{step}")
         sets = scratch.write(_full_sets(docs, broadcast_if_small(ids), k), f"sets-{step}")
@@ -268,6 +308,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         fresh = found.count()
         count += fresh
 
+    # a doc_id with several sets links them
+    several = prints.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = prints.where("n > 0").join(broadcast_if_small(scratch.write(several, "several")), "doc_id").select("doc_id", "k1", "k2").distinct()
+    inner = scratch.write(several.join(classes, ["k1", "k2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "inner")
+    if not inner.isEmpty():
+        labels = scratch.write(connected_components(inner.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "cc-own"), "labels-own")
     whole = classes.join(labels, classes.rep == labels.node, "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"))
     whole = whole.withColumnsRenamed({"k1": "c1", "k2": "c2"})
     out = prints.select("doc_id", "n", "k1", "k2").join(whole, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") > 0), "left")

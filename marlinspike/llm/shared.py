@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -17,6 +18,9 @@ BROADCAST_ROWS = 1_000_000
 #: Bound of the keys that a join takes out of the shuffle, and the fewest rows of such a key.
 HOT_KEYS, LEAST_HOT = 20_000, 1000
 
+#: Bits of a table of hash classes for each of its members, and the largest table, 2**28 bits or 32 MB.
+SPACE, MOST_BITS = 8, 28
+
 _roots: dict[str, str] = {}
 
 
@@ -80,6 +84,30 @@ def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def table_bits(count: int) -> int:
+    """Bits of a table for so many values: SPACE each, 2**MOST_BITS at most."""
+    return min(max((SPACE * count).bit_length(), 12), MOST_BITS)
+
+
+def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each of 2**bits classes that holds a value of the one column, a uniform hash.
+
+    Its size is bounded whatever the corpus.  Other values may share a class:
+    that adds work where the table is a first filter, never a result.
+    """
+    name = hashes.columns[0]
+    mask = F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({name}, {64 - bits}) & 63 as int))"))
+    table = hashes.groupBy(F.shiftright(F.shiftrightunsigned(F.col(name), 64 - bits), 6).alias("word")).agg(mask.alias("mask")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[table["word"].to_numpy()] = table["mask"].to_numpy()
+    return out
+
+
+def has_bit(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes >> np.uint64(64 - (len(table).bit_length() + 5))).astype(np.int64)
+    return ((table[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join with a side of one row a key, whose ``count`` says how many rows the left has of it.
 

@@ -30,12 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
-from .shared import Scratch, join_counted
+from .shared import MOST_BITS, Scratch, bit_table, has_bit, join_counted, table_bits
 
 WINDOW = 35
 SEED = 8
-#: Bits of a table of hash classes for each of its members, and the largest table's, 2**28 bits or 32 MB.
-SPACE, MOST_BITS = 8, 28
 #: Most occurrences that are looked up in a table; of more a list goes to each document.
 TABLED = (1 << MOST_BITS) // 4
 #: Windows that are worked on at once; a longer document is taken in slices.
@@ -88,33 +86,6 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, window: int, k: int):
         yield first, at + lo, m, seeds[anchor], reach, windows
 
 
-def _sized(count: int) -> int:
-    return min(max(int(SPACE * count).bit_length(), 12), MOST_BITS)
-
-
-def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def bit_table(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each of 2**bits classes that holds a value of the one column, a uniform hash.
-
-    At most MOST_BITS, whatever the corpus.  Others may share a class: that adds
-    work, never a result.
-    """
-    value = F.col(hashes.columns[0])
-    mask = F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned({hashes.columns[0]}, {64 - bits}) & 63 as int))"))
-    table = hashes.groupBy(F.shiftright(F.shiftrightunsigned(value, 64 - bits), 6).alias("word")).agg(mask.alias("mask")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[table["word"].to_numpy()] = table["mask"].to_numpy()
-    return out
-
-
-def _has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = _bit(hashes, int(len(table)).bit_length() + 5)
-    return ((table[at >> 6] >> (at & 63)) & 1).astype(bool)
-
-
 def _anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
     def rows(batches):
         for batch in batches:
@@ -133,7 +104,7 @@ def _occurrences(docs: DataFrame, window: int, k: int, table: np.ndarray) -> Dat
         for batch in batches:
             for lo, _, buf, offsets in K.blocks(batch.column(1)):
                 for first, at, m, anchor, reach, _ in anchors(buf, offsets, window, k):
-                    known = _has(shared.value, anchor)
+                    known = has_bit(shared.value, anchor)
                     at, m, anchor, reach = at[known], m[known], anchor[known], reach[known]
                     doc = np.searchsorted(first, at, "right") - 1
                     place = (at - first[doc]).astype(np.int32)
@@ -164,7 +135,7 @@ def _window_rows(docs: DataFrame, places: DataFrame, count: int, window: int, k:
     documents; of more the list of each document is joined to its text.
     """
     if count <= tabled:
-        shared = docs.sparkSession.sparkContext.broadcast(bit_table(_place_rows(places), _sized(2 * count)))
+        shared = docs.sparkSession.sparkContext.broadcast(bit_table(_place_rows(places), table_bits(2 * count)))
         source = docs.select("key", "text")
     else:
         shared = None
@@ -178,7 +149,7 @@ def _window_rows(docs: DataFrame, places: DataFrame, count: int, window: int, k:
                     doc = np.searchsorted(first, at, "right") - 1
                     place = at - first[doc]
                     if shared is not None:
-                        wanted = _has(shared.value, _place_hash(keys[doc + lo], place))
+                        wanted = has_bit(shared.value, _place_hash(keys[doc + lo], place))
                     else:
                         wanted = np.zeros(len(at), bool)
                         for d in np.unique(doc).tolist():
@@ -219,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     repeated = scratch.write(_anchor_rows(docs, window, seed).groupBy("anchor").count().where("count > 1").select("anchor"), "repeated")
-    found = scratch.write(_occurrences(docs, window, seed, bit_table(repeated, _sized(repeated.count()))), "found")
+    found = scratch.write(_occurrences(docs, window, seed, bit_table(repeated, table_bits(repeated.count()))), "found")
     total = found.count()
 
     # step 1: classes of the same reach

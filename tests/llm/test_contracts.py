@@ -79,6 +79,51 @@ def test_jaccard_of_repeated_rows(spark):
         assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 0, 2: 0} | ({7: 7} if len(many) > 9 else {})
 
 
+def test_jaccard_of_a_doc_id_with_several_sets(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(3))
+    rows = [(5, a), (5, b), (3, b), (9, c), (9, a), (8, c), (4, None), (5, None)]
+    got = [(r.doc_id, r.component_id) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(3, 3), (4, 4), (5, 3), (5, 3), (5, 5), (8, 3), (9, 3), (9, 3)]
+
+
+def test_jaccard_of_a_list_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "SPLIT", 3)
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(40):  # a shared passage, and pairs that are similar as a whole
+        own = [f"w{i // 2}-{k}" for k in range(60)]
+        if i % 2:
+            own[rng.randrange(60)] = "x"
+        rows.append((i, " ".join(common + own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.jaccard(rows)
+
+
+def test_orders_keep_every_similar_pair(spark):
+    import numpy as np
+
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 4, 5, 6, 9, 30, 120]))]
+        other = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 5])):
+            other[rng.randrange(len(other))] = f"n{rng.randrange(400)}"
+        texts += [" ".join(base), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = ngram_jaccard._fingerprints(docs, 5, 80, ngram_jaccard.count_sketch(docs, 5, 14)).selectExpr("doc_id", "n", "struct(low, high, parity) f")
+    left, right = prints.toDF("a", "n", "f"), prints.toDF("b", "m", "g")
+    passed = {(r.a, r.b) for r in left.join(right, left.a < right.b).where(ngram_jaccard._passes("f", "g", "n", "m", 80)).select("a", "b").collect()}
+    import pyarrow as pa
+
+    sets = {i: set(s.tolist()) for i, s in ngram_jaccard.shingle_sets(pa.array(texts), 5)}
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert similar <= passed and len(passed) < 3 * len(similar) + 50
+    assert np.int16(-32768) == ((np.uint64(0) >> np.uint64(48)).astype(np.int32) - (1 << 15)).astype(np.int16)
+
+
 def test_license_scan(spark, data):
     texts = ["Released under the MIT License.", "word word\nLicensed under the Apache License, Version 2.0.\nmore", "a license of poetic kind\n", None, "", license_scan.TEMPLATES["MIT"].replace(" to ", "\nto ").replace("charge", "fee")]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
