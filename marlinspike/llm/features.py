@@ -12,6 +12,8 @@ from . import kernels as K
 
 #: Documents whose dense feature rows are held at once.
 ROWS = 256
+#: Bytes that are looked at together.
+SLICE = 1 << 20
 #: Most labels whose ids are chosen by a job each; those of more are ranked in one.
 FEW_LABELS = 16
 
@@ -20,20 +22,22 @@ def ngram_counts(buf: np.ndarray, offsets: np.ndarray, dims: int, sizes: tuple[i
     """Dense counts (documents x dims) of hashed byte n-grams; none crosses a document's end."""
     n, rows = len(buf), len(offsets) - 1
     out = np.zeros(rows * dims, np.int64)
-    if not n:
-        return out.reshape(rows, dims)
-    doc = np.repeat(np.arange(rows), np.diff(offsets))
-    shift, key = np.uint64(64 - int(np.log2(dims))), np.zeros(n, np.uint64)
-    wide = buf.astype(np.uint64)
-    for size in range(1, max(sizes) + 1):
-        m = n - size + 1
-        if m <= 0:
-            break
-        key = key[:m] * np.uint64(257) + wide[size - 1 :] + np.uint64(1)
-        if size in sizes:
-            same = doc[:m] == doc[size - 1 :]
-            bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) + doc[:m] * dims
-            out += np.bincount(bucket[same], minlength=rows * dims)
+    shift = np.uint64(64 - int(np.log2(dims)))
+    # in slices, so that a very long text needs little memory; n-grams belong to the slice they start in
+    for lo in range(0, n, SLICE):
+        hi = min(lo + SLICE, n)
+        end = min(hi + max(sizes) - 1, n)
+        doc = np.searchsorted(offsets, np.arange(lo, end), "right") - 1
+        key, wide = np.zeros(end - lo, np.uint64), buf[lo:end].astype(np.uint64)
+        for size in range(1, max(sizes) + 1):
+            m = min(hi, n - size + 1) - lo
+            if m <= 0:
+                break
+            key = key[: end - lo - size + 1] * np.uint64(257) + wide[size - 1 :] + np.uint64(1)
+            if size in sizes:
+                same = doc[:m] == doc[size - 1 : m + size - 1]
+                bucket = ((key[:m] * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64) + doc[:m] * dims
+                out += np.bincount(bucket[same], minlength=rows * dims)
     return out.reshape(rows, dims)
 
 

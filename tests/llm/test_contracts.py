@@ -194,6 +194,73 @@ def test_leaks_match_brute_force(spark, data, small, docs):
     assert decontaminate.without_leaks(docs, bench.limit(0)).count() == len(awkward())
 
 
+def test_longest_match_against_brute_force(spark):
+    rng = random.Random(17)
+    say = lambda n, of=30: [f"w{rng.randrange(of)}" for _ in range(n)]
+    a, b, c = say(64, 9999), say(40, 9999), say(20, 9999)
+    items = [(1, a + b), (2, a + c), (3, say(200)), (4, (say(3) * 30)[:80]), (5, say(4)), (6, say(9)), (7, [])]
+    words = [say(3, 9999) + a + c, items[2][1][20:90] + ["zz"] + items[2][1][5:60], say(400), items[3][1] * 2, ["unknown"] * 50, a[:30] + c, []]
+    words += [(say(rng.randrange(20)) + items[rng.randrange(4)][1][rng.randrange(20) :])[: rng.randrange(5, 90)] for _ in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    want = brute.leaks([(i, " ".join(w)) for i, w in enumerate(words)], [(i, " ".join(w)) for i, w in items])
+    for size in (1 << 20, 300):
+        found, name = decontaminate.find_leaks(docs, bench, block_bytes=size)
+        for r in found.collect():
+            leak, w, best = r[name], words[r.doc_id], (0, 0)
+            assert (leak.n_words, leak.n_hit, len(leak["items"]), brute.sha(",".join(leak["items"]))) == want[r.doc_id]
+            starts = set()
+            for _, x in items:
+                k = min(10, len(x))
+                starts |= {i for i in range(len(w) - k + 1) for j in range(len(x) - k + 1) if k and w[i : i + k] == x[j : j + k]}
+            for i in starts:
+                for _, x in items:
+                    for j in range(len(x)):
+                        n = 0
+                        while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                            n += 1
+                        best = max(best, (n, -i))
+            assert (leak.longest, -(leak.longest_start or 0)) == best
+    first = next(r for r in found.collect() if r.doc_id == 0)[name]
+    assert (first.longest, first.longest_start, first.longest_item) == (84, 3, "2")
+
+
+def test_suffix_order_and_a_long_copy():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    ids = rng.integers(1, 4, 300).astype(np.int32)
+    ids[100:200] = 2
+    stop = np.repeat([0, 120, 121, 300], [0, 120, 1, 179])
+    got = decontaminate.suffix_array(ids, np.arange(300), stop).tolist()
+    assert got == sorted(range(300), key=lambda i: (ids[i : stop[i]].tolist(), i))
+    import time
+
+    items = [(str(i), " ".join(f"v{x}" for x in rng.integers(0, 40_000, 20_000))) for i in range(20)]
+    index = decontaminate.TestIndex(items, 10)
+    data = np.frombuffer(("lead " + items[3][1] + " tail").encode(), np.uint8)
+    began = time.time()
+    counts, found = decontaminate._scan(index, data, np.array([0, len(data)]))
+    spans, names, length, item, start = found[0]
+    assert (counts.tolist(), spans, names, length, item, start) == ([20_002], [[1, 20_001]], {"3"}, 20_000, "3", 1)
+    assert time.time() - began < 60
+
+
+def test_a_large_benchmark_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 50_000, 1000)) for _ in range(900)]
+    assert sum(map(len, texts)) > 8 << 20
+    tracemalloc.start()
+    decontaminate.TestIndex(list(enumerate(texts)), 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500 << 20
+
+
 def test_packing_round_trip(spark, data, small):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -456,3 +523,16 @@ def test_chat_oracle(spark):
     names = [d[0] for d in con.description]
     got = sorted(str(tuple(r[n] for n in names)) for r in chat_format.link_quotes(frame).collect())
     assert got == want
+
+
+def test_ngram_counts_in_slices(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    buf = rng.integers(97, 101, 500).astype(np.uint8)
+    offsets = np.array([0, 0, 7, 8, 300, 500])
+    whole = features.ngram_counts(buf, offsets, 256, (1, 3))
+    for size in (1, 2, 5, 64):
+        monkeypatch.setattr(features, "SLICE", size)
+        assert (features.ngram_counts(buf, offsets, 256, (1, 3)) == whole).all()
+    assert whole.sum() == 500 + sum(max(0, n - 2) for n in np.diff(offsets))
