@@ -58,3 +58,49 @@ def matches(text: Column, pattern: str, context: int = 0) -> Column:
     )
     none = F.array().cast(f"array<{kind}>")
     return let(zipped, lambda both: F.when(F.size(both["z"]) > 0, collect(both)).otherwise(none))
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], tuple[Column, Column]], state: str, emitted: str) -> Column:
+    """Array of what ``step(state, item)`` emits for each item in turn, next to the new state.
+
+    Taken over chunks, so that the cost stays near linear in the number of
+    items.  ``state`` and ``emitted`` are types.
+    """
+    none = F.array().cast(f"array<{emitted}>")
+
+    def fold(acc: Column, item: Column) -> Column:
+        new, out = step(acc["state"], item)
+        return F.struct(new.cast(state).alias("state"), F.array_append(acc["out"], out.cast(emitted)).alias("out"))
+
+    def chunk(every: Column, at: Column, number: Column) -> Column:
+        return F.aggregate(F.slice(every, number * _CHUNK + 1, _CHUNK), F.struct(at.cast(state).alias("state"), none.alias("out")), fold)
+
+    def collect(every: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / _CHUNK).cast("int"))
+        start = F.array().cast(f"array<struct<state: {state}, out: array<{emitted}>>>")
+        chunks = F.aggregate(numbers, start, lambda acc, n: F.array_append(acc, chunk(every, F.coalesce(F.try_element_at(acc, F.lit(-1))["state"], zero.cast(state)), n)))
+        return F.flatten(F.transform(chunks, lambda c: c["out"]))
+
+    return let(items, lambda every: F.when(F.size(every) > 0, collect(every)).otherwise(none))
+
+
+_PIECE = 4096
+
+
+def pieces(text: Column) -> Column:
+    """The text cut into pieces of 4096 characters, from which ``cut`` takes parts without going through the whole."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}+"), 0)
+
+
+def cut(parts: Column, start: Column, end: Column) -> Column:
+    """Characters start to end, exclusive, of the text that was cut into ``parts``."""
+
+    def join(at: Column) -> Column:
+        i, j = at["i"], at["j"]
+        head = F.substring(F.get(parts, i), at["a"] % _PIECE + 1, F.lit(_PIECE))
+        tail = F.substring(F.get(parts, j), F.lit(1), (at["b"] - 1) % _PIECE + 1)
+        inside = F.substring(F.get(parts, i), at["a"] % _PIECE + 1, at["b"] - at["a"])
+        return F.when(at["b"] <= at["a"], "").when(i == j, inside).otherwise(F.concat(head, F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), tail))
+
+    number = lambda c: F.floor(c / _PIECE).cast("int")
+    return let(F.struct(start.alias("a"), end.alias("b"), number(start).alias("i"), number(end - 1).alias("j")), join)
