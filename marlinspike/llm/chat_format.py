@@ -1,13 +1,19 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
 Each message is split into runs of lines of one quote level.  Level 0 is what
-its writer wrote; every other run is a quoted passage.  A passage, normalised
-(white space collapsed, trimmed, lower-cased) and hashed, is joined to the
-earlier messages of the same conversation that are the same as a whole or hold
-the same line, or all its lines one after the other (blank ones aside).  The
-message replies to the latest source of its shallowest linked passages.
-Quotes and the attribution lines that introduce them are dropped, and the
-messages get their place in their conversation.
+its writer wrote; every other run is a quoted passage.  A passage is normalised
+(white space collapsed, trimmed, lower-cased) and hashed as a whole and line by
+line, and joined to earlier messages of the same conversation that are the same
+as a whole, hold the same line, or hold all its lines one after the other
+(blank ones aside).  Of sources with the same hash the latest before the
+quotation counts; it comes from ordered windows of bounded ranges of turns, so
+that neither quotations nor sources are paired.  The message replies to the
+latest source of its shallowest linked passages.
+
+Replies make trees.  Each message is led to the root of its tree by pointers
+that jump twice as far in every round.  Conversations are then put into reply
+order: tree by tree, and each reply behind the message it replies to.  Quotes
+and the attribution lines that introduce them are dropped.
 """
 
 from __future__ import annotations
@@ -15,8 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .native import let
+from .shared import BROADCAST_ROWS, Scratch
 
-#: Turns of a conversation that are ranked together; a longer one is split.
+#: Turns of a conversation that are ordered together; a longer one is split.
 TURNS = 1000
 _QUOTE = "^[ \\t]*+((?:>[ \\t]*+)*+)"
 #: Fixed form of the line that introduces a quotation.
@@ -32,22 +39,58 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n", -1), normalise), lambda x: F.length(x) > 0)
 
 
-def _line_runs(quotes: DataFrame, index: DataFrame) -> DataFrame:
-    """(key, level, hash, source) of passages of several lines that are consecutive lines of an earlier message.
+def _md5(text: Column) -> Column:
+    return F.md5(text.cast("binary"))
 
-    ``quotes`` has a row for each line of a passage (conv_id, turn, key, level,
-    hash, run, m, k, line_hash), ``index`` one for each wanted line of a message
-    (conv_id, source, message, pos, line_hash).  Candidates come from a
-    passage's rarest line only, and are then checked line by line.
+
+def _parts(whole: Column, lines: Column, sizes: Column) -> Column:
+    """Array of (m, part): for each of ``sizes`` the hashes of all m lines in a row; 0 stands for the whole text."""
+
+    def of(m: Column) -> Column:
+        window = lambda i: F.when(m == 1, F.get(lines, i)).otherwise(_md5(F.array_join(F.slice(lines, i + 1, m), "")))
+        some = F.when(F.size(lines) >= m, F.transform(F.sequence(F.lit(0), F.size(lines) - m), lambda i: F.struct(m.alias("m"), window(i).alias("part"))))
+        none = F.array().cast("array<struct<m: int, part: string>>")
+        return F.coalesce(F.when(m == 0, F.array(F.struct(m.alias("m"), whole.alias("part")))).otherwise(some), none)
+
+    return F.array_distinct(F.flatten(F.transform(sizes, of)))
+
+
+def _latest(quoters: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
+    """Quoters (keys, turn, ...) with the latest turn of a source (keys, turn) before theirs, as ``source``.
+
+    Ordered within ranges of TURNS turns; of earlier ranges only the last source is looked at.
     """
-    places = index.groupBy("conv_id", "line_hash").agg(F.count("*").alias("places"))
-    passage = ["conv_id", "turn", "key", "level", "hash", "run", "m"]
-    rarest = quotes.join(places, ["conv_id", "line_hash"]).groupBy(*passage).agg(F.count("*").alias("known"), F.min_by(F.struct("k", "line_hash"), F.struct("places", "k")).alias("at"))
-    rarest = rarest.where("known = m").select(*passage, F.col("at.k").alias("k"), F.col("at.line_hash").alias("line_hash"))
-    near = rarest.join(index, ["conv_id", "line_hash"]).where("source < turn").select(*passage, "source", "message", (F.col("pos") - F.col("k")).alias("first"))
-    lines = near.join(quotes.select("key", "level", "run", "k", "line_hash"), ["key", "level", "run"]).withColumn("pos", F.col("first") + F.col("k"))
-    same = lines.join(index.select("conv_id", "message", "pos", "line_hash"), ["conv_id", "message", "pos", "line_hash"])
-    return same.groupBy("key", "level", "hash", "run", "m", "source", "message", "first").count().where("count = m").select("key", "level", "hash", "source")
+    others = [c for c in quoters.columns if c not in (*keys, "turn")]
+    rows = quoters.withColumns({"source": F.lit(None).cast("long"), "asks": F.lit(True)}).unionByName(sources.select(*keys, "turn", F.col("turn").alias("source"), F.lit(False).alias("asks")), allowMissingColumns=True)
+    rows = rows.withColumn("range", F.floor(F.col("turn") / TURNS))
+    own = Window.partitionBy(*keys, "range").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys, "range").agg(F.max("source").alias("last")).withColumn("earlier", F.max("last").over(before)).drop("last")
+    rows = rows.withColumn("near", F.max("source").over(own)).where("asks").join(ranges.where("earlier is not null"), [*keys, "range"], "left")
+    return rows.withColumn("source", F.coalesce("near", "earlier")).where("source is not null").select(*keys, "turn", *others, "source")
+
+
+def _before(rows: DataFrame, keys: list[str], order: str, weight: str, name: str) -> DataFrame:
+    """Add the sum of ``weight`` over the rows of the same keys that are smaller in ``order``, which is unique there."""
+    rows = rows.withColumn("range", F.floor(F.col(order) / TURNS))
+    ahead = lambda by, *more: Window.partitionBy(*keys, *more).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*keys, "range").agg(F.sum(weight).alias("all"))
+    ranges = ranges.withColumn("earlier", F.coalesce(F.sum("all").over(ahead("range")), F.lit(0))).drop("all")
+    rows = rows.withColumn("own", F.coalesce(F.sum(weight).over(ahead(order, "range")), F.lit(0))).join(ranges, [*keys, "range"])
+    return rows.withColumn(name, F.col("earlier") + F.col("own")).drop("range", "earlier", "own")
+
+
+def _roots(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, turn, thread): the root of each turn that replies, from links (conv_id, turn, up) to earlier turns."""
+    links, step = scratch.write(links, "up-0"), 0
+    while True:
+        further = links.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"))
+        step += 1
+        moved = scratch.write(links.join(further, ["conv_id", "up"], "left").select("conv_id", "turn", F.coalesce("next", "up").alias("up"), F.col("next").isNotNull().alias("moved")), f"up-{step}")
+        scratch.drop(f"up-{step - 1}")
+        if moved.where("moved").isEmpty():
+            return moved.select("conv_id", "turn", F.col("up").alias("thread"))
+        links = moved.drop("moved")
 
 
 def _runs(text: Column) -> Column:
@@ -86,52 +129,60 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     Returns one row for each input row: conv_id, turn, role, content (own words,
     trimmed), n_quotes (quoted passages with a word), n_linked (those found in an
-    earlier turn), max_level, reply_to (turn, null if nothing is linked) and
-    position (rank of the turn in its conversation from 0; repeated turns share
-    one).  Null and empty texts have empty content and no quotes.  Messages with
-    a null conversation or turn are kept, but neither link nor are linked to,
-    and have a null position.  Only the four named columns are read; an empty
-    table gives none.
+    earlier turn), max_level, reply_to (turn, null if nothing is linked), thread
+    (turn at the root of its reply tree) and position (place in the reply order
+    of its conversation, from 0: by thread, then by turn).  Rows that repeat a
+    turn share thread and position; of their replies the one to the latest turn
+    decides.  Null and empty texts have empty content and no quotes.  Messages
+    with a null conversation or turn are kept, but neither link nor are linked
+    to, and have a null thread and position.  Only the four named columns are
+    read; an empty table gives none.
     """
+    scratch = Scratch(messages.sparkSession, "chat")
     base = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     quoting = base.text.rlike("(?m)^[ \\t]*>")
     plain = F.array(F.struct(F.lit(0).alias("level"), F.regexp_replace("text", "\\r", "").alias("body")))
-    runs = base.withColumn("runs", F.when(quoting, _runs(F.col("text"))).otherwise(plain)).withColumn("key", F.xxhash64("conv_id", "turn", "role", "text")).drop("text")
+    split = let(
+        F.when(quoting, _runs(F.col("text"))).otherwise(plain),
+        lambda runs: F.struct(
+            _own(runs).alias("content"), F.coalesce(F.array_max(F.transform(runs, lambda r: r["level"])), F.lit(0)).cast("long").alias("max_level"),
+            F.transform(F.filter(runs, lambda r: r["level"] > 0), lambda r: F.struct(r["level"].alias("level"), normalise(r["body"]).alias("norm"), F.transform(_lines(r["body"]), _md5).alias("lines"))).alias("quotes"),
+        ),
+    )
+    runs = base.select("conv_id", "turn", "role", F.xxhash64("conv_id", "turn", "role", "text").alias("key"), split.alias("s")).select("conv_id", "turn", "role", "key", "s.*")
+    runs = scratch.write(runs, "runs")
     known = runs.where("conv_id is not null and turn is not null")
 
-    quoted = known.select("conv_id", "turn", "key", F.explode(F.filter("runs", lambda r: r["level"] > 0)).alias("r")).select("conv_id", "turn", "key", "r.level", F.col("r.body").alias("body"), normalise(F.col("r.body")).alias("norm"))
-    quoted = quoted.where("length(norm) > 0").withColumn("hash", F.md5(F.col("norm").cast("binary"))).drop("norm")
-    passages = quoted.drop("body").distinct()
-    hashes = F.transform(_lines(F.col("body")), lambda x: F.md5(x.cast("binary")))
-    several = quoted.select("conv_id", "turn", "key", "level", "hash", hashes.alias("lines")).where("size(lines) > 1")
-    several = several.withColumn("run", F.md5(F.array_join("lines", "").cast("binary"))).withColumn("m", F.size("lines")).distinct()
-    quotes = several.select("conv_id", "turn", "key", "level", "hash", "run", "m", F.posexplode("lines").alias("k", "line_hash"))
-    # only conversations that quote need an index of what was written
-    wanted = passages.select("conv_id", "hash").union(quotes.select("conv_id", "line_hash")).distinct()
-    own = _own(F.col("runs"))
-    # part 0 is the whole text, the others its lines that are not blank
-    parts = known.select("conv_id", "turn", "key", F.posexplode(let(own, lambda t: F.concat(F.array(normalise(t)), _lines(t)))).alias("pos", "norm"))
-    index = parts.where("length(norm) > 0").select("conv_id", F.col("turn").alias("source"), F.col("key").alias("message"), "pos", F.md5(F.col("norm").cast("binary")).alias("hash"))
-    index = index.join(wanted, ["conv_id", "hash"], "left_semi").distinct()
-    single = passages.join(index, ["conv_id", "hash"]).where("source < turn").select("key", "level", "hash", "source")
-    runs_of_lines = _line_runs(quotes, index.where("pos > 0").withColumnRenamed("hash", "line_hash"))
-    linked = single.union(runs_of_lines).groupBy("key", "level", "hash").agg(F.max("source").alias("source"))
-    links = linked.groupBy("key").agg(F.count("*").alias("n_linked"), F.min("level").alias("first_level"))
-    first = linked.join(links, "key").where("level = first_level").groupBy("key").agg(F.max("source").alias("reply_to"), F.max("n_linked").alias("n_linked"))
-    counts = passages.groupBy("key").agg(F.count("*").alias("n_quotes"))
-
-    # rank of a turn: turns in earlier ranges of TURNS, plus the rank in its own
-    turns = known.select("conv_id", "turn").distinct().withColumn("part", F.floor(F.col("turn") / TURNS))
-    sizes = turns.groupBy("conv_id", "part").count()
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    places = turns.withColumn("own", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn")) - 1).join(sizes, ["conv_id", "part"])
-    places = places.select("conv_id", "turn", (F.col("before") + F.col("own")).cast("long").alias("position"))
-
-    out = runs.select("conv_id", "turn", "role", "key", own.alias("content"), F.coalesce(F.array_max(F.transform("runs", lambda r: r["level"])), F.lit(0)).cast("long").alias("max_level"))
-    out = out.join(counts, "key", "left").join(first, "key", "left").join(places, ["conv_id", "turn"], "left")
+    quoted = known.select("conv_id", "turn", "key", F.explode("quotes").alias("q")).where("length(q.norm) > 0")
+    quoted = quoted.select("conv_id", "turn", "key", "q.level", _md5(F.col("q.norm")).alias("hash"), "q.lines").distinct()
+    counts = quoted.groupBy("key").agg(F.count_distinct("level", "hash").alias("n_quotes"))
+    kind = lambda m, part: F.struct(m.cast("int").alias("m"), part.alias("part"))
+    ways = F.array(kind(F.lit(0), F.col("hash")), kind(F.lit(1), F.col("hash")), kind(F.size("lines"), F.when(F.size("lines") > 1, _md5(F.array_join("lines", "")))))
+    wanted = quoted.select("conv_id", "turn", "key", "level", "hash", F.explode(F.filter(ways, lambda w: w["part"].isNotNull())).alias("w")).select("conv_id", "turn", "key", "level", "hash", "w.*")
+    wanted = scratch.write(wanted, "wanted")
+
+    # only conversations that quote need an index, and only of as many lines in a row as they quote
+    sizes = scratch.write(wanted.select("conv_id", "m").distinct(), "sizes")
+    few = sizes.count() <= BROADCAST_ROWS
+    sizes = sizes.groupBy("conv_id").agg(F.collect_set("m").alias("sizes"))
+    parts = known.where("length(content) > 0").join(F.broadcast(sizes) if few else sizes, "conv_id")
+    parts = parts.select("conv_id", "turn", F.explode(let(F.transform(_lines(F.col("content")), _md5), lambda lines: _parts(_md5(normalise(F.col("content"))), lines, F.col("sizes")))).alias("p"))
+    keys = ["conv_id", "m", "part"]
+    sources = parts.select("conv_id", "turn", "p.*").join(wanted.select(*keys).distinct(), keys, "left_semi").distinct()
+    linked = scratch.write(_latest(wanted, sources, keys).groupBy("key", "level", "hash").agg(F.max("source").alias("source")), "linked")
+    first = linked.groupBy("key").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("level"), "source")).alias("best")).select("key", "n_linked", F.col("best.source").alias("reply_to"))
+
+    # trees of replies, then places: threads before one's own, and turns before it in its thread
+    turns = known.join(first, "key", "left").groupBy("conv_id", "turn").agg(F.max("reply_to").alias("up"))
+    roots = _roots(turns.where("up is not null"), scratch)
+    turns = scratch.write(turns.select("conv_id", "turn").join(roots, ["conv_id", "turn"], "left").withColumns({"thread": F.coalesce("thread", "turn"), "one": F.lit(1)}), "turns")
+    threads = _before(turns.groupBy("conv_id", "thread").agg(F.sum("one").alias("n")), ["conv_id"], "thread", "n", "threads_before")
+    places = _before(turns, ["conv_id", "thread"], "turn", "one", "turns_before").join(threads.drop("n"), ["conv_id", "thread"])
+    places = places.select("conv_id", "turn", "thread", (F.col("threads_before") + F.col("turns_before")).cast("long").alias("position"))
+
+    out = runs.drop("quotes").join(counts, "key", "left").join(first, "key", "left").join(places, ["conv_id", "turn"], "left")
     return out.select(
-        "conv_id", "turn", "role", "content", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "max_level", "reply_to", "position"
+        "conv_id", "turn", "role", "content", F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), "max_level", "reply_to", "thread", "position"
     )
 
 

@@ -3,7 +3,7 @@
 _NORM = "lower(trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g')))"
 
 CHAT_FORMAT = rf"""
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT row_number() OVER () AS rid, conv_id, CAST(turn AS BIGINT) AS turn, role, replace(coalesce(text, ''), chr(13), '') AS text FROM conversations
 ), split AS (
   SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM base
@@ -16,32 +16,40 @@ WITH base AS (
 ), numbered AS (
   SELECT *, sum(opens) OVER (PARTITION BY rid ORDER BY pos) AS run FROM edges
 ), runs AS (
-  SELECT rid, run, any_value(level) AS level, {_NORM.format("string_agg(body, chr(10) ORDER BY pos)")} AS norm FROM numbered GROUP BY rid, run
+  SELECT rid, run, any_value(level) AS level, {_NORM.format("string_agg(body, chr(10) ORDER BY pos)")} AS norm,
+    list({_NORM.format("body")} ORDER BY pos) FILTER ({_NORM.format("body")} <> '') AS lines FROM numbered GROUP BY rid, run
 ), own AS (
   SELECT rid, regexp_replace(string_agg(body, chr(10) ORDER BY pos), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS content FROM bodies
   WHERE level = 0 AND NOT regexp_matches(trim(body), '^(On|Le|Am|El) .*(wrote|écrit|schrieb|escribió) ?:$') GROUP BY rid
 ), levels AS (
   SELECT rid, max(level) AS max_level FROM bodies GROUP BY rid
 ), passages AS (
-  SELECT DISTINCT r.rid, b.conv_id, b.turn, r.level, md5(r.norm) AS hash FROM runs r JOIN base b USING (rid)
+  SELECT DISTINCT b.rid, b.conv_id, b.turn, r.level, r.norm, r.lines FROM runs r JOIN base b USING (rid)
   WHERE r.level > 0 AND length(r.norm) > 0 AND b.conv_id IS NOT NULL AND b.turn IS NOT NULL
-), parts AS (
-  SELECT conv_id, turn, content AS part FROM own JOIN base USING (rid) UNION ALL SELECT conv_id, turn, unnest(string_split(content, chr(10))) FROM own JOIN base USING (rid)
-), sources AS (
-  SELECT DISTINCT conv_id, turn AS source, md5({_NORM.format("part")}) AS hash FROM parts WHERE length({_NORM.format("part")}) > 0 AND turn IS NOT NULL
+), written AS (
+  SELECT conv_id, turn, {_NORM.format("content")} AS norm, list_filter(list_transform(string_split(content, chr(10)), lambda x: {_NORM.format("x")}), lambda x: x <> '') AS lines
+  FROM own JOIN base USING (rid) WHERE turn IS NOT NULL AND {_NORM.format("content")} <> ''
 ), linked AS (
-  SELECT p.rid, p.level, p.hash, max(s.source) AS source FROM passages p JOIN sources s ON p.conv_id = s.conv_id AND p.hash = s.hash AND s.source < p.turn GROUP BY ALL
+  SELECT p.rid, p.level, p.norm, max(w.turn) AS source FROM passages p JOIN written w ON p.conv_id = w.conv_id AND w.turn < p.turn
+  WHERE w.norm = p.norm OR list_contains(w.lines, p.norm)
+    OR (len(p.lines) > 1 AND len(list_filter(range(1, len(w.lines) - len(p.lines) + 2), lambda i: w.lines[i:i + len(p.lines) - 1] = p.lines)) > 0)
+  GROUP BY ALL
 ), links AS (
   SELECT rid, count(*) AS n_linked, min(level) AS first_level FROM linked GROUP BY rid
 ), first AS (
   SELECT l.rid, max(l.source) AS reply_to, max(k.n_linked) AS n_linked FROM linked l JOIN links k ON l.rid = k.rid AND l.level = k.first_level GROUP BY l.rid
 ), counts AS (
-  SELECT rid, count(*) AS n_quotes FROM passages GROUP BY rid
+  SELECT rid, count(DISTINCT (level, norm)) AS n_quotes FROM passages GROUP BY rid
+), parents AS (
+  SELECT conv_id, turn, max(reply_to) AS up FROM base LEFT JOIN first USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), tree AS (
+  SELECT conv_id, turn, turn AS thread FROM parents WHERE up IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, t.thread FROM parents p JOIN tree t ON p.conv_id = t.conv_id AND p.up = t.turn
 ), places AS (
-  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM (SELECT DISTINCT conv_id, turn FROM base WHERE conv_id IS NOT NULL AND turn IS NOT NULL)
+  SELECT conv_id, turn, thread, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS position FROM tree
 )
 SELECT b.conv_id, b.turn, b.role, coalesce(o.content, '') AS content, CAST(coalesce(c.n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(f.n_linked, 0) AS BIGINT) AS n_linked,
-  CAST(l.max_level AS BIGINT) AS max_level, f.reply_to, CAST(p.position AS BIGINT) AS position
+  CAST(l.max_level AS BIGINT) AS max_level, f.reply_to, p.thread, CAST(p.position AS BIGINT) AS position
 FROM base b LEFT JOIN own o USING (rid) LEFT JOIN counts c USING (rid) LEFT JOIN first f USING (rid) LEFT JOIN levels l USING (rid)
 LEFT JOIN places p ON b.conv_id = p.conv_id AND b.turn = p.turn
 """

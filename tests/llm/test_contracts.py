@@ -543,19 +543,61 @@ def test_chat_links_of_several_lines(spark):
     assert got[1, 5] == (2, 2, 1)
 
 
-def test_chat_oracle(spark):
+def _chat(seed, conversations=12, turns=14):
+    """Conversations that branch, quote lines, runs of lines, whole messages and quotes of quotes."""
+    rng = random.Random(seed)
+    say = lambda: "\n".join(" ".join(rng.choice("ab cd ef gh ij".split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 5)))
+    rows = []
+    for conv in range(conversations):
+        held = []
+        for turn in rng.sample(range(3000), turns):
+            held.append(turn)
+        texts = {}
+        for turn in sorted(held):
+            text = say()
+            if texts and rng.random() < 0.7:
+                source = rng.choice(list(texts.values())).split("\n")
+                a = rng.randrange(len(source))
+                part = source[a : rng.randint(a, len(source)) + 1] or ["nobody said this"]
+                quote = "\n".join("> " + x.replace(" ", "  ").upper() for x in part)
+                text = rng.choice(["On x wrote:\n", ""]) + quote + "\n" + text + rng.choice(["", "\n> > zz\n> ab"])
+            texts[turn] = text
+            rows.append((conv, turn, rng.choice(["user", None]), rng.choice([text, text, text + "\n\n"])))
+        rows.append((conv, *rows[-1][1:]))
+        rows.append((conv, rows[-2][1], "other", say()))
+    return rows + [(None, 1, "user", "> x\ny"), (3, None, "user", "> ab"), (3, 99_999, "user", None), (4, 99_999, "user", "")]
+
+
+@pytest.mark.parametrize("turns", [1000, 7])
+def test_chat_oracle(spark, monkeypatch, turns):
     duckdb = pytest.importorskip("duckdb")
     import pandas as pd
 
+    monkeypatch.setattr(chat_format, "TURNS", turns)
     con = duckdb.connect()
-    rows = [("1", 0, "user", "A b.\nC"), ("1", 1, "assistant", "> a  B.\nyes\n> zz\n> > q"), ("2", 3, "user", "  \n On x wrote:\n> A\n t "), ("2", 4, "user", None)]
-    rows = [(int(a), *b) for a, *b in rows]
+    rows = _chat(turns) + [(90, 0, "user", "A b.\nC"), (90, 1, "assistant", "> a  B.\nyes\n> zz\n> > q"), (91, 3, "user", "  \n On x wrote:\n> A\n t "), (91, 4, "user", None)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
-    want = sorted(map(str, con.execute(queries.ORACLES["op10_chat_format"]).fetchall()))
-    names = [d[0] for d in con.description]
-    got = sorted(str(tuple(r[n] for n in names)) for r in chat_format.link_quotes(frame).collect())
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    found = con.execute(queries.ORACLES["op10_chat_format"])
+    names = [d[0] for d in found.description]
+    want = sorted(map(str, found.fetchall()))
+    linked = chat_format.link_quotes(frame).collect()
+    got = sorted(str(tuple(r[n] for n in names)) for r in linked)
     assert got == want
+    assert sum(r.n_linked for r in linked) > 60 and max(r.turn - r.reply_to for r in linked if r.reply_to is not None) > 1000
+    place = {(r.conv_id, r.turn): r for r in linked if r.position is not None}
+    branched = 0
+    for (conv, _), r in place.items():
+        if r.reply_to is not None:  # a reply is behind its source, and only messages of its tree lie between
+            assert place[conv, r.reply_to].position < r.position and place[conv, r.reply_to].thread == r.thread
+            branched += any(o.reply_to is None and r.reply_to < o.turn < r.turn for (c, _), o in place.items() if c == conv)
+    assert branched > 5
+
+
+def test_chat_reply_chain_is_followed_to_its_root(spark):
+    rows = [(1, t, "user", (f"> line {t - 1}\n" if t else "") + f"line {t}") for t in range(70)] + [(1, 100, "user", "alone"), (1, 101, "user", "> line 3\nlate")]
+    got = {r.turn: (r.reply_to, r.thread, r.position) for r in chat_format.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[69] == (68, 0, 69) and got[101] == (3, 0, 70) and got[100] == (None, 100, 71)
 
 
 def test_ngram_counts_in_slices(monkeypatch):
