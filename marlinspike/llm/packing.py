@@ -16,6 +16,7 @@ the number of classes only.
 from __future__ import annotations
 
 import base64
+import logging
 import re
 import zlib
 
@@ -28,7 +29,8 @@ from .shared import Scratch
 SEQUENCE = 2048
 UNIT = 8
 END_ID = 1
-SALTS = 256
+#: About so many pieces of a class are ranked together.
+TOGETHER = 20_000
 _encoders: dict[tuple[str, str, bool], object] = {}
 
 
@@ -133,21 +135,24 @@ def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, patience: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows of counts) and how often each is used in the linear optimum.
+def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, patience: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (rows of counts), how often each is used in the linear optimum, and a lower bound of that.
 
     Minimises the number of sequences subject to packing each class exactly
-    ``demand`` times.  Where ``patience`` pivots in a row gain nothing, the basis
-    is taken as it is; it is feasible at every step.
+    ``demand`` times.  The bound comes from the prices: divided by the best
+    pattern's price they are a solution of the dual program.  It equals the sum
+    of the uses where they are optimal.  Where ``patience`` pivots in a row gain
+    nothing, the basis, which is feasible at every step, is taken as it is.
     """
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(np.float64)
     inverse = np.diag(1.0 / np.diag(basis))
     level = inverse @ demand
-    best, idle, step, kept = float(level.sum()), 0, 0, (basis.copy(), level.copy())
+    best, idle, step, kept, bound = float(level.sum()), 0, 0, (basis.copy(), level.copy()), 0.0
     while idle < patience and step < 50 * m + 1000:
         prices = inverse.sum(axis=0)
         value, column = knapsack(prices, sizes, capacity)
+        bound = max(bound, float(np.maximum(prices, 0) @ demand) / max(value, 1.0))
         if value <= 1 + 1e-7:
             break
         move = inverse @ column
@@ -178,7 +183,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, patienc
         if 0 < total < best * (1 - 1e-7):
             best, idle, kept = total, 0, (basis.copy(), level.copy())
     basis, level = kept
-    return basis.T.round().astype(np.int64), np.maximum(level, 0)
+    return basis.T.round().astype(np.int64), np.maximum(level, 0), min(bound, best)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -190,7 +195,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     sizes = np.array(sorted(left))
     if len(sizes):
         demand = np.array([left[s] for s in sizes.tolist()], np.float64)
-        patterns, level = solve_patterns(sizes, demand, capacity)
+        patterns, level, bound = solve_patterns(sizes, demand, capacity)
+        if level.sum() > bound * 1.001 + 1:
+            logging.getLogger(__name__).warning("the patterns use %.1f sequences; the optimum is %.1f at least", level.sum(), bound)
         for row, times in zip(patterns, np.floor(level + 1e-6).astype(np.int64).tolist(), strict=True):
             pattern = {int(s): int(c) for s, c in zip(sizes, row, strict=True) if c}
             if pattern:
@@ -236,16 +243,21 @@ def pack(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     made = scratch.write(cut(docs, "text", sequence, end_id, with_ids, files), "pieces")
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    pieces = made.withColumn("class", ((F.col("length") + unit - 1) / unit).cast("int")).withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-
-    # ranks within a class: its salts one after the other, each counted on its own
+    pieces = made.withColumn("class", ((F.col("length") + unit - 1) / unit).cast("int"))
+    histogram = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}  # sequence / unit rows at most
+
+    # ranks within a class: its salts one after the other, each counted on its own; their number grows with the class
+    salts = F.lit(1)
+    for size, count in histogram.items():
+        if count > TOGETHER:
+            salts = F.when(F.col("class") == size, -(-count // TOGETHER)).otherwise(salts)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64(*order), salts).cast("int"))
     counts = scratch.write(pieces.groupBy("class", "salt").count(), "counts")
     before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0))).select("class", "salt", "before")
     own = Window.partitionBy("class", "salt").orderBy(*order)
     ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(counts, ["class", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
 
-    histogram = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}
     rows, begun, first = [], dict.fromkeys(histogram, 0), 0
     for pattern, times in plan(histogram, sequence // unit):
         for size, count in pattern.items():

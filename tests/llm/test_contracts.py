@@ -171,6 +171,36 @@ def test_every_trusted_document_counts(spark):
     assert quality_rules.ngram_weights(docs, docs) == [0] * quality_rules.BUCKETS
 
 
+def test_rules_score_against_brute_force(spark, data, small):
+    import math
+    import re
+
+    import xxhash
+
+    trusted = {r.doc_id for r in spark.read.parquet(f"{data}/labels.parquet").collect() if r.quality == 1}
+    assert 10 < len(trusted) < len(small)
+
+    def grams(text):
+        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in brute.WORD.findall(text or "")]
+        return [x % quality_rules.BUCKETS for x in h] + [((a >> 17) ^ b ^ (b >> 31)) % quality_rules.BUCKETS for a, b in zip(h, h[1:])]
+
+    raw, target = [0] * quality_rules.BUCKETS, [0] * quality_rules.BUCKETS
+    for i, text in small:
+        for g in grams(text):
+            raw[g] += 1
+            target[g] += i in trusted
+    base = math.log((sum(target) + 0.5 * quality_rules.BUCKETS) / (sum(raw) + 0.5 * quality_rules.BUCKETS))
+    weights = [round(65536 * (math.log((t + 0.5) / (r + 0.5)) - base)) for t, r in zip(target, raw)]
+    texts, kept = dict(small), 0
+    for r in queries.op3_quality_rules(spark, data).collect():
+        own = grams(texts[r.doc_id])
+        score = sum(weights[g] for g in own) / max(1, len(own)) / 65536
+        assert abs(r.score - score) < 1e-9
+        assert r.kept == (not r.base_failed and score >= -0.1)
+        kept += r.kept
+    assert 0 < kept < len(small) and re
+
+
 def test_leaks_match_brute_force(spark, data, small, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     want = brute.leaks(small, items)
@@ -266,7 +296,6 @@ def test_packing_round_trip(spark, data, small):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     tokens = {i: t.encode(x or "", add_special_tokens=False).ids + [1] for i, x in small}
     rows = queries.op6_packing(spark, data).collect()
     pieces, sequences = {}, {}
@@ -292,6 +321,48 @@ def test_packing_round_trip(spark, data, small):
     assert filled / (2048 * len(sequences)) > 0.97
 
 
+def test_patterns_are_optimal():
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sizes = np.array(sorted(rng.choice(np.arange(2, 16), 4, replace=False).tolist()))
+        prices, capacity = rng.random(4), 17
+        best = max(float(np.dot(c, prices)) for c in product(*[range(capacity // s + 1) for s in sizes]) if np.dot(c, sizes) <= capacity)
+        value, counts = packing.knapsack(prices, sizes, capacity)
+        assert abs(value - best) < 1e-9 and abs(counts @ prices - best) < 1e-9 and counts @ sizes <= capacity
+    for classes, most in ((5, 30), (40, 500), (255, 20_000)):
+        sizes = np.arange(1, classes + 1)
+        demand = rng.integers(1, most, classes).astype(float)
+        patterns, level, bound = packing.solve_patterns(sizes, demand, 256)
+        # feasible, and as good as the dual's bound, so optimal
+        assert np.allclose(patterns.T @ level, demand, rtol=1e-5, atol=1e-3) and (patterns @ sizes <= 256).all()
+        assert level.sum() <= bound * 1.001 + 1e-6
+        used = packing.plan(dict(zip(sizes.tolist(), demand.astype(int).tolist(), strict=True)), 256)
+        assert sum(times for _, times in used) <= bound * 1.001 + classes + 1
+        for s, d in zip(sizes.tolist(), demand.tolist(), strict=True):
+            assert sum(p.get(s, 0) * times for p, times in used) == d
+
+
+def test_packing_of_classes_in_several_salts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    docs = spark.createDataFrame([(i % 90, "word " * (i % 40 if i % 3 else 12)) for i in range(400)], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(rows) == 400
+    for own in held.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert sorted(held) == list(range(len(held)))
+
+
 def test_packing_awkward_rows(spark, docs):
     rows = packing.pack(docs, with_ids=True).collect()
     assert len({(r.doc_id) for r in rows}) == len({r[0] for r in awkward()})
@@ -305,10 +376,9 @@ def test_encoder_agrees_with_the_defining_library():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    encode, rng = packing.encoder(), random.Random(3)
+    encode, rng = packing.encoder(added=True), random.Random(3)
     texts = ["".join(chr(rng.randrange(256)) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    texts += ["<|endoftext|>", "naïve — “quoted” 漢字 😀", "a" * 5000, " " * 300 + "x", "don't I'LL we've x", "".join(map(chr, range(256)))]
+    texts += ["<|endoftext|>", "x <|endoftext|> y", "naïve — “quoted” 漢字 😀", "a" * 5000, " " * 300 + "x", "don't I'LL we've x", "".join(map(chr, range(256)))]
     for text in texts:
         assert encode(text) == t.encode(text, add_special_tokens=False).ids
 
@@ -452,6 +522,57 @@ def test_quality_classifier_on_held_out_rows(spark, docs):
     assert {r[name] for r in quality_classifier.score_quality(docs, nothing)[0].collect()} == {0.5}
 
 
+def test_votes_of_neighbours_against_brute_force(spark, small):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    texts = pa.array([t for _, t in small][:120] + [None, "", "x"])
+    x = np.concatenate([b for _, _, b in features.feature_blocks(texts, 256, (1, 3), 2.0)])
+    labels = rng.integers(0, 2, 80)
+    model = quality_classifier.LatentNeighbours.fit(x[:80].copy(), labels, rank=16, neighbours=7)
+    got = model.score(x)
+    for row, score in zip(x, got, strict=True):
+        v = row * model.weights
+        v = v / (np.linalg.norm(v) or 1) @ model.basis
+        v = v / (np.linalg.norm(v) or 1)
+        cosine = [sum(float(a) * float(b) for a, b in zip(v, w, strict=True)) for w in model.vectors]
+        near = sorted(range(80), key=lambda i: -cosine[i])[:7]
+        weight = [max(0.0, cosine[i]) ** 4 for i in near]
+        want = sum(w * labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight) if sum(weight) else labels.mean()
+        assert abs(score - want) < 1e-3
+
+
+def test_language_votes_against_brute_force():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    names = ["de", "en", "es", "fr", "nl", "xx"]
+    y = np.repeat(np.arange(6), 30)
+    x = np.abs(rng.normal(size=(180, 40)) * 0.3 + np.eye(6)[y] @ rng.random((6, 40)) * 2).astype(np.float32)
+    tree = language_id.LanguageTree.fit(x.copy(), y, names, language_id.FAMILIES)
+    assert tree.families == ["germanic", "only xx", "romance"]
+    lang, score = tree.predict(x)
+    p = lambda z: 1 / (1 + math.exp(-3 * float(z)))
+    for row, found, own in zip(tree._rows(x, tree.weights), lang, score, strict=True):
+        margins = [p(sum(row * m)) for m in tree.family_machines]
+        f = max(range(3), key=lambda i: margins[i])
+        members = tree.members[f]
+        belief = dict.fromkeys(range(len(members)), 0.0)
+        votes = dict.fromkeys(range(len(members)), 0)
+        for i, j, w in tree.pair_machines[f]:
+            z = sum(row * w)
+            votes[i if z >= 0 else j] += 1
+            belief[i] += p(z)
+            belief[j] += p(-z)
+        best = max(votes, key=lambda i: (votes[i], belief[i]))
+        want = margins[f] / sum(margins) * (belief[best] / (len(members) - 1) if len(members) > 1 else 1)
+        assert found == members[best] and abs(own - want) < 1e-3
+    assert (lang == np.array(names)[y]).mean() > 0.9
+
+
 def test_language_id_on_held_out_rows(spark, docs):
     data = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{data}/documents.parquet").collect()}

@@ -36,7 +36,6 @@ def test_stages(spark, data, tmp_path):
         else:
             assert any(k in r.text for k in kinds)
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encoder.encode_special_tokens = True
     tokens = {i: encoder.encode(r.text or "", add_special_tokens=False).ids + [1] for i, r in rows["packing"].items()}
     placed = {}
     for r in docs.collect():
