@@ -31,6 +31,7 @@ further check, so a family of n near copies costs about n verifications.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,11 @@ from . import kernels as K
 from .components import connected_components
 from .shared import BROADCAST_ROWS, Scratch, bit_table, broadcast_if_small, has_bit, table_bits
 
-#: Characters of text for each bucket of the sketch, and the least and largest sketch (2**22 buckets, 50 MB on the driver).
+#: Characters of text for each bucket of the sketch, and the least and largest sketch (2**24 buckets, 16 MB on the driver).
 #: A token stands out once it is commoner than a bucket's mean, so it is moved to the end at every size.
-CHARS_A_BUCKET, LEAST_SKETCH, MOST_SKETCH = 1 << 12, 14, 22
+CHARS_A_BUCKET, LEAST_SKETCH, MOST_SKETCH = 1 << 12, 14, 24
+#: Buckets whose counts travel together.
+BLOCK = 1 << 12
 PARITY_BITS = 512
 #: Most members of a posting list, in the last round, that one task joins to all the others.
 SPLIT = 2000
@@ -91,19 +94,34 @@ def sketch_bits(docs: DataFrame) -> int:
 
 
 def count_sketch(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """Document frequencies of all shingles, summed by hash bucket; every document is counted."""
+    """A level (8 log2 of the count, 255 at most) for each hash bucket of shingles' document frequencies.
+
+    Every document is counted.  A task's counts are packed in blocks of buckets,
+    a few bytes a bucket at most; blocks are summed as they come.
+    """
 
     def count(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for _, found in shingle_sets(batch.column(0), k):
                 np.add.at(total, (found & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
+        parts = total.reshape(-1, BLOCK)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used.tolist()], pa.binary())], ["block", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << bits, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}  # at most all blocks of the sketch
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(counts), np.uint32)
+                sums[block] = sums[block] + own if block in sums else own.astype(np.int64)
+        levels = [np.minimum(255, 8 * np.log2(v + 1)).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["block", "levels"])
+
+    rows = docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, levels binary").toArrow()
+    out = np.zeros(1 << bits, np.uint8)
+    for block, levels in zip(rows["block"].to_pylist(), rows["levels"].to_pylist(), strict=True):
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(levels, np.uint8)
     return out
 
 
@@ -113,9 +131,8 @@ def _fingerprints(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) ->
     Set size, digest of the set, prefix under order A, digests in ascending
     order of the prefixes under B and C, parities of PARITY_BITS hash classes.
     """
-    level = np.minimum(255, 8 * np.log2(sketch + 1)).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(level)
-    mask = np.uint64(len(level) - 1)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    mask = np.uint64(len(sketch) - 1)
 
     def fingerprint(batches):
         levels = shared.value.astype(np.uint64) << np.uint64(55)
