@@ -132,7 +132,7 @@ def test_sketch_counts_every_document(spark):
     texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(rng.randrange(300))) for _ in range(80)] + [None, ""]
     want = np.zeros(1 << 14, np.int64)
     for _, found in ngram_jaccard.shingle_sets(pa.array(texts), 2):
-        want[(found & np.uint64((1 << 14) - 1)).astype(np.int64)] += 1
+        np.add.at(want, (found & np.uint64((1 << 14) - 1)).astype(np.int64), 1)
     docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
     assert (ngram_jaccard.count_sketch(docs, 2, 14) == np.minimum(255, 8 * np.log2(want + 1)).astype(np.uint8)).all()
     assert ngram_jaccard.count_sketch(docs.limit(0), 2, 14).sum() == 0 and ngram_jaccard.sketch_bits(docs.limit(0)) == 14
