@@ -72,6 +72,24 @@ def grid_rows(count: Column, columns: int) -> Column:
     return F.ceil(count / columns)
 
 
+def nav_map(count: int, columns: int) -> Column:
+    """Array with the targets (left, right, up, down) of each place of a grid."""
+    if columns < 1:
+        raise ValueError("a grid has one column at least")
+    moves = lambda i: F.struct(*[grid_move(i, F.lit(d), columns, count).cast("int").alias(d) for d in ("left", "right", "up", "down")])
+    return F.transform(F.sequence(F.lit(0), F.lit(max(count, 1) - 1)), moves) if count > 0 else F.array().cast("array<struct<left: int, right: int, up: int, down: int>>")
+
+
+def batch_time(elapsed_ms: Column, queries: Column) -> Column:
+    """Mean time of a query in a batch; null for an empty one."""
+    return F.when(queries > 0, elapsed_ms / queries)
+
+
+def position_text(position: Column) -> Column:
+    """Place in the queue as the screens show it."""
+    return F.when(position == 0, "next").when(position > 0, F.concat(position.cast("string"), F.lit(" ahead")))
+
+
 def parse_time(value: Column) -> Column:
     """UTC timestamp of any of the stored text forms; null if it is none."""
     return F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00"))

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import bits
 
-#: Most query rows that are broadcast to a nested-loop join.
-SMALL = 1000
+#: Up to so many queries are always broadcast, and about so many at once (some 10 MB).
+SMALL, BLOCK = 1000, 50_000
+#: Fewest bits of a band that is joined on: it selects one row in 2**WIDE.
+WIDE = 12
 
 
 def lookup(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -29,52 +31,74 @@ def _pairs(q: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def radius_join_nested(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
-    """All pairs within the radius, by a broadcast of the queries: for at most SMALL of them."""
+    """All pairs within the radius, by broadcasts of blocks of about BLOCK queries; the index is read once a block."""
     q, c = _pairs(queries, index)
-    joined = c.join(F.broadcast(q), bits.hamming_distance(F.col("q_hash"), F.col("c_hash")) <= max_distance)
-    return joined.select("query_id", "image_id", "ord", bits.hamming_distance(F.col("q_hash"), F.col("c_hash")).alias("distance"))
+    blocks = -(-q.count() // BLOCK) or 1
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id", "q_hash"), F.lit(blocks)))
+    distance = bits.hamming_distance(F.col("q_hash"), F.col("c_hash"))
+    out = None
+    for number in range(blocks):
+        joined = c.join(F.broadcast(q.where(F.col("block") == number).drop("block")), distance <= max_distance)
+        part = joined.select("query_id", "image_id", "ord", distance.alias("distance"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
+def _bands(hash_: Column, units: Column, bands: int, kind: str) -> Column:
+    """(kind, length, band, value) of a string cut into bands of its bits (hexadecimal digits) or characters.
+
+    Two strings of equal length that differ in fewer units than there are bands
+    agree in one.  A string of fewer units than bands is within the radius of
+    all of its length, and has a single band without a value.
+    """
+    size, count = F.length(units), F.lit(bands)
 
-def _bands(hash_: Column, bands: int) -> Column:
-    """(length, band, value) triples; equal-length strings within ``bands`` - 1 bits agree in one."""
     def cut(i: Column) -> Column:
-        lo = F.floor(i * F.length(hash_) / bands).cast("int")
-        hi = F.floor((i + 1) * F.length(hash_) / bands).cast("int")
-        return F.struct(F.length(hash_).alias("length"), i.alias("band"), F.substring(hash_, lo + 1, hi - lo).alias("value"))
+        lo, hi = F.floor(i * size / count).cast("int"), F.floor((i + 1) * size / count).cast("int")
+        return F.struct(F.lit(kind).alias("kind"), F.length(hash_).alias("length"), i.alias("band"), F.substring(units, lo + 1, hi - lo).alias("value"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), cut)
+    whole = F.struct(F.lit(kind).alias("kind"), F.length(hash_).alias("length"), F.lit(0).alias("band"), F.lit("").alias("value"))
+    return F.when(size < count, F.array(whole)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), cut))
 
 
 def radius_join_banded(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
-    """All pairs within the radius, by an equi-join on bands.
+    """All pairs within the radius, by an equi-join on bands (pigeonhole); exact for any input.
 
-    Cut into max_distance + 1 bands, two strings of equal length within the
-    radius agree in one band (one differing bit spoils one character and so one
-    band).  Strings of unequal length are as far apart as the longer one is
-    long, so only strings of at most max_distance characters can match there;
-    they take a join of their own.  Exact for any input.
+    Hexadecimal strings of one length are cut by bits.  Where one of the two is
+    not hexadecimal, characters count, so those pairs are joined by characters.
+    Strings of unequal length are as far apart as the longer one is long: they
+    match if both have at most max_distance characters, and are joined by length.
     """
     q, c = _pairs(queries, index)
-    q, c = q.withColumn("lower_q", F.lower("q_hash")), c.withColumn("lower_c", F.lower("c_hash"))
-    qb = q.withColumn("b", F.explode(_bands(F.col("lower_q"), max_distance + 1)))
-    cb = c.withColumn("b", F.explode(_bands(F.col("lower_c"), max_distance + 1)))
+    hexed = lambda x: F.col(x).rlike("^[0-9a-fA-F]+$")
+    bit_text = lambda x: F.array_join(F.transform(F.split(F.lower(x), ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
     distance = bits.hamming_distance(F.col("q_hash"), F.col("c_hash"))
-    same = qb.join(cb, "b").drop("b").where(distance <= max_distance).select("query_id", "image_id", "ord", distance.alias("distance")).distinct()
-    short_q, short_c = q.where(F.length("q_hash") <= max_distance), c.where(F.length("c_hash") <= max_distance)
-    short = short_q.join(short_c, F.length("q_hash") != F.length("c_hash")).select("query_id", "image_id", "ord", distance.alias("distance"))
+    n = max_distance + 1
+
+    def banded(df: DataFrame, x: str, kind: str) -> DataFrame:
+        return df.withColumn("b", F.explode(_bands(F.col(x), bit_text(x) if kind == "bits" else F.col(x), n, kind)))
+
+    by_bits = banded(q.where(hexed("q_hash")), "q_hash", "bits").join(banded(c.where(hexed("c_hash")), "c_hash", "bits"), "b")
+    odd_q = banded(q.where(~hexed("q_hash")), "q_hash", "chars").join(banded(c, "c_hash", "chars"), "b")
+    odd_c = banded(q.where(hexed("q_hash")), "q_hash", "chars").join(banded(c.where(~hexed("c_hash")), "c_hash", "chars"), "b")
+    same = by_bits.unionByName(odd_q).unionByName(odd_c).drop("b").where(distance <= max_distance).select("query_id", "image_id", "ord", distance.alias("distance")).distinct()
+    lengths = F.filter(F.sequence(F.lit(1), F.lit(max(max_distance, 1))), lambda x: x != F.length("q_hash"))
+    short_q = q.where(F.length("q_hash") <= max_distance).withColumn("length", F.explode(lengths))
+    short_c = c.where(F.length("c_hash") <= max_distance).withColumn("length", F.length("c_hash"))
+    short = short_q.join(short_c, "length").select("query_id", "image_id", "ord", distance.alias("distance"))
     return same.unionByName(short)
 
 
-def radius_join(index: DataFrame, queries: DataFrame, max_distance: int, bits_hint: int = 64) -> DataFrame:
+def radius_join(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
     """All (query, id) pairs within ``max_distance``: (query_id, image_id, ord, distance).
 
-    Few queries, or bands too narrow to select anything, take the nested loop.
+    Bands are used where there are many queries and bands of the shortest hashes
+    are wide enough to select; otherwise queries are broadcast in blocks.
     """
-    few = queries.limit(SMALL + 1).count() <= SMALL
-    narrow = bits_hint // (max_distance + 1) < 8
-    if few or narrow and queries.count() <= 100 * SMALL:
-        return radius_join_nested(index, queries, max_distance)
-    return radius_join_banded(index, queries, max_distance)
+    shortest = index.where("hash <> ''").agg(F.min(F.length("hash"))).first()[0] or 0
+    if 4 * shortest // (max_distance + 1) >= WIDE and queries.limit(SMALL + 1).count() > SMALL:
+        return radius_join_banded(index, queries, max_distance)
+    return radius_join_nested(index, queries, max_distance)
 
 
 def exact_matches(index: DataFrame, queries: DataFrame, max_distance: int, top_n: int) -> DataFrame:
@@ -84,7 +108,9 @@ def exact_matches(index: DataFrame, queries: DataFrame, max_distance: int, top_n
     the id, was added.
     """
     hits = radius_join(index, queries, max_distance)
-    hits = hits.join(first_seen(index).select("image_id", "ord", "first_ord"), ["image_id", "ord"])
+    # only the hashes that were hit are looked up
+    hit = index.join(hits.select("image_id", "ord").distinct(), ["image_id", "ord"], "left_semi").select("hash").distinct()
+    hits = hits.join(first_seen(index.join(hit, "hash", "left_semi")).select("image_id", "ord", "first_ord"), ["image_id", "ord"])
     order = Window.partitionBy("query_id").orderBy("distance", "first_ord", "ord")
     hits = hits.withColumn("channel_rank", F.row_number().over(order)).where(F.col("channel_rank") <= top_n)
     return hits.select("query_id", "image_id", "ord", "distance", bits.exact_confidence(F.col("distance")).alias("confidence"), "channel_rank")

@@ -1,7 +1,7 @@
 """Result and annotation store as functions from tables to tables.
 
 Writers return new tables; a caller writes them to a new version directory and
-then swaps its pointer (``sources.sinks.VersionedTable``).
+then swaps its pointer (``sources.sinks.VersionedTables``).
 """
 
 from __future__ import annotations
@@ -82,8 +82,8 @@ def apply_labels(candidates: DataFrame, events: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)) for c in ("label", "notes", "labeled_at")}).select(*candidates.columns)
 
 
-def refresh_status(queries: DataFrame, candidates: DataFrame, touched: DataFrame) -> DataFrame:
-    """Stored status of the queries whose labels were written; the others keep theirs.
+def refresh_status(queries: DataFrame, candidates: DataFrame, touched: DataFrame, now: Column | None = None) -> DataFrame:
+    """Stored status, and time of the last change, of the queries whose labels were written; the others keep theirs.
 
     No current candidate without a label (or none at all) is completed.
     """
@@ -91,7 +91,17 @@ def refresh_status(queries: DataFrame, candidates: DataFrame, touched: DataFrame
     rows = queries.join(counts, "query_id", "left").join(touched.select("query_id").distinct().withColumn("_touched", F.lit(True)), "query_id", "left")
     n, labeled = F.coalesce("n", F.lit(0)), F.coalesce("labeled", F.lit(0))
     status = F.when(F.col("_touched"), F.when(n == labeled, "completed").when(labeled > 0, "partial").otherwise("unlabeled")).otherwise(F.col("status"))
-    return rows.withColumn("status", status).select(*queries.columns)
+    changed = F.when(F.col("_touched"), F.current_timestamp() if now is None else now).otherwise(F.col("updated_at"))
+    return rows.withColumns({"status": status, "updated_at": changed}).select(*queries.columns)
+
+
+def touch(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """``new`` with updated_at set to ``now`` where a row differs from ``old`` but its writer left the time as it was."""
+    others = [c for c in new.columns if c not in ("query_id", "updated_at")]
+    before = old.select("query_id", F.struct(*others).alias("_old"), F.col("updated_at").alias("_time"), F.lit(True).alias("_was"))
+    rows = new.join(before, "query_id", "left")
+    stale = F.coalesce("_was", F.lit(False)) & F.col("updated_at").eqNullSafe(F.col("_time")) & ~F.struct(*others).eqNullSafe(F.col("_old"))
+    return rows.withColumn("updated_at", F.when(stale, now).otherwise(F.col("updated_at"))).select(*new.columns)
 
 
 def delete_queries(queries: DataFrame, candidates: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,9 +126,9 @@ def stats_summary(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def candidate_stats(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Per query over its current result; hit_rate is null without labels."""
-    rows = queries.select("query_id", "query_image_path").join(candidates.where("in_current_result").select("query_id", "candidate_id", "label"), "query_id", "left")
-    out = rows.groupBy("query_id", "query_image_path").agg(
+    """Per query over its current result, with its status and time of creation; hit_rate is null without labels."""
+    rows = queries.select("query_id", "query_image_path", "status", "created_at").join(candidates.where("in_current_result").select("query_id", "candidate_id", "label"), "query_id", "left")
+    out = rows.groupBy("query_id", "query_image_path", "status", "created_at").agg(
         F.count("candidate_id").alias("total"), F.count("label").alias("labeled"),
         F.count_if(F.col("label") == "hit").alias("hits"), F.count_if(F.col("label") == "miss").alias("misses"), F.count_if(F.col("label") == "skip").alias("skips"),
     )

@@ -18,6 +18,8 @@ KINDS = ("index_build", "batch_search", "interactive_search")
 LANES = ("background", "interactive")
 EVENT_KINDS = ("enqueue", "claim", "progress", "finish", "cancel", "heartbeat")
 UNASSIGNED = "__unassigned__"
+#: Fixed value: the stage note of a task that waits again after its process was lost.
+REQUEUED = "调度进程中断，已重新排队"
 TASKS = (
     "task_id string, kind string, task_name string, database_name string, status string, lane string, total_items int, processed_items int, "
     "failed_items int, progress_percentage double, last_processed_index int, stage string, cancel_requested boolean, created_at timestamp, "
@@ -102,18 +104,24 @@ def request_cancel(tasks: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     ).select(*tasks.columns)
 
 
-def recover_orphans(tasks: DataFrame, live_pids: DataFrame, now: Column, own_tasks: DataFrame | None = None) -> DataFrame:
-    """Running tasks whose process is gone, or whose heartbeat is stale, wait again from where they were.
+def recover_orphans(tasks: DataFrame, live_pids: DataFrame, now: Column, running_pids: DataFrame | None = None, own_tasks: DataFrame | None = None) -> DataFrame:
+    """Running tasks whose scheduler is gone wait again from where they were, with a note as their stage.
 
-    ``live_pids`` has pid; ``own_tasks`` (task_id) are known to run and are skipped.
+    A pid among ``live_pids``, the known schedulers, is left alone whatever its
+    heartbeat.  A number that the system runs but that is not among them
+    (``running_pids``) may be another process by now, so it counts only with a
+    fresh heartbeat.  ``own_tasks`` (task_id) are known to run and are skipped.
     """
-    rows = tasks.join(live_pids.select(F.col("pid").alias("scheduler_pid"), F.lit(True).alias("_alive")).distinct(), "scheduler_pid", "left")
+    known = lambda pids, name: pids.select(F.col("pid").alias("scheduler_pid"), F.lit(True).alias(name)).distinct()
+    rows = tasks.join(known(live_pids, "_live"), "scheduler_pid", "left")
+    rows = rows.join(known(live_pids.limit(0) if running_pids is None else running_pids, "_runs"), "scheduler_pid", "left")
     own = tasks.limit(0).select("task_id") if own_tasks is None else own_tasks.select("task_id").distinct()
     rows = rows.join(own.withColumn("_own", F.lit(True)), "task_id", "left")
-    healthy = F.coalesce("_own", F.lit(False)) | (F.coalesce("_alive", F.lit(False)) & fresh(F.col("heartbeat_at"), now))
+    sure = F.coalesce("_own", F.lit(False)) | F.coalesce("_live", F.lit(False))
+    healthy = sure | (F.coalesce("_runs", F.lit(False)) & fresh(F.col("heartbeat_at"), now))
     orphan = (F.col("status") == "running") & ~healthy
-    empty = lambda c: F.when(orphan, None).otherwise(F.col(c))
-    return rows.withColumns({"_orphan": orphan}).withColumns({"scheduler_pid": empty("scheduler_pid"), "started_at": empty("started_at")}).withColumn("status", F.when(F.col("_orphan"), "pending").otherwise(F.col("status"))).select(*tasks.columns)
+    empty = lambda c: F.when(F.col("_orphan"), None).otherwise(F.col(c))
+    return rows.withColumns({"_orphan": orphan}).withColumns({"scheduler_pid": empty("scheduler_pid"), "started_at": empty("started_at"), "stage": F.when(F.col("_orphan"), REQUEUED).otherwise(F.col("stage"))}).withColumn("status", F.when(F.col("_orphan"), "pending").otherwise(F.col("status"))).select(*tasks.columns)
 
 
 def clear_terminal(tasks: DataFrame, database: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -147,11 +155,11 @@ def counts_by_status(tasks: DataFrame, database: str | None = None) -> DataFrame
 def queue_positions(tasks: DataFrame) -> DataFrame:
     """Pending tasks ahead of each pending task, in both lanes; equal times are not ahead of each other.
 
-    Ranked by counts per time, so ties and long queues need no single ordered
+    Tasks that were asked to stop are not ahead of others.  Ranked by counts per time, so ties and long queues need no single ordered
     partition of all tasks: only the distinct times are ordered, by day first.
     """
-    waiting = tasks.where((F.col("status") == "pending") & ~F.coalesce("cancel_requested", F.lit(False)))
-    times = waiting.groupBy("created_at").count().withColumn("day", F.to_date("created_at"))
+    waiting = tasks.where("status = 'pending' and created_at is not null")
+    times = waiting.groupBy("created_at").agg(F.count_if(~F.coalesce("cancel_requested", F.lit(False))).alias("count")).withColumn("day", F.to_date("created_at"))
     inside = Window.partitionBy("day").orderBy("created_at").rowsBetween(Window.unboundedPreceding, -1)
     days = times.groupBy("day").agg(F.sum("count").alias("count"))
     earlier = days.alias("d").join(days.alias("e"), F.col("e.day") < F.col("d.day"), "left").groupBy("d.day").agg(F.coalesce(F.sum("e.count"), F.lit(0)).alias("before"))
@@ -164,6 +172,51 @@ def next_task(tasks: DataFrame, lane: str) -> DataFrame:
     return tasks.where((F.col("status") == "pending") & (F.col("lane") == lane) & ~F.coalesce("cancel_requested", F.lit(False))).orderBy("created_at", "task_id").limit(1)
 
 
+def display_groups(tasks: DataFrame) -> DataFrame:
+    """Add group: running, pending or finished, as the screens list them."""
+    return tasks.withColumn("group", F.when(F.col("status").isin(*TERMINAL), "finished").otherwise(F.col("status")))
+
+
+def with_payloads(tasks: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Add each task's payload from its own table (task_id, payload), and whether a search task has none that is readable."""
+    rows = tasks.join(payloads.groupBy("task_id").agg(F.max("payload").alias("payload")), "task_id", "left")
+    search = F.col("kind").isin("batch_search", "interactive_search")
+    readable = F.when(F.col("kind") == "batch_search", F.from_json("payload", "array<string>").isNotNull()).otherwise(F.get_json_object("payload", "$.query_image_path").isNotNull())
+    return rows.withColumn("payload_unavailable", search & ~F.coalesce(readable, F.lit(False)))
+
+
+def missing_payloads(tasks: DataFrame) -> DataFrame:
+    """One row: search tasks whose payload is unavailable."""
+    return tasks.agg(F.count_if("payload_unavailable").alias("missing_payloads"))
+
+
+class Runners:
+    """Functions that run a task, by kind; ``clock`` gives the time in place of the system's."""
+
+    def __init__(self, clock=None):
+        self._by_kind: dict = {}
+        self.clock = clock or (lambda: F.current_timestamp())
+
+    def register(self, kind: str, run) -> None:
+        if kind not in KINDS:
+            raise ValueError(f"unknown task kind: {kind}")
+        self._by_kind[kind] = run
+
+    def run(self, kind: str, *args, **options):
+        if kind not in self._by_kind:
+            raise ValueError(f"no runner for tasks of kind {kind}")
+        return self._by_kind[kind](*args, **options)
+
+
+def claim(tasks: DataFrame, lane: str, pid: int, now: Column) -> DataFrame:
+    """The lane's next task is running for ``pid``; two lanes claim independently."""
+    # one row at most
+    chosen = F.broadcast(next_task(tasks, lane).select("task_id", F.lit(True).alias("_mine")))
+    rows = tasks.join(chosen, "task_id", "left")
+    set_ = lambda c, value: F.when(F.col("_mine"), value).otherwise(F.col(c))
+    return rows.withColumns({"status": set_("status", F.lit("running")), "started_at": set_("started_at", now), "heartbeat_at": set_("heartbeat_at", now), "scheduler_pid": set_("scheduler_pid", F.lit(pid).cast("long"))}).select(*tasks.columns)
+
+
 def resume(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Items that are not done yet."""
     return items.join(done.select(key).distinct(), key, "left_anti")

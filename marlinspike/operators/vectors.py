@@ -19,6 +19,10 @@ from ..functions import bits
 
 #: Most bytes of query vectors that are broadcast at once; more queries take more passes.
 QUERY_BLOCK = 64 << 20
+#: Most queries that are broadcast in a nested-loop join.
+PLAIN_QUERIES = 1000
+#: Share of true neighbours that a calibrated search is to find on its sample, which is bounded.
+TARGET, CALIBRATION_QUERIES = 0.97, 200
 
 
 def _top(scored: DataFrame, k: int, threshold: float | None) -> DataFrame:
@@ -37,7 +41,9 @@ def fit_dimension(vectors: DataFrame, dimension: int, strict: bool = False, colu
 
 
 def search_plain(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """Exact search as one declarative plan; for small inputs and as a baseline."""
+    """Exact search as one declarative plan, as a baseline; more than PLAIN_QUERIES queries go to ``search``."""
+    if queries.limit(PLAIN_QUERIES + 1).count() > PLAIN_QUERIES:
+        return search(corpus, queries, k, threshold)
     q = queries.select("query_id", bits.normalize(F.col("vector")).alias("q_unit"))
     c = corpus.select("image_id", "ord", bits.normalize(F.col("vector")).alias("c_unit"))
     pairs = c.join(F.broadcast(q), F.lit(True)).select("query_id", "image_id", "ord", bits.inner_product(F.col("q_unit"), F.col("c_unit")).alias("similarity"))
@@ -147,6 +153,25 @@ def search_cells(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, k:
     return _top(pairs, k, threshold)
 
 
+def calibrate_probe(indexed: DataFrame, centres: np.ndarray, k: int, target: float = TARGET, most: int = CALIBRATION_QUERIES) -> int:
+    """Lists that a search has to visit for ``target`` of the true ``k`` neighbours.
+
+    Measured by exact search for at most ``most`` vectors of the index (smallest
+    hash of the id): how far down each one's list of lists its neighbours lie.
+    """
+    sample = indexed.orderBy(F.xxhash64("image_id"), "image_id").limit(most).select(F.col("image_id").alias("query_id"), F.col("unit").alias("vector"))
+    near = search(indexed.select("image_id", "ord", F.col("unit").alias("vector")), sample, k).select("query_id", "image_id")
+    order = _nearest(sample.withColumnRenamed("vector", "unit"), centres, len(centres), "cells").select("query_id", "cells")
+    # at most ``most`` queries with k neighbours each
+    ranks = near.join(indexed.select("image_id", "cell_id"), "image_id").join(order, "query_id").groupBy(F.array_position("cells", F.col("cell_id")).alias("rank")).count().collect()
+    total, seen = sum(r["count"] for r in ranks), 0
+    for r in sorted(ranks, key=lambda r: r["rank"]):
+        seen += r["count"]
+        if seen >= target * total:
+            return int(r["rank"])
+    return len(centres)
+
+
 def train_codebooks(corpus: DataFrame, parts: int, bits_per_code: int = 8, seed: int = 7, sample_rows: int = 100_000) -> list[np.ndarray]:
     """A codebook for each of ``parts`` equal slices of the unit vectors."""
     n = corpus.count()
@@ -162,10 +187,9 @@ def train_codebooks(corpus: DataFrame, parts: int, bits_per_code: int = 8, seed:
 
 def encode(corpus: DataFrame, books: list[np.ndarray]) -> DataFrame:
     """Add codes: the nearest codebook entry of each slice."""
-    width, schema = books[0].shape[1], corpus.schema.simpleString()
+    width = books[0].shape[1]
     kept = [c for c in corpus.columns if c != "vector"]
     types = ", ".join(f"{c} {corpus.schema[c].dataType.simpleString()}" for c in kept)
-    del schema
 
     def run(batches):
         for batch in batches:
@@ -178,38 +202,149 @@ def encode(corpus: DataFrame, books: list[np.ndarray]) -> DataFrame:
     return corpus.mapInArrow(run, f"{types}, codes array<int>")
 
 
-def search_codes(encoded: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """Inner products from lookup tables of each query and codebook.
+def search_codes(encoded: DataFrame, books: list[np.ndarray], queries: DataFrame, k: int, threshold: float | None = None, corpus: DataFrame | None = None, widen: int = 10) -> DataFrame:
+    """Search by inner products from lookup tables of each query and codebook.
 
     Inner product, not distance, so that thresholds mean the same as in the
-    other searches.  Queries are broadcast as tables of parts x codes numbers;
-    pass at most a few thousand at a time.
+    other searches.  The queries are taken in blocks of bounded bytes, as in
+    ``search``; an Arrow batch of codes keeps its best rows of each query.  With
+    ``corpus`` the best ``widen`` times k by codes are ranked again by their
+    exact products, which makes up for what the codes lose.
     """
-    width = books[0].shape[1]
-    table = F.array(*[F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in b]) for b in books])
+    width, wide = books[0].shape[1], k * widen if corpus is not None else k
+    c_type, q_type = encoded.schema["image_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {q_type}, image_id {c_type}, ord long, similarity double"
+    rows = encoded.select("image_id", F.col("ord").cast("long").alias("ord"), "codes")
+    found, ids, held = None, [], []
+
+    def flush():
+        nonlocal found
+        unit = _unit(np.array(held, np.float64).reshape(len(ids), -1))
+        tables = [unit[:, j * width : (j + 1) * width] @ b.T for j, b in enumerate(books)]
+        part = rows.mapInArrow(_code_top(list(ids), tables, wide), schema)
+        found = part if found is None else found.unionByName(part)
+        ids.clear()
+        held.clear()
+
+    for row in queries.select("query_id", "vector").toLocalIterator():
+        ids.append(row[0])
+        held.append(row[1])
+        if len(held) * len(books) * len(books[0]) * 8 >= QUERY_BLOCK:
+            flush()
+    if held or found is None:
+        held or held.append([0.0] * width * len(books))
+        ids or ids.append(None)
+        flush()
+    found = _top(found, wide, None if corpus is not None else threshold)
+    if corpus is None:
+        return found
+    return rerank(found, corpus, queries, k, threshold)
+
+
+def rerank(found: DataFrame, corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+    """Candidates (query_id, image_id) in the order of their exact products."""
     q = queries.select("query_id", bits.normalize(F.col("vector")).alias("q_unit"))
-    q = q.withColumn("lookup", F.transform(table, lambda b, j: F.transform(b, lambda row: bits.inner_product(row, F.slice("q_unit", j * width + 1, F.lit(width)))))).select("query_id", "lookup")
-    score = F.aggregate(F.zip_with("lookup", "codes", lambda t, c: F.get(t, c)), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = encoded.join(F.broadcast(q), F.lit(True)).select("query_id", "image_id", "ord", score.alias("similarity"))
-    return _top(pairs, k, threshold)
+    c = corpus.select("image_id", "ord", bits.normalize(F.col("vector")).alias("c_unit"))
+    pairs = found.select("query_id", "image_id").distinct().join(q, "query_id").join(c, "image_id")
+    return _top(pairs.select("query_id", "image_id", "ord", bits.inner_product(F.col("q_unit"), F.col("c_unit")).alias("similarity")), k, threshold)
+
+
+def _code_top(query_ids: list, tables: list[np.ndarray], k: int):
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = np.asarray(batch.column(2).flatten().to_numpy(zero_copy_only=False)).reshape(n, -1)
+            sims = sum(t[:, codes[:, j]] for j, t in enumerate(tables))
+            if n > k:
+                floor = np.partition(sims, n - k, axis=1)[:, n - k]
+                q, c = np.nonzero(sims >= floor[:, None] - 1e-12)
+            else:
+                q, c = np.nonzero(np.ones_like(sims, bool))
+            yield pa.RecordBatch.from_arrays([pa.array([query_ids[i] for i in q.tolist()]), batch.column(0).take(pa.array(c)), batch.column(1).take(pa.array(c)), pa.array(sims[q, c])], ["query_id", "image_id", "ord", "similarity"])
+
+    return run
+
+
+# Approximate search by random planes ------------------------------------------------
+
+
+def plane_keys(vectors: DataFrame, dimension: int, tables: int, planes: int, probe: int = 1, seed: int = 11) -> DataFrame:
+    """Add keys: for each table the bucket of signs against ``planes`` random planes, and the next nearest buckets.
+
+    With ``probe`` above 1 the buckets that a vector is closest to by one or two
+    of the planes are listed too.
+    """
+    normals = np.random.default_rng(seed).standard_normal((tables, planes, dimension))
+    kept = vectors.columns
+    types = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in kept)
+    flips = [0, *(1 << i for i in range(planes)), *(1 << i | 1 << j for i in range(planes) for j in range(i))]
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            at = batch.schema.get_field_index("vector")
+            rows = _unit(np.asarray(batch.column(at).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, dimension)) if n else np.zeros((0, dimension))
+            keys = []
+            for t in range(tables):
+                margin = rows @ normals[t].T
+                own = ((margin > 0) << np.arange(planes)).sum(axis=1)
+                cost = np.stack([(margin**2)[:, [i for i in range(planes) if f >> i & 1]].sum(axis=1) for f in flips], axis=1)
+                order = np.argsort(cost, axis=1, kind="stable")[:, :probe]
+                keys.append((own[:, None] ^ np.array(flips)[order]) + (t << planes))
+            made = np.concatenate(keys, axis=1) if keys else np.zeros((n, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.tolist(), pa.list_(pa.int64()))], [*kept, "keys"])
+
+    return vectors.mapInArrow(run, f"{types}, keys array<long>")
+
+
+def search_planes(corpus: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, tables: int = 16, planes: int | None = None, probe: int = 8) -> DataFrame:
+    """Approximate search: vectors that share a bucket of random planes, ranked by their exact products.
+
+    More planes make smaller buckets; by default they hold about 64 vectors.
+    More tables and probes find more.
+    """
+    first = corpus.select(F.size("vector")).where("vector is not null").first()
+    if first is None:
+        return search(corpus, queries, k, threshold)
+    dimension = first[0]
+    rows = fit_dimension(corpus.select("image_id", F.col("ord").cast("long").alias("ord"), "vector"), dimension)
+    planes = planes or min(20, max(1, int(np.log2(max(2, rows.count() // 64)))))
+    c = plane_keys(rows, dimension, tables, planes).select("image_id", F.explode("keys").alias("key"))
+    q = plane_keys(fit_dimension(queries.select("query_id", "vector"), dimension), dimension, tables, planes, probe).select("query_id", F.explode("keys").alias("key"))
+    return rerank(c.join(q, "key").select("query_id", "image_id").distinct(), rows, queries, k, threshold)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact results (query_id, image_id) that were found."""
+    total = exact.count()
+    return found.join(exact.select("query_id", "image_id"), ["query_id", "image_id"], "left_semi").count() / total if total else 1.0
 
 
 INDEX_TYPES = ("Flat", "IVFFlat", "IVFPQ", "HNSW")
 
 
-def choose_search(index_type: str, corpus: DataFrame, lists: int = 100, probe: int = 10, parts: int = 8) -> Callable[[DataFrame, int, float | None], DataFrame]:
-    """Search function of an index type.  HNSW, a graph, is served by the exact search."""
+def choose_search(index_type: str, corpus: DataFrame, lists: int = 100, probe: int | None = None, parts: int = 8, k: int = 10) -> Callable[[DataFrame, int, float | None], DataFrame]:
+    """Search function of an index type.
+
+    Without ``probe`` the number of lists to visit is calibrated for ``k``
+    neighbours.  The place of a graph (HNSW) is taken by random planes.
+    """
     if index_type not in INDEX_TYPES:
         raise ValueError(f"unknown index type: {index_type}")
     if index_type == "IVFFlat":
         centres = train_cells(corpus, lists)
         indexed = assign_cells(corpus, centres).persist()
-        return lambda queries, k, threshold=None: search_cells(indexed, centres, queries, k, probe, threshold)
+        visits = probe or calibrate_probe(indexed, centres, k)
+        return lambda queries, n, threshold=None: search_cells(indexed, centres, queries, n, visits, threshold)
     if index_type == "IVFPQ":
         books = train_codebooks(corpus, parts)
         encoded = encode(corpus, books).persist()
-        return lambda queries, k, threshold=None: search_codes(encoded, books, queries, k, threshold)
-    return lambda queries, k, threshold=None: search(corpus, queries, k, threshold)
+        return lambda queries, n, threshold=None: search_codes(encoded, books, queries, n, threshold, corpus)
+    if index_type == "HNSW":
+        return lambda queries, n, threshold=None: search_planes(corpus, queries, n, threshold)
+    return lambda queries, n, threshold=None: search(corpus, queries, n, threshold)
 
 
 def stats(corpus: DataFrame, dimension: int) -> DataFrame:

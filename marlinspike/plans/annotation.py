@@ -54,7 +54,7 @@ def stats_summary(spark, d):
 
 
 @REGISTRY.add(
-    f"""WITH {_TABLES} SELECT q.query_id, q.query_image_path, count(c.candidate_id) AS total, count(c.label) AS labeled, count(*) FILTER (c.label = 'hit') AS hits, count(*) FILTER (c.label = 'miss') AS misses,
+    f"""WITH {_TABLES} SELECT q.query_id, q.query_image_path, q.status, q.created_at, count(c.candidate_id) AS total, count(c.label) AS labeled, count(*) FILTER (c.label = 'hit') AS hits, count(*) FILTER (c.label = 'miss') AS misses,
     count(*) FILTER (c.label = 'skip') AS skips, round(CASE WHEN count(c.label) > 0 THEN count(*) FILTER (c.label = 'hit') / count(c.label)::DOUBLE END, 6) AS hit_rate
     FROM q LEFT JOIN c ON q.query_id = c.query_id AND c.in_current_result GROUP BY ALL"""
 )
@@ -165,11 +165,26 @@ def label_last_write(spark, d):
 
 @REGISTRY.add(
     f"""WITH {_LABELED}, n AS (SELECT query_id, count(*) FILTER (in_current_result) AS n, count(label) FILTER (in_current_result) AS labeled FROM l GROUP BY ALL)
-    SELECT q.query_id, CASE WHEN q.query_id IN (SELECT query_id FROM e) THEN CASE WHEN n = labeled THEN 'completed' WHEN labeled > 0 THEN 'partial' ELSE 'unlabeled' END ELSE q.status END AS status FROM q LEFT JOIN n USING (query_id)"""
+    SELECT q.query_id, CASE WHEN q.query_id IN (SELECT query_id FROM e) THEN CASE WHEN n = labeled THEN 'completed' WHEN labeled > 0 THEN 'partial' ELSE 'unlabeled' END ELSE q.status END AS status,
+    CASE WHEN q.query_id IN (SELECT query_id FROM e) THEN TIMESTAMP '2031-01-01' ELSE q.created_at END AS updated_at FROM q LEFT JOIN n USING (query_id)"""
 )
 def status_refresh(spark, d):
     labeled, events = _labeled(spark, d)
-    return store.refresh_status(queries_table(spark, d), labeled, events).select("query_id", "status")
+    return store.refresh_status(queries_table(spark, d), labeled, events, F.lit("2031-01-01").cast("timestamp")).select("query_id", "status", "updated_at")
+
+
+@REGISTRY.add(f"WITH {_TABLES} SELECT query_id, CASE WHEN status = 'partial' THEN TIMESTAMP '2032-01-01' WHEN status = 'unlabeled' THEN TIMESTAMP '2033-01-01' ELSE created_at END AS updated_at FROM q")
+def touch_updated(spark, d):
+    """Of two kinds of changed queries one sets the time itself; unchanged ones keep theirs."""
+    q, at = queries_table(spark, d), lambda day: F.lit(day).cast("timestamp")
+    new = q.withColumns({"top_n": F.when(F.col("status") == "completed", F.col("top_n")).otherwise(15), "updated_at": F.when(F.col("status") == "unlabeled", at("2033-01-01")).otherwise(F.col("updated_at"))})
+    return store.touch(q, new, at("2032-01-01")).select("query_id", "updated_at")
+
+
+@REGISTRY.add(f"WITH {_TABLES} SELECT c.query_id, candidate_id, in_current_result, match_type, rank FROM c")
+def result_history(spark, d):
+    """All candidates, those of earlier results too."""
+    return store.query_results(candidates_table(spark, d), history=True).select("query_id", "candidate_id", "in_current_result", "match_type", "rank")
 
 
 @REGISTRY.add(f"WITH {_TABLES} SELECT count(*) AS n_queries, (SELECT count(*) FROM c JOIN q USING (query_id) WHERE database_name <> '1-URGENT') AS n_candidates FROM q WHERE database_name <> '1-URGENT'")
@@ -197,7 +212,24 @@ def export_nested_flat(spark, d):
 
 
 @REGISTRY.add(
-    f"""WITH {_TABLES} SELECT match_type, count(*) AS n, count(*) FILTER (label = 'hit') AS hits FROM c GROUP BY ALL"""
+    f"""WITH {_TABLES}, s AS (SELECT count(DISTINCT q.query_id) AS a, count(DISTINCT CASE WHEN status = 'completed' THEN q.query_id END) AS b, count(DISTINCT CASE WHEN status = 'unlabeled' THEN q.query_id END) AS c1,
+      count(candidate_id) AS d, count(label) AS e, count(*) FILTER (label = 'hit') AS f, count(*) FILTER (label = 'miss') AS g FROM q LEFT JOIN c USING (query_id))
+    SELECT unnest(['Total Queries', 'Completed Queries', 'Unlabeled Queries', 'Total Candidates', 'Labeled Candidates', 'Hit Candidates', 'Miss Candidates', 'Hit Rate']) AS "Metric",
+    unnest([a::VARCHAR, b::VARCHAR, c1::VARCHAR, d::VARCHAR, e::VARCHAR, f::VARCHAR, g::VARCHAR, printf('%.2f%%', 100.0::DOUBLE * f / e)]) AS "Value" FROM s"""
 )
 def export_statistics(spark, d):
-    return sinks.workbook(queries_table(spark, d), candidates_table(spark, d), "db")["MatchTypes"]
+    return sinks.workbook(queries_table(spark, d), candidates_table(spark, d), "db")["Statistics"]
+
+
+@REGISTRY.add(
+    f"""WITH {_TABLES}, kept AS (SELECT * FROM q WHERE status = 'completed')
+    SELECT unnest(['Export Date', 'Database', 'Export Scope', 'Total Queries Exported', 'Total Candidates Exported']) AS "Field",
+    unnest(['2024-05-06T07:08:09.000000Z', 'db', 'completed', (SELECT count(*) FROM kept)::VARCHAR, (SELECT count(*) FROM kept JOIN c USING (query_id))::VARCHAR]) AS "Value" """
+)
+def export_metadata(spark, d):
+    return sinks.workbook(queries_table(spark, d), candidates_table(spark, d), "db", "completed", now=F.lit("2024-05-06 07:08:09").cast("timestamp"))["Metadata"]
+
+
+@REGISTRY.add(f"""WITH {_TABLES} SELECT q.query_id AS "Query ID", c.rank AS "Rank", c.candidate_image_path AS "Candidate Image", c.match_type AS "Match Type", c.label AS "Label" FROM q JOIN c USING (query_id)""")
+def export_candidate_sheet(spark, d):
+    return sinks.workbook(queries_table(spark, d), candidates_table(spark, d), "db")["Candidates"].select("Query ID", "Rank", "Candidate Image", "Match Type", "Label")

@@ -45,10 +45,19 @@ def task_counts(spark, d):
     return tasks.counts_by_status(task_table(spark, d))
 
 
-@REGISTRY.add(f"WITH {_TASKS} SELECT a.task_id, CASE WHEN a.created_at IN (SELECT created_at FROM t WHERE status = 'pending' AND NOT cancel_requested) THEN (SELECT count(*) FROM t b WHERE b.status = 'pending' AND NOT b.cancel_requested AND b.created_at < a.created_at) END AS position FROM t a WHERE a.status = 'pending' AND NOT a.cancel_requested")
+@REGISTRY.add(f"WITH {_TASKS} SELECT a.task_id, (SELECT count(*) FROM t b WHERE b.status = 'pending' AND NOT b.cancel_requested AND b.created_at < a.created_at) AS position FROM t a WHERE a.status = 'pending'")
 def queue_position(spark, d):
-    found = tasks.queue_positions(task_table(spark, d))
-    return found.join(task_table(spark, d).where("not cancel_requested").select("task_id"), "task_id", "left_semi")
+    return tasks.queue_positions(task_table(spark, d))
+
+
+@REGISTRY.add(f"""WITH {_TASKS} SELECT task_id, status FROM t WHERE status = 'pending' AND lane = 'interactive' ORDER BY created_at DESC, task_id LIMIT 200""")
+def task_list_filtered(spark, d):
+    return tasks.list_tasks(task_table(spark, d), status="pending", kind="interactive_search").select("task_id", "status")
+
+
+@REGISTRY.add(f"WITH {_TASKS} SELECT CASE WHEN status IN ('running', 'pending') THEN status ELSE 'finished' END AS \"group\", count(*) AS n FROM t GROUP BY ALL")
+def display_groups(spark, d):
+    return tasks.display_groups(task_table(spark, d)).groupBy("group").agg(F.count("*").alias("n"))
 
 
 @REGISTRY.add(f"WITH {_TASKS} SELECT task_id FROM t WHERE status = 'pending' AND lane = 'interactive' AND NOT cancel_requested ORDER BY created_at, task_id LIMIT 1")
@@ -78,13 +87,19 @@ def task_cancel(spark, d):
 
 
 @REGISTRY.add(
-    f"""WITH {_TASKS} SELECT task_id, CASE WHEN orphan THEN 'pending' ELSE status END AS status, CASE WHEN NOT orphan THEN pid END AS pid, processed AS last_processed_index
-    FROM (SELECT *, status = 'running' AND NOT (pid % 2 = 0 AND ts > TIMESTAMP '{_NOW}' - INTERVAL 90 SECOND) AS orphan FROM t)"""
+    f"""WITH {_TASKS}, live AS (SELECT DISTINCT pid FROM t WHERE pid % 4 = 0), os AS (SELECT DISTINCT pid FROM t WHERE pid % 2 = 0),
+    lost AS (
+      SELECT task_id FROM t WHERE status = 'running' AND pid NOT IN (SELECT pid FROM live) AND pid NOT IN (SELECT pid FROM os)
+      UNION ALL SELECT task_id FROM t WHERE status = 'running' AND pid NOT IN (SELECT pid FROM live) AND pid IN (SELECT pid FROM os) AND date_diff('microsecond', ts, TIMESTAMP '{_NOW}') >= 90000000)
+    SELECT t.task_id, 'pending' AS status, NULL::BIGINT AS pid, processed AS last_processed_index, '{tasks.REQUEUED}' AS stage, true AS never_started FROM t JOIN lost USING (task_id)
+    UNION ALL SELECT task_id, status, pid, processed, NULL, false FROM t WHERE task_id NOT IN (SELECT task_id FROM lost)"""
 )
 def orphan_recovery(spark, d):
+    """A quarter of the pids are known schedulers, whatever their heartbeat; another quarter only run, so their heartbeat decides."""
     t = task_table(spark, d)
-    live = t.select(F.col("scheduler_pid").alias("pid")).where("pid % 2 = 0").distinct()
-    return tasks.recover_orphans(t, live, now()).select("task_id", "status", F.col("scheduler_pid").alias("pid"), "last_processed_index")
+    pids = t.select(F.col("scheduler_pid").alias("pid")).distinct()
+    found = tasks.recover_orphans(t, pids.where("pid % 4 = 0"), now(), pids.where("pid % 2 = 0"))
+    return found.select("task_id", "status", F.col("scheduler_pid").alias("pid"), "last_processed_index", "stage", F.col("started_at").isNull().alias("never_started"))
 
 
 @REGISTRY.add(f"WITH {_TASKS} SELECT task_id FROM t WHERE NOT (lane = 'interactive' AND status IN ('completed', 'failed', 'cancelled') AND ts < TIMESTAMP '{_NOW}' - INTERVAL 24 HOUR)")
@@ -129,6 +144,18 @@ def annotation_tasks(spark, d):
     return rows.select("task_id", "query_count", "completed_count", F.round("annotation_progress", 6).alias("annotation_progress"), "annotatable")
 
 
+@REGISTRY.add(
+    """WITH p AS (SELECT conv_id, min(turn) AS first_turn FROM conversations GROUP BY conv_id)
+    SELECT count(*) FILTER (conv_id % 3 <> 2 AND (conv_id % 4 = 0 OR conv_id % 4 = 1)) AS missing_payloads FROM p"""
+)
+def missing_payloads(spark, d):
+    """Of the payloads a quarter is not there and another one cannot be read."""
+    t = payload_tasks(spark, d)
+    number = F.substring("task_id", 2, 20).cast("long") % 4
+    off_row = t.where(number != 0).select("task_id", F.when(number == 1, "{broken").otherwise(F.col("payload")).alias("payload"))
+    return tasks.missing_payloads(tasks.with_payloads(t.drop("payload"), off_row))
+
+
 @REGISTRY.add(f"WITH {_LINKS} SELECT query_id FROM pr WHERE query_id NOT IN (SELECT query_id FROM li)")
 def unassigned_queries(spark, d):
     return tasks.unassigned_queries(payload_tasks(spark, d), query_progress(spark, d)).select("query_id")

@@ -37,11 +37,16 @@ def hash_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_corpus(spark: SparkSession, d: str) -> DataFrame:
-    """Vector, hash and whole text of each item; characters above ASCII become ? so that edit distances mean the same in bytes."""
-    texts = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("full_text"))
+    """Vector, hash and whole text of each item."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.col("text").alias("full_text"))
     return vector_corpus(spark, d).withColumn("hash", bits.difference_hash(F.col("vector"))).join(texts, "image_id")
 
 
+def ascii_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """full_corpus with ? for characters above ASCII: DuckDB's edit distance counts bytes, so only then it means the same."""
+    return full_corpus(spark, d).withColumn("full_text", F.regexp_replace("full_text", r"[^\x00-\x7F]", "?"))
+
+
 _KNN = f"""
 knn AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, image_id) AS vector_rank FROM (
@@ -87,15 +92,23 @@ def ivf_full_probe(spark, d):
 @REGISTRY.add()
 def ivf_search(spark, d):
     corpus = vector_corpus(spark, d)
-    centres = vectors.train_cells(corpus, 16)
-    return _knn(vectors.search_cells(vectors.assign_cells(corpus, centres), centres, as_queries(corpus), K, max(1, len(centres) * 3 // 4)))
+    """Inverted lists, of which as many are visited as a calibration on the index asks for."""
+    return _knn(vectors.choose_search("IVFFlat", corpus, lists=16, k=K)(as_queries(corpus), K))
 
 
 @REGISTRY.add()
 def pq_search(spark, d):
     corpus = vector_corpus(spark, d)
+    """Product quantisation, with the best by codes ranked again by their vectors."""
     books = vectors.train_codebooks(corpus, 16, 6)
-    return _knn(vectors.search_codes(vectors.encode(corpus, books), books, as_queries(corpus), K))
+    return _knn(vectors.search_codes(vectors.encode(corpus, books), books, as_queries(corpus), K, corpus=corpus))
+
+
+@REGISTRY.add()
+def planes_search(spark, d):
+    """Approximate search by random planes, in the place of a graph."""
+    corpus = vector_corpus(spark, d)
+    return _knn(vectors.search_planes(corpus, as_queries(corpus), K))
 
 
 @REGISTRY.add("SELECT count(*) AS ntotal, 64 AS dimension, count(*) * 256 AS memory_bytes FROM embeddings WHERE embedding IS NOT NULL")
@@ -167,9 +180,15 @@ def exact_match_confidence(spark, d):
 def levenshtein_similarity(spark, d):
     """Items divisible by 100 against all items; a stated, broadcast query set."""
     items = table(spark, d, "benchmark").where("text <> ''").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    """Items divisible by 100 against all items, the former broadcast in blocks of at most vectors.PLAIN_QUERIES or so."""
     q = items.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q_text"))
-    c = items.select(F.col("item_id").alias("image_id"), "text")
-    return c.join(F.broadcast(q), F.lit(True)).select("query_id", "image_id", F.round(text.text_similarity(F.col("q_text"), F.col("text")), 6).alias("text_similarity"))
+    c, out = items.select(F.col("item_id").alias("image_id"), "text"), None
+    blocks = -(-q.count() // vectors.PLAIN_QUERIES) or 1
+    for number in range(blocks):
+        mine = F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number))
+        part = c.join(mine, F.lit(True)).select("query_id", "image_id", F.round(text.text_similarity(F.col("q_text"), F.col("text")), 6).alias("text_similarity"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _CONTENT = f"""
@@ -190,7 +209,7 @@ _CORPUS_KNN = _KNN.replace("FROM embeddings q, embeddings c WHERE", "FROM embedd
     f"WITH {_CORPUS_KNN}, {_CONTENT} SELECT query_id, image_id, round(similarity, 6) AS vector_similarity, round(text_similarity, 6) AS text_similarity, round(final_score, 6) AS final_score, channel_rank::INT AS channel_rank FROM content"
 )
 def content_match(spark, d):
-    corpus = full_corpus(spark, d)
+    corpus = ascii_corpus(spark, d)
     rows = matching.content_matches(corpus, as_queries(corpus), K, RECALL, FINAL, TOP)
     return rows.select("query_id", "image_id", *[F.round(c, 6).alias(c) for c in ("vector_similarity", "text_similarity", "final_score")], "channel_rank")
 
@@ -210,7 +229,7 @@ _FULL = f"WITH {_CORPUS_BITS}, {_PAIRS}, {_EXACT}, {_CORPUS_KNN}, {_CONTENT}, {_
 
 @REGISTRY.add(f"{_FULL} SELECT query_id, image_id, match_type, round(similarity, 6) AS similarity, total_matches, rank::INT AS rank FROM combined")
 def combined_match(spark, d):
-    corpus = full_corpus(spark, d)
+    corpus = ascii_corpus(spark, d)
     return matching.match(corpus, as_queries(corpus), CONFIG).select("query_id", "image_id", "match_type", F.round("similarity", 6).alias("similarity"), "total_matches", "rank")
 
 
@@ -222,12 +241,34 @@ _LEVEL = "CASE WHEN similarity >= 0.8 THEN 'HIGH' WHEN similarity >= 0.5 THEN 'M
     round(similarity, 6) AS overall_score, round(text_similarity, 6) AS text_score, round(vector_similarity, 6) AS visual_score, distance::INT AS hash_distance FROM combined"""
 )
 def dual_path_formatted(spark, d):
-    """The flagship: both paths, combined and formatted."""
-    corpus = full_corpus(spark, d)
+    """Both paths, combined and formatted, on texts that mean the same to the SQL."""
+    return _dual_path(ascii_corpus(spark, d))
+
+
+def _dual_path(corpus: DataFrame) -> DataFrame:
     rows = matching.format_results(matching.match(corpus, as_queries(corpus), CONFIG))
     return rows.withColumns({c: F.round(c, 6) for c in ("overall_score", "text_score", "visual_score")})
 
 
+@REGISTRY.add()
+def dual_path_full_text(spark, d):
+    """The flagship: both paths, combined and formatted, on the texts as they are."""
+    return _dual_path(full_corpus(spark, d))
+
+
+@REGISTRY.add(
+    f"""WITH {_CORPUS_BITS}, {_PAIRS}, {_EXACT}, {_CORPUS_KNN}, {_CONTENT}, places AS (
+      SELECT query_id, image_id, 'exact' AS match_type, 0 AS bucket, channel_rank FROM exact UNION ALL SELECT query_id, image_id, 'content', 1, channel_rank FROM content)
+    SELECT query_id, image_id, match_type, (row_number() OVER (PARTITION BY query_id ORDER BY bucket, channel_rank))::INT AS rank FROM places"""
+)
+def merged_buckets(spark, d):
+    corpus = ascii_corpus(spark, d)
+    queries = as_queries(corpus)
+    exact = fingerprints.exact_matches(corpus.select("image_id", "ord", "hash"), queries, RADIUS, TOP).select("query_id", "image_id", F.col("channel_rank").alias("place"))
+    content = matching.content_matches(corpus, queries, K, RECALL, FINAL, TOP).select("query_id", "image_id", F.col("channel_rank").alias("place"))
+    return matching.merge_buckets(exact, content).select("query_id", "image_id", "match_type", "rank")
+
+
 @REGISTRY.add(f"{_FULL} SELECT confidence_level, count(*) AS n FROM (SELECT {_LEVEL} AS confidence_level FROM combined) GROUP BY ALL")
 def confidence_buckets(spark, d):
     return dual_path_formatted(spark, d).groupBy("confidence_level").agg(F.count("*").alias("n"))
@@ -240,7 +281,7 @@ def confidence_buckets(spark, d):
     coalesce(round(avg(similarity) FILTER (rank = 1), 4), 0) AS avg_top1_similarity, coalesce(round(avg(similarity) FILTER (rank = 2), 4), 0) AS avg_top2_similarity, coalesce(round(avg(similarity) FILTER (rank = 3), 4), 0) AS avg_top3_similarity FROM combined"""
 )
 def query_stats(spark, d):
-    corpus = full_corpus(spark, d)
+    corpus = ascii_corpus(spark, d)
     queries = as_queries(corpus)
     times = queries.select("query_id", (F.col("query_id") / 8.0).alias("processing_time_ms"))
     return matching.query_stats(matching.match(corpus, queries, CONFIG), times, TOP)

@@ -31,19 +31,29 @@ def text_strategies(spark, d):
     return _per_text(spark, d, plain=text.normalize_text(F.regexp_replace("text", "\\s+$", " "), ["remove_punctuation"])).select("doc_id", text.normalize_text(F.regexp_replace("plain", r"\s+", " "), ["to_lowercase", "normalize_unicode"]).alias("plain"))
 
 
-@REGISTRY.add("SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = text AS same, count(*) AS n FROM documents GROUP BY ALL")
+_LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+@REGISTRY.add(
+    f"""SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(other, '\\s+', ' ', 'g'))) AS same FROM (
+    SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN translate(replace(text, ' ', '  '), '{_LETTERS[0]}', '{_LETTERS[1]}') WHEN 1 THEN text || ' x' ELSE replace(text, ' ', '') END AS other FROM documents)"""
+)
 def compare_normalized(spark, d):
-    same = text.same_normalized(F.col("text"), F.col("text"), ["normalize_whitespace", "to_lowercase"])
-    folded = text.normalize_text(F.col("text"), ["normalize_whitespace", "to_lowercase"]) == F.col("text")
-    return table(spark, d, "documents").where(same).groupBy(folded.alias("same")).agg(F.count("*").alias("n"))
+    """Each text against another form of it: other case and spacing, a word more, or no spaces."""
+    part = F.col("doc_id") % 3
+    other = F.when(part == 0, F.translate(F.replace("text", F.lit(" "), F.lit("  ")), *_LETTERS)).when(part == 1, F.concat("text", F.lit(" x"))).otherwise(F.replace("text", F.lit(" "), F.lit("")))
+    return table(spark, d, "documents").select("doc_id", text.same_normalized(F.col("text"), other, ["normalize_whitespace", "to_lowercase"]).alias("same"))
 
 
 @REGISTRY.add(
-    """SELECT guess, count(*) AS n FROM (SELECT CASE WHEN cjk = 0 AND latin = 0 THEN 'unknown' WHEN cjk >= latin THEN 'zh' ELSE 'en' END AS guess FROM
-    (SELECT length(regexp_replace(text, '[^一-鿿]', '', 'g')) AS cjk, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin FROM documents)) GROUP BY ALL"""
+    """SELECT doc_id, CASE WHEN cjk = 0 AND latin = 0 THEN 'unknown' WHEN cjk >= latin THEN 'zh' ELSE 'en' END AS guess FROM
+    (SELECT doc_id, length(regexp_replace(mixed, '[^一-鿿]', '', 'g')) AS cjk, length(regexp_replace(mixed, '[^A-Za-z]', '', 'g')) AS latin FROM (
+    SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN regexp_replace(text, '[A-Za-z]', '', 'g') ELSE translate(text, 'aeostn', '啊鹅哦丝特嗯') END AS mixed FROM documents))"""
 )
 def detect_language(spark, d):
-    return table(spark, d, "documents").groupBy(text.detect_language(F.col("text")).alias("guess")).agg(F.count("*").alias("n"))
+    """Texts in which Chinese characters stand for about half the letters, or no letters are left: all classes occur."""
+    mixed = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", "[A-Za-z]", "")).otherwise(F.translate("text", "aeostn", "啊鹅哦丝特嗯"))
+    return table(spark, d, "documents").select("doc_id", text.detect_language(mixed).alias("guess"))
 
 
 _PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '')"
@@ -63,11 +73,11 @@ def shard_merge_dedupe(spark, d):
     return ingest.merge_shards(rows)
 
 
-@REGISTRY.add("SELECT page_id, page_id::VARCHAR || '.jpg' AS file_name FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels) AND url <> '' AND regexp_matches(url, '^[^.]*//[^/]*(/[^.]*)?$')")
+@REGISTRY.add("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND url <> ''")
 def resume_antijoin(spark, d):
-    """Pages still to fetch: labelled ids stand for finished ones; the names of pages without a suffix."""
+    """Pages still to fetch: labelled ids stand for finished ones."""
     todo, _ = ingest.download_plan(table(spark, d, "pages").select("page_id", F.col("url").alias("page_url")), table(spark, d, "labels").select(F.col("doc_id").alias("page_id")))
-    return todo.where(F.col("page_url").rlike("^[^.]*//[^/]*(/[^.]*)?$")).select("page_id", "file_name")
+    return todo.select("page_id", F.col("page_url").alias("url"))
 
 
 @REGISTRY.add(
@@ -75,7 +85,7 @@ def resume_antijoin(spark, d):
     WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND url <> ''"""
 )
 def resume_plan(spark, d):
-    """All pages still to fetch, those with a suffix too: labelled ids stand for finished ones."""
+    """The same pages with the name that each file gets, from its URL's suffix."""
     todo, _ = ingest.download_plan(table(spark, d, "pages").select("page_id", F.col("url").alias("page_url")), table(spark, d, "labels").select(F.col("doc_id").alias("page_id")))
     return todo.select("page_id", "file_name")
 
@@ -104,3 +114,20 @@ def progress_arithmetic(spark, d):
 def grid_moves(spark, d):
     e = table(spark, d, "events").select("event_id", F.explode(F.array(*map(F.lit, ("left", "right", "up", "down")))).alias("move"))
     return e.withColumn("target", scores.grid_move(F.col("event_id"), F.col("move"), 6, 100_000))
+
+
+@REGISTRY.add(
+    """SELECT i::INT AS place, (CASE WHEN i % 7 > 0 THEN i - 1 ELSE i END)::INT AS "left", (CASE WHEN i % 7 < 6 AND i + 1 < n THEN i + 1 ELSE i END)::INT AS "right",
+    (CASE WHEN i >= 7 THEN i - 7 ELSE i END)::INT AS up, (CASE WHEN i + 7 < n THEN i + 7 ELSE i END)::INT AS down FROM (SELECT count(*) AS n FROM benchmark), range(100000) r(i) WHERE i < n"""
+)
+def nav_targets(spark, d):
+    """Targets of all places of a grid with as many cells as there are benchmark items."""
+    count = table(spark, d, "benchmark").count()
+    return spark.range(1).select(F.posexplode(scores.nav_map(count, 7)).alias("place", "to")).select("place", "to.*")
+
+
+@REGISTRY.add("SELECT strftime(ts, '%Y-%m-%d') AS batch, round(sum(value) / count(*), 4) AS mean_ms FROM events GROUP BY ALL")
+def batch_times(spark, d):
+    """Mean time of a query in each day's batch."""
+    days = table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("batch")).agg(F.sum("value").alias("ms"), F.count("*").alias("n"))
+    return days.select("batch", F.round(scores.batch_time(F.col("ms"), F.col("n")), 4).alias("mean_ms"))

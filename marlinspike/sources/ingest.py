@@ -33,15 +33,23 @@ def _local(path: Column) -> Column:
 
 
 def scan_folder(spark: SparkSession, folder: str, suffixes: Iterable[str] = IMAGE_SUFFIXES) -> DataFrame:
-    """Images of a folder in order of their paths: (image_id, ord)."""
-    found = list_files(spark, folder, suffixes).select(_local(F.col("image_id")).alias("image_id")).distinct()
-    return found.withColumn("ord", F.row_number().over(_by_path()) - 1)
+    """Images of a folder in order of their paths: (image_id, ord); places grow with the path and may leave gaps.
 
+    Paths are dealt by range, so no task orders them all.
+    """
+    found = list_files(spark, folder, suffixes).select(_local(F.col("image_id")).alias("image_id")).distinct()
+    return found.orderBy("image_id").withColumn("ord", F.monotonically_increasing_id())
 
-def _by_path():
-    from pyspark.sql import Window
 
-    return Window.orderBy("image_id")
+def load_image(spark: SparkSession, source: str | bytes, get: Callable[[str], bytes] | None = None) -> DataFrame:
+    """One image as (image_id, content): bytes, a path, or a URL that ``get`` fetches."""
+    if isinstance(source, bytes | bytearray):
+        return spark.createDataFrame([("memory", bytes(source))], "image_id string, content binary")
+    if source.startswith(("http://", "https://")):
+        if get is None:
+            raise ValueError("a URL needs a function that fetches it")
+        return spark.createDataFrame([(source, get(source))], "image_id string, content binary")
+    return spark.read.format("binaryFile").load(source).select(_local(F.col("path")).alias("image_id"), "content")
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +58,9 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("image_id <> ''")
 
 
-def existing(listed: DataFrame, files: DataFrame) -> DataFrame:
-    """Listed paths that exist (semi-join on a listing); none at all is an error."""
+def existing(listed: DataFrame, files: DataFrame, suffixes: Iterable[str] = IMAGE_SUFFIXES) -> DataFrame:
+    """Listed images that exist (semi-join on a listing); other suffixes are left out, and none at all is an error."""
+    listed = listed.where(text.suffix(F.col("image_id")).isin(*suffixes))
     kept = listed.join(files.select(_local(F.col("image_id")).alias("image_id")), "image_id", "left_semi")
     if kept.isEmpty():
         raise ValueError("none of the listed images exists")
@@ -89,20 +98,33 @@ def download_plan(entries: DataFrame, done: DataFrame) -> tuple[DataFrame, DataF
     return named, entries.where(~F.coalesce(good, F.lit(False)))
 
 
-def fetch(todo: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
-    """Fetch each URL with ``get``: (page_id, file_name, content, error); a failure is a row, not an exception."""
+def fetch(todo: DataFrame, get: Callable[[str, float], bytes], workers: int = 4, timeout: float = 30.0) -> DataFrame:
+    """Fetch each URL with ``get(url, timeout)``: (page_id, file_name, content, error); a failure is a row, not an exception.
+
+    A task has ``workers`` requests at work and at most four times as many waiting.
+    """
 
     def run(batches):
+        from collections import deque
+        from concurrent.futures import ThreadPoolExecutor
+
         import pandas as pd
 
-        for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                try:
-                    out.append((row.page_id, row.file_name, get(row.page_url), None))
-                except Exception as e:  # noqa: BLE001 - one row's failure
-                    out.append((row.page_id, row.file_name, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["page_id", "file_name", "content", "error"])
+        def one(row):
+            try:
+                return row.page_id, row.file_name, get(row.page_url, timeout), None
+            except Exception as e:  # noqa: BLE001 - one row's failure
+                return row.page_id, row.file_name, None, f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                out, flying = [], deque()
+                for row in batch.itertuples():
+                    flying.append(pool.submit(one, row))
+                    if len(flying) >= max(4 * workers, workers + 1):
+                        out.append(flying.popleft().result())
+                out += [f.result() for f in flying]
+                yield pd.DataFrame(out, columns=["page_id", "file_name", "content", "error"])
 
     return todo.select("page_id", "file_name", "page_url").mapInPandas(run, f"page_id {todo.schema['page_id'].dataType.simpleString()}, file_name string, content binary, error string")
 
@@ -122,6 +144,11 @@ def failed(spark: SparkSession, path: str) -> DataFrame:
     return good.where("path is not null").select("path").distinct()
 
 
+def scan_store(shards: DataFrame) -> DataFrame:
+    """Ids of the files that shards hold, read off their names: (page_id)."""
+    return shards.select(text.stem(F.col("file_name")).try_cast("long").alias("page_id")).where("page_id is not null").distinct()
+
+
 def remaining(files: DataFrame, done: DataFrame, broken: DataFrame, retry_failed: bool = False) -> DataFrame:
     """Files that neither succeeded nor failed; with ``retry_failed`` failed ones are taken again."""
     left = files.join(done.select("path"), "path", "left_anti")
@@ -152,6 +179,25 @@ def extract(images: DataFrame, extractor: Callable[[list[str]], list[dict]], sch
     return images.select("image_id", "ord").mapInPandas(run, schema)
 
 
+def extract_batches(images: DataFrame, extractor: Callable[[list[str]], list[dict]], schema: str, batch_size: int = 2) -> DataFrame:
+    """As extract, with ``batch_size`` images handed over at a time; records keep their places."""
+    if batch_size < 1:
+        raise ValueError("batch_size is 1 or more")
+
+    def sliced(ids: list[str]) -> list[dict]:
+        return [r for at in range(0, len(ids), batch_size) for r in extractor(ids[at : at + batch_size])]
+
+    return extract(images, sliced, schema)
+
+
+def failure_rows(records: DataFrame, now: Column, worker: Column | None = None, device: Column | None = None) -> DataFrame:
+    """Failure log of extraction records: path, error, error_type, worker_id, gpu_id, time."""
+    return records.where("not coalesce(extraction_success, false)").select(
+        F.col("image_id").alias("path"), "error", F.regexp_extract("error", "^([A-Za-z_]+):", 1).alias("error_type"),
+        (F.spark_partition_id() if worker is None else worker).alias("worker_id"), (F.lit(None).cast("int") if device is None else device).alias("gpu_id"), now.alias("time"),
+    )
+
+
 def corpora(spark: SparkSession, root: str) -> DataFrame:
     """Metadata of all corpora under a folder, newest first; unreadable ones are skipped."""
     rows = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").schema("name string, created_at string, statistics struct<total_images: long>").json(f"{root}/*/metadata.json")

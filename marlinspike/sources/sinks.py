@@ -9,13 +9,27 @@ import tempfile
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import fingerprints, matching, store
 
 EXPORT_FIELDS = ("rank", "candidate_image_path", "match_type", "confidence_level", "overall_score", "text_score", "visual_score", "hash_distance", "label", "notes", "labeled_at")
 
 
+#: The titles of the workbook's columns and figures.
+_QUERY_SHEET = {
+    "Query ID": "query_id", "Query Image": "query_image_path", "Database": "database_name", "Top N": "top_n", "Status": "status", "Created At": "created_at", "Processing Time (ms)": "processing_time_ms",
+}
+_CANDIDATE_SHEET = {
+    "Query ID": "query_id", "Rank": "rank", "Candidate Image": "candidate_image_path", "Match Type": "match_type", "Confidence": "confidence_level", "Overall Score": "overall_score",
+    "Text Score": "text_score", "Visual Score": "visual_score", "Hash Distance": "hash_distance", "Label": "label", "Notes": "notes", "Labeled At": "labeled_at",
+}
+_STATISTICS = (
+    ("Total Queries", "total_queries"), ("Completed Queries", "completed_queries"), ("Unlabeled Queries", "unlabeled_queries"), ("Total Candidates", "total_candidates"),
+    ("Labeled Candidates", "labeled_candidates"), ("Hit Candidates", "hit_count"), ("Miss Candidates", "miss_count"),
+)
+
+
 def export_scope(queries: DataFrame, scope: str = "all", dates: tuple[str, str] | None = None) -> DataFrame:
     """Queries of an export: all, labeled (partial or completed) or completed; an unknown scope means all."""
     if scope == "labeled":
@@ -63,13 +77,25 @@ def write_csv_file(rows: DataFrame, path: str) -> int:
     return count
 
 
-def workbook(queries: DataFrame, candidates: DataFrame, name: str) -> dict[str, DataFrame]:
-    """The four sheets of the workbook export as frames."""
-    stats = store.stats_summary(queries, candidates)
-    shown = stats.withColumn("hit_rate", F.format_string("%.2f%%", F.col("hit_rate") * 100))
-    by_type = candidates.groupBy("match_type").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "hit").alias("hits"))
-    meta = queries.agg(F.lit(name).alias("database"), F.count("*").alias("queries")).join(F.broadcast(candidates.agg(F.count("*").alias("candidates"))), F.lit(True))
-    return {"Queries": queries, "Candidates": export_flat(queries, candidates), "Statistics": shown, "Metadata": meta, "MatchTypes": by_type}
+def workbook(queries: DataFrame, candidates: DataFrame, name: str, scope: str = "all", dates: tuple[str, str] | None = None, now: Column | None = None) -> dict[str, DataFrame]:
+    """The four sheets of the workbook export as frames: Queries, Candidates, Statistics and Metadata.
+
+    The first two hold the queries of the scope; the statistics are over all.
+    """
+    kept = export_scope(queries, scope, dates)
+    listed = lambda df, columns: df.select(*[F.col(c).alias(title) for title, c in columns.items()])
+    rows = export_flat(kept, candidates)
+    pairs = lambda one_row, key, names: one_row.select(F.explode(F.array(*[F.struct(F.lit(n).alias(key), c.cast("string").alias("Value")) for n, c in names])).alias("x")).select("x.*")
+    stats = pairs(store.stats_summary(queries, candidates), "Metric", [(n, F.col(c)) for n, c in _STATISTICS] + [("Hit Rate", F.format_string("%.2f%%", F.col("hit_rate") * 100))])
+    # one row each
+    totals = kept.agg(F.count("*").alias("queries")).join(F.broadcast(rows.agg(F.count("*").alias("candidates"))), F.lit(True))
+    when = F.date_format(F.current_timestamp() if now is None else now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    meta = pairs(totals, "Field", [("Export Date", when), ("Database", F.lit(name)), ("Export Scope", F.lit(scope)), ("Total Queries Exported", F.col("queries")), ("Total Candidates Exported", F.col("candidates"))])
+    return {"Queries": listed(kept, _QUERY_SHEET), "Candidates": listed(rows, _CANDIDATE_SHEET), "Statistics": stats, "Metadata": meta}
+
+
+def sheet_counts(sheets: dict[str, DataFrame]) -> dict[str, int]:
+    return {title: rows.count() for title, rows in sheets.items()}
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
@@ -109,8 +135,89 @@ def write_index(features: DataFrame, folder: str) -> None:
     kept = features.sparkSession.read.parquet(f"{folder}/features")
     matching.vector_rows(kept).write.parquet(f"{folder}/vectors")
     matching.hash_rows(kept).write.parquet(f"{folder}/hashes")
-    stats = matching.build_stats(kept).join(F.broadcast(fingerprints.index_stats(matching.hash_rows(kept))), F.lit(True))
-    stats.write.parquet(f"{folder}/stats")
+    _write_stats(features.sparkSession, folder, "error")
+
+
+def add_to_index(features: DataFrame, folder: str) -> int:
+    """Add the records whose id an index does not have; returns how many.
+
+    Artefacts grow by appending, vectors and hashes of the new records only;
+    the statistics are counted again.  Records repeated in the input are added
+    once, the first in place.
+    """
+    spark = features.sparkSession
+    known = spark.read.parquet(f"{folder}/features").select("image_id")
+    first = features.groupBy("image_id").agg(F.min_by(F.struct(*[c for c in features.columns if c != "image_id"]), "ord").alias("r")).select("image_id", "r.*").select(*features.columns)
+    batch = f"{folder}/added-{uuid.uuid4().hex}"
+    first.join(known, "image_id", "left_anti").write.parquet(batch)
+    new = spark.read.parquet(batch)
+    matching.vector_rows(new).write.mode("append").parquet(f"{folder}/vectors")
+    matching.hash_rows(new).write.mode("append").parquet(f"{folder}/hashes")
+    new.write.mode("append").parquet(f"{folder}/features")
+    count = new.count()
+    _, target, files = _files(spark, batch)
+    files.delete(target, True)
+    _write_stats(spark, folder, "overwrite")
+    return count
+
+
+def _write_stats(spark: SparkSession, folder: str, mode: str) -> None:
+    # one row each
+    stats = matching.build_stats(spark.read.parquet(f"{folder}/features")).join(F.broadcast(fingerprints.index_stats(spark.read.parquet(f"{folder}/hashes"))), F.lit(True))
+    stats.write.mode(mode).parquet(f"{folder}/stats")
+
+
+def create_corpus(spark: SparkSession, root: str, name: str, config: dict, created_at: str) -> str:
+    """Folder of a new corpus with metadata, configuration and an empty store; an existing name is an error.
+
+    What was written is removed again if anything fails.
+    """
+    import yaml
+
+    from ..operators.config import validate, validate_database_name
+
+    folder = f"{root.rstrip('/')}/{validate_database_name(name)}"
+    if problems := validate(config):
+        raise ValueError("; ".join(problems))
+    _, target, files = _files(spark, folder)
+    if files.exists(target):
+        raise ValueError(f"there is a corpus {name} already")
+    try:
+        files.mkdirs(target)
+        tables = VersionedTables(spark, f"{folder}/store")
+        versions = {n: tables.stage(n, spark.createDataFrame([], schema))[0] for n, schema in (("queries", store.QUERIES), ("candidates", store.CANDIDATES))}
+        tables.publish(**versions)
+        write_small(spark, f"{folder}/config.yaml", yaml.safe_dump(config, allow_unicode=True, sort_keys=False))
+        write_small(spark, f"{folder}/metadata.json", json.dumps({"name": name, "created_at": created_at, "statistics": {"total_images": 0}}, ensure_ascii=False))
+    except Exception:
+        files.delete(target, True)
+        raise
+    return folder
+
+
+def refresh_corpus(spark: SparkSession, folder: str) -> dict:
+    """Metadata of a corpus with its statistics taken from the index, written back."""
+    metadata = json.loads(read_small(spark, f"{folder}/metadata.json"))
+    _, target, files = _files(spark, f"{folder}/index/stats")
+    if files.exists(target):
+        metadata["statistics"] = spark.read.parquet(f"{folder}/index/stats").first().asDict()
+    write_small(spark, f"{folder}/metadata.json", json.dumps(metadata, ensure_ascii=False))
+    return metadata
+
+
+def delete_corpus(spark: SparkSession, root: str, name: str) -> None:
+    """Remove a corpus with all it holds; an unknown one is an error."""
+    from ..operators.config import validate_database_name
+
+    _, target, files = _files(spark, f"{root.rstrip('/')}/{validate_database_name(name)}")
+    if not files.exists(target):
+        raise ValueError(f"there is no corpus {name}")
+    files.delete(target, True)
+
+
+def write_shards(entries: DataFrame, path: str, most: int = 2000) -> None:
+    """Fetched files in shards of at most ``most`` entries; Spark's commit leaves no half-written one."""
+    entries.write.option("maxRecordsPerFile", most).parquet(path)
 
 
 def write_cells(indexed: DataFrame, path: str) -> None:
@@ -136,44 +243,85 @@ def write_json_file(value: dict, path: str) -> None:
     os.replace(temporary, path)
 
 
-class VersionedTable:
-    """A table of whole versions: writers add one, then move the pointer; readers never see half of it."""
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, so that pointers work wherever tables do."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, on any file system; None if there is no such file."""
+    jvm, target, files = _files(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_small(spark: SparkSession, path: str, content: str) -> None:
+    """Replace a small file at once: written beside it, then renamed over it."""
+    jvm, target, _ = _files(spark, path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = beside.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(beside, True)
+    try:
+        stream.write(bytearray(content.encode()))
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else jvm.java.net.URI("file:///"), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, target, options)
+
+
+class VersionedTables:
+    """Tables of whole versions under one manifest.
+
+    A writer adds versions of one table or several, then replaces the manifest,
+    so readers see all of a change or nothing of it.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _pointer(self) -> str:
-        return f"{self.root}/CURRENT"
-
-    def version(self) -> str | None:
-        if not os.path.exists(self._pointer()):
-            return None
-        with open(self._pointer(), encoding="utf-8") as f:
-            return json.load(f)["version"]
+    def versions(self) -> dict[str, str]:
+        return json.loads(read_small(self.spark, f"{self.root}/CURRENT") or "{}")
 
-    def read(self, schema: str) -> DataFrame:
-        version = self.version()
-        return self.spark.createDataFrame([], schema) if version is None else self.spark.read.parquet(f"{self.root}/{version}")
+    def read(self, name: str, schema: str) -> DataFrame:
+        version = self.versions().get(name)
+        return self.spark.createDataFrame([], schema) if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
-    def write(self, rows: DataFrame) -> str:
+    def stage(self, name: str, rows: DataFrame) -> tuple[str, DataFrame]:
+        """Write a version that nobody sees yet: (version, its rows)."""
         version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.root}/{version}")
-        write_json_file({"version": version}, self._pointer())
+        rows.write.parquet(f"{self.root}/{name}/{version}")
+        return version, self.spark.read.parquet(f"{self.root}/{name}/{version}")
+
+    def publish(self, **versions: str) -> None:
+        write_small(self.spark, f"{self.root}/CURRENT", json.dumps(self.versions() | versions))
+
+    def write(self, name: str, rows: DataFrame) -> str:
+        version, _ = self.stage(name, rows)
+        self.publish(**{name: version})
         return version
 
 
-def save_results(queries: VersionedTable, candidates: VersionedTable, searched: DataFrame, found: DataFrame, now) -> None:
-    """Store a batch of searches: merge queries, then candidates, then move both pointers.
+def save_results(tables: VersionedTables, searched: DataFrame, found: DataFrame, now) -> None:
+    """Store a batch of searches: merge queries and candidates, then publish both at once.
 
     ``searched`` as in store.upsert_queries, ``found`` with query_image_path,
     database_name and the candidate columns (rank counts within the match type).
+    A failure before the end leaves both tables as they were.
     """
-    merged = store.upsert_queries(queries.read(store.QUERIES), searched, now)
-    queries.write(merged)
-    ids = queries.read(store.QUERIES).select("query_id", "query_image_path", "database_name")
+    queries, merged = tables.stage("queries", store.upsert_queries(tables.read("queries", store.QUERIES), searched, now))
+    ids = merged.select("query_id", "query_image_path", "database_name")
     new = found.join(ids, ["query_image_path", "database_name"]).drop("query_image_path", "database_name")
     touched = searched.join(ids, ["query_image_path", "database_name"]).select("query_id")
-    candidates.write(store.upsert_candidates(candidates.read(store.CANDIDATES), new, touched))
+    candidates, _ = tables.stage("candidates", store.upsert_candidates(tables.read("candidates", store.CANDIDATES), new, touched))
+    tables.publish(queries=queries, candidates=candidates)
 
 
 def rank_within_type(found: DataFrame) -> DataFrame:

@@ -6,12 +6,24 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FINISHED = ("completed", "failed", "cancelled")
 
 
+def watch_images(spark: SparkSession, folder: str, files_per_trigger: int = 32, bytes_per_trigger: int | None = None) -> DataFrame:
+    """New images of a folder and of those below it, of the watched suffixes whatever their case: (image_id, content)."""
+    from ..functions import text
+    from ..sources.ingest import WATCH_SUFFIXES
+
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
+    # Spark takes one of the two bounds
+    reader = reader.option("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.load(folder).where(text.suffix(F.col("path")).isin(*WATCH_SUFFIXES)).select(F.col("path").alias("image_id"), "content")
+
+
 def watch_folder(spark: SparkSession, folder: str, form: str, schema: str | None = None, files_per_trigger: int = 32, pattern: str | None = None) -> DataFrame:
     """Unbounded rows of a growing folder; ``files_per_trigger`` bounds what is in flight."""
     reader = spark.readStream.format(form).option("maxFilesPerTrigger", files_per_trigger)
@@ -74,6 +86,67 @@ def task_states(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id").applyInPandasWithState(_step, STATE, "status string, processed long, ts timestamp", "update", GroupStateTimeout.NoTimeout)
 
 
+def _timed(heartbeat: float, keep: float):
+    """As _step, with timers in event time: a running task that falls silent waits again, a finished one is forgotten."""
+
+    def step(key, batches, state: GroupState):
+        status, processed, last = state.get if state.exists else (None, 0, None)
+        if state.hasTimedOut:
+            if status in FINISHED:
+                state.remove()
+                return
+            status = "pending" if status == "running" else status
+            now = state.getCurrentWatermarkMs()
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "ord"], kind="stable")
+            for event, done, ts in zip(rows["event"], rows["processed"], rows["ts"], strict=True):
+                status = _advance(status, event)
+                processed = max(processed, int(done)) if pd.notna(done) else processed
+                last = ts if last is None else max(pd.Timestamp(last), ts)
+            now = max(int(pd.Timestamp(last).timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.update((status, processed, pd.Timestamp(last).to_pydatetime()))
+        state.setTimeoutTimestamp(now + int(1000 * (heartbeat if status == "running" else keep)) + 1)
+        yield pd.DataFrame({"task_id": [key[0]], "status": [status], "processed": [processed], "ts": [pd.Timestamp(last)]})
+
+    return step
+
+
+def timed_states(events: DataFrame, heartbeat: float = 90.0, keep: float = 24 * 3600.0, late: str = "0 seconds") -> DataFrame:
+    """task_states with the limits of the queue: heartbeats within ``heartbeat`` seconds, finished tasks kept ``keep`` seconds.
+
+    Event time decides, so a replay gives the same states.
+    """
+    grouped = events.withWatermark("ts", late).groupBy("task_id")
+    return grouped.applyInPandasWithState(_timed(heartbeat, keep), STATE, "status string, processed long, ts timestamp", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def observed(rows: DataFrame, name: str = "progress") -> DataFrame:
+    """``rows`` with counts of what passed, which ``ProgressListener`` hands to a callback."""
+    return rows.observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+class ProgressListener(StreamingQueryListener):
+    """Calls ``callback(processed)`` with the rows so far after every micro-batch of a query with ``observed`` rows."""
+
+    def __init__(self, callback: Callable[[int], None], name: str = "progress"):
+        self.callback, self.name, self.total = callback, name, 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.total += row.rows
+            self.callback(self.total)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def final_states(events: DataFrame) -> DataFrame:
     """Batch twin of task_states: the state after all events, without Python.
 

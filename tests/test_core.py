@@ -102,27 +102,38 @@ def test_vector_search(spark):
     cells = vectors.assign_cells(good, centres)
     asked = vectors.fit_dimension(queries, 8)
     assert key(vectors.search_cells(cells, centres, asked, 7, 10)) == plain
-    part = {x[:2] for x in key(vectors.search_cells(cells, centres, asked, 7, 7))}
-    assert len(part & {x[:2] for x in plain}) >= 0.75 * len(plain)
+    probe = vectors.calibrate_probe(cells, centres, 7)
+    part = {x[:2] for x in key(vectors.search_cells(cells, centres, asked, 7, probe))}
+    assert 1 <= probe <= 10 and len(part & {x[:2] for x in plain}) >= 0.9 * len(plain)
     books = vectors.train_codebooks(good, 4, 6)
-    coded = {x[:2] for x in key(vectors.search_codes(vectors.encode(good, books), books, asked, 20))}
-    assert len(coded & {x[:2] for x in plain}) >= 0.7 * len(plain)
+    coded = {x[:2] for x in key(vectors.search_codes(vectors.encode(good, books), books, asked, 7, corpus=good))}
+    assert len(coded & {x[:2] for x in plain}) >= 0.9 * len(plain)
+    assert vectors.search_codes(vectors.encode(good, books), books, asked, 7).count() == 7 * asked.count()
+    planes = {x[:2] for x in key(vectors.search_planes(corpus, asked, 7))}
+    assert len(planes & {x[:2] for x in plain}) >= 0.9 * len(plain)
+    assert vectors.search_planes(corpus.limit(0), queries, 5).count() == 0
     assert vectors.search(corpus.limit(0), queries, 5).count() == 0
     assert vectors.search(corpus, queries, 50, 0.5).where("similarity < 0.5").count() == 0
     with pytest.raises(ValueError):
         vectors.choose_search("Tree", corpus)
 
 
-def test_radius_joins_agree(spark):
+def test_radius_joins_agree(spark, monkeypatch):
     import random
 
     rng = random.Random(4)
-    hashes = ["".join(rng.choice("01") for _ in range(16)) for _ in range(200)] + ["zz", "zy", "ab", "abc", "", None, "FF" * 8]
+    hashes = ["".join(rng.choice("01") for _ in range(16)) for _ in range(120)] + ["".join(rng.choice("0123456789abcdefABCDEF") for _ in range(n)) for n in (1, 2, 3, 4, 16, 16, 17) * 6] + ["zz", "zy", "ab", "abc", "x" * 16, "g" + "0" * 15, "", None, "FF" * 8]
     corpus = spark.createDataFrame([(i, i, h) for i, h in enumerate(hashes)], "image_id long, ord long, hash string")
     queries = corpus.selectExpr("image_id query_id", "hash")
-    for d in (0, 2, 5):
+    for d in (0, 1, 2, 5, 13, 20, 63, 64):
         a = sorted(map(tuple, fingerprints.radius_join_nested(corpus, queries, d).collect()))
-        assert a == sorted(map(tuple, fingerprints.radius_join_banded(corpus, queries, d).collect())) and len(a) >= 205
+        banded = fingerprints.radius_join_banded(corpus, queries, d)
+        assert a == sorted(map(tuple, banded.collect())) and len(a) >= 160
+    assert "NestedLoop" not in banded._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in banded._jdf.queryExecution().executedPlan().toString()
+    bands = fingerprints._bands(F.col("hash"), F.col("hash"), 6, "chars")
+    assert not corpus.where("length(hash) >= 6").select(F.explode(bands).alias("b")).where("b.value = ''").count()
+    monkeypatch.setattr(fingerprints, "BLOCK", 30)
+    assert sorted(map(tuple, fingerprints.radius_join_nested(corpus, queries, 64).collect())) == a
     top = fingerprints.exact_matches(corpus, queries, 5, 3).collect()
     assert max(r.channel_rank for r in top) == 3
     stats = fingerprints.index_stats(spark.createDataFrame([(1, 1, "a"), (2, 2, "a"), (3, 3, "a"), (4, 4, "b")], "image_id long, ord long, hash string")).first()
@@ -145,6 +156,57 @@ def test_matching_paths(spark):
     assert [(r.confidence_level, r.hash_distance, r.visual_score, r.text_score) for r in sorted(formatted, key=lambda r: r.image_path)] == [("HIGH", 3, None, None), ("MEDIUM", None, 0.7, 0.4)]
 
 
+def test_edit_distance(spark):
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            prev, row = row, [i + 1]
+            for j, y in enumerate(b):
+                row.append(min(prev[j] + (x != y), prev[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    rng = random.Random(3)
+    pairs = [("".join(rng.choice("ab漢😀") for _ in range(rng.randrange(90))), "".join(rng.choice("abc漢") for _ in range(rng.randrange(90)))) for _ in range(300)]
+    pairs += [("", ""), ("", "abc"), ("kitten", "sitting"), ("abc", "abc"), ("a" * 200, "a" * 100 + "b" + "a" * 99)]
+    assert all(text.edit_distance_of(a, b) == plain(a, b) for a, b in pairs)
+    rows = spark.createDataFrame([*pairs, (None, "a")], "a string, b string").select(text.edit_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r.d for r in rows] == [*[plain(a, b) for a, b in pairs], None]
+
+
+def test_verification_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcé ") for _ in range(n))
+    texts = {i: say(rng.randrange(60)) for i in range(40)} | {i: None for i in (40, 41)} | {42: ""}
+    asked = {f"q{i}": say(rng.randrange(60)) for i in range(6)}
+    recalled = [(q, i, i, round(rng.random(), 3), rank) for q in asked for rank, i in enumerate(rng.sample(sorted(texts), 25), 1)]
+    frames = spark.createDataFrame(recalled, "query_id string, image_id long, ord long, similarity double, vector_rank int"), spark.createDataFrame(list(asked.items()), "query_id string, full_text string"), spark.createDataFrame(list(texts.items()), "image_id long, full_text string")
+    for threshold, top in ((0.0, 3), (0.4, 5), (0.9, 2)):
+        want = {}
+        for q, i, _, v, rank in recalled:
+            if asked[q] and texts[i]:
+                score = 0.75 * v + 0.25 * (1 - text.edit_distance_of(asked[q], texts[i]) / max(len(asked[q]), len(texts[i])))
+                if score >= threshold:
+                    want.setdefault(q, []).append((-score, rank, i))
+        got = {(r.query_id, r.channel_rank): r.image_id for r in matching.verify_content(*frames, threshold, top).collect()}
+        assert got == {(q, n): i for q, rows in want.items() for n, (_, _, i) in enumerate(sorted(rows)[:top], 1)}
+
+
+def test_budget_and_grid(spark):
+    assert config.plan_workers(7, 2, 20.0)["interactive"] == 2 and config.plan_workers(7, 4, 13.5)["interactive"] == 2
+    tight = config.plan_workers(7, 2, 5.0)
+    assert (tight["background"], tight["interactive"], tight["degraded"], tight["required_gb"]) == (7, 1, True, 12.0)
+    assert config.plan_workers(1, 1, None)["reason"] and [config.worker_cap(g, 8) for g in (None, 0.5, 6.0)] == [2, 1, 4]
+    assert config.index_section("index: {type: Flat}") == {"type": "Flat"} and config.index_section("a: [") == config.index_section(None) == config.index_section("index: 3") == {}
+    assert one(spark, F.size(scores.nav_map(8, 3)), F.size(scores.nav_map(0, 3)), scores.nav_map(8, 3)[5]) == (8, 0, (4, 5, 2, 5))
+    with pytest.raises(ValueError):
+        scores.nav_map(3, 0)
+    assert one(spark, scores.batch_time(F.lit(10.0), F.lit(4)), scores.batch_time(F.lit(10.0), F.lit(0)), scores.position_text(F.lit(0)), scores.position_text(F.lit(3))) == (2.5, None, "next", "3 ahead")
+
+
 def store_frames(spark):
     names = ["q_unlabeled", "q_partial", "q_nohit", "q_nocands", "q_done_hit", "q_history"]
     q = [(n, f"/{n}.png", "db1", 10, None, None, "unlabeled", datetime(2026, 1, i + 1), None, None) for i, n in enumerate(names)]
@@ -238,7 +300,7 @@ def test_queue(spark):
     now = F.lit("2026-01-03").cast("timestamp")
     assert [r.task_id for r in tasks.list_tasks(t).collect()] == ["t1", "t4", "t2", "t0", "t3"]
     assert {r.status: r.n for r in tasks.counts_by_status(t).collect()} == {"pending": 3, "running": 1, "completed": 1, "failed": 0, "cancelled": 0}
-    assert {r.task_id: r.position for r in tasks.queue_positions(t).collect()} == {"t0": 0, "t2": 1, "t4": None}
+    assert {r.task_id: r.position for r in tasks.queue_positions(t).collect()} == {"t0": 0, "t2": 1, "t4": 2}
     assert tasks.next_task(t, "background").first().task_id == "t0" and tasks.next_task(t, "interactive").first().task_id == "t2"
     schema = "task_id string, processed int, total int, failed int, last_index int, stage string"
     step = lambda p, total: tasks.update_progress(t, spark.createDataFrame([("t1", p, total, None, None, None)], schema)).where("task_id = 't1'").first().progress_percentage
@@ -247,10 +309,21 @@ def test_queue(spark):
     assert {r.task_id: r.progress_percentage for r in done.collect() if r.task_id in ("t0", "t1")} == {"t0": 0.0, "t1": 100.0}
     cancelled = {r.task_id: (r.status, r.cancel_requested) for r in tasks.request_cancel(t, t.select("task_id"), now).collect()}
     assert cancelled["t0"] == ("cancelled", True) and cancelled["t1"] == ("running", True) and cancelled["t3"] == ("completed", False)
-    back = tasks.recover_orphans(t, spark.createDataFrame([(5,)], "pid long"), now).where("task_id = 't1'").first()
-    assert (back.status, back.scheduler_pid, back.last_processed_index) == ("pending", None, 39)
-    alive = tasks.recover_orphans(t, spark.createDataFrame([(5,)], "pid long"), F.lit("2026-01-01 00:01:00").cast("timestamp")).where("task_id = 't1'").first()
-    assert alive.status == "running"
+    pids, nobody, soon = spark.createDataFrame([(5,)], "pid long"), spark.createDataFrame([], "pid long"), F.lit("2026-01-01 00:01:00").cast("timestamp")
+    after = lambda *args: tasks.recover_orphans(t, *args).where("task_id = 't1'").first()
+    back = after(nobody, now)
+    assert (back.status, back.scheduler_pid, back.last_processed_index, back.stage) == ("pending", None, 39, tasks.REQUEUED)
+    # a known scheduler is left alone, stale heartbeat or not; another process with its number only with a fresh one
+    assert after(pids, now).status == "running" and after(nobody, now, pids).status == "pending" and after(nobody, soon, pids).status == "running"
+    assert after(nobody, soon).status == "pending" and after(nobody, now, None, spark.createDataFrame([("t1",)], "task_id string")).status == "running"
+    claimed = {r.task_id: (r.status, r.scheduler_pid) for r in tasks.claim(tasks.claim(t, "background", 7, now), "interactive", 8, now).collect()}
+    assert claimed["t0"] == ("running", 7) and claimed["t2"] == ("running", 8) and claimed["t4"] == ("pending", None)
+    runners = tasks.Runners()
+    runners.register("index_build", lambda x: x + 1)
+    assert runners.run("index_build", 1) == 2
+    for bad in (lambda: runners.run("batch_search"), lambda: runners.register("other", print)):
+        with pytest.raises(ValueError):
+            bad()
     assert tasks.purge_interactive(t, now).count() == 4 and tasks.clear_terminal(t)[1].count() == 1
     with pytest.raises(ValueError):
         tasks.enqueue_row("x", "other")

@@ -62,9 +62,19 @@ def test_resume_plan_has_every_page_to_fetch(spark, data):
     assert any(name == f"{i}.html" for i, name in got.items())
 
 
-def test_cell_recall(spark, data):
-    from marlinspike.plans import search
-
-    exact = {(r.query_id, r.image_id) for r in search.knn_topk(spark, data).collect()}
-    near = {(r.query_id, r.image_id) for r in search.ivf_search(spark, data).collect()}
-    assert len(exact & near) / len(exact) >= 0.75
+@pytest.mark.parametrize("name", ["ivf_search", "pq_search", "planes_search"])
+def test_recall(spark, data, name):
+    exact = {(r.query_id, r.image_id) for r in entry.queries()["knn_topk"](spark, data).collect()}
+    near = {(r.query_id, r.image_id) for r in entry.queries()[name](spark, data).collect()}
+    assert len(exact & near) / len(exact) >= 0.9
+
+
+def test_flagship_on_whole_texts(spark, data):
+    from marlinspike.functions.text import edit_distance_of
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = [r for r in entry.queries()["dual_path_full_text"](spark, data).collect() if r.match_type == "content"]
+    assert rows
+    for r in rows:
+        a, b = texts[r.query_id], texts[r.image_path]
+        assert abs(r.text_score - (1 - edit_distance_of(a, b) / max(len(a), len(b)))) < 1e-6
