@@ -53,3 +53,97 @@ SELECT b.conv_id, b.turn, b.role, coalesce(o.content, '') AS content, CAST(coale
 FROM base b LEFT JOIN own o USING (rid) LEFT JOIN counts c USING (rid) LEFT JOIN first f USING (rid) LEFT JOIN levels l USING (rid)
 LEFT JOIN places p ON b.conv_id = p.conv_id AND b.turn = p.turn
 """
+
+_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = f"translate(coalesce(text, ''), '{_A}', '{_Z}')"
+_NON_SPACE, _ALNUM = r"[^\x20\x09-\x0D]+", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(source: str, name: str, key: str, text: str, pattern: str) -> str:
+    """Tables ``name``_rows (rid, the key) and ``name`` (rid, pos, word) of all words of all rows."""
+    return rf"""{name}_rows AS (
+  SELECT row_number() OVER () AS rid, {key}, regexp_extract_all({text}, '{pattern}') AS words FROM {source}
+), {name} AS (
+  SELECT rid, generate_subscripts(words, 1) AS pos, unnest(words) AS word FROM {name}_rows
+)"""
+
+
+def _runs(most: int) -> str:
+    """A list of the runs of 1 to ``most`` words from a word on; those beyond the text's end are null."""
+    parts = ["word", *(f"lead(word, {i}) OVER w" for i in range(1, most))]
+    return "[" + ", ".join(" || ' ' || ".join(parts[:n]) for n in range(1, most + 1)) + "]"
+
+
+NGRAM_JACCARD = f"""
+WITH RECURSIVE {_words("documents", "said", "doc_id", _LOWER, _NON_SPACE)}, shingles AS (
+  SELECT DISTINCT rid, run AS shingle FROM (SELECT rid, {_runs(5)}[5] AS run FROM said WINDOW w AS (PARTITION BY rid ORDER BY pos)) WHERE run IS NOT NULL
+  UNION ALL SELECT rid, array_to_string(words, ' ') FROM said_rows WHERE len(words) BETWEEN 1 AND 4
+), sets AS (
+  SELECT rid, doc_id, size, mark FROM (SELECT rid, count(*) AS size, md5(string_agg(md5(shingle), '' ORDER BY shingle)) AS mark FROM shingles GROUP BY rid) JOIN said_rows USING (rid)
+), classes AS (
+  SELECT mark, min(rid) AS rid, any_value(size) AS size, min(doc_id) AS class_id FROM sets GROUP BY mark
+), held AS (
+  SELECT c.mark, c.size, s.shingle FROM classes c JOIN shingles s USING (rid)
+), linked AS (
+  SELECT a.mark AS a, b.mark AS b FROM held a JOIN held b ON a.shingle = b.shingle AND a.mark <> b.mark GROUP BY a.mark, b.mark, a.size, b.size
+  HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))
+  UNION SELECT a.mark, b.mark FROM sets a JOIN sets b ON a.doc_id = b.doc_id AND a.mark <> b.mark
+), reach AS (
+  SELECT mark, mark AS place FROM classes UNION SELECT r.mark, l.b FROM reach r JOIN linked l ON l.a = r.place
+), groups AS (
+  SELECT r.mark, min(c.class_id) AS component_id FROM reach r JOIN classes c ON c.mark = r.place GROUP BY r.mark
+)
+SELECT d.doc_id, coalesce(s.size, 0)::BIGINT AS n_shingles, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(g.component_id, d.doc_id) AS component_id
+FROM said_rows d LEFT JOIN sets s USING (rid) LEFT JOIN classes c ON c.mark = s.mark LEFT JOIN groups g ON g.mark = s.mark
+"""
+
+DECONTAMINATION = f"""
+WITH {_words("documents", "said", "doc_id", _LOWER, _ALNUM)}, {_words("benchmark WHERE item_id IS NOT NULL", "asked", "item_id", _LOWER, _ALNUM)}, said_runs AS (
+  SELECT * FROM (SELECT rid, pos, generate_subscripts(runs, 1) AS k, unnest(runs) AS run FROM (SELECT rid, pos, {_runs(10)} AS runs FROM said WINDOW w AS (PARTITION BY rid ORDER BY pos))) WHERE run IS NOT NULL
+), asked_runs AS (
+  SELECT * FROM (SELECT rid, pos, generate_subscripts(runs, 1) AS k, unnest(runs) AS run FROM (SELECT rid, pos, {_runs(10)} AS runs FROM asked WINDOW w AS (PARTITION BY rid ORDER BY pos))) WHERE run IS NOT NULL
+), windows AS (
+  SELECT r.*, a.item_id FROM asked_runs r JOIN asked_rows a USING (rid) WHERE r.k = least(10, len(a.words))
+), hits AS (
+  SELECT s.rid, s.pos, s.k, w.rid AS item, w.pos AS item_pos, w.item_id FROM said_runs s JOIN windows w ON s.k = w.k AND s.run = w.run
+), places AS (
+  SELECT DISTINCT rid, pos FROM hits
+), covered AS (
+  SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + k)) AS place FROM hits) GROUP BY rid
+), named AS (
+  SELECT rid, list(DISTINCT item_id::VARCHAR) AS items FROM hits GROUP BY rid
+), diagonals AS (
+  SELECT rid, item, pos - item_pos AS diagonal, pos - row_number() OVER (PARTITION BY rid, item, pos - item_pos ORDER BY pos) AS island FROM hits WHERE k = 10
+), lengths AS (
+  SELECT rid, count(*) + 9 AS length FROM diagonals GROUP BY rid, item, diagonal, island
+  UNION ALL SELECT s.rid, s.k FROM said_runs s JOIN places USING (rid, pos) WHERE EXISTS (FROM asked_runs a WHERE a.k = s.k AND a.run = s.run)
+), best AS (
+  SELECT rid, max(length) AS longest FROM lengths GROUP BY rid
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(list_sort(items), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
+FROM said_rows d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid) LEFT JOIN best USING (rid)
+"""
+
+#: Marks of 2, 4, ... words from a word on are made of those of half as many.
+SUBSTRING_DEDUP = f"""
+WITH {_words("documents", "said", "doc_id", "coalesce(text, '')", _NON_SPACE)}, m1 AS (
+  SELECT rid, pos, word, md5(word) AS h1 FROM said
+), m2 AS (SELECT *, md5(h1 || lead(h1, 1) OVER w) AS h2 FROM m1 WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), m4 AS (SELECT *, md5(h2 || lead(h2, 2) OVER w) AS h4 FROM m2 WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), m8 AS (SELECT *, md5(h4 || lead(h4, 4) OVER w) AS h8 FROM m4 WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), m16 AS (SELECT *, md5(h8 || lead(h8, 8) OVER w) AS h16 FROM m8 WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), m32 AS (SELECT *, md5(h16 || lead(h16, 16) OVER w) AS h32 FROM m16 WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), m35 AS (SELECT rid, pos, word, md5(h32 || lead(h2, 32) OVER w || lead(h1, 34) OVER w) AS mark FROM m32 WINDOW w AS (PARTITION BY rid ORDER BY pos)
+), repeated AS (
+  SELECT mark FROM m35 WHERE mark IS NOT NULL GROUP BY mark HAVING count(*) > 1
+), flagged AS (
+  SELECT rid, pos, word, mark IN (FROM repeated) AS again FROM m35
+), covered AS (
+  SELECT rid, pos, word, bool_or(coalesce(again, false)) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM flagged
+), counted AS (
+  SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM covered GROUP BY rid
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM said_rows d LEFT JOIN counted USING (rid)
+"""

@@ -99,4 +99,9 @@ QUERIES = {
 }
 
 #: SQL where it can express the query and still run on whole tables.
-ORACLES: dict[str, str] = {"op10_chat_format": oracles.CHAT_FORMAT}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op4_decontamination": oracles.DECONTAMINATION,
+    "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op10_chat_format": oracles.CHAT_FORMAT,
+}

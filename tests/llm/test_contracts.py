@@ -729,6 +729,48 @@ def test_chat_oracle(spark, monkeypatch, turns):
     assert branched > 5
 
 
+def _oracle(name, documents, items=()):
+    """Rows of a query's SQL on rows of (doc_id, text) and of (item_id, text), as dictionaries."""
+    con = pytest.importorskip("duckdb").connect()
+    con.execute("create table documents (doc_id bigint, text varchar); create table benchmark (item_id bigint, text varchar)")
+    for table, rows in (("documents", documents), ("benchmark", items)):
+        if rows:
+            con.executemany(f"insert into {table} values (?, ?)", [tuple(r) for r in rows])
+    found = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in found.description]
+    return sorted((dict(zip(names, r, strict=True)) for r in found.fetchall()), key=str)
+
+
+def test_jaccard_oracle(spark, docs):
+    a = [f"w{i}" for i in range(60)]
+    rows = [(r[0], r[1]) for r in awkward()] + [(500, " ".join(a)), (501, " ".join(a[:-3])), (501, "other words of the same id here"), (502, "other words of the same id here"), (503, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.asDict() for r in ngram_jaccard.jaccard_components(frame).collect()), key=str) == sorted(_oracle("op1_ngram_jaccard", rows), key=str)
+    assert _oracle("op1_ngram_jaccard", []) == []
+
+
+def test_decontamination_oracle(spark, tmp_path):
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = [(1, say(25)), (2, say(4)), (10, say(12)), (3, None), (4, ""), (5, "é É"), (6, say(1) + " zz"), (None, say(11)), (7, "- ,")]
+    texts = [t for _, t in items if t]
+    part = lambda t: t if len(t) < 30 else t[2 * rng.randrange(5) : len(t) - 2 * rng.randrange(8)]
+    rows = [(i, say(rng.randrange(40)) + ", " + part(rng.choice(texts)).upper() + " " + say(rng.randrange(20))) for i in range(60)] + [(60, None), (61, ""), (62, say(9)), (63, texts[0]), (63, texts[0])]
+    for name, kind, own in (("documents", "doc_id long, text string", rows), ("benchmark", "item_id long, text string", items)):
+        spark.createDataFrame(own, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r.asDict() for r in queries.op4_decontamination(spark, str(tmp_path)).collect()), key=str)
+    assert len({r["n_items"] for r in got}) > 2 and len({r["longest_match"] for r in got}) > 5
+    assert [{k: r[k] for k in sorted(r)} for r in got] == [{k: r[k] for k in sorted(r)} for r in _oracle("op4_decontamination", rows, items)]
+    assert all(not r["contaminated"] for r in _oracle("op4_decontamination", rows))
+
+
+def test_repeats_oracle(spark, docs):
+    rows = [(r[0], r[1]) for r in awkward()]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in substring_dedup.remove_repeats(docs).collect())
+    want = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in _oracle("op8_substring_dedup", rows))
+    assert got == want and sum(r[2] for r in got) > 0
+
+
 def test_chat_reply_chain_is_followed_to_its_root(spark):
     rows = [(1, t, "user", (f"> line {t - 1}\n" if t else "") + f"line {t}") for t in range(70)] + [(1, 100, "user", "alone"), (1, 101, "user", "> line 3\nlate")]
     got = {r.turn: (r.reply_to, r.thread, r.position) for r in chat_format.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
