@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +44,20 @@ def wording(text: str) -> list[str]:
 
 
 def difference(block: list[str], template: list[str]) -> tuple[int, int]:
-    """Words of the template that the block lacks, and words that it adds."""
-    same = sum(m.size for m in SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks())
+    """Words of the template that the block lacks, and words that it adds, along an alignment that keeps the most words.
+
+    Bit i of the state is cleared where the longest common subsequence with the
+    template's first i + 1 words is longer than with its first i.
+    """
+    places: dict[str, int] = {}
+    for i, word in enumerate(template):
+        places[word] = places.get(word, 0) | 1 << i
+    full = state = (1 << len(template)) - 1
+    for word in block:
+        if here := places.get(word):
+            met = state & here
+            state = ((state + met) | (state - met)) & full
+    same = len(template) - state.bit_count()
     return len(template) - same, len(block) - same
 
 

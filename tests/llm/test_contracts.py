@@ -151,6 +151,53 @@ def test_license_scan(spark, data):
     assert got == want
 
 
+def _fewest_differences(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, above = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(above[j - 1] if x == y else 1 + min(row[-1], above[j]))
+    return row[-1]
+
+
+def test_license_differences_are_the_fewest():
+    rng = random.Random(4)
+    for _ in range(400):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(90))] for _ in "ab")
+        missing, extra = license_scan.difference(a, b)
+        assert missing + extra == _fewest_differences(a, b) and len(a) - extra == len(b) - missing
+    assert license_scan.difference([], ["x"]) == (1, 0) and license_scan.difference(["x"], []) == (0, 1)
+    # the longest run in common is not part of the best alignment here
+    assert license_scan.difference("c d a x b y c z d".split(), "a b c d".split()) == (0, 5)
+
+
+def test_license_ranking_against_brute_force():
+    import zstandard as z
+
+    rng = random.Random(6)
+    plain = z.ZstdCompressionParameters.from_level(9, format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda data, **given: len(z.ZstdCompressor(compression_params=plain, **given).compress(data))
+    scanner, confirmed = license_scan.Scanner(license_scan.TEMPLATES), set()
+    for name, template in sorted(license_scan.TEMPLATES.items()):
+        for changes in (0, 1, 2, 5, 20):
+            words = template.split()
+            for _ in range(changes):
+                words[rng.randrange(len(words))] = f"license{rng.randrange(1000)}"
+            line = " ".join(words)
+            alone = max(1, size(line.encode()))
+            shares = {k: (alone - size(line.encode(), dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT))) / alone for k, t in license_scan.TEMPLATES.items()}
+            order = sorted(shares, key=lambda k: (-shares[k], k))
+            said = license_scan.wording(line)
+            near = lambda k: _fewest_differences(said, license_scan.wording(license_scan.TEMPLATES[k])) <= license_scan.MOST_DIFFERENT * len(license_scan.wording(license_scan.TEMPLATES[k]))
+            sure = [k for k in order if shares[k] >= license_scan.LEAST_REDUCTION and near(k)]
+            rows = [r for r in scanner.scan(line) if (r["line_from"], r["line_to"]) == (0, 1)]
+            if license_scan.blocks_of(line, scanner.longest):
+                first = rows[0]
+                assert (first["license"], first["confirmed"]) == ((sure or order)[0], bool(sure)) and abs(first["reduction"] - shares[first["license"]]) < 1e-12
+                confirmed |= {(name, first["license"])} if sure and changes == 0 else set()
+    assert {(k, k) for k in license_scan.TEMPLATES} == confirmed
+
+
 def test_license_inside_longer_text(spark):
     mit, apache = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["Apache-2.0"]
     head, tail = mit.split(" The above copyright")
