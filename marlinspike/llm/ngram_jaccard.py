@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import BROADCAST_ROWS, Scratch, bit_table, broadcast_if_small, has_bit, table_bits
+from .shared import Scratch, arrays_fit, bit_table, broadcast_if_small, has_bit, table_bits
 
 #: Characters of text for each bucket of the sketch, and the least and largest sketch (2**24 buckets, 16 MB on the driver).
 #: A token stands out once it is commoner than a bucket's mean, so it is moved to the end at every size.
@@ -167,6 +167,9 @@ _LACKS = (
 #: Sets that differ in d tokens have at most d hash classes of different parity.
 _UNLIKE = "aggregate(zip_with({a}.parity, {b}.parity, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
 
+#: Bytes of the digests and parities in a pair's column f.
+_FILTER_BYTES = f"2L * (size(f.low) + size(f.high)) + {PARITY_BITS // 8}"
+
 
 def _need(n: str, m: str, percent: int) -> str:
     """Overlap that similar sets of n and m tokens have."""
@@ -310,7 +313,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         pairs = broadcast_if_small(scratch.write(pairs, f"early-{step}"))
         # orders B and C, before any set is fetched
         pairs = pairs.join(filters.withColumnRenamed("rep", "a"), "a")
-        pairs = broadcast_if_small(scratch.write(pairs, f"half-{step}"), BROADCAST_ROWS // 20).join(filters.select(F.col("rep").alias("b"), F.col("f").alias("g")), "b")
+        pairs, other = scratch.write(pairs, f"half-{step}"), filters.select(F.col("rep").alias("b"), F.col("f").alias("g"))
+        if arrays_fit(pairs, _FILTER_BYTES):
+            pairs = F.broadcast(pairs)
+        else:  # only the filters that a pair asks for are shuffled
+            other = other.join(broadcast_if_small(pairs.select("b").distinct()), "b", "left_semi")
+        pairs = pairs.join(other, "b")
         pairs = pairs.where(_passes("f", "g", "n", "m", percent)).select("a", "b").distinct()
         pairs = scratch.write(pairs, f"pairs-{step}")
         ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{step}")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 ARROW_ROWS = "500"
 #: Most rows, of two or three numbers each, of a side that is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Most bytes of arrays in the rows of a side that is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 #: Bound of the keys that a join takes out of the shuffle, and the fewest rows of such a key.
 HOT_KEYS, LEAST_HOT = 20_000, 1000
@@ -84,6 +86,12 @@ def broadcast_if_small(df: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def arrays_fit(df: DataFrame, arrays: str) -> bool:
+    """Whether a materialised frame, ``arrays`` being the bytes of a row's arrays, is small enough to broadcast."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.expr(arrays)), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
 def table_bits(count: int) -> int:
     """Bits of a table for so many values: SPACE each, 2**MOST_BITS at most."""
     return min(max((SPACE * count).bit_length(), 12), MOST_BITS)

@@ -6,7 +6,7 @@ import zlib
 import brute
 import pytest
 
-from marlinspike.llm import chat_format, decontaminate, features, language_id, license_scan, ngram_jaccard, packing, pii, quality_classifier, quality_rules, queries, substring_dedup
+from marlinspike.llm import chat_format, decontaminate, features, language_id, license_scan, ngram_jaccard, packing, pii, quality_classifier, quality_rules, queries, shared, substring_dedup
 from marlinspike.llm.shared import prepare
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, pii string, score double, k1 int"
@@ -64,6 +64,13 @@ def test_jaccard_of_a_family_of_near_copies(spark):
     assert got == brute.jaccard(rows)
 
 
+def test_jaccard_without_broadcasts_of_filters(spark, small, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
+    rows = spark.createDataFrame(small, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(rows).collect()}
+    assert got == brute.jaccard(small)
+
+
 def test_jaccard_of_repeated_rows(spark):
     rng = random.Random(4)
     a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
