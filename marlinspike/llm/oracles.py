@@ -147,3 +147,74 @@ WITH {_words("documents", "said", "doc_id", "coalesce(text, '')", _NON_SPACE)},
 SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM said_rows d LEFT JOIN counted USING (rid)
 """
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Squared distances as whole numbers in doubles: exact for components far below 2**20."""
+    out = """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS v FROM kept, range(4) AS r(part)
+), book0 AS MATERIALIZED (
+  SELECT part, rid - 1 AS entry, v FROM parts WHERE rid <= 256
+)"""
+    for n in range(rounds + 1):
+        out += f""", found{n} AS MATERIALIZED (
+  SELECT rid, part, min(struct_pack(d := list_inner_product(p.v, p.v) - 2 * list_inner_product(p.v, b.v) + list_inner_product(b.v, b.v), e := b.entry)) AS best
+  FROM parts p JOIN book{n} b USING (part) GROUP BY rid, part
+)"""
+        if n < rounds:
+            out += f""", sums{n} AS (
+  SELECT part, entry, list(m ORDER BY place) AS v FROM (
+    SELECT part, f.best.e AS entry, place, floor(sum(p.v[place]) / count(*)) AS m
+    FROM found{n} f JOIN parts p USING (rid, part), unnest(range(1, len(p.v) + 1)) AS u(place) GROUP BY ALL
+  ) GROUP BY part, entry
+), book{n + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(s.v, b.v) AS v FROM book{n} b LEFT JOIN sums{n} s USING (part, entry)
+)"""
+    return out + f""", coded AS (
+  SELECT rid, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM found{rounds} GROUP BY rid
+), books AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT k.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY k.label)::BIGINT AS label_error, codebooks_sha256 FROM kept k JOIN coded c USING (rid), books
+"""
+
+
+VECTOR_CODES = _vector_codes()
+
+#: Every kept term of a language against every group of it; whole numbers of 128 bits.
+SOURCE_DIVERGENCE = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents
+), said AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), terms AS (
+  SELECT lang, term, count(*) AS c FROM said GROUP BY lang, term HAVING count(DISTINCT rid) >= 10
+), langs AS (
+  SELECT lang, count(*) AS v, sum(c) AS n FROM terms GROUP BY lang
+), q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (c + 2) // (n + 2 * v) AS q FROM terms JOIN langs USING (lang)
+), held AS (
+  SELECT lang, source, term, count(*) AS c FROM said SEMI JOIN terms USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT d.lang, d.source, coalesce(any_value(v), 0) AS v, (SELECT coalesce(sum(c), 0) FROM held h WHERE h.lang = d.lang AND h.source = d.source) AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) d LEFT JOIN langs USING (lang) GROUP BY d.lang, d.source
+), p AS (
+  SELECT g.lang, g.source, t.term, coalesce(h.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(h.c, 0) + 2) // (g.n + 2 * g.v) AS p
+  FROM groups g JOIN terms t USING (lang) LEFT JOIN held h ON h.lang = g.lang AND h.source = g.source AND h.term = t.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), tops AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM tops
+)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM ranked QUALIFY part = 'pair' OR rank <= 10
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, language_id, license_scan, ngram_jaccard, oracles, packing, pii, quality_classifier, quality_rules, substring_dedup
+from . import chat_format, decontaminate, divergence, language_id, license_scan, ngram_jaccard, oracles, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, vector_codes
 from .features import id_crc
 from .shared import prepare, table
 
@@ -85,6 +85,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.link_quotes(table(spark, sf_dir, "conversations"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_equal")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, _, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_license_scan": op2_license_scan,
@@ -96,6 +112,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_chat_format": op10_chat_format,
+    "op11_simhash": op11_simhash,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: SQL where it can express the query and still run on whole tables.
@@ -104,4 +123,6 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": oracles.DECONTAMINATION,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op10_chat_format": oracles.CHAT_FORMAT,
+    "op12_vector_codes": oracles.VECTOR_CODES,
+    "op13_source_divergence": oracles.SOURCE_DIVERGENCE,
 }
