@@ -245,6 +245,21 @@ def _exact_links(rows: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     return pairs.select(F.greatest("component", "c").alias("a"), F.least("component", "c").alias("b")).distinct()
 
 
+def _lists(rows: DataFrame, flip: int) -> DataFrame:
+    """Of each bucket: its rows (n) and those of each side, its least and greatest component, and a centre of each side."""
+    member = F.struct(F.col("fp").bitwiseXOR(F.lit(flip)).alias("place"), "fp", "component")
+    held, asked = F.col("side") != PROBE, F.col("side") != INDEX
+    return rows.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.count_if(held).alias("n_held"), F.count_if(asked).alias("n_asked"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+        F.min(F.when(held, member)).alias("held"), F.min(F.when(asked, member)).alias("asked"),
+    )
+
+
+def _against_centre(rows: DataFrame) -> DataFrame:
+    """Add the centre of the other side, and its fingerprint as ``other``."""
+    return rows.withColumn("centre", F.when(F.col("side") == PROBE, F.col("held")).otherwise(F.col("asked"))).withColumn("other", F.col("centre.fp"))
+
+
 def simhash_components(docs: DataFrame, k: int = SHINGLE, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each document and the component that links of at most ``bits`` (4) differing bits put it in.
 
@@ -269,47 +284,41 @@ def simhash_components(docs: DataFrame, k: int = SHINGLE, bits: int = BITS, id_c
     held = index.where(F.col("side") == INDEX)
     slots = index.unionByName(_key_rows(classes, probe_keys, bit_table(held.select("bucket"), table_bits(held.count()))))
     slots = scratch.write(slots, "slots")
-    total = slots.count()
-    sizes = slots.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("side") != PROBE).alias("held"), F.count_if(F.col("side") != INDEX).alias("asked"))
-    sizes = scratch.write(sizes.where("n > 1 and held > 0 and asked > 0").select("bucket", "n"), "sizes")
-    posting = scratch.write(join_counted(slots, sizes, ["bucket"], "n", total).drop("n"), "posting")
-    scratch.drop("index", "slots", "sizes")
-    total, labels, count = posting.count(), None, 0
-
-    for step in range(len(CENTRES) + 1):
-        named = posting.withColumn("component", F.col("fp"))
-        if step:
-            named = posting.join(labels, posting.fp == labels.node, "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
-            named = scratch.write(named, f"named-{step}")
-        flip = F.lit(CENTRES[step % len(CENTRES)])
-        member = F.struct(F.col("fp").bitwiseXOR(flip).alias("place"), "fp", "component")
-        lists = named.groupBy("bucket").agg(
-            F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"),
-            F.min(F.when(F.col("side") != PROBE, member)).alias("held"), F.min(F.when(F.col("side") != INDEX, member)).alias("asked"),
-        ).where("lo <> hi")
-        lists = scratch.write(lists.drop("lo", "hi"), f"lists-{step}")
+
+    # first round: everyone against the centre of the bucket; after it a bucket with one row on a side is done
+    lists = _lists(slots.withColumn("component", F.col("fp")), 0).where("n > 1 and n_held > 0 and n_asked > 0")
+    posting = join_counted(slots, scratch.write(lists, "lists"), ["bucket"], "n", slots.count())
+    posting = _against_centre(posting.withColumn("component", F.col("fp")))
+    posting = scratch.write(posting.withColumn("open", F.expr("n > 2 and n_held > 1 and n_asked > 1")).select("bucket", "fp", "kind", "side", "other", "open"), "posting")
+    links = scratch.write(posting.where(_near("fp", "other", bits) & (F.col("fp") != F.col("other"))).select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct(), "links-0")
+    scratch.drop("index", "slots", "lists")
+    posting = posting.where("open").select("bucket", "fp", "kind", "side")
+    count = fresh = links.count()
+    labels, total = scratch.write(connected_components(links, scratch, "cc-0"), "labels-0"), posting.count()
+
+    for step in range(1, len(CENTRES) + 1):
+        named = posting.join(labels, posting.fp == labels.node, "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
+        named = scratch.write(named, f"named-{step}")
+        lists = scratch.write(_lists(named, CENTRES[step % len(CENTRES)]).where("lo <> hi"), f"lists-{step}")
         if lists.isEmpty():
             break
         left = join_counted(named, lists, ["bucket"], "n", total)
         last = step == len(CENTRES) or step > 1 and fresh * FEW < count
         if last:
-            links = _exact_links(left.drop("n", "held", "asked"), bits, scratch)
+            links = _exact_links(left.select("bucket", "fp", "kind", "side", "component"), bits, scratch)
         else:
-            left = left.withColumn("centre", F.when(F.col("side") == PROBE, F.col("held")).otherwise(F.col("asked"))).withColumn("other", F.col("centre.fp"))
-            links = left.where((F.col("component") != F.col("centre.component")) & _near("fp", "other", bits)).select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
+            left = _against_centre(left).where((F.col("component") != F.col("centre.component")) & _near("fp", "other", bits))
+            links = left.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
         links = scratch.write(links, f"links-{step}")
         fresh = links.count()
         count += fresh
-        if labels is not None:
-            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = scratch.write(connected_components(links, scratch, f"cc-{step}"), f"labels-{step}")
-        scratch.drop(f"named-{step}", f"lists-{step}", f"labels-{step - 1}", f"links-{step}", "cells", "cell-sizes")
+        scratch.drop(f"named-{step}", f"lists-{step}", f"labels-{step - 1}", f"links-{step}", "links-0", "cells", "cell-sizes")
         if last:
             break
 
-    rooted = classes.withColumn("root", F.col("fp"))
-    if labels is not None:
-        rooted = classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("root"))
+    rooted = classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.write(rooted, "rooted")
     names = scratch.write(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members")), "names")
     whole = scratch.write(join_counted(rooted.select("fp", "n", "root"), names, ["root"], "members", rooted.count()).select("fp", "n", "component_id"), "whole")
