@@ -32,7 +32,7 @@ LEAST_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 #: Fixed form of a term, on the bytes of a text whose A-Z are lower-cased.
 _TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Terms that a task holds before it hands on their counts, and bytes of text that are split at once.
-HELD, PIECE = 200_000, 1 << 22
+HELD, PIECE = 500_000, 1 << 22
 
 
 def _document_terms(text: bytes) -> Counter:
