@@ -1,13 +1,17 @@
 """Chat formatting by quotation linking, with DataFrame functions only.
 
-Each message is split into runs of lines of one quote level.  Level 0 is what
-its writer wrote; every other run is a quoted passage.  A passage is normalised
-(white space collapsed, trimmed, lower-cased) and hashed as a whole and line by
-line, and joined to earlier messages of the same conversation that are the same
-as a whole, hold the same line, or hold all its lines one after the other
-(blank ones aside).  Of sources with the same hash the latest before the
-quotation counts; it comes from ordered windows of bounded ranges of turns, so
-that neither quotations nor sources are paired.  The message replies to the
+Lines that introduce a quotation are dropped at every level, and each message is
+split into runs of lines of one quote level.  Level 0 is what its writer wrote;
+every other run is a quoted passage.  A passage is normalised (white space
+collapsed, trimmed, lower-cased), hashed, and joined to earlier messages of the
+same conversation that are the same as a whole, hold it as a line or as lines one
+after the other (blank ones aside), or, from PART_WORDS words on, hold its words
+one after the other, however the lines are broken.  Words are compared by the
+hashes of two windows of 2**n words, which begin and end the passage, so a
+message has a hash for each word and n, not for each length that is quoted.  Of
+sources with the same hash the latest before the quotation counts; it comes from
+ordered windows of bounded ranges of turns, so that neither quotations nor
+sources are paired.  The message replies to the
 latest source of its shallowest linked passages.
 
 Replies make trees.  Each message is led to the root of its tree by pointers
@@ -21,8 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .native import let
-from .shared import BROADCAST_ROWS, Scratch
+from .shared import BROADCAST_ROWS, Scratch, broadcast_if_small
 
+#: Fewest words of a passage that is looked for inside lines and across them.
+PART_WORDS = 5
 #: Turns of a conversation that are ordered together; a longer one is split.
 TURNS = 1000
 _QUOTE = "^[ \\t]*+((?:>[ \\t]*+)*+)"
@@ -55,6 +61,41 @@ def _parts(whole: Column, lines: Column, sizes: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(sizes, of)))
 
 
+def _windows(words: Column, levels: Column) -> Column:
+    """Array of (level, at, hash): for each level n up to ``levels`` the hash of the 2**n words from each word on."""
+    ones = F.transform(words, lambda w: F.xxhash64(w))
+
+    def double(acc: Column, n: Column) -> Column:
+        last, half = F.element_at(acc, -1), F.pow(F.lit(2), n - 1).cast("int")
+        return F.array_append(acc, F.zip_with(F.slice(last, F.lit(1), F.greatest(F.size(last) - half, F.lit(0))), F.slice(last, half + 1, F.greatest(F.size(last) - half, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    every = F.aggregate(steps, F.array(ones), double)
+    return F.flatten(F.transform(every, lambda hashes, n: F.transform(hashes, lambda h, at: F.struct(n.alias("level"), at.alias("at"), h.alias("hash")))))
+
+
+def _part_sources(known: DataFrame, quoted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, hash, turn): turns whose words hold those of a quoted passage one after the other.
+
+    ``quoted`` has conv_id, hash and the passage's words.
+    """
+    level = F.floor(F.log2(F.size("words"))).cast("int")
+    asked = quoted.where(F.size("words") >= PART_WORDS).dropDuplicates(["conv_id", "hash"]).withColumn("level", level)
+    # the window at a place p of the passage, p = 0 and the last one of the same size
+    end = F.size("words") - F.pow(F.lit(2), F.col("level")).cast("int")
+    asked = asked.withColumns({"end": end, "w": F.filter(_windows(F.col("words"), F.col("level")), lambda x: (x["level"] == F.col("level")) & ((x["at"] == 0) | (x["at"] == F.col("end"))))})
+    asked = asked.select("conv_id", "hash", "level", "end", F.element_at("w", 1)["hash"].alias("first"), F.element_at("w", -1)["hash"].alias("last"))
+    asked = scratch.write(asked, "asked")
+    deepest = broadcast_if_small(scratch.write(asked.groupBy("conv_id").agg(F.max("level").alias("levels")), "deepest"))
+    wanted = asked.select("conv_id", "level", F.explode(F.array("first", "last")).alias("w")).distinct()
+    wanted = broadcast_if_small(scratch.write(wanted, "wanted-windows"))
+    held = known.where("length(content) > 0").join(deepest, "conv_id").select("conv_id", "turn", F.explode(_windows(F.split(normalise(F.col("content")), " "), F.col("levels"))).alias("x"))
+    held = held.select("conv_id", "turn", "x.level", "x.at", F.col("x.hash").alias("w"))
+    held = scratch.write(held.join(wanted, ["conv_id", "level", "w"], "left_semi").distinct(), "held-windows")
+    begins = held.join(asked.withColumnRenamed("first", "w"), ["conv_id", "level", "w"]).select("conv_id", "turn", "hash", "level", (F.col("at") + F.col("end")).alias("at"), F.col("last").alias("w"))
+    return begins.join(held, ["conv_id", "turn", "level", "at", "w"], "left_semi").select("conv_id", "hash", "turn").distinct()
+
+
 def _latest(quoters: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
     """Quoters (keys, turn, ...) with the latest turn of a source (keys, turn) before theirs, as ``source``.
 
@@ -94,7 +135,7 @@ def _roots(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _runs(text: Column) -> Column:
-    """Array of (level, body): maximal runs of lines with the same quote level."""
+    """Array of (level, body): maximal runs of lines with the same quote level, lines that introduce a quotation aside."""
     lines = F.transform(
         F.split(F.regexp_replace(text, "\\r", ""), "\n", -1),
         lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, _QUOTE, 1), "[^>]", "")).alias("level"), F.when(F.regexp_extract(x, _QUOTE, 1) != "", F.regexp_replace(x, _QUOTE, "")).otherwise(x).alias("body")),
@@ -114,7 +155,9 @@ def _runs(text: Column) -> Column:
 
         return let(starts, build)
 
-    return let(lines, cut)
+    kept = F.filter(lines, lambda x: ~F.trim(x["body"]).rlike(_ATTRIBUTION))
+    none = F.array().cast("array<struct<level: int, body: string>>")
+    return let(kept, lambda rows: F.when(F.size(rows) > 0, cut(rows)).otherwise(none))
 
 
 def _own(runs: Column) -> Column:
@@ -154,10 +197,19 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     known = runs.where("conv_id is not null and turn is not null")
 
     quoted = known.select("conv_id", "turn", "key", F.explode("quotes").alias("q")).where("length(q.norm) > 0")
-    quoted = quoted.select("conv_id", "turn", "key", "q.level", _md5(F.col("q.norm")).alias("hash"), "q.lines").distinct()
+    quoted = quoted.select("conv_id", "turn", "key", "q.level", _md5(F.col("q.norm")).alias("hash"), F.split("q.norm", " ").alias("words"), "q.lines").distinct()
+    quoted = scratch.write(quoted, "quoted")
+    turns = known.select("conv_id", "turn").distinct().withColumn("one", F.lit(1))
+    if quoted.isEmpty():  # every message begins a tree of its own
+        places = _before(turns, ["conv_id"], "turn", "one", "position").select("conv_id", "turn", F.col("turn").alias("thread"), F.col("position").cast("long").alias("position"))
+        out = runs.join(places, ["conv_id", "turn"], "left")
+        return out.select("conv_id", "turn", "role", "content", F.lit(0).cast("long").alias("n_quotes"), F.lit(0).cast("long").alias("n_linked"), "max_level", F.lit(None).cast("long").alias("reply_to"), "thread", "position")
+
     counts = quoted.groupBy("key").agg(F.count_distinct("level", "hash").alias("n_quotes"))
     kind = lambda m, part: F.struct(m.cast("int").alias("m"), part.alias("part"))
-    ways = F.array(kind(F.lit(0), F.col("hash")), kind(F.lit(1), F.col("hash")), kind(F.size("lines"), F.when(F.size("lines") > 1, _md5(F.array_join("lines", "")))))
+    # lines one after the other have PART_WORDS - 1 words at most, and so as many lines; longer passages are looked for by their words
+    few_words = F.size("words") < PART_WORDS
+    ways = F.array(kind(F.lit(0), F.col("hash")), kind(F.lit(1), F.col("hash")), kind(F.size("lines"), F.when(few_words & (F.size("lines") > 1), _md5(F.array_join("lines", "")))))
     wanted = quoted.select("conv_id", "turn", "key", "level", "hash", F.explode(F.filter(ways, lambda w: w["part"].isNotNull())).alias("w")).select("conv_id", "turn", "key", "level", "hash", "w.*")
     wanted = scratch.write(wanted, "wanted")
 
@@ -169,13 +221,16 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     parts = parts.select("conv_id", "turn", F.explode(let(F.transform(_lines(F.col("content")), _md5), lambda lines: _parts(_md5(normalise(F.col("content"))), lines, F.col("sizes")))).alias("p"))
     keys = ["conv_id", "m", "part"]
     sources = parts.select("conv_id", "turn", "p.*").join(wanted.select(*keys).distinct(), keys, "left_semi").distinct()
-    linked = scratch.write(_latest(wanted, sources, keys).groupBy("key", "level", "hash").agg(F.max("source").alias("source")), "linked")
+    linked = _latest(wanted, sources, keys).select("key", "level", "hash", "source")
+    by_words = quoted.where(~few_words).select("conv_id", "turn", "key", "level", "hash")
+    linked = linked.unionByName(_latest(by_words, _part_sources(known, quoted, scratch), ["conv_id", "hash"]).select("key", "level", "hash", "source"))
+    linked = scratch.write(linked.groupBy("key", "level", "hash").agg(F.max("source").alias("source")), "linked")
     first = linked.groupBy("key").agg(F.count("*").alias("n_linked"), F.max(F.struct((-F.col("level")).alias("level"), "source")).alias("best")).select("key", "n_linked", F.col("best.source").alias("reply_to"))
 
     # trees of replies, then places: threads before one's own, and turns before it in its thread
-    turns = known.join(first, "key", "left").groupBy("conv_id", "turn").agg(F.max("reply_to").alias("up"))
-    roots = _roots(turns.where("up is not null"), scratch)
-    turns = scratch.write(turns.select("conv_id", "turn").join(roots, ["conv_id", "turn"], "left").withColumns({"thread": F.coalesce("thread", "turn"), "one": F.lit(1)}), "turns")
+    replies = known.join(first, "key").groupBy("conv_id", "turn").agg(F.max("reply_to").alias("up"))
+    roots = _roots(replies.where("up is not null"), scratch)
+    turns = scratch.write(turns.join(roots, ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn")), "turns")
     threads = _before(turns.groupBy("conv_id", "thread").agg(F.sum("one").alias("n")), ["conv_id"], "thread", "n", "threads_before")
     places = _before(turns, ["conv_id", "thread"], "turn", "one", "turns_before").join(threads.drop("n"), ["conv_id", "thread"])
     places = places.select("conv_id", "turn", "thread", (F.col("threads_before") + F.col("turns_before")).cast("long").alias("position"))

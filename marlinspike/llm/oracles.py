@@ -11,18 +11,19 @@ WITH RECURSIVE base AS (
   SELECT rid, pos, line, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]*)*)', 1), '[^>]', '', 'g')) AS level FROM split
 ), bodies AS (
   SELECT rid, pos, level, CASE WHEN level > 0 THEN regexp_replace(line, '^[ \t]*((?:>[ \t]*)*)', '') ELSE line END AS body FROM leveled
+), said AS (
+  SELECT * FROM bodies WHERE NOT regexp_matches(trim(body), '^(On|Le|Am|El) .*(wrote|écrit|schrieb|escribió) ?:$')
 ), edges AS (
-  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY pos) THEN 1 ELSE 0 END AS opens FROM bodies
+  SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY rid ORDER BY pos) THEN 1 ELSE 0 END AS opens FROM said
 ), numbered AS (
   SELECT *, sum(opens) OVER (PARTITION BY rid ORDER BY pos) AS run FROM edges
 ), runs AS (
   SELECT rid, run, any_value(level) AS level, {_NORM.format("string_agg(body, chr(10) ORDER BY pos)")} AS norm,
     list({_NORM.format("body")} ORDER BY pos) FILTER ({_NORM.format("body")} <> '') AS lines FROM numbered GROUP BY rid, run
 ), own AS (
-  SELECT rid, regexp_replace(string_agg(body, chr(10) ORDER BY pos), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS content FROM bodies
-  WHERE level = 0 AND NOT regexp_matches(trim(body), '^(On|Le|Am|El) .*(wrote|écrit|schrieb|escribió) ?:$') GROUP BY rid
+  SELECT rid, regexp_replace(string_agg(body, chr(10) ORDER BY pos), '^[ \t\n]+|[ \t\n]+$', '', 'g') AS content FROM said WHERE level = 0 GROUP BY rid
 ), levels AS (
-  SELECT rid, max(level) AS max_level FROM bodies GROUP BY rid
+  SELECT rid, max(level) AS max_level FROM said GROUP BY rid
 ), passages AS (
   SELECT DISTINCT b.rid, b.conv_id, b.turn, r.level, r.norm, r.lines FROM runs r JOIN base b USING (rid)
   WHERE r.level > 0 AND length(r.norm) > 0 AND b.conv_id IS NOT NULL AND b.turn IS NOT NULL
@@ -32,6 +33,7 @@ WITH RECURSIVE base AS (
 ), linked AS (
   SELECT p.rid, p.level, p.norm, max(w.turn) AS source FROM passages p JOIN written w ON p.conv_id = w.conv_id AND w.turn < p.turn
   WHERE w.norm = p.norm OR list_contains(w.lines, p.norm)
+    OR (len(string_split(p.norm, ' ')) >= 5 AND contains(' ' || w.norm || ' ', ' ' || p.norm || ' '))
     OR (len(p.lines) > 1 AND len(list_filter(range(1, len(w.lines) - len(p.lines) + 2), lambda i: w.lines[i:i + len(p.lines) - 1] = p.lines)) > 0)
   GROUP BY ALL
 ), links AS (
@@ -49,7 +51,7 @@ WITH RECURSIVE base AS (
   SELECT conv_id, turn, thread, row_number() OVER (PARTITION BY conv_id ORDER BY thread, turn) - 1 AS position FROM tree
 )
 SELECT b.conv_id, b.turn, b.role, coalesce(o.content, '') AS content, CAST(coalesce(c.n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(f.n_linked, 0) AS BIGINT) AS n_linked,
-  CAST(l.max_level AS BIGINT) AS max_level, f.reply_to, p.thread, CAST(p.position AS BIGINT) AS position
+  CAST(coalesce(l.max_level, 0) AS BIGINT) AS max_level, f.reply_to, p.thread, CAST(p.position AS BIGINT) AS position
 FROM base b LEFT JOIN own o USING (rid) LEFT JOIN counts c USING (rid) LEFT JOIN first f USING (rid) LEFT JOIN levels l USING (rid)
 LEFT JOIN places p ON b.conv_id = p.conv_id AND b.turn = p.turn
 """

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from marlinspike.llm import divergence, oracles, queries, simhash, vector_codes
+from marlinspike.llm import chat_format, divergence, oracles, queries, simhash, vector_codes
 
 DOCS = "doc_id long, text string, lang string, source string, fp long, term string, rank int"
 
@@ -281,3 +281,58 @@ def test_divergence_shares_of_huge_counts_are_exact(spark):
 
     rows = spark.createDataFrame(big, "c long, n long, v long").select("c", "n", "v", divergence._share(F.col("c"), F.col("n"), F.col("v")).alias("p")).collect()
     assert all(r.p == 1 + 10**9 * (r.c + 2) // (r.n + 2 * r.v) for r in rows)
+
+
+# Chat formatting ---------------------------------------------------------------------
+
+CHAT = "conv_id long, turn long, role string, text string"
+
+
+def chat_rows():
+    first, second = "first message here\nwith another line", "My reply text"
+    third = "Third one"
+    quote = lambda text: "\n".join("> " + x if not x.startswith(">") else ">" + x for x in text.split("\n"))
+    one = f"{second}\nOn Mon, X wrote:\n{quote(first)}"
+    two = f"{third}\nOn Tue, Y wrote:\n{quote(one)}"
+    three = f"Fourth\nOn Wed, Z wrote:\n{quote(two)}"
+    long = "It was a long line of words that somebody wrote without a break, and then went on.\nAnother line came after it with words of its own."
+    rewrapped = "> words that somebody wrote without\n> a break, and then went on. Another line\n> came after it\nI see."
+    rows = [(1, 0, "a", first), (1, 1, "b", one), (1, 2, "a", two), (1, 3, "b", three)]
+    rows += [(2, 0, "a", long), (2, 1, "b", "It was a long line of nothing"), (2, 2, "c", rewrapped), (2, 3, "d", "> It was a long line\nWhich?"), (2, 4, "e", "> a long line of\nNo, too short a part."), (2, 5, "f", "> words that somebody said without a break\nNobody said so.")]
+    return rows + [(3, 0, "a", "no"), (3, 1, "b", "> On Mon, X wrote:"), (3, 2, "b", "On Mon, X wrote:\n> no")]
+
+
+def test_chat_attributions_inside_quotations_and_rewrapped_parts(spark):
+    rows = chat_rows()
+    linked = chat_format.link_quotes(spark.createDataFrame(rows, CHAT)).collect()
+    got = {(r.conv_id, r.turn): (r.content, r.n_quotes, r.n_linked, r.reply_to) for r in linked}
+    assert got[1, 1] == ("My reply text", 1, 1, 0)
+    assert got[1, 2] == ("Third one", 2, 2, 1)
+    assert got[1, 3] == ("Fourth", 3, 3, 2)
+    assert got[2, 2] == ("I see.", 1, 1, 0) and got[2, 3] == ("Which?", 1, 1, 1)
+    assert got[2, 4][2:] == got[2, 5][2:] == (0, None)
+    assert got[3, 1] == ("", 0, 0, None) and got[3, 2][3] == 0
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    found = con.execute(oracles.CHAT_FORMAT)
+    names = [d[0] for d in found.description]
+    assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in linked)
+
+
+def test_chat_of_long_messages_and_many_lengths(spark):
+    rng = random.Random(1)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(8)) for _ in range(3000)]
+    rows = [(1, 0, "a", "\n".join(lines))]
+    spans = [(rng.randrange(2900), rng.choice([1, 2, 3, 7, 30, 90])) for _ in range(40)]
+    for turn, (at, n) in enumerate(spans, 1):
+        words = " ".join(lines[at : at + n]).split()[2:]
+        rows.append((1, turn, "b", "\n".join("> " + " ".join(words[i : i + 5]) for i in range(0, len(words), 5)) + f"\nanswer {turn}"))
+    got = {r.turn: (r.n_linked, r.reply_to) for r in chat_format.link_quotes(spark.createDataFrame(rows, CHAT)).collect()}
+    assert all(got[t] == (1, 0) for t in range(1, 41))
+
+
+def test_chat_without_quotations_in_turn_order(spark):
+    rows = [(1, 5, "a", "x"), (1, 2, "b", "y"), (1, 5, "a", "x"), (None, 1, "a", "z"), (2, None, "a", "z"), (2, 10_000, "a", None)]
+    got = sorted(((r.conv_id, r.turn, r.position, r.thread, r.reply_to) for r in chat_format.link_quotes(spark.createDataFrame(rows, CHAT)).collect()), key=str)
+    assert got == sorted([(1, 5, 1, 5, None), (1, 5, 1, 5, None), (1, 2, 0, 2, None), (None, 1, None, None, None), (2, None, None, None, None), (2, 10_000, 0, 10_000, None)], key=str)
