@@ -4,9 +4,11 @@ A candidate block is compressed once alone and once with each license template
 as a raw-content Zstandard dictionary.  A template that says the same makes the
 block almost free, so templates are ranked by how much they shrink it.  The
 winner is confirmed, or not, by the exact difference of its words to the
-template's.  A notice inside longer text is found by aligning each template
-with the words around each license word.  Lines without any license word never
-leave the scan's filter.
+template's: few words may differ, and none that decide which license it is, such
+as its name, its version or NC and SA.  A notice inside longer text is cut out by
+aligning each template with the words around each license word, and what is cut
+out is ranked and confirmed like any block.  Lines without any license word
+never leave the scan's filter.
 """
 
 from __future__ import annotations
@@ -32,17 +34,44 @@ TEMPLATES = {
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "BSD-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "CC0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide under the Creative Commons CC0 1.0 Universal dedication.",
 }
-_TRIGGER = r"(?i)licen[cs]e|creative\W+commons|\bCC\W+BY\b|SPDX-|permission\W+is\W+hereby|redistribution\W+and\W+use|free\W+software"
+_TRIGGER = r"(?i)licen[cs]e|creative\W+commons|\bCC\W+BY\b|SPDX-|permission\W+is\W+hereby|permission\W+to\W+use|redistribution\W+and\W+use|free\W+software|public\W+domain"
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 #: Least share by which the winner shrinks a block, and most differing words as a share of the template's.
 LEAST_REDUCTION, MOST_DIFFERENT = 0.3, 0.2
+#: Blocks whose verdict a scanner remembers.
+JUDGED = 20_000
+#: Words that tell one license from another; versions do too, years do not.
+_NAMES = frozenset(
+    "mit apache gpl lgpl agpl gnu lesser library affero mozilla mpl bsd boost isc zlib cc cc0 nc nd sa noncommercial sharealike noderivatives noderivs unlicense unencumbered".split()
+)
+_VERSION, _YEAR = re.compile(r"v?\d+(\.\d+)*"), re.compile(r"(19|20)\d\d")
 
 
 def wording(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def deciding(words: list[str]) -> set[str]:
+    """Names and versions among the words, also those joined to others by a hyphen."""
+    parts = {p for w in words for p in w.split("-")}
+    return {p.removeprefix("v") if _VERSION.fullmatch(p) else p for p in parts if p in _NAMES or _VERSION.fullmatch(p) and not _YEAR.fullmatch(p)}
+
+
 def difference(block: list[str], template: list[str]) -> tuple[int, int]:
     """Words of the template that the block lacks, and words that it adds, along an alignment that keeps the most words.
 
@@ -66,6 +95,8 @@ def blocks_of(text: str, longest: int) -> list[tuple[int, int, str]]:
 
     Each line with a license word is a block, and so is the paragraph around
     it if it has several lines and at most twice the longest template's words.
+    More words than that differ from every template in too many to be confirmed;
+    a notice among them is cut out by ``Scanner.windows``.
     """
     lines = text.split("\n")
     hits = [i for i, line in enumerate(lines) if re.search(_TRIGGER, line)]
@@ -101,14 +132,36 @@ def best_windows(words: np.ndarray, template: np.ndarray, most: int) -> list[tup
         nxt[1:] = np.minimum(nxt[1:], np.where(words == word, key[:-1], np.iinfo(np.int64).max))
         key = np.minimum.accumulate(nxt - extra) + extra
     cost, start = key // unit, unit - 1 - key % unit
-    out: list[tuple[int, int, int]] = []
+    out, taken = [], Taken()
     for end in sorted(np.flatnonzero(cost <= most).tolist(), key=lambda j: (cost[j], j)):
         a = int(start[end])
-        if a < end and all(end <= x or a >= y for _, x, y in out):
+        if a < end and taken.add(a, end):
             out.append((int(cost[end]), a, end))
     return out
 
 
+class Taken:
+    """Spans that do not overlap."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def free(self, start: int, end: int) -> int | None:
+        """Where a span would go, or None if it overlaps another."""
+        at = bisect_right(self.starts, start)
+        if at and self.ends[at - 1] > start or at < len(self.starts) and self.starts[at] < end:
+            return None
+        return at
+
+    def add(self, start: int, end: int) -> bool:
+        at = self.free(start, end)
+        if at is None:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
 class Scanner:
     """Compressors of all templates; one a worker."""
 
@@ -124,6 +177,8 @@ class Scanner:
         self.number = {w: i for i, w in enumerate(sorted({w for own in self.words.values() for w in own}))}
         self.numbers = {k: np.array([self.number[w] for w in own], np.int64) for k, own in self.words.items()}
         self.wanted = {k: np.bincount(own, minlength=len(self.number)) for k, own in self.numbers.items()}
+        self.deciding = {k: deciding(own) for k, own in self.words.items()}
+        self.judged: dict[str, dict | None] = {}
 
     def rank(self, block: str) -> list[tuple[float, str]]:
         """Templates by how far they shrink the block, as a share; ties by name."""
@@ -158,39 +213,49 @@ class Scanner:
                 for differing, i, j in best_windows(part, own, most):
                     same = (len(own) + j - i - differing) // 2
                     found.append((-same, differing, name, a + i, a + j))
-        out, taken = [], []
-        for same, _, name, i, j in sorted(found):
-            if any(i < y and x < j for x, y in taken):
+        out, taken = [], Taken()
+        for _, _, name, i, j in sorted(found):
+            if taken.free(i, j) is None:
                 continue
             low, high = spans[i][0], spans[j - 1][1]
-            block = " ".join(text[low:high].split())
-            loss = next(v for v, k in self.rank(block) if k == name)
-            if -loss >= LEAST_REDUCTION:
-                taken.append((i, j))
-                lines = {"line_from": bisect_right(breaks, low), "line_to": bisect_right(breaks, high - 1) + 1}
-                out.append(lines | {"license": name, "reduction": -loss, "n_missing": len(self.words[name]) + same, "n_extra": j - i + same, "confirmed": True})
+            best = self.judge(" ".join(text[low:high].split()))
+            if best and best["confirmed"] and best["license"] == name:
+                taken.add(i, j)
+                out.append({"line_from": bisect_right(breaks, low), "line_to": bisect_right(breaks, high - 1) + 1} | best)
         return sorted(out, key=lambda r: (r["line_from"], r["line_to"], r["license"]))
 
+    def judge(self, block: str) -> dict | None:
+        """The best-ranked template that the block's words confirm, or else the best-ranked one."""
+        if block in self.judged:
+            return self.judged[block]
+        own, best = wording(block), None
+        marks = deciding(own)
+        for loss, name in self.rank(block):
+            missing, extra = difference(own, self.words[name])
+            found = {"license": name, "reduction": -loss, "n_missing": missing, "n_extra": extra}
+            found["confirmed"] = -loss >= LEAST_REDUCTION and missing + extra <= MOST_DIFFERENT * len(self.words[name]) and marks == self.deciding[name]
+            best = best or found
+            if found["confirmed"]:
+                best = found
+                break
+            if -loss < LEAST_REDUCTION:
+                break
+        if len(self.judged) >= JUDGED:
+            self.judged.clear()
+        self.judged[block] = best
+        return best
+
     def scan(self, text: str) -> list[dict]:
-        out = []
-        for a, b, block in blocks_of(text, self.longest):
-            own, best = wording(block), None
-            for loss, name in self.rank(block):
-                missing, extra = difference(own, self.words[name])
-                found = {"line_from": a, "line_to": b, "license": name, "reduction": -loss, "n_missing": missing, "n_extra": extra}
-                found["confirmed"] = -loss >= LEAST_REDUCTION and missing + extra <= MOST_DIFFERENT * len(self.words[name])
-                best = best or found
-                if found["confirmed"]:
-                    best = found
-                    break
-                if -loss < LEAST_REDUCTION:
-                    break
-            if best:
-                out.append(best)
+        out = [{"line_from": a, "line_to": b} | best for a, b, block in blocks_of(text, self.longest) if (best := self.judge(block))]
         # a confirmed block has no room for a second copy, so a window of its license in it is the same notice
-        sure = [r for r in out if r["confirmed"]]
+        sure: dict[str, list[tuple[int, int]]] = {}
+        for r in sorted((r for r in out if r["confirmed"]), key=lambda r: r["line_from"]):
+            own = sure.setdefault(r["license"], [])
+            own.append((r["line_from"], max(r["line_to"], own[-1][1] if own else 0)))  # the farthest end so far
         for w in self.windows(text):
-            if not any(r["license"] == w["license"] and r["line_from"] <= w["line_from"] and w["line_to"] <= r["line_to"] for r in sure):
+            own = sure.get(w["license"], [])
+            at = bisect_right(own, w["line_from"], key=lambda r: r[0])
+            if not at or own[at - 1][1] < w["line_to"]:
                 out.append(w)
         return out
 

@@ -195,7 +195,7 @@ def test_license_ranking_against_brute_force():
             shares = {k: (alone - size(line.encode(), dict_data=z.ZstdCompressionDict(t.encode(), dict_type=z.DICT_TYPE_RAWCONTENT))) / alone for k, t in license_scan.TEMPLATES.items()}
             order = sorted(shares, key=lambda k: (-shares[k], k))
             said = license_scan.wording(line)
-            near = lambda k: _fewest_differences(said, license_scan.wording(license_scan.TEMPLATES[k])) <= license_scan.MOST_DIFFERENT * len(license_scan.wording(license_scan.TEMPLATES[k]))
+            near = lambda k: _fewest_differences(said, license_scan.wording(license_scan.TEMPLATES[k])) <= license_scan.MOST_DIFFERENT * len(license_scan.wording(license_scan.TEMPLATES[k])) and license_scan.deciding(said) == license_scan.deciding(license_scan.wording(license_scan.TEMPLATES[k]))
             sure = [k for k in order if shares[k] >= license_scan.LEAST_REDUCTION and near(k)]
             rows = [r for r in scanner.scan(line) if (r["line_from"], r["line_to"]) == (0, 1)]
             if license_scan.blocks_of(line, scanner.longest):

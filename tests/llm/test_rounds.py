@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from marlinspike.llm import chat_format, divergence, oracles, queries, simhash, vector_codes
+from marlinspike.llm import chat_format, divergence, license_scan, oracles, queries, simhash, vector_codes
 
 DOCS = "doc_id long, text string, lang string, source string, fp long, term string, rank int"
 
@@ -336,3 +336,62 @@ def test_chat_without_quotations_in_turn_order(spark):
     rows = [(1, 5, "a", "x"), (1, 2, "b", "y"), (1, 5, "a", "x"), (None, 1, "a", "z"), (2, None, "a", "z"), (2, 10_000, "a", None)]
     got = sorted(((r.conv_id, r.turn, r.position, r.thread, r.reply_to) for r in chat_format.link_quotes(spark.createDataFrame(rows, CHAT)).collect()), key=str)
     assert got == sorted([(1, 5, 1, 5, None), (1, 5, 1, 5, None), (1, 2, 0, 2, None), (None, 1, None, None, None), (2, None, None, None, None), (2, 10_000, 0, 10_000, None)], key=str)
+
+
+# License scans -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("text", "license"),
+    [
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-notice"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-notice"),
+        ("This work is licensed under the GNU General Public License, version 4.", None),
+        ("This work is licensed under the GNU Affero General Public License, version 3.", None),
+        ("Licensed under CC BY-ND 4.0.", None),
+        ("Licensed under CC BY-NC-SA 4.0.", None),
+        ("Licensed under CC BY 3.0.", None),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0-notice"),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Copyright 2019. Released under the MIT License.", "MIT-notice"),
+        (license_scan.TEMPLATES["GPL-3.0"].replace("version 3", "version 2"), "GPL-2.0"),
+        (license_scan.TEMPLATES["LGPL-2.1"].replace("2.1", "3"), None),
+    ],
+)
+def test_license_words_that_decide(text, license):
+    scanner, prose = license_scan.Scanner(license_scan.TEMPLATES), "plain prose stands here and goes on for a while, "
+    for whole in (text, prose + text, text + " " + prose * 30, prose * 30 + "\n" + text.replace(" ", "\n", 3) + "\n" + prose):
+        found = {r["license"] for r in scanner.scan(whole) if r["confirmed"]}
+        assert found == ({license} if license else set())
+
+
+def test_license_templates_are_found_and_told_apart():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, template in license_scan.TEMPLATES.items():
+        rows = scanner.scan(template)
+        assert [(r["license"], r["n_missing"], r["n_extra"]) for r in rows if r["confirmed"]] == [(name, 0, 0)]
+
+
+def test_license_scan_of_thousands_of_notices():
+    import time
+
+    rng = random.Random(2)
+    short = [t for t in license_scan.TEMPLATES.values() if len(t) < 80]
+    lines = [rng.choice(short) for _ in range(8000)]
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for joined in ("\n", " "):
+        began = time.process_time()
+        rows = [r for r in scanner.scan(joined.join(lines)) if r["confirmed"]]
+        assert len(rows) == 8000
+        assert time.process_time() - began < 5
+
+
+def test_spans_that_do_not_overlap():
+    rng, taken, kept = random.Random(7), license_scan.Taken(), []
+    for _ in range(2000):
+        a = rng.randrange(3000)
+        b = a + rng.randint(1, 9)
+        free = all(b <= x or a >= y for x, y in kept)
+        assert taken.add(a, b) == free
+        if free:
+            kept.append((a, b))
