@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, join_counted
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, key: str = "cc") -> DataFrame:
@@ -15,25 +15,26 @@ def connected_components(edges: DataFrame, scratch: Scratch, key: str = "cc") ->
     the smallest of its component or has no edge.  An empty input gives an
     empty result; repeated edges and self-loops change nothing.
 
-    Every step works on key-wise minima, so a hub is aggregated before it is
-    shuffled; no neighbour list is gathered anywhere.
+    Every step works on key-wise minima, aggregated before they are shuffled;
+    the minimum of a hub then goes to its edges, which stay where they are.  No
+    neighbour list is gathered anywhere.
     """
     spark = scratch.spark
     current = scratch.write(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{key}-0"
     )
-    state, step = None, 0
+    state, step, edges = None, 0, current.count()
     while True:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both.where("v > u"), low, ["u"], "n", 2 * edges).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = scratch.write(large, f"{key}-large-{step}")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, low, ["a"], "n", edges).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         step += 1
         current = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{key}-{step}")
         scratch.drop(f"{key}-{step - 1}", f"{key}-large-{step - 1}")
         found = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state or not found[0]:
             return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = found
+        state, edges = found, found[0]

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import Scratch, arrays_fit, bit_table, broadcast_if_small, has_bit, table_bits
+from .shared import Scratch, arrays_fit, bit_table, broadcast_if_small, has_bit, join_counted, table_bits
 
 #: Characters of text for each bucket of the sketch, and the least and largest sketch (2**24 buckets, 16 MB on the driver).
 #: A token stands out once it is commoner than a bucket's mean, so it is moved to the end at every size.
@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     sketch = count_sketch(docs, k, sketch_bits(docs))
     prints = scratch.write(_fingerprints(docs, k, percent, sketch).withColumn("row", F.monotonically_increasing_id()), "prints")
     # the first row of a class stands for it; with equal rows only one does, or posting lists would count it again
-    firsts_of = [F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("row", "doc_id").alias("row")]
+    firsts_of = [F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("row", "doc_id").alias("row"), F.count("*").alias("rows")]
     classes = scratch.write(prints.where("n > 0").groupBy("k1", "k2").agg(*firsts_of), "classes")
 
     # order A: posting lists of the class representatives; a token that only one has is dropped
@@ -339,12 +339,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     inner = scratch.write(several.join(classes, ["k1", "k2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "inner")
     if not inner.isEmpty():
         labels = scratch.write(connected_components(inner.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "cc-own"), "labels-own")
-    whole = classes.join(labels, classes.rep == labels.node, "left").select("k1", "k2", "rep", F.coalesce("component", "rep").alias("component"))
-    whole = whole.withColumnsRenamed({"k1": "c1", "k2": "c2"})
-    out = prints.select("doc_id", "n", "k1", "k2").join(whole, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("n") > 0), "left")
-    return out.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    whole = classes.join(labels, classes.rep == labels.node, "left").select("k1", "k2", "rows", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    whole = scratch.write(whole, "whole")
+    size = F.col("n").cast("long").alias("n_shingles")
+    # documents without words have the same set, but no class: they do not take part in the join
+    said = join_counted(prints.where("n > 0").select("doc_id", "n", "k1", "k2"), whole, ["k1", "k2"], "rows", prints.where("n > 0").count())
+    mute = prints.where("n = 0").select("doc_id", size, F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return said.select("doc_id", size, "class_id", "component_id").unionByName(mute)
 
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
