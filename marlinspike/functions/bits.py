@@ -23,6 +23,19 @@ def hamming_distance(a: Column, b: Column) -> Column:
     return F.when(F.length(a) != F.length(b), F.greatest(F.length(a), F.length(b))).when(a == b, 0).when(hexed, bits).otherwise(chars)
 
 
+def hash_words(hex_text: Column) -> Column:
+    """The 32-bit words of a hexadecimal string; null for other strings."""
+    return F.when(hex_text.rlike("^[0-9a-fA-F]+$"), _words(hex_text))
+
+
+def word_distance(a_words: Column, b_words: Column, a: Column, b: Column) -> Column:
+    """hamming_distance(a, b) with their hash_words at hand."""
+    same = F.aggregate(F.zip_with(a_words, b_words, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    chars = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    hexed = a_words.isNotNull() & b_words.isNotNull()
+    return F.when(F.length(a) != F.length(b), F.greatest(F.length(a), F.length(b))).when(hexed, same).when(a == b, 0).otherwise(chars)
+
+
 def exact_confidence(distance: Column) -> Column:
     """1 - d/256 for every fingerprint size, 0 at least."""
     return F.greatest(F.lit(0.0), 1 - distance / F.lit(256.0))

@@ -5,14 +5,19 @@ An index is a frame (image_id, ord, hash), one row an id.
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import bits
+from ..functions import bits, joins
 
 #: Up to so many queries are always broadcast, and about so many at once (some 10 MB).
 SMALL, BLOCK = 1000, 50_000
-#: Fewest bits of a band that is joined on: it selects one row in 2**WIDE.
-WIDE = 12
+#: Most values of a band that a query asks for.
+MOST_PROBES = 1 << 12
+#: Cost of a row that is shuffled, and of a candidate that a join verifies, in pairs of a nested loop.
+ROW, CANDIDATE = 20, 4
 
 
 def lookup(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -31,11 +36,15 @@ def _pairs(q: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def radius_join_nested(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
-    """All pairs within the radius, by broadcasts of blocks of about BLOCK queries; the index is read once a block."""
+    """All pairs within the radius, by broadcasts of blocks of about BLOCK queries; the index is read once a block.
+
+    Hashes are turned into numbers before they meet.
+    """
     q, c = _pairs(queries, index)
     blocks = -(-q.count() // BLOCK) or 1
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id", "q_hash"), F.lit(blocks)))
-    distance = bits.hamming_distance(F.col("q_hash"), F.col("c_hash"))
+    q = q.withColumns({"q_words": bits.hash_words(F.col("q_hash")), "block": F.pmod(F.xxhash64("query_id", "q_hash"), F.lit(blocks))})
+    c = c.withColumn("c_words", bits.hash_words(F.col("c_hash")))
+    distance = bits.word_distance(F.col("q_words"), F.col("c_words"), F.col("q_hash"), F.col("c_hash"))
     out = None
     for number in range(blocks):
         joined = c.join(F.broadcast(q.where(F.col("block") == number).drop("block")), distance <= max_distance)
@@ -75,13 +84,26 @@ def radius_join_banded(index: DataFrame, queries: DataFrame, max_distance: int)
     distance = bits.hamming_distance(F.col("q_hash"), F.col("c_hash"))
     n = max_distance + 1
 
-    def banded(df: DataFrame, x: str, kind: str) -> DataFrame:
-        return df.withColumn("b", F.explode(_bands(F.col(x), bit_text(x) if kind == "bits" else F.col(x), n, kind)))
+    def banded(df: DataFrame, x: str) -> DataFrame:
+        return df.withColumn("b", F.explode(_bands(F.col(x), bit_text(x), n, "bits")))
+
+    by_bits = banded(q.where(hexed("q_hash")), "q_hash").join(banded(c.where(hexed("c_hash")), "c_hash"), "b")
+    same = by_bits.drop("b").where(distance <= max_distance).select("query_id", "image_id", "ord", distance.alias("distance")).distinct()
+    return same.unionByName(_odd_pairs(q, c, max_distance))
+
+
+def _odd_pairs(q: DataFrame, c: DataFrame, max_distance: int) -> DataFrame:
+    """Pairs within the radius of which one is not hexadecimal, or whose lengths differ."""
+    hexed = lambda x: F.col(x).rlike("^[0-9a-fA-F]+$")
+    distance = bits.hamming_distance(F.col("q_hash"), F.col("c_hash"))
+    n = max_distance + 1
+
+    def banded(df: DataFrame, x: str) -> DataFrame:
+        return df.withColumn("b", F.explode(_bands(F.col(x), F.col(x), n, "chars")))
 
-    by_bits = banded(q.where(hexed("q_hash")), "q_hash", "bits").join(banded(c.where(hexed("c_hash")), "c_hash", "bits"), "b")
-    odd_q = banded(q.where(~hexed("q_hash")), "q_hash", "chars").join(banded(c, "c_hash", "chars"), "b")
-    odd_c = banded(q.where(hexed("q_hash")), "q_hash", "chars").join(banded(c.where(~hexed("c_hash")), "c_hash", "chars"), "b")
-    same = by_bits.unionByName(odd_q).unionByName(odd_c).drop("b").where(distance <= max_distance).select("query_id", "image_id", "ord", distance.alias("distance")).distinct()
+    odd_q = banded(q.where(~hexed("q_hash")), "q_hash").join(banded(c, "c_hash"), "b")
+    odd_c = banded(q.where(hexed("q_hash")), "q_hash").join(banded(c.where(~hexed("c_hash")), "c_hash"), "b")
+    same = odd_q.unionByName(odd_c).drop("b").where(distance <= max_distance).select("query_id", "image_id", "ord", distance.alias("distance")).distinct()
     lengths = F.filter(F.sequence(F.lit(1), F.lit(max(max_distance, 1))), lambda x: x != F.length("q_hash"))
     short_q = q.where(F.length("q_hash") <= max_distance).withColumn("length", F.explode(lengths))
     short_c = c.where(F.length("c_hash") <= max_distance).withColumn("length", F.length("c_hash"))
@@ -89,15 +111,108 @@ def radius_join_banded(index: DataFrame, queries: DataFrame, max_distance: int)
     return same.unionByName(short)
 
 
+# Multi-index hashing -----------------------------------------------------------------
+
+
+def ball(width: int, radius: int) -> int:
+    """Values of ``width`` bits within ``radius`` of one."""
+    return sum(comb(width, r) for r in range(radius + 1))
+
+
+def band_widths(digits: int, bands: int) -> list[int]:
+    """Hexadecimal digits of each band of a hash."""
+    return [(i + 1) * digits // bands - i * digits // bands for i in range(bands)]
+
+
+def plan_bands(digits: int, max_distance: int, queries: int, rows: int) -> int | None:
+    """How many bands to cut hashes of so many digits in, or None if a nested loop costs less.
+
+    Of m bands one differs in max_distance // m bits at most.  Fewer bands are
+    wider and select more, but a query then has more values to ask for.
+    """
+    best, least = None, queries * rows
+    for m in range(max(1, -(-digits // MOST_DIGITS)), min(digits, max_distance + 1) + 1):
+        balls = [(4 * w, ball(4 * w, max_distance // m)) for w in band_widths(digits, m)]
+        if max(n for _, n in balls) > MOST_PROBES:
+            continue
+        asked = sum(n for _, n in balls)
+        met = sum(n / 2**w for w, n in balls)
+        cost = ROW * (m * rows + asked * queries) + CANDIDATE * queries * rows * met
+        if cost < least:
+            best, least = m, cost
+    return best
+
+
+#: Digits of a band: its value is a number of 60 bits.
+MOST_DIGITS = 15
+
+
+def _band_rows(hashes: DataFrame, column: str, digits: int, bands: int) -> DataFrame:
+    """A row for each band: (column, words, band, width in bits, value)."""
+    structs, at = [], 1
+    for i, w in enumerate(band_widths(digits, bands)):
+        value = F.conv(F.substring(column, at, w), 16, 10).cast("long")
+        structs.append(F.struct(F.lit(i).alias("band"), F.lit(4 * w).alias("width"), value.alias("value")))
+        at += w
+    return hashes.select(column, "words", F.explode(F.array(*structs)).alias("b")).select(column, "words", "b.*")
+
+
+def _band_matches(q: DataFrame, c: DataFrame, digits: int, max_distance: int, bands: int, rows: int) -> DataFrame:
+    """(q_hash, c_hash, distance) of hashes of one length: bands of the index meet all values near a query's."""
+    spark, radius = q.sparkSession, max_distance // bands
+    masks = [(w, sum(1 << i for i in at)) for w in {4 * w for w in band_widths(digits, bands)} for r in range(radius + 1) for at in combinations(range(w), r)]
+    masks = F.broadcast(spark.createDataFrame(masks, "width int, mask long"))  # MOST_PROBES for each of two widths at most
+    held = _band_rows(c, "c_hash", digits, bands).withColumnRenamed("words", "c_words").drop("width")
+    asked = _band_rows(q, "q_hash", digits, bands).join(masks, "width").withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("width", "mask").withColumnRenamed("words", "q_words")
+    keys = ["band", "value"]
+    held, asked = joins.in_parts(held, asked, joins.hot_keys(held, keys, bands * rows), keys, "c_hash")
+    count = -(-digits // 8)
+    distance = sum((F.bit_count(F.get("q_words", F.lit(i)).bitwiseXOR(F.get("c_words", F.lit(i)))) for i in range(count)), F.lit(0))
+    return held.join(asked, [*keys, "part"]).where(distance <= max_distance).select("q_hash", "c_hash", distance.cast("int").alias("distance")).distinct()
+
+
+def radius_join_indexed(index: DataFrame, queries: DataFrame, max_distance: int, bands: int | None = None) -> DataFrame:
+    """All pairs within the radius, by multi-index hashing; exact for any input and any number of ``bands``,
+    by default the cheapest one.
+
+    Works on distinct hashes.  Hexadecimal ones of one length are cut into a few
+    wide bands, and a query asks for all values of a band within its share of
+    the radius; bands that many rows share are dealt out.  Where so large a
+    radius leaves nothing to select, and for strings that are not hexadecimal or
+    differ in length, see ``radius_join_nested`` and ``radius_join_banded``.
+    """
+    q, c = _pairs(queries, index)
+    hexed = lambda x: F.col(x).rlike("^[0-9a-fA-F]+$")
+    q_hashes, c_hashes = (df.select(x).distinct().where(hexed(x)).withColumn("words", bits.hash_words(F.col(x))) for df, x in ((q, "q_hash"), (c, "c_hash")))
+    # a row for each length of a hash
+    sizes = lambda df, x: {r[0]: r[1] for r in df.groupBy(F.length(x)).count().collect()}
+    asked, held = sizes(q_hashes, "q_hash"), sizes(c_hashes, "c_hash")
+    met = None
+    for digits in sorted(asked.keys() & held.keys()):
+        own_q, own_c = q_hashes.where(F.length("q_hash") == digits), c_hashes.where(F.length("c_hash") == digits)
+        count = min(max(bands, -(-digits // MOST_DIGITS)), digits) if bands else plan_bands(digits, max_distance, asked[digits], held[digits])
+        if count:
+            part = _band_matches(own_q, own_c, digits, max_distance, count, held[digits])
+        else:
+            near = radius_join_nested(own_c.select(F.col("c_hash").alias("image_id"), F.lit(0).alias("ord"), F.col("c_hash").alias("hash")), own_q.select(F.col("q_hash").alias("query_id"), F.col("q_hash").alias("hash")), max_distance)
+            part = near.select(F.col("query_id").alias("q_hash"), F.col("image_id").alias("c_hash"), F.col("distance").cast("int").alias("distance"))
+        met = part if met is None else met.unionByName(part)
+    # strings that are not hexadecimal, and short ones of another length
+    odd = _odd_pairs(q, c, max_distance)
+    if met is None:
+        return odd
+    ids, asks = joins.in_parts(c, met, joins.hot_keys(c, ["c_hash"], sum(held.values())), ["c_hash"], "image_id")
+    found = ids.join(asks, ["c_hash", "part"]).select("image_id", "ord", "q_hash", "distance")
+    return q.join(found, "q_hash").select("query_id", "image_id", "ord", "distance").unionByName(odd)
+
+
 def radius_join(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
     """All (query, id) pairs within ``max_distance``: (query_id, image_id, ord, distance).
 
-    Bands are used where there are many queries and bands of the shortest hashes
-    are wide enough to select; otherwise queries are broadcast in blocks.
+    A few queries are broadcast; more go through multi-index hashing.
     """
-    shortest = index.where("hash <> ''").agg(F.min(F.length("hash"))).first()[0] or 0
-    if 4 * shortest // (max_distance + 1) >= WIDE and queries.limit(SMALL + 1).count() > SMALL:
-        return radius_join_banded(index, queries, max_distance)
+    if queries.limit(SMALL + 1).count() > SMALL:
+        return radius_join_indexed(index, queries, max_distance)
     return radius_join_nested(index, queries, max_distance)
 
 

@@ -91,19 +91,25 @@ def ivf_full_probe(spark, d):
 
 @REGISTRY.add()
 def ivf_search(spark, d):
-    corpus = vector_corpus(spark, d)
     """Inverted lists, of which as many are visited as a calibration on the index asks for."""
+    corpus = vector_corpus(spark, d)
     return _knn(vectors.choose_search("IVFFlat", corpus, lists=16, k=K)(as_queries(corpus), K))
 
 
 @REGISTRY.add()
 def pq_search(spark, d):
-    corpus = vector_corpus(spark, d)
     """Product quantisation, with the best by codes ranked again by their vectors."""
+    corpus = vector_corpus(spark, d)
     books = vectors.train_codebooks(corpus, 16, 6)
     return _knn(vectors.search_codes(vectors.encode(corpus, books), books, as_queries(corpus), K, corpus=corpus))
 
 
+@REGISTRY.add()
+def ivfpq_search(spark, d):
+    """Codes of residuals in inverted lists, of which only those that are visited are read."""
+    return _knn(vectors.choose_search("IVFPQ", vector_corpus(spark, d), lists=16, parts=16, k=K, code_bits=6)(as_queries(vector_corpus(spark, d)), K))
+
+
 @REGISTRY.add()
 def planes_search(spark, d):
     """Approximate search by random planes, in the place of a graph."""
@@ -137,6 +143,17 @@ def hamming_radius_banded(spark, d):
     return fingerprints.radius_join_banded(corpus, as_queries(corpus), RADIUS).select("query_id", "image_id", F.col("distance").cast("int").alias("distance"))
 
 
+_CLOSE = 12
+
+
+@REGISTRY.add(f"WITH {_BITS} SELECT q.vec_id AS query_id, c.vec_id AS image_id, hamming(q.b, c.b)::INT AS distance FROM bits q, bits c WHERE hamming(q.b, c.b) <= {_CLOSE}")
+def hamming_pairs(spark, d):
+    """Every fingerprint against all, by multi-index hashing."""
+    corpus = hash_corpus(spark, d)
+    rows = fingerprints.radius_join_indexed(corpus, corpus.drop("ord").withColumnRenamed("image_id", "query_id"), _CLOSE, bands=4)
+    return rows.select("query_id", "image_id", F.col("distance").cast("int").alias("distance"))
+
+
 _HEX = "md5(text)"
 
 
@@ -178,9 +195,8 @@ def exact_match_confidence(spark, d):
     FROM items q, items c WHERE q.item_id % 100 = 0 AND q.text <> '' AND c.text <> ''"""
 )
 def levenshtein_similarity(spark, d):
-    """Items divisible by 100 against all items; a stated, broadcast query set."""
-    items = table(spark, d, "benchmark").where("text <> ''").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     """Items divisible by 100 against all items, the former broadcast in blocks of at most vectors.PLAIN_QUERIES or so."""
+    items = table(spark, d, "benchmark").where("text <> ''").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     q = items.where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q_text"))
     c, out = items.select(F.col("item_id").alias("image_id"), "text"), None
     blocks = -(-q.count() // vectors.PLAIN_QUERIES) or 1

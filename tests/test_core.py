@@ -140,6 +140,93 @@ def test_radius_joins_agree(spark, monkeypatch):
     assert tuple(stats) == (2, 4, 2, 1, 2.0)
 
 
+def test_radius_join_by_multi_index_hashing(spark, monkeypatch):
+    import random
+
+    from marlinspike.functions import joins
+
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    hashes = [f"{rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(12))):016x}" for _ in range(500)] + [f"{rng.getrandbits(256):064x}" for _ in range(3)] * 2
+    hashes += ["0" * 16] * 60 + ["zz", "zy", "ab", "AB", "abc", "", None]
+    corpus = spark.createDataFrame([(i, i, h) for i, h in enumerate(hashes)], "image_id long, ord long, hash string")
+    queries = corpus.where("image_id % 2 = 0").selectExpr("image_id query_id", "hash")
+    monkeypatch.setattr(joins, "TOGETHER", 7)
+    monkeypatch.setattr(joins.hot_keys, "__defaults__", (7,))
+    for d, bands in ((0, 1), (2, None), (5, 3), (8, 3), (8, 5), (12, 4)):
+        want = sorted(map(tuple, fingerprints.radius_join_nested(corpus, queries, d).collect()))
+        found = fingerprints.radius_join_indexed(corpus, queries, d, bands)
+        assert sorted(map(tuple, found.collect())) == want and len(want) > 300
+        if bands:
+            assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all(fingerprints.plan_bands(16, d, 200_000, 400_000) for d in (5, 8)) and fingerprints.plan_bands(16, 64, 1000, 1000) is None
+
+
+def clustered(spark, n, dimension=16, seed=3):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    x = 0.35 * rng.standard_normal((n, dimension)) + rng.standard_normal((n // 100, dimension))[rng.integers(0, n // 100, n)]
+    return spark.createDataFrame([(i, i, v) for i, v in enumerate(x.tolist())], "image_id long, ord long, vector array<float>").repartition(6).persist()
+
+
+def test_top_k_rows_do_not_depend_on_batches(spark):
+    corpus = clustered(spark, 6000)
+    queries = corpus.where("image_id % 500 = 0").selectExpr("image_id query_id", "vector")
+    want, before = None, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("10000", "50"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found = vectors.candidates(corpus, queries, 20)
+        assert found.count() == 20 * queries.count() * corpus.rdd.getNumPartitions()
+        got = sorted((r.query_id, r.vector_rank, r.image_id) for r in vectors.search(corpus, queries, 20).collect())
+        want = want or got
+        assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    corpus.unpersist()
+
+
+def test_best_rows_of_blocks():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    scores = rng.integers(0, 9, (5, 700)) / 8
+    places = rng.permutation(700)
+    best = vectors.Best(5, 6)
+    best.most = 40
+    for lo in range(0, 700, 90):
+        best.add(scores[:, lo : lo + 90], pa.array([f"i{i}" for i in range(lo, min(lo + 90, 700))]), places[lo : lo + 90])
+    got = list(zip(*[c.to_pylist() for c in best.batch(pa.array(list("abcde"))).columns], strict=True))
+    want = [("abcde"[q], f"i{i}", int(places[i]), float(scores[q, i])) for q in range(5) for i in sorted(range(700), key=lambda i: (-scores[q, i], places[i]))[:6]]
+    assert got == want
+
+
+@pytest.mark.parametrize("kind", ["IVFFlat", "IVFPQ", "HNSW"])
+def test_approximate_search_visits_little_and_keeps_its_recall(spark, kind):
+    corpus = clustered(spark, 10_000)
+    queries = corpus.where("image_id % 100 = 0").selectExpr("image_id query_id", "vector")
+    run = vectors.choose_search(kind, corpus, lists=100, parts=8, k=10)
+    if kind == "HNSW":
+        planes, probe = vectors.calibrate_planes(corpus, 16, 10)
+        assert 16 * probe / 2**planes < 0.2  # of the index, tables counted apart
+    else:
+        assert run.probe <= run.lists // 5
+    assert vectors.recall(run(queries, 10), vectors.search(corpus, queries, 10)) >= 0.9
+    corpus.unpersist()
+
+
+def test_lists_trained_in_two_steps(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "COARSE", 4)
+    corpus = clustered(spark, 4000)
+    queries = corpus.where("image_id % 400 = 0").selectExpr("image_id query_id", "vector")
+    centres = vectors.train_cells(corpus, 64)
+    assert 56 <= len(centres) <= 72
+    cells = vectors.assign_cells(corpus, centres)
+    exact = sorted((r.query_id, r.vector_rank, r.image_id) for r in vectors.search(corpus, queries, 5).collect())
+    assert sorted((r.query_id, r.vector_rank, r.image_id) for r in vectors.search_cells(cells, centres, queries, 5, len(centres)).collect()) == exact
+    assert vectors.calibrate_probe(cells.persist(), centres, 5) < len(centres) // 3
+
+
 def test_matching_paths(spark):
     corpus = spark.createDataFrame([("c", 0, "00", [1.0, 0.5], "same question"), ("d", 1, "01", [0.0, 1.0], ""), ("e", 2, "ff", [1.0, 0.0], "same questiom")], "image_id string, ord long, hash string, vector array<float>, full_text string")
     queries = spark.createDataFrame([(f"q{i}", "00", [1.0, float(i)], "same question") for i in range(3)], "query_id string, hash string, vector array<float>, full_text string")
