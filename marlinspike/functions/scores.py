@@ -72,12 +72,11 @@ def grid_rows(count: Column, columns: int) -> Column:
     return F.ceil(count / columns)
 
 
-def nav_map(count: int, columns: int) -> Column:
-    """Array with the targets (left, right, up, down) of each place of a grid."""
+def grid_targets(place: Column, columns: int, count: Column) -> Column:
+    """Struct with the targets (left, right, up, down) of a place of a grid."""
     if columns < 1:
         raise ValueError("a grid has one column at least")
-    moves = lambda i: F.struct(*[grid_move(i, F.lit(d), columns, count).cast("int").alias(d) for d in ("left", "right", "up", "down")])
-    return F.transform(F.sequence(F.lit(0), F.lit(max(count, 1) - 1)), moves) if count > 0 else F.array().cast("array<struct<left: int, right: int, up: int, down: int>>")
+    return F.struct(*[grid_move(place, F.lit(d), columns, count).cast("int").alias(d) for d in ("left", "right", "up", "down")])
 
 
 def batch_time(elapsed_ms: Column, queries: Column) -> Column:

@@ -184,27 +184,6 @@ def index_section(text: str | None) -> dict:
     return found if isinstance(found, dict) else {}
 
 
-#: Fixed value: memory of a worker in GB.
-WORKER_GB = 1.5
-
-
-def worker_cap(available_gb: float | None, cpus: int, unknown: int = 2) -> int:
-    """Workers that fit the memory, 1 at least; with unknown memory at most ``unknown``."""
-    return min(cpus, unknown) if available_gb is None else max(1, int(available_gb // WORKER_GB))
-
-
-def plan_workers(background: int, interactive: int, available_gb: float | None) -> dict:
-    """Workers of both lanes within the memory: the interactive lane gives way first, down to 1, the other one never."""
-    plan = {"background": background, "interactive": interactive, "requested_interactive": interactive, "degraded": False, "reason": None, "required_gb": (background + interactive) * WORKER_GB, "available_gb": available_gb}
-    if available_gb is None:
-        return plan | {"reason": "available memory unknown"}
-    fits = max(1, min(interactive, int(available_gb // WORKER_GB) - background))
-    if plan["required_gb"] <= available_gb or fits == interactive:
-        return plan
-    reason = f"{plan['required_gb']:.1f} GB needed, {available_gb:.1f} GB available: interactive workers {interactive} to {fits}, background stays at {background}"
-    return plan | {"interactive": fits, "degraded": True, "required_gb": (background + fits) * WORKER_GB, "reason": reason}
-
-
 def config_key(config: dict) -> str:
     """16 hexadecimal digits that depend on the content, not on the order of keys."""
     return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]

@@ -55,20 +55,22 @@ def verify_content(recalled: DataFrame, query_texts: DataFrame, corpus_texts: Da
 
     A pair's score lies between 0.75 vector and that plus 0.25 times the ratio
     of the lengths.  Pairs that cannot reach the threshold, or the ``top_n``-th
-    of their query's lower ends, are dropped before any edit distance.  The
-    others are dealt over all tasks.
+    of their query's lower ends, are dropped by the lengths alone, before any
+    text is fetched.  The others are dealt over all tasks.
     """
     spark = recalled.sparkSession
-    rows = recalled.join(query_texts.select("query_id", F.col("full_text").alias("q_text")), "query_id").join(corpus_texts.select("image_id", F.col("full_text").alias("c_text")), "image_id")
-    rows = rows.where((F.length("q_text") > 0) & (F.length("c_text") > 0))
-    shorter, longer = F.least(F.length("q_text"), F.length("c_text")), F.greatest(F.length("q_text"), F.length("c_text"))
-    rows = rows.withColumns({"low": 0.75 * F.col("similarity"), "high": 0.75 * F.col("similarity") + 0.25 * shorter / longer})
+    size = lambda df, key, name: df.select(key, F.length("full_text").alias(name)).where(F.col(name) > 0)
+    rows = recalled.join(size(query_texts, "query_id", "q_size"), "query_id").join(size(corpus_texts, "image_id", "c_size"), "image_id")
+    ratio = F.least("q_size", "c_size") / F.greatest("q_size", "c_size")
+    rows = rows.withColumns({"low": 0.75 * F.col("similarity"), "high": 0.75 * F.col("similarity") + 0.25 * ratio})
     # a query has at most as many pairs as were recalled for it
     lows = F.collect_list("low").over(Window.partitionBy("query_id"))
     floor = F.coalesce(F.get(F.sort_array(lows, asc=False), F.lit(top_n - 1)), F.lit(float("-inf")))
-    rows = rows.withColumn("floor", floor).where(F.col("high") >= F.greatest(F.col("floor"), F.lit(threshold)) - 1e-9)
+    rows = rows.withColumn("floor", floor).where(F.col("high") >= F.greatest(F.col("floor"), F.lit(threshold)) - 1e-9).drop("low", "high", "floor", "q_size", "c_size")
+    # only now the texts, of the pairs that are left
+    rows = rows.join(query_texts.select("query_id", F.col("full_text").alias("q_text")), "query_id").join(corpus_texts.select("image_id", F.col("full_text").alias("c_text")), "image_id")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = rows.drop("low", "high", "floor").repartition(tasks, F.xxhash64("query_id", "image_id"))
+    rows = rows.repartition(tasks, F.xxhash64("query_id", "image_id"))
     rows = rows.withColumn("text_similarity", 1 - text.edit_distance(F.col("q_text"), F.col("c_text")) / F.greatest(F.length("q_text"), F.length("c_text")))
     rows = rows.withColumn("final_score", scores.final_score(F.col("similarity"), F.col("text_similarity"))).where(F.col("final_score") >= threshold)
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "vector_rank")

@@ -190,33 +190,6 @@ def missing_payloads(tasks: DataFrame) -> DataFrame:
     return tasks.agg(F.count_if("payload_unavailable").alias("missing_payloads"))
 
 
-class Runners:
-    """Functions that run a task, by kind; ``clock`` gives the time in place of the system's."""
-
-    def __init__(self, clock=None):
-        self._by_kind: dict = {}
-        self.clock = clock or (lambda: F.current_timestamp())
-
-    def register(self, kind: str, run) -> None:
-        if kind not in KINDS:
-            raise ValueError(f"unknown task kind: {kind}")
-        self._by_kind[kind] = run
-
-    def run(self, kind: str, *args, **options):
-        if kind not in self._by_kind:
-            raise ValueError(f"no runner for tasks of kind {kind}")
-        return self._by_kind[kind](*args, **options)
-
-
-def claim(tasks: DataFrame, lane: str, pid: int, now: Column) -> DataFrame:
-    """The lane's next task is running for ``pid``; two lanes claim independently."""
-    # one row at most
-    chosen = F.broadcast(next_task(tasks, lane).select("task_id", F.lit(True).alias("_mine")))
-    rows = tasks.join(chosen, "task_id", "left")
-    set_ = lambda c, value: F.when(F.col("_mine"), value).otherwise(F.col(c))
-    return rows.withColumns({"status": set_("status", F.lit("running")), "started_at": set_("started_at", now), "heartbeat_at": set_("heartbeat_at", now), "scheduler_pid": set_("scheduler_pid", F.lit(pid).cast("long"))}).select(*tasks.columns)
-
-
 def resume(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Items that are not done yet."""
     return items.join(done.select(key).distinct(), key, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import bits, scores, text
 from ..operators import config, fingerprints, matching, vectors
+from ..sources import sinks
 from .base import Registry, table
 
 REGISTRY = Registry()
@@ -272,6 +273,17 @@ def dual_path_full_text(spark, d):
     return _dual_path(full_corpus(spark, d))
 
 
+@REGISTRY.add(
+    f"""{_FULL} SELECT query_id, rank::INT AS rank, image_id AS image_path, image_id::VARCHAR AS file_name, match_type, distance::INT AS distance, round(similarity, 4) AS similarity,
+    round(similarity, 4) AS confidence, round(vector_similarity, 4) AS vector_similarity, round(text_similarity, 4) AS text_similarity,
+    CASE WHEN match_type = 'content' THEN round(similarity, 4) END AS final_score FROM combined"""
+)
+def result_files(spark, d):
+    """Rows of the result files of a batch."""
+    corpus = ascii_corpus(spark, d)
+    return sinks.result_rows(matching.match(corpus, as_queries(corpus), CONFIG))
+
+
 @REGISTRY.add(
     f"""WITH {_CORPUS_BITS}, {_PAIRS}, {_EXACT}, {_CORPUS_KNN}, {_CONTENT}, places AS (
       SELECT query_id, image_id, 'exact' AS match_type, 0 AS bucket, channel_rank FROM exact UNION ALL SELECT query_id, image_id, 'content', 1, channel_rank FROM content)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import scores, text
 from ..sources import ingest
@@ -117,13 +117,16 @@ def grid_moves(spark, d):
 
 
 @REGISTRY.add(
-    """SELECT i::INT AS place, (CASE WHEN i % 7 > 0 THEN i - 1 ELSE i END)::INT AS "left", (CASE WHEN i % 7 < 6 AND i + 1 < n THEN i + 1 ELSE i END)::INT AS "right",
-    (CASE WHEN i >= 7 THEN i - 7 ELSE i END)::INT AS up, (CASE WHEN i + 7 < n THEN i + 7 ELSE i END)::INT AS down FROM (SELECT count(*) AS n FROM benchmark), range(100000) r(i) WHERE i < n"""
+    """WITH cells AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(coalesce(text, ''))) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+    SELECT conv_id, i::INT AS place, (CASE WHEN i % 3 > 0 THEN i - 1 ELSE i END)::INT AS "left", (CASE WHEN i % 3 < 2 AND i + 1 < n THEN i + 1 ELSE i END)::INT AS "right",
+    (CASE WHEN i >= 3 THEN i - 3 ELSE i END)::INT AS up, (CASE WHEN i + 3 < n THEN i + 3 ELSE i END)::INT AS down FROM cells"""
 )
 def nav_targets(spark, d):
-    """Targets of all places of a grid with as many cells as there are benchmark items."""
-    count = table(spark, d, "benchmark").count()
-    return spark.range(1).select(F.posexplode(scores.nav_map(count, 7)).alias("place", "to")).select("place", "to.*")
+    """Targets of each place of the grids in which conversations show their messages, three a row."""
+    every = Window.partitionBy("conv_id")
+    order = every.orderBy("turn", "role", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    cells = table(spark, d, "conversations").select("conv_id", (F.row_number().over(order) - 1).alias("place"), F.count("*").over(every).alias("n"))
+    return cells.select("conv_id", "place", scores.grid_targets(F.col("place"), 3, F.col("n")).alias("to")).select("conv_id", "place", "to.*")
 
 
 @REGISTRY.add("SELECT strftime(ts, '%Y-%m-%d') AS batch, round(sum(value) / count(*), 4) AS mean_ms FROM events GROUP BY ALL")

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
+from .batches import Batches, exists
 
 #: Suffixes of an image folder, and those of the watched folder.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp")
@@ -207,9 +208,22 @@ def corpora(spark: SparkSession, root: str) -> DataFrame:
 ARTEFACTS = ("features", "vectors", "hashes", "stats")
 
 
-def load_index(spark: SparkSession, folder: str, exists: Callable[[str], bool] = os.path.exists) -> dict[str, DataFrame]:
-    """All artefacts of an index; a missing one is an error."""
-    absent = [a for a in ARTEFACTS if not exists(f"{folder}/{a}")]
-    if absent:
+def missing_artefacts(spark: SparkSession, folder: str) -> list[str]:
+    """Artefacts that some committed batch of an index lacks; all of them without any batch."""
+    found = Batches(spark, folder).committed().values()
+    return [a for a in ARTEFACTS if not found or any(not exists(spark, f"{batch}/{a}") for batch in found)]
+
+
+def load_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All artefacts of an index, on any file system; a missing one is an error."""
+    if absent := missing_artefacts(spark, folder):
         raise FileNotFoundError(f"index artefacts missing in {folder}: {', '.join(absent)}")
-    return {a: spark.read.parquet(f"{folder}/{a}") for a in ARTEFACTS}
+    batches = Batches(spark, folder).committed()
+    # the last batch's statistics are those of the whole index
+    return {a: spark.read.parquet(*[f"{b}/{a}" for n, b in batches.items() if a != "stats" or n == max(batches)]) for a in ARTEFACTS}
+
+
+def searchable(spark: SparkSession, root: str) -> list[str]:
+    """Names of the corpora whose index has all of its artefacts, newest first."""
+    rows = corpora(spark, root).select("name").collect()  # a row a corpus
+    return [r.name for r in rows if not missing_artefacts(spark, f"{root.rstrip('/')}/{r.name}/index")]

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import fingerprints, matching, store
+from .batches import Batches, files as _files
 
 EXPORT_FIELDS = ("rank", "candidate_image_path", "match_type", "confidence_level", "overall_score", "text_score", "visual_score", "hash_distance", "label", "notes", "labeled_at")
 
@@ -129,42 +130,51 @@ def write_hashes(index: DataFrame, path: str, form: str = "parquet") -> None:
     getattr(index.write, form)(path)
 
 
+INDEX_SCHEMAS = {"vectors": "image_id string, ord long, vector array<float>", "hashes": "image_id string, ord long, hash string"}
+
+
 def write_index(features: DataFrame, folder: str) -> None:
-    """All artefacts of an index: features, vectors, hashes and statistics."""
-    features.write.parquet(f"{folder}/features")
-    kept = features.sparkSession.read.parquet(f"{folder}/features")
-    matching.vector_rows(kept).write.parquet(f"{folder}/vectors")
-    matching.hash_rows(kept).write.parquet(f"{folder}/hashes")
-    _write_stats(features.sparkSession, folder, "error")
+    """All artefacts of a new index: features, vectors, hashes and statistics, as its first batch."""
+    if Batches(features.sparkSession, folder).committed():
+        raise ValueError(f"there is an index in {folder} already")
+    _add_batch(features, folder, 0)
 
 
 def add_to_index(features: DataFrame, folder: str) -> int:
     """Add the records whose id an index does not have; returns how many.
 
-    Artefacts grow by appending, vectors and hashes of the new records only;
-    the statistics are counted again.  Records repeated in the input are added
-    once, the first in place.
+    They are one batch with all artefacts, which readers see once it is
+    committed.  A call that fails at any step leaves the index as it was, and
+    can be repeated.  Records repeated in the input are added once, the first
+    in place.
     """
-    spark = features.sparkSession
-    known = spark.read.parquet(f"{folder}/features").select("image_id")
+    log = Batches(features.sparkSession, folder)
+    number, known = log.next_number(), log.read("features", matching.FEATURES).select("image_id")
     first = features.groupBy("image_id").agg(F.min_by(F.struct(*[c for c in features.columns if c != "image_id"]), "ord").alias("r")).select("image_id", "r.*").select(*features.columns)
-    batch = f"{folder}/added-{uuid.uuid4().hex}"
-    first.join(known, "image_id", "left_anti").write.parquet(batch)
-    new = spark.read.parquet(batch)
-    matching.vector_rows(new).write.mode("append").parquet(f"{folder}/vectors")
-    matching.hash_rows(new).write.mode("append").parquet(f"{folder}/hashes")
-    new.write.mode("append").parquet(f"{folder}/features")
+    return _add_batch(first.join(known, "image_id", "left_anti"), folder, number)
+
+
+def _add_batch(new: DataFrame, folder: str, number: int) -> int:
+    spark, log = new.sparkSession, Batches(new.sparkSession, folder)
+    batch = log.stage()
+    new.write.parquet(f"{batch}/features")
+    new = spark.read.parquet(f"{batch}/features")
     count = new.count()
-    _, target, files = _files(spark, batch)
-    files.delete(target, True)
-    _write_stats(spark, folder, "overwrite")
+    if number and not count:
+        log.drop(batch)
+        return 0
+    matching.vector_rows(new).write.parquet(f"{batch}/vectors")
+    matching.hash_rows(new).write.parquet(f"{batch}/hashes")
+    _write_stats(log, batch)
+    log.commit(number, batch)
     return count
 
 
-def _write_stats(spark: SparkSession, folder: str, mode: str) -> None:
+def _write_stats(log: Batches, batch: str) -> None:
+    """Statistics of the index with this batch."""
+    whole = {n: log.read(n, s).unionByName(log.spark.read.schema(s).parquet(f"{batch}/{n}")) for n, s in (("features", matching.FEATURES), ("hashes", INDEX_SCHEMAS["hashes"]))}
     # one row each
-    stats = matching.build_stats(spark.read.parquet(f"{folder}/features")).join(F.broadcast(fingerprints.index_stats(spark.read.parquet(f"{folder}/hashes"))), F.lit(True))
-    stats.write.mode(mode).parquet(f"{folder}/stats")
+    matching.build_stats(whole["features"]).join(F.broadcast(fingerprints.index_stats(whole["hashes"])), F.lit(True)).write.parquet(f"{batch}/stats")
 
 
 def create_corpus(spark: SparkSession, root: str, name: str, config: dict, created_at: str) -> str:
@@ -198,9 +208,8 @@ def create_corpus(spark: SparkSession, root: str, name: str, config: dict, creat
 def refresh_corpus(spark: SparkSession, folder: str) -> dict:
     """Metadata of a corpus with its statistics taken from the index, written back."""
     metadata = json.loads(read_small(spark, f"{folder}/metadata.json"))
-    _, target, files = _files(spark, f"{folder}/index/stats")
-    if files.exists(target):
-        metadata["statistics"] = spark.read.parquet(f"{folder}/index/stats").first().asDict()
+    if batches := Batches(spark, f"{folder}/index").committed():
+        metadata["statistics"] = spark.read.parquet(f"{batches[max(batches)]}/stats").first().asDict()
     write_small(spark, f"{folder}/metadata.json", json.dumps(metadata, ensure_ascii=False))
     return metadata
 
@@ -243,13 +252,6 @@ def write_json_file(value: dict, path: str) -> None:
     os.replace(temporary, path)
 
 
-def _files(spark: SparkSession, path: str):
-    """Hadoop's file system of a path, so that pointers work wherever tables do."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def read_small(spark: SparkSession, path: str) -> str | None:
     """A small file's text, on any file system; None if there is no such file."""
     jvm, target, files = _files(spark, path)
@@ -326,3 +328,57 @@ def save_results(tables: VersionedTables, searched: DataFrame, found: DataFrame,
 
 def rank_within_type(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "match_type").orderBy("rank")))
+
+
+class ResultLog:
+    """The result store as batches of changed rows, merged when they are read.
+
+    A save writes the queries that were searched, with their candidates, and
+    nothing of the others.  Both tables of a batch are committed at once.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.log = spark, Batches(spark, root)
+
+    def _latest(self, name: str, schema: str, keys: list[str]) -> DataFrame:
+        rows = self.log.read(name, schema, numbered=True)
+        columns = [f.split()[0] for f in schema.split(", ")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select("row.*")
+
+    def queries(self) -> DataFrame:
+        return self._latest("queries", store.QUERIES, ["query_id"])
+
+    def candidates(self) -> DataFrame:
+        return self._latest("candidates", store.CANDIDATES, ["query_id", "candidate_id"])
+
+    def _commit(self, number: int, queries: DataFrame, candidates) -> None:
+        batch = self.log.stage()
+        queries.write.parquet(f"{batch}/queries")
+        candidates(self.spark.read.parquet(f"{batch}/queries")).write.parquet(f"{batch}/candidates")
+        self.log.commit(number, batch)
+
+    def save(self, searched: DataFrame, found: DataFrame, now: Column) -> None:
+        """Add a batch of searches, with the meaning of ``save_results``."""
+        number, key = self.log.next_number(), ["query_image_path", "database_name"]
+        old = self.queries().join(searched.select(*key), key, "left_semi")
+
+        def candidates(merged: DataFrame) -> DataFrame:
+            ids = merged.select("query_id", *key)
+            before = self.candidates().join(ids.select("query_id"), "query_id", "left_semi")
+            return store.upsert_candidates(before, found.join(ids, key).drop(*key), ids)
+
+        self._commit(number, store.upsert_queries(old, searched, now), candidates)
+
+    def label(self, events: DataFrame, now: Column) -> None:
+        """Add label events, as in ``store.apply_labels``, and the status of their queries."""
+        number, touched = self.log.next_number(), events.select("query_id").distinct()
+        own = self.candidates().join(touched, "query_id", "left_semi")
+        labeled = store.apply_labels(own, events)
+        queries = self.queries().join(touched, "query_id", "left_semi")
+        self._commit(number, store.refresh_status(queries, labeled, touched, now), lambda _: labeled)
+
+    def compact(self) -> "ResultLog":
+        """A store beside this one with a single batch of the rows as they are now."""
+        other = ResultLog(self.spark, f"{self.log.root}-{uuid.uuid4().hex}")
+        other._commit(0, self.queries(), lambda _: self.candidates())
+        return other

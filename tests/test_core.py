@@ -283,14 +283,10 @@ def test_verification_against_all_pairs(spark):
 
 
 def test_budget_and_grid(spark):
-    assert config.plan_workers(7, 2, 20.0)["interactive"] == 2 and config.plan_workers(7, 4, 13.5)["interactive"] == 2
-    tight = config.plan_workers(7, 2, 5.0)
-    assert (tight["background"], tight["interactive"], tight["degraded"], tight["required_gb"]) == (7, 1, True, 12.0)
-    assert config.plan_workers(1, 1, None)["reason"] and [config.worker_cap(g, 8) for g in (None, 0.5, 6.0)] == [2, 1, 4]
     assert config.index_section("index: {type: Flat}") == {"type": "Flat"} and config.index_section("a: [") == config.index_section(None) == config.index_section("index: 3") == {}
-    assert one(spark, F.size(scores.nav_map(8, 3)), F.size(scores.nav_map(0, 3)), scores.nav_map(8, 3)[5]) == (8, 0, (4, 5, 2, 5))
+    assert one(spark, scores.grid_targets(F.lit(5), 3, F.lit(8)), scores.grid_targets(F.lit(0), 3, F.lit(1))) == ((4, 5, 2, 5), (0, 0, 0, 0))
     with pytest.raises(ValueError):
-        scores.nav_map(3, 0)
+        scores.grid_targets(F.lit(0), 0, F.lit(3))
     assert one(spark, scores.batch_time(F.lit(10.0), F.lit(4)), scores.batch_time(F.lit(10.0), F.lit(0)), scores.position_text(F.lit(0)), scores.position_text(F.lit(3))) == (2.5, None, "next", "3 ahead")
 
 
@@ -403,14 +399,6 @@ def test_queue(spark):
     # a known scheduler is left alone, stale heartbeat or not; another process with its number only with a fresh one
     assert after(pids, now).status == "running" and after(nobody, now, pids).status == "pending" and after(nobody, soon, pids).status == "running"
     assert after(nobody, soon).status == "pending" and after(nobody, now, None, spark.createDataFrame([("t1",)], "task_id string")).status == "running"
-    claimed = {r.task_id: (r.status, r.scheduler_pid) for r in tasks.claim(tasks.claim(t, "background", 7, now), "interactive", 8, now).collect()}
-    assert claimed["t0"] == ("running", 7) and claimed["t2"] == ("running", 8) and claimed["t4"] == ("pending", None)
-    runners = tasks.Runners()
-    runners.register("index_build", lambda x: x + 1)
-    assert runners.run("index_build", 1) == 2
-    for bad in (lambda: runners.run("batch_search"), lambda: runners.register("other", print)):
-        with pytest.raises(ValueError):
-            bad()
     assert tasks.purge_interactive(t, now).count() == 4 and tasks.clear_terminal(t)[1].count() == 1
     with pytest.raises(ValueError):
         tasks.enqueue_row("x", "other")

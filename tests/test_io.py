@@ -102,6 +102,92 @@ def test_index_grows(spark, tmp_path):
     assert (index["stats"].first().total_images, index["stats"].first().unique_hashes) == (5, 5)
 
 
+@pytest.mark.parametrize("step", ["features", "vectors", "hashes", "stats", "commit"])
+def test_index_growth_survives_a_failure_after_every_step(spark, tmp_path, monkeypatch, step):
+    from marlinspike.sources import batches
+
+    def records(ids):
+        return spark.createDataFrame([(f"i{k}", k, True, None, ([float(k), 1.0], f"t{k}", None), (f"{k:02x}", None, None)) for k in ids], matching.FEATURES)
+
+    folder, lost = str(tmp_path / "index"), lambda *a, **b: (_ for _ in ()).throw(RuntimeError("lost"))
+    sinks.write_index(records([1, 2]), folder)
+    where = {"features": (sinks.matching, "vector_rows"), "vectors": (sinks.matching, "hash_rows"), "hashes": (sinks, "_write_stats"), "stats": (batches.Batches, "commit")}
+    if step == "commit":  # it was committed, but the writer does not know
+        commit = batches.Batches.commit
+        monkeypatch.setattr(batches.Batches, "commit", lambda *a: (commit(*a), lost()))
+    else:
+        monkeypatch.setattr(*where[step], lost)
+    with pytest.raises(RuntimeError):
+        sinks.add_to_index(records([2, 3, 4]), folder)
+    monkeypatch.undo()
+    if step != "commit":
+        assert ingest.load_index(spark, folder)["vectors"].count() == ingest.load_index(spark, folder)["stats"].first().total_images == 2
+    sinks.add_to_index(records([2, 3, 4]), folder)
+    index = ingest.load_index(spark, folder)
+    for name in ("features", "vectors", "hashes"):
+        assert sorted(r.image_id for r in index[name].collect()) == ["i1", "i2", "i3", "i4"]
+    assert index["stats"].first().total_entries == 4
+    assert batches.Batches(spark, folder).clear_unfinished() == (step != "commit") and ingest.load_index(spark, folder)["hashes"].count() == 4
+    with pytest.raises(ValueError):
+        sinks.write_index(records([9]), folder)
+
+
+def test_a_batch_number_is_committed_once(spark, tmp_path):
+    from marlinspike.sources import batches
+
+    log = batches.Batches(spark, str(tmp_path / "log"))
+    one, two = log.stage(), log.stage()
+    for folder, n in ((one, 1), (two, 2)):
+        spark.range(n).write.parquet(f"{folder}/rows")
+    log.commit(0, one)
+    with pytest.raises(batches.Conflict):
+        log.commit(0, two)
+    assert log.read("rows", "id long").count() == 1
+    log.commit(log.next_number(), two)
+    assert log.read("rows", "id long").count() == 3 and [r.batch for r in log.read("rows", "id long", numbered=True).orderBy("batch", "id").collect()] == [0, 1, 1]
+
+
+def test_searchable_corpora_have_all_artefacts(spark, tmp_path):
+    import shutil
+
+    rows = spark.createDataFrame([("i1", 0, True, None, ([1.0], "t", None), ("ff", None, None))], matching.FEATURES)
+    for name in ("one", "two", "three"):
+        folder = sinks.create_corpus(spark, str(tmp_path), name, {}, f"2026-01-0{len(name)}")
+        if name != "three":
+            sinks.write_index(rows, f"{folder}/index")
+    assert sorted(ingest.searchable(spark, str(tmp_path))) == ["one", "two"]
+    shutil.rmtree(next((tmp_path / "one" / "index" / "batches").glob("*/hashes")))
+    assert ingest.searchable(spark, str(tmp_path)) == ["two"]
+    assert ingest.missing_artefacts(spark, str(tmp_path / "one" / "index")) == ["hashes"]
+
+
+def test_result_log_writes_what_changed(spark, tmp_path):
+    searches = "query_image_path string, database_name string, top_n int, config_preset string, config_yaml string, processing_time_ms double"
+    fields = "query_image_path string, database_name string, rank int, candidate_image_path string, match_type string, confidence_level string, overall_score double, text_score double, visual_score double, hash_distance int"
+    searched = lambda *paths: spark.createDataFrame([(p, "db", 10, None, None, 1.0) for p in paths], searches)
+    found = lambda path, *hits: spark.createDataFrame([(path, "db", n, h, "content", "HIGH", 0.9, None, None, None) for n, h in enumerate(hits, 1)], fields)
+    at = lambda day: F.lit(f"2026-01-{day:02d}").cast("timestamp")
+    log, tables = sinks.ResultLog(spark, str(tmp_path / "log")), sinks.VersionedTables(spark, str(tmp_path / "store"))
+    many = spark.range(500).selectExpr("concat('/m', id) query_image_path", "'db' database_name", "10 top_n", "cast(null as string) config_preset", "cast(null as string) config_yaml", "1.0D processing_time_ms")
+    hits = many.selectExpr("query_image_path", "database_name", "1 rank", "'/x' candidate_image_path", "'content' match_type", "'HIGH' confidence_level", "0.9D overall_score", "cast(null as double) text_score", "cast(null as double) visual_score", "cast(null as int) hash_distance")
+    for day, (s, f) in enumerate([(many, hits), (searched("/a"), found("/a", "/x", "/y")), (searched("/a", "/m3"), found("/a", "/y", "/z")), (searched("/b"), found("/b"))], 1):
+        log.save(s, f, at(day))
+        sinks.save_results(tables, s, f, at(day))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(log.queries()) == key(tables.read("queries", store.QUERIES).select(*log.queries().columns))
+    assert key(log.candidates()) == key(tables.read("candidates", store.CANDIDATES).select(*log.candidates().columns))
+    folders = log.log.committed()
+    size = lambda n: sum(p.stat().st_size for p in (tmp_path / "log" / "batches" / folders[n].rsplit("/", 1)[1]).rglob("*.parquet"))
+    rows = lambda n, t: spark.read.parquet(f"{folders[n]}/{t}").count()
+    assert [rows(n, "queries") for n in folders] == [500, 1, 2, 1] and [rows(n, "candidates") for n in folders] == [500, 2, 4, 0] and size(1) < size(0)
+    one = log.candidates().where("candidate_image_path = '/y'").first()
+    log.label(spark.createDataFrame([(one.query_id, one.candidate_id, "hit", "n", 1)], "query_id string, candidate_id string, label string, notes string, ord long").withColumn("labeled_at", at(9)), at(9))
+    folders = log.log.committed()
+    assert rows(4, "queries") == 1 and log.queries().where("status = 'partial'").count() == 1 and log.candidates().where("label = 'hit'").count() == 1
+    small = log.compact()
+    assert key(small.queries()) == key(log.queries()) and key(small.candidates()) == key(log.candidates()) and len(small.log.committed()) == 1
+
+
 def test_corpora(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     folder = sinks.create_corpus(spark, root, "one", {"index": {"type": "Flat"}}, "2026-01-01T00:00:00")
