@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch, join_counted
+from .shared import BROADCAST_ROWS, Scratch, join_counted
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, key: str = "cc") -> DataFrame:
@@ -16,9 +16,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, key: str = "cc") ->
     empty result; repeated edges and self-loops change nothing.
 
     Every step works on key-wise minima, aggregated before they are shuffled;
-    the minimum of a hub then goes to its edges, which stay where they are.  No
+    the minimum of a hub then goes to its edges, which stay where they are: all
+    minima are broadcast while their number allows it, later those of hubs.  No
     neighbour list is gathered anywhere.
     """
+
+    def with_low(rows: DataFrame, low: DataFrame, key: str, total: int) -> DataFrame:
+        # of two numbers a node, and no more nodes than twice the edges
+        return rows.join(F.broadcast(low.drop("n")), key) if total <= BROADCAST_ROWS else join_counted(rows, low, [key], "n", total)
+
     spark = scratch.spark
     current = scratch.write(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{key}-0"
@@ -27,10 +33,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, key: str = "cc") ->
     while True:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_counted(both.where("v > u"), low, ["u"], "n", 2 * edges).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_low(both.where("v > u"), low, "u", 2 * edges).where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         large = scratch.write(large, f"{key}-large-{step}")
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_counted(large, low, ["a"], "n", edges).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = with_low(large, low, "a", edges).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         step += 1
         current = scratch.write(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), f"{key}-{step}")
         scratch.drop(f"{key}-{step - 1}", f"{key}-large-{step - 1}")

@@ -48,9 +48,7 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b110001110101
 #: The centre of a bucket in each round is its member with the least fingerprint XOR one of these.
-CENTRES = (0, -1, 0x5555555555555555, 0x3333333333333333)
-#: Centre rounds end once a round adds fewer than one in so many links.
-FEW = 50
+CENTRES = (0, -1)
 #: Most members of a bucket, in the last round, that one task joins to all the others.
 SPLIT = 2000
 #: Sides of a bucket: only rows of different sides, or of side BOTH, are compared.
@@ -293,7 +291,6 @@ def simhash_components(docs: DataFrame, k: int = SHINGLE, bits: int = BITS, id_c
     links = scratch.write(posting.where(_near("fp", "other", bits) & (F.col("fp") != F.col("other"))).select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct(), "links-0")
     scratch.drop("index", "slots", "lists")
     posting = posting.where("open").select("bucket", "fp", "kind", "side")
-    count = fresh = links.count()
     labels, total = scratch.write(connected_components(links, scratch, "cc-0"), "labels-0"), posting.count()
 
     for step in range(1, len(CENTRES) + 1):
@@ -303,20 +300,16 @@ def simhash_components(docs: DataFrame, k: int = SHINGLE, bits: int = BITS, id_c
         if lists.isEmpty():
             break
         left = join_counted(named, lists, ["bucket"], "n", total)
-        last = step == len(CENTRES) or step > 1 and fresh * FEW < count
-        if last:
+        if step == len(CENTRES):
             links = _exact_links(left.select("bucket", "fp", "kind", "side", "component"), bits, scratch)
         else:
-            left = _against_centre(left).where((F.col("component") != F.col("centre.component")) & _near("fp", "other", bits))
-            links = left.select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")).distinct()
-        links = scratch.write(links, f"links-{step}")
-        fresh = links.count()
-        count += fresh
-        links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = scratch.write(connected_components(links, scratch, f"cc-{step}"), f"labels-{step}")
-        scratch.drop(f"named-{step}", f"lists-{step}", f"labels-{step - 1}", f"links-{step}", "links-0", "cells", "cell-sizes")
-        if last:
-            break
+            left = _against_centre(left).withColumn("c", F.col("centre.component")).where((F.col("component") != F.col("c")) & _near("fp", "other", bits))
+            links = left.select(F.greatest("component", "c").alias("a"), F.least("component", "c").alias("b")).distinct()
+        # links of components: a component's name is no node of the labels so far
+        joined = scratch.write(connected_components(links, scratch, f"cc-{step}"), f"joined-{step}")
+        moved = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+        labels = scratch.write(moved.unionByName(joined), f"labels-{step}")
+        scratch.drop(f"named-{step}", f"lists-{step}", f"labels-{step - 1}", f"joined-{step}", "links-0", "cells", "cell-sizes")
 
     rooted = classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("root"))
     rooted = scratch.write(rooted, "rooted")
