@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import scores, text
+from ..operators import edit_join
 from ..sources import ingest
 from .base import Registry, table
 
@@ -56,6 +57,22 @@ def detect_language(spark, d):
     return table(spark, d, "documents").select("doc_id", text.detect_language(mixed).alias("guess"))
 
 
+EDITS = 5
+
+
+@REGISTRY.add(
+    f"""WITH t AS (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS text FROM documents),
+    c AS (SELECT min(doc_id) AS text_id, text, length(text) AS n FROM t WHERE text IS NOT NULL GROUP BY text),
+    p AS (SELECT x, y, k FROM (SELECT a.text_id AS x, b.text_id AS y, CASE WHEN abs(a.n - b.n) <= {EDITS} THEN levenshtein(a.text, b.text) END AS k FROM c a JOIN c b ON a.text_id < b.text_id) WHERE k <= {EDITS}),
+    counts AS (SELECT text_id, count(*) AS n_near, min(k) AS nearest FROM (SELECT x AS text_id, k FROM p UNION ALL SELECT y, k FROM p) GROUP BY text_id)
+    SELECT doc_id, c.text_id, coalesce(n_near, 0) AS n_near, nearest FROM t LEFT JOIN c USING (text) LEFT JOIN counts ON counts.text_id = c.text_id"""
+)
+def near_texts(spark, d):
+    """Each document's text class, and how many other texts are within EDITS edits, in characters that mean the same to the SQL."""
+    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    return edit_join.near_counts(docs, "doc_id", "text", EDITS)
+
+
 _PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', '')"
 
 
