@@ -121,8 +121,9 @@ def near_counts(rows: DataFrame, key: str, text: str, distance: int) -> DataFram
     """
     classes, members = text_classes(rows, key, text)
     pairs = near_texts(classes, distance)
-    both = pairs.unionByName(pairs.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), "distance"))
-    counts = both.groupBy(F.col("left_id").alias("text_id")).agg(F.count("*").alias("n_near"), F.min("distance").alias("nearest"))
+    # both ends of a pair from one pass over the pairs
+    ends = F.explode(F.array("left_id", "right_id")).alias("text_id")
+    counts = pairs.select(ends, "distance").groupBy("text_id").agg(F.count("*").alias("n_near"), F.min("distance").alias("nearest"))
     # the class of a row by its text's digest; a class's count by its id
     found = members.join(counts, "text_id", "left")
     missing = rows.where(F.col(text).isNull()).select(key)
