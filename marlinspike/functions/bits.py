@@ -56,6 +56,11 @@ def inner_product(a: Column, b: Column) -> Column:
 
 def difference_hash(v: Column) -> Column:
     """Hexadecimal difference hash of a vector: bit i says whether entry i+1 exceeds entry i."""
-    bits = F.concat(F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda i: F.when(F.get(v, i) > F.get(v, i - 1), "1").otherwise("0")), F.array(F.lit("0")))
     words = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 4).cast("int"))
-    return F.array_join(F.transform(words, lambda k: F.lower(F.conv(F.array_join(F.slice(bits, k * 4 + 1, 4), ""), 2, 16))), "")
+
+    def digit(k: Column) -> Column:
+        # only the vector is referred to: an array of bits would be made again for each digit
+        value = sum((F.when(F.get(v, k * 4 + j + 1) > F.get(v, k * 4 + j), 8 >> j).otherwise(0) for j in range(4)), F.lit(0))
+        return F.substr(F.lit("0123456789abcdef"), F.call_function("shiftright", value, F.greatest(F.lit(0), k * 4 + 4 - F.size(v))) + 1, F.lit(1))
+
+    return F.array_join(F.transform(words, digit), "")

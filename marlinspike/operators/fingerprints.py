@@ -5,19 +5,24 @@ An index is a frame (image_id, ord, hash), one row an id.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import bits, joins
 
-#: Up to so many queries are always broadcast, and about so many at once (some 10 MB).
-SMALL, BLOCK = 1000, 50_000
+#: Most different hashes of a block; a task compares two blocks at once, at about a nanosecond a pair of 64 bits.
+BLOCK = 30_000
+#: Pairs that are compared in one step, and pairs that are handed on at once.
+STEP, FOUND = 1 << 16, 1 << 18
 #: Most values of a band that a query asks for.
 MOST_PROBES = 1 << 12
-#: Cost of a row that is shuffled, and of a candidate that a join verifies, in pairs of a nested loop.
-ROW, CANDIDATE = 20, 4
+#: Cost of a row that is shuffled, and of a candidate that a join verifies, in pairs of compared blocks.
+ROW, CANDIDATE = 1000, 50
 
 
 def lookup(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -31,28 +36,6 @@ def first_seen(index: DataFrame) -> DataFrame:
     return index.join(first, "hash")
 
 
-def _pairs(q: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return q.select("query_id", F.col("hash").alias("q_hash")).where("q_hash <> ''"), c.select("image_id", "ord", F.col("hash").alias("c_hash")).where("c_hash <> ''")
-
-
-def radius_join_nested(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
-    """All pairs within the radius, by broadcasts of blocks of about BLOCK queries; the index is read once a block.
-
-    Hashes are turned into numbers before they meet.
-    """
-    q, c = _pairs(queries, index)
-    blocks = -(-q.count() // BLOCK) or 1
-    q = q.withColumns({"q_words": bits.hash_words(F.col("q_hash")), "block": F.pmod(F.xxhash64("query_id", "q_hash"), F.lit(blocks))})
-    c = c.withColumn("c_words", bits.hash_words(F.col("c_hash")))
-    distance = bits.word_distance(F.col("q_words"), F.col("c_words"), F.col("q_hash"), F.col("c_hash"))
-    out = None
-    for number in range(blocks):
-        joined = c.join(F.broadcast(q.where(F.col("block") == number).drop("block")), distance <= max_distance)
-        part = joined.select("query_id", "image_id", "ord", distance.alias("distance"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def _bands(hash_: Column, units: Column, bands: int, kind: str) -> Column:
     """(kind, length, band, value) of a string cut into bands of its bits (hexadecimal digits) or characters.
 
@@ -70,44 +53,116 @@ def _bands(hash_: Column, units: Column, bands: int, kind: str) -> Column:
     return F.when(size < count, F.array(whole)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), cut))
 
 
-def radius_join_banded(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
-    """All pairs within the radius, by an equi-join on bands (pigeonhole); exact for any input.
+# Comparison by blocks ---------------------------------------------------------------
+
+
+def _hexed(column: str) -> Column:
+    return F.col(column).rlike("^[0-9a-fA-F]+$")
+
+
+def _numbers(hashes: list[str], digits: int) -> np.ndarray:
+    """Hexadecimal strings of so many digits as rows of 64-bit numbers."""
+    wide = -(-digits // 16) * 16
+    return np.frombuffer(bytes.fromhex("".join(h.rjust(wide, "0") for h in hashes)), np.uint64).reshape(len(hashes), -1)
 
-    Hexadecimal strings of one length are cut by bits.  Where one of the two is
-    not hexadecimal, characters count, so those pairs are joined by characters.
-    Strings of unequal length are as far apart as the longer one is long: they
-    match if both have at most max_distance characters, and are joined by length.
+
+def _band_masks(digits: int, bands: int) -> np.ndarray:
+    """The bits of each band that ``_bands`` cuts hashes of so many digits in; a single empty one if there are fewer bits."""
+    size = 4 * digits
+    if size < bands:
+        return _numbers(["0"], digits)
+    ends = [(size - i * size // bands, size - (i + 1) * size // bands) for i in range(bands)]
+    return _numbers([f"{(1 << hi) - (1 << lo):x}" for hi, lo in ends], digits)
+
+
+def _compare(digits: int, max_distance: int, masks: np.ndarray, nearest: int | None):
+    """Rows (band, q_hashes, c_hashes) become rows (q_hash, c_hash, distance) within the radius.
+
+    A pair counts in the first band in which both agree, so in one cell only.
+    With ``nearest`` so many of a cell's rows are kept for each query, and all
+    that are as near as the last of them.
     """
-    q, c = _pairs(queries, index)
-    hexed = lambda x: F.col(x).rlike("^[0-9a-fA-F]+$")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for band, asked, held in zip(*(batch.column(i) for i in range(3)), strict=True):
+                asked, held, parts, count = asked.values, held.values, [], 0
+                q, c = _numbers(asked.to_pylist(), digits), _numbers(held.to_pylist(), digits)
+                words, step = [np.ascontiguousarray(c[:, w]) for w in range(c.shape[1])], max(1, STEP // len(c))
+                for lo in range(0, len(q), step):
+                    some = q[lo : lo + step]
+                    far = np.bitwise_count(some[:, :1] ^ words[0])
+                    if len(words) > 1:
+                        far = sum((np.bitwise_count(some[:, w : w + 1] ^ words[w]) for w in range(1, len(words))), far.astype(np.int32))
+                    i, j = np.nonzero(far <= max_distance)
+                    distance = far[i, j].astype(np.int32)
+                    if earlier := band.as_py():
+                        fresh = ((some[i] ^ c[j])[:, None, :] & masks[None, :earlier]).any(axis=2).all(axis=1)
+                        i, j, distance = i[fresh], j[fresh], distance[fresh]
+                    if nearest is not None and len(i) > nearest:
+                        order = np.lexsort((distance, i))
+                        first = np.searchsorted(i[order], np.arange(len(some)))
+                        last = np.minimum(first + nearest, np.append(first[1:], len(order))) - 1
+                        kept = distance <= distance[order][np.maximum(last, 0)][i]
+                        i, j, distance = i[kept], j[kept], distance[kept]
+                    parts.append((i + lo, j, distance))
+                    count += len(i)
+                    if count >= FOUND or lo + step >= len(q):
+                        i, j, distance = (np.concatenate(p) for p in zip(*parts, strict=True))
+                        yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), held.take(pa.array(j)), pa.array(distance)], ["q_hash", "c_hash", "distance"])
+                        parts, count = [], 0
+
+    return run
+
+
+def _block_matches(q: DataFrame, c: DataFrame, digits: int, max_distance: int, asked: int, held: int, bands: int = 1, nearest: int | None = None) -> DataFrame:
+    """(q_hash, c_hash, distance) of different hashes of one length: each block of queries meets each block of the index.
+
+    Blocks hold BLOCK hashes or so, and a cell of two blocks is worked on at
+    once, so no task holds more, and none gets all.  With more than one band
+    only blocks that agree in one meet.
+    """
+    counts = -(-asked // BLOCK), -(-held // BLOCK)
+    keys = ["kind", "length", "band", "value", "q_block", "c_block"]
     bit_text = lambda x: F.array_join(F.transform(F.split(F.lower(x), ""), lambda d: F.lpad(F.conv(d, 16, 2), 4, "0")), "")
-    distance = bits.hamming_distance(F.col("q_hash"), F.col("c_hash"))
-    n = max_distance + 1
 
-    def banded(df: DataFrame, x: str) -> DataFrame:
-        return df.withColumn("b", F.explode(_bands(F.col(x), bit_text(x), n, "bits")))
+    def blocks(df: DataFrame, x: str, own: int) -> DataFrame:
+        """A row for each band, value and block, repeated for each block of the other side."""
+        # the bits are a column of their own, or they would be worked out again for each band
+        df = df.withColumn("units", bit_text(F.col(x))) if bands > 1 else df
+        columns = F.explode(_bands(F.col(x), F.col("units"), bands, "bits")) if bands > 1 else F.struct(F.lit("all").alias("kind"), F.lit(digits).alias("length"), F.lit(0).alias("band"), F.lit("").alias("value"))
+        name, other = (("q_block", "c_block"), ("c_block", "q_block"))[own]
+        rows = df.select(x, columns.alias("b"), F.pmod(F.xxhash64(x), F.lit(counts[own])).cast("int").alias(name)).select(x, "b.*", name)
+        rows = rows.groupBy("kind", "length", "band", "value", name).agg(F.collect_list(x).alias(x))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(counts[1 - own] - 1))))
 
-    by_bits = banded(q.where(hexed("q_hash")), "q_hash").join(banded(c.where(hexed("c_hash")), "c_hash"), "b")
-    same = by_bits.drop("b").where(distance <= max_distance).select("query_id", "image_id", "ord", distance.alias("distance")).distinct()
-    return same.unionByName(_odd_pairs(q, c, max_distance))
+    # a broadcast would leave all cells to the tasks that hold a block of the other side
+    cells = blocks(q, "q_hash", 0).join(blocks(c, "c_hash", 1).hint("merge"), keys)
+    run = _compare(digits, max_distance, _band_masks(digits, bands), nearest)
+    return cells.select("band", "q_hash", "c_hash").mapInArrow(run, "q_hash string, c_hash string, distance int")
 
 
 def _odd_pairs(q: DataFrame, c: DataFrame, max_distance: int) -> DataFrame:
-    """Pairs within the radius of which one is not hexadecimal, or whose lengths differ."""
-    hexed = lambda x: F.col(x).rlike("^[0-9a-fA-F]+$")
+    """Pairs of different hashes within the radius of which one is not hexadecimal, or whose lengths differ.
+
+    Where one of the two is not hexadecimal, characters count, so those pairs
+    are joined by bands of characters.  Strings of unequal length are as far
+    apart as the longer one is long: they match if both have at most
+    max_distance characters, and are joined by length.
+    """
     distance = bits.hamming_distance(F.col("q_hash"), F.col("c_hash"))
     n = max_distance + 1
 
     def banded(df: DataFrame, x: str) -> DataFrame:
         return df.withColumn("b", F.explode(_bands(F.col(x), F.col(x), n, "chars")))
 
-    odd_q = banded(q.where(~hexed("q_hash")), "q_hash").join(banded(c, "c_hash"), "b")
-    odd_c = banded(q.where(hexed("q_hash")), "q_hash").join(banded(c.where(~hexed("c_hash")), "c_hash"), "b")
-    same = odd_q.unionByName(odd_c).drop("b").where(distance <= max_distance).select("query_id", "image_id", "ord", distance.alias("distance")).distinct()
+    odd_q = banded(q.where(~_hexed("q_hash")), "q_hash").join(banded(c, "c_hash"), "b")
+    odd_c = banded(q.where(_hexed("q_hash")), "q_hash").join(banded(c.where(~_hexed("c_hash")), "c_hash"), "b")
+    same = odd_q.unionByName(odd_c).drop("b").where(distance <= max_distance).select("q_hash", "c_hash", distance.alias("distance")).distinct()
     lengths = F.filter(F.sequence(F.lit(1), F.lit(max(max_distance, 1))), lambda x: x != F.length("q_hash"))
     short_q = q.where(F.length("q_hash") <= max_distance).withColumn("length", F.explode(lengths))
     short_c = c.where(F.length("c_hash") <= max_distance).withColumn("length", F.length("c_hash"))
-    short = short_q.join(short_c, "length").select("query_id", "image_id", "ord", distance.alias("distance"))
+    short = short_q.join(short_c, "length").select("q_hash", "c_hash", distance.alias("distance"))
     return same.unionByName(short)
 
 
@@ -171,61 +226,102 @@ def _band_matches(q: DataFrame, c: DataFrame, digits: int, max_distance: int, ba
     return held.join(asked, [*keys, "part"]).where(distance <= max_distance).select("q_hash", "c_hash", distance.cast("int").alias("distance")).distinct()
 
 
-def radius_join_indexed(index: DataFrame, queries: DataFrame, max_distance: int, bands: int | None = None) -> DataFrame:
-    """All pairs within the radius, by multi-index hashing; exact for any input and any number of ``bands``,
-    by default the cheapest one.
+def near_hashes(index: DataFrame, queries: DataFrame, max_distance: int, bands: Callable[[int, int, int], int | None], banded: bool = False, nearest: int | None = None) -> DataFrame | None:
+    """(q_hash, c_hash, distance): all pairs of different hashes within the radius; None if either side has no hash.
 
-    Works on distinct hashes.  Hexadecimal ones of one length are cut into a few
-    wide bands, and a query asks for all values of a band within its share of
-    the radius; bands that many rows share are dealt out.  Where so large a
-    radius leaves nothing to select, and for strings that are not hexadecimal or
-    differ in length, see ``radius_join_nested`` and ``radius_join_banded``.
+    ``bands(digits, asked, held)`` says in how many bands to cut hexadecimal
+    hashes of one length for multi-index hashing, or None to compare blocks;
+    with ``banded`` only blocks of hashes that agree in a band.  With
+    ``nearest`` at least so many of the nearest are there for each query, and
+    all that are as near.
     """
-    q, c = _pairs(queries, index)
-    hexed = lambda x: F.col(x).rlike("^[0-9a-fA-F]+$")
-    q_hashes, c_hashes = (df.select(x).distinct().where(hexed(x)).withColumn("words", bits.hash_words(F.col(x))) for df, x in ((q, "q_hash"), (c, "c_hash")))
+    q, c = (df.select(F.col("hash").alias(x)).where(F.col(x) != "").distinct() for df, x in ((queries, "q_hash"), (index, "c_hash")))
     # a row for each length of a hash
-    sizes = lambda df, x: {r[0]: r[1] for r in df.groupBy(F.length(x)).count().collect()}
-    asked, held = sizes(q_hashes, "q_hash"), sizes(c_hashes, "c_hash")
-    met = None
-    for digits in sorted(asked.keys() & held.keys()):
-        own_q, own_c = q_hashes.where(F.length("q_hash") == digits), c_hashes.where(F.length("c_hash") == digits)
-        count = min(max(bands, -(-digits // MOST_DIGITS)), digits) if bands else plan_bands(digits, max_distance, asked[digits], held[digits])
+    sizes = lambda df, x: {(r[0], r[1]): r[2] for r in df.groupBy(F.length(x), _hexed(x)).count().collect()}
+    asked, held = sizes(q, "q_hash"), sizes(c, "c_hash")
+    if not asked or not held:
+        return None
+    met = []
+    for digits in sorted({n for n, hexed in asked.keys() & held.keys() if hexed}):
+        own_q, own_c = (df.where(_hexed(x) & (F.length(x) == digits)) for df, x in ((q, "q_hash"), (c, "c_hash")))
+        count = bands(digits, asked[digits, True], held[digits, True])
         if count:
-            part = _band_matches(own_q, own_c, digits, max_distance, count, held[digits])
+            words = lambda df, x: df.withColumn("words", bits.hash_words(F.col(x)))
+            met.append(_band_matches(words(own_q, "q_hash"), words(own_c, "c_hash"), digits, max_distance, count, held[digits, True]))
         else:
-            near = radius_join_nested(own_c.select(F.col("c_hash").alias("image_id"), F.lit(0).alias("ord"), F.col("c_hash").alias("hash")), own_q.select(F.col("q_hash").alias("query_id"), F.col("q_hash").alias("hash")), max_distance)
-            part = near.select(F.col("query_id").alias("q_hash"), F.col("image_id").alias("c_hash"), F.col("distance").cast("int").alias("distance"))
-        met = part if met is None else met.unionByName(part)
-    # strings that are not hexadecimal, and short ones of another length
-    odd = _odd_pairs(q, c, max_distance)
+            met.append(_block_matches(own_q, own_c, digits, max_distance, asked[digits, True], held[digits, True], max_distance + 1 if banded else 1, nearest))
+    lengths = [{n for n, _ in side if n <= max_distance} for side in (asked, held)]
+    if not all(hexed for _, hexed in asked.keys() | held.keys()) or any(n != m for n in lengths[0] for m in lengths[1]):
+        met.append(_odd_pairs(q, c, max_distance))
+    out = met[0] if met else _odd_pairs(q, c, max_distance)
+    for part in met[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _of_ids(met: DataFrame | None, index: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, image_id, ord, distance) of pairs of hashes; ids of a hash that many share are dealt out."""
+    q, c = queries.select("query_id", F.col("hash").alias("q_hash")), index.select("image_id", "ord", F.col("hash").alias("c_hash")).where("c_hash <> ''")
     if met is None:
-        return odd
-    ids, asks = joins.in_parts(c, met, joins.hot_keys(c, ["c_hash"], sum(held.values())), ["c_hash"], "image_id")
+        return q.join(c, F.lit(False)).select("query_id", "image_id", "ord", F.lit(0).alias("distance"))
+    ids, asks = joins.in_parts(c, met, joins.hot_keys(c, ["c_hash"], 0), ["c_hash"], "image_id")
     found = ids.join(asks, ["c_hash", "part"]).select("image_id", "ord", "q_hash", "distance")
-    return q.join(found, "q_hash").select("query_id", "image_id", "ord", "distance").unionByName(odd)
+    return q.join(found, "q_hash").select("query_id", "image_id", "ord", "distance")
 
 
-def radius_join(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
-    """All (query, id) pairs within ``max_distance``: (query_id, image_id, ord, distance).
+def radius_join_nested(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
+    """All pairs within the radius, by comparing all blocks of different hashes; exact for any input."""
+    return _of_ids(near_hashes(index, queries, max_distance, lambda digits, asked, held: None), index, queries)
+
+
+def radius_join_banded(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
+    """All pairs within the radius, by an equi-join on bands (pigeonhole); exact for any input.
+
+    Hexadecimal strings of one length are cut by bits, and blocks of those that
+    agree in a band are compared.  For the others see ``_odd_pairs``.
+    """
+    return _of_ids(near_hashes(index, queries, max_distance, lambda digits, asked, held: None, banded=True), index, queries)
 
-    A few queries are broadcast; more go through multi-index hashing.
+
+def _planned(max_distance: int, bands: int | None = None) -> Callable[[int, int, int], int | None]:
+    return lambda digits, asked, held: min(max(bands, -(-digits // MOST_DIGITS)), digits) if bands else plan_bands(digits, max_distance, asked, held)
+
+
+def radius_join_indexed(index: DataFrame, queries: DataFrame, max_distance: int, bands: int | None = None) -> DataFrame:
+    """All pairs within the radius, by multi-index hashing; exact for any input and any number of ``bands``,
+    by default the cheapest one.
+
+    Works on distinct hashes.  Hexadecimal ones of one length are cut into a few
+    wide bands, and a query asks for all values of a band within its share of
+    the radius; bands that many rows share are dealt out.  Where so large a
+    radius leaves nothing to select blocks are compared; for strings that are
+    not hexadecimal or differ in length see ``_odd_pairs``.
     """
-    if queries.limit(SMALL + 1).count() > SMALL:
-        return radius_join_indexed(index, queries, max_distance)
-    return radius_join_nested(index, queries, max_distance)
+    return _of_ids(near_hashes(index, queries, max_distance, _planned(max_distance, bands)), index, queries)
+
+
+def radius_join(index: DataFrame, queries: DataFrame, max_distance: int) -> DataFrame:
+    """All (query, id) pairs within ``max_distance``: (query_id, image_id, ord, distance), the cheaper way."""
+    return radius_join_indexed(index, queries, max_distance)
 
 
 def exact_matches(index: DataFrame, queries: DataFrame, max_distance: int, top_n: int) -> DataFrame:
     """Nearest ``top_n`` ids of each query within the radius, with their confidence.
 
     Ordered by distance; equal distances by the place at which the hash, then
-    the id, was added.
+    the id, was added.  Ids of a hash are equally near, so only ``top_n`` hashes
+    of a query and ``top_n`` ids of a hash (more where they tie) meet, however
+    many share one.
     """
-    hits = radius_join(index, queries, max_distance)
-    # only the hashes that were hit are looked up
-    hit = index.join(hits.select("image_id", "ord").distinct(), ["image_id", "ord"], "left_semi").select("hash").distinct()
-    hits = hits.join(first_seen(index.join(hit, "hash", "left_semi")).select("image_id", "ord", "first_ord"), ["image_id", "ord"])
+    met = near_hashes(index, queries, max_distance, _planned(max_distance), nearest=top_n)
+    if met is None:
+        return _of_ids(None, index, queries).select("query_id", "image_id", "ord", "distance", bits.exact_confidence(F.col("distance")).alias("confidence"), F.lit(0).alias("channel_rank"))
+    held = index.where("hash <> ''").select("image_id", "ord", F.col("hash").alias("c_hash"))
+    met = met.withColumn("place", F.rank().over(Window.partitionBy("q_hash").orderBy("distance"))).where(F.col("place") <= top_n).drop("place")
+    met = met.join(held.groupBy("c_hash").agg(F.min("ord").alias("first_ord")), "c_hash")
+    met = met.withColumn("place", F.rank().over(Window.partitionBy("q_hash").orderBy("distance", "first_ord"))).where(F.col("place") <= top_n).drop("place")
+    ids = held.withColumn("place", F.rank().over(Window.partitionBy("c_hash").orderBy("ord"))).where(F.col("place") <= top_n).drop("place")
+    hits = queries.select("query_id", F.col("hash").alias("q_hash")).join(met.join(ids, "c_hash"), "q_hash")
     order = Window.partitionBy("query_id").orderBy("distance", "first_ord", "ord")
     hits = hits.withColumn("channel_rank", F.row_number().over(order)).where(F.col("channel_rank") <= top_n)
     return hits.select("query_id", "image_id", "ord", "distance", bits.exact_confidence(F.col("distance")).alias("confidence"), "channel_rank")

@@ -416,3 +416,40 @@ def test_annotation_tasks(spark):
     assert tasks.choose_query(p, "qb").first()[0] == "qb" and tasks.choose_query(p, "none").first()[0] == "qb" and tasks.choose_query(p.where("query_id = 'qa'"), None).first()[0] == "qa"
     with pytest.raises(RuntimeError):
         tasks.align(p, p.limit(1))
+
+
+def test_blocks_of_hashes_against_all_pairs(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    hashes = [f"{rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(14))):016x}" for _ in range(90)] + ["0" * 16] * 9 + [f"{rng.getrandbits(20):05x}" for _ in range(9)] + ["zz", "FF", "ff"]
+    corpus = spark.createDataFrame([(i, i, h) for i, h in enumerate(hashes)], "image_id long, ord long, hash string")
+    queries = corpus.where("image_id % 3 = 0").selectExpr("image_id query_id", "hash")
+
+    def far(a, b):
+        if len(a) != len(b):
+            return max(len(a), len(b))
+        return sum(x != y for x, y in zip(a, b, strict=True)) if "z" in a + b else bin(int(a, 16) ^ int(b, 16)).count("1")
+
+    pairs = sorted((q, c, c, far(hashes[q], hashes[c])) for q in range(0, len(hashes), 3) for c in range(len(hashes)))
+    want = [p for p in pairs if p[3] <= 20]
+    monkeypatch.setattr(fingerprints, "BLOCK", 16)
+    monkeypatch.setattr(fingerprints, "STEP", 32)
+    for join in (fingerprints.radius_join_nested, fingerprints.radius_join_banded):
+        found = join(corpus, queries, 20)
+        assert sorted(map(tuple, found.collect())) == want
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    first = {h: hashes.index(h) for h in hashes}
+    top = {}
+    for q, c, _, d in sorted(want, key=lambda p: (p[0], p[3], first[hashes[p[1]]], p[1])):
+        top.setdefault(q, []).append((q, c, d))
+    got = sorted((r.query_id, r.channel_rank, r.image_id, r.distance) for r in fingerprints.exact_matches(corpus, queries, 20, 4).collect())
+    assert got == sorted((q, i + 1, c, d) for q, rows in top.items() for i, (_, c, d) in enumerate(rows[:4]))
+
+
+def test_difference_hash_names_the_vector_only(spark):
+    expression = spark.createDataFrame([([1.0, 2.0, 1.0, 3.0, 3.0, 4.0],)], "v array<float>").select(bits.difference_hash(F.col("v")).alias("h"))
+    assert expression.first().h == "a2"
+    # one walk over the digits, in which no array of bits is made again for each
+    assert expression._jdf.queryExecution().analyzed().toString().count("transform(") == 1
