@@ -56,6 +56,10 @@ def _bands(hash_: Column, units: Column, bands: int, kind: str) -> Column:
 # Comparison by blocks ---------------------------------------------------------------
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _hexed(column: str) -> Column:
     return F.col(column).rlike("^[0-9a-fA-F]+$")
 
@@ -94,7 +98,7 @@ def _compare(digits: int, max_distance: int, masks: np.ndarray, nearest: int | N
                     far = np.bitwise_count(some[:, :1] ^ words[0])
                     if len(words) > 1:
                         far = sum((np.bitwise_count(some[:, w : w + 1] ^ words[w]) for w in range(1, len(words))), far.astype(np.int32))
-                    i, j = np.nonzero(far <= max_distance)
+                    i, j = np.divmod(np.flatnonzero(far <= max_distance), len(c))
                     distance = far[i, j].astype(np.int32)
                     if earlier := band.as_py():
                         fresh = ((some[i] ^ c[j])[:, None, :] & masks[None, :earlier]).any(axis=2).all(axis=1)
@@ -136,8 +140,9 @@ def _block_matches(q: DataFrame, c: DataFrame, digits: int, max_distance: int, a
         rows = rows.groupBy("kind", "length", "band", "value", name).agg(F.collect_list(x).alias(x))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(counts[1 - own] - 1))))
 
-    # a broadcast would leave all cells to the tasks that hold a block of the other side
-    cells = blocks(q, "q_hash", 0).join(blocks(c, "c_hash", 1).hint("merge"), keys)
+    # dealt by number: cells are small, so that a broadcast or coalescing would leave them to a few tasks
+    tasks = _tasks(q)
+    cells = blocks(q, "q_hash", 0).repartition(tasks, *keys).join(blocks(c, "c_hash", 1).repartition(tasks, *keys).hint("merge"), keys)
     run = _compare(digits, max_distance, _band_masks(digits, bands), nearest)
     return cells.select("band", "q_hash", "c_hash").mapInArrow(run, "q_hash string, c_hash string, distance int")
 
@@ -235,7 +240,7 @@ def near_hashes(index: DataFrame, queries: DataFrame, max_distance: int, bands:
     ``nearest`` at least so many of the nearest are there for each query, and
     all that are as near.
     """
-    q, c = (df.select(F.col("hash").alias(x)).where(F.col(x) != "").distinct() for df, x in ((queries, "q_hash"), (index, "c_hash")))
+    q, c = (df.select(F.col("hash").alias(x)).where(F.col(x) != "").repartition(_tasks(df), x).distinct() for df, x in ((queries, "q_hash"), (index, "c_hash")))
     # a row for each length of a hash
     sizes = lambda df, x: {(r[0], r[1]): r[2] for r in df.groupBy(F.length(x), _hexed(x)).count().collect()}
     asked, held = sizes(q, "q_hash"), sizes(c, "c_hash")
