@@ -149,9 +149,9 @@ _CLOSE = 12
 
 @REGISTRY.add(f"WITH {_BITS} SELECT q.vec_id AS query_id, c.vec_id AS image_id, hamming(q.b, c.b)::INT AS distance FROM bits q, bits c WHERE hamming(q.b, c.b) <= {_CLOSE}")
 def hamming_pairs(spark, d):
-    """Every fingerprint against all, by multi-index hashing."""
+    """Every fingerprint against all, by multi-index hashing or by blocks, whichever costs less."""
     corpus = hash_corpus(spark, d)
-    rows = fingerprints.radius_join_indexed(corpus, corpus.drop("ord").withColumnRenamed("image_id", "query_id"), _CLOSE, bands=4)
+    rows = fingerprints.radius_join_indexed(corpus, corpus.drop("ord").withColumnRenamed("image_id", "query_id"), _CLOSE)
     return rows.select("query_id", "image_id", F.col("distance").cast("int").alias("distance"))
 
 
