@@ -453,3 +453,12 @@ def test_difference_hash_names_the_vector_only(spark):
     assert expression.first().h == "a2"
     # one walk over the digits, in which no array of bits is made again for each
     assert expression._jdf.queryExecution().analyzed().toString().count("transform(") == 1
+
+
+def test_query_stats_work_out_the_matches_once(spark):
+    results = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (2, 1, 0.7), (9, 1, 0.2)], "query_id long, rank int, similarity double").withColumn("similarity", F.expr("similarity + 0 * length(uuid())"))
+    asked = spark.createDataFrame([(1, 10.0), (2, None), (3, 20.0)], "query_id long, processing_time_ms double")
+    found = matching.query_stats(results, asked, 5)
+    assert tuple(found.first()) == (3, 2, "66.67%", 15.0, 5, 0.6, 0.5, 0.0)
+    assert found._jdf.queryExecution().analyzed().toString().count("uuid(") == 1
+    assert tuple(matching.query_stats(results.limit(0), asked.limit(0), 5).first()) == (0, 0, "0%", 0.0, 5, 0.0, 0.0, 0.0)
