@@ -20,7 +20,7 @@ from ..functions import bits, joins
 #: Most bytes of query vectors, and of their best rows, that a task holds at once; more queries take more passes.
 QUERY_BLOCK = 64 << 20
 #: Scores that are worked out at once.
-SCORES = 4 << 20
+SCORES = 1 << 20
 #: Most times the wanted rows that codes select for the exact ranking.
 MOST_WIDEN = 100
 #: Most numbers of lists that are broadcast.
@@ -375,7 +375,8 @@ def search_codes(encoded: DataFrame, books: list[np.ndarray], queries: DataFrame
     c_type, q_type = encoded.schema["image_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {q_type}, image_id {c_type}, ord long, similarity double"
     rows, found = encoded.select("image_id", F.col("ord").cast("long").alias("ord"), "codes"), encoded.sparkSession.createDataFrame([], schema)
-    for number, (ids, held) in enumerate(query_blocks(queries, width * len(books), max(len(books) * len(books[0]) * 8, 32 * wide))):
+    # a query's lookup tables, and its best rows: twice as many until they are cut, which takes four copies
+    for number, (ids, held) in enumerate(query_blocks(queries, width * len(books), len(books) * len(books[0]) * 8 + 8 * 32 * wide)):
         unit = _unit(held)
         tables = [unit[:, j * width : (j + 1) * width] @ b.T for j, b in enumerate(books)]
         part = rows.mapInArrow(_code_top(_id_array(ids, q_type), tables, wide), schema)

@@ -455,6 +455,19 @@ def test_difference_hash_names_the_vector_only(spark):
     assert expression._jdf.queryExecution().analyzed().toString().count("transform(") == 1
 
 
+def test_tables_and_best_rows_of_a_block_of_queries_are_bounded(spark, monkeypatch):
+    corpus, queries = vector_frames(spark)
+    good, asked = corpus.where("vector is not null"), corpus.where("image_id < 40").selectExpr("image_id query_id", "vector")
+    books, made, plain = vectors.train_codebooks(good, 4, 4), [], vectors._code_top
+    coded = vectors.encode(good, books)
+    key = lambda df: sorted((r.query_id, r.image_id, r.vector_rank) for r in df.collect())
+    want = key(vectors.search_codes(coded, books, asked, 3, corpus=good))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 100_000)
+    monkeypatch.setattr(vectors, "_code_top", lambda ids, tables, k: made.append(sum(t.nbytes for t in tables) + len(ids) * k * 32 * 8) or plain(ids, tables, k))
+    assert key(vectors.search_codes(coded, books, asked, 3, corpus=good)) == want
+    assert len(made) > 1 and max(made) <= 1.1 * vectors.QUERY_BLOCK
+
+
 def test_query_stats_work_out_the_matches_once(spark):
     results = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.5), (2, 1, 0.7), (9, 1, 0.2)], "query_id long, rank int, similarity double").withColumn("similarity", F.expr("similarity + 0 * length(uuid())"))
     asked = spark.createDataFrame([(1, 10.0), (2, None), (3, 20.0)], "query_id long, processing_time_ms double")
