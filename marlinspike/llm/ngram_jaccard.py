@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .shared import Scratch, arrays_fit, bit_table, broadcast_if_small, has_bit, join_counted, table_bits
+from .shared import BROADCAST_ROWS, Scratch, arrays_fit, bit_table, broadcast_if_small, has_bit, in_one_task, join_counted, table_bits
 
 #: Characters of text for each bucket of the sketch, and the least and largest sketch (2**24 buckets, 16 MB on the driver).
 #: A token stands out once it is commoner than a bucket's mean, so it is moved to the end at every size.
@@ -321,17 +321,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         pairs = pairs.join(other, "b")
         pairs = pairs.where(_passes("f", "g", "n", "m", percent)).select("a", "b").distinct()
         pairs = scratch.write(pairs, f"pairs-{step}")
-        ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"ids-{step}")
+        passed = pairs.count()
+        ids = in_one_task(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), 2 * passed)
+        ids = scratch.write(ids.distinct(), f"ids-{step}")
         sets = scratch.write(_full_sets(docs, broadcast_if_small(ids), k), f"sets-{step}")
-        found = scratch.write(_verified(broadcast_if_small(pairs), sets, percent), f"links-{step}")
+        found = scratch.write(_verified(F.broadcast(pairs) if passed <= BROADCAST_ROWS else pairs, sets, percent), f"links-{step}")
         scratch.drop(f"sets-{step}", f"ids-{step}", f"early-{step}", f"half-{step}", f"named-{step}", f"lists-{step}", f"labels-{step - 1}")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = scratch.write(connected_components(links, scratch, f"cc-{step}"), f"labels-{step}")
-        if last:
-            break
         fresh = found.count()
         count += fresh
+        labels = scratch.write(connected_components(in_one_task(links, count), scratch, f"cc-{step}"), f"labels-{step}")
+        if last:
+            break
 
     # a doc_id with several sets links them
     several = prints.groupBy("doc_id").count().where("count > 1").select("doc_id")
